@@ -1,0 +1,49 @@
+"""Helpers shared by the training-data operators: shared scratch space and lineage cuts.
+
+Executors can be lost at any time, so intermediate tables go to the folder that the cluster names in
+``spark.checkpoint.dir`` (shared by driver and executors).  Only where that setting is unset, as in tests, a
+temporary folder of this machine stands in.
+"""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+_FALLBACK: dict[str, str] = {}
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder named by ``spark.checkpoint.dir``; a temporary one only when the setting is absent."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named.rstrip("/")
+    app = spark.sparkContext.applicationId
+    if app not in _FALLBACK:
+        _FALLBACK[app] = "file://" + tempfile.mkdtemp(prefix="spark-shared-", dir="/tmp")
+    return _FALLBACK[app]
+
+
+def scratch_path(spark: SparkSession, label: str) -> str:
+    """A fresh path below the shared folder."""
+    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+def materialise(df: DataFrame, label: str) -> DataFrame:
+    """Write ``df`` as Parquet into the shared folder and read it back, which cuts its lineage."""
+    spark = df.sparkSession
+    path = scratch_path(spark, label)
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def order_key(col):
+    """Sort keys that put null ids last."""
+    return [F.col(col).isNull().cast("int"), F.col(col)]

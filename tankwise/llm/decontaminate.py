@@ -1,0 +1,103 @@
+"""Benchmark decontamination by template canonicalisation, in DataFrame functions only.
+
+Texts become template tokens: numbers, units that follow a number, and names (capitalised words inside a sentence) turn
+into typed placeholders whose values are kept as slots.  Windows of five template tokens are hashed and equality-joined
+with the benchmark's windows.  An item counts as found in a document if at least 0.8 of its windows are, and, where the
+item has slots, if at least 0.8 of its slot values map one-to-one onto the document's: a re-parameterised question
+swaps values consistently, unrelated text with the same template does not.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from .common import materialise
+
+#: Unit words that become a placeholder after a number.
+UNITS = "km|m|cm|mm|mi|miles|kg|g|mg|lb|lbs|oz|l|ml|s|sec|seconds|min|minutes|h|hours|days|weeks|years|usd|eur|dollars|euros|percent"
+WINDOW = 5
+COVERAGE = 0.8
+#: Above this many benchmark windows the join shuffles instead of broadcasting (16 bytes a window and its slots).
+BROADCAST_WINDOWS = 500_000
+
+
+def template_tokens(text: Column) -> Column:
+    """Lower-cased tokens; those that stand for a slot begin with U+0001 (number), U+0002 (unit) or U+0003 (name)."""
+    t = F.regexp_replace(text, "[\\u0001-\\u0003]", " ")
+    t = F.regexp_replace(t, "([.,])(?<=\\p{Nd}.)(?=\\p{Nd})", "")
+    t = F.regexp_replace(t, f"(?i)(\\p{{Nd}})[ ]?({UNITS}|%|€|\\$)(?![\\p{{L}}\\p{{M}}\\p{{N}}])", "$1 \u0002$2")
+    t = F.regexp_replace(t, "(\\p{Lu})(?<=[\\p{L}\\p{N},;:] .)(?=\\p{Ll})", "\u0003$1")
+    t = F.regexp_replace(t, "(\\p{Nd}++)", "\u0001$1")
+    return F.array_remove(F.split(F.lower(F.coalesce(t, F.lit(""))), "[^\\p{L}\\p{M}\\p{N}\\u0001-\\u0003%€$]+"), "")
+
+
+def _windows(df: DataFrame, id_name: str, at: str, window: int) -> DataFrame:
+    """(id, position, h, slots, plain): one row per window; a shorter text is one window, an empty one none."""
+    mark = F.lit("\u0004")
+    rows = df.select(id_name, template_tokens(F.col("text")).alias("raw"))
+    rows = rows.select(id_name, "raw", F.transform("raw", lambda x: F.when(x < mark, F.substring(x, 1, 1)).otherwise(x)).alias("tok"))
+
+    def one(i):
+        raw, tok = ([F.get(F.col(c), i + F.lit(j)) for j in range(window)] for c in ("raw", "tok"))
+        slots = F.when(F.least(*raw) < mark, F.filter(F.slice("raw", i + 1, window), lambda x: x < mark))
+        return F.struct(F.xxhash64(*tok).alias("h"), slots.alias("slots"), (F.greatest(*tok) >= mark).alias("plain"))
+
+    # get() past the end is null and adds nothing to the hash; the short text's own length is hashed with it
+    long = F.transform(F.sequence(F.lit(0), F.greatest(F.size("raw") - window, F.lit(0))), one)
+    short = F.array(
+        F.struct(
+            F.xxhash64(F.size("raw"), F.concat_ws(" ", "tok")).alias("h"),
+            F.filter("raw", lambda x: x < mark).alias("slots"),
+            F.exists("tok", lambda x: x >= mark).alias("plain"),
+        )
+    )
+    listed = F.when(F.size("raw") >= window, long).when(F.size("raw") > 0, short)
+    return rows.select(id_name, F.posexplode(listed).alias(at, "w")).select(id_name, at, "w.h", "w.slots", "w.plain")
+
+
+def contaminated(
+    docs: DataFrame,
+    benchmark: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    item_col: str = "item_id",
+    item_text_col: str = "text",
+    window: int = WINDOW,
+    coverage: float = COVERAGE,
+) -> DataFrame:
+    """(id, item_id, n_windows, n_found, first_token, last_token, n_slots, n_consistent): items found in documents.
+
+    Null and empty texts and items have no windows and match nothing.  An item shorter than a window matches only a
+    document of the same template.  Windows of placeholders alone are not counted.  Repeated rows of an id count as one
+    document, repeated items as one item; rows without an id are ignored.  Extra columns are ignored and empty tables
+    give an empty result.
+    """
+    items = benchmark.select(F.col(item_col).alias("item_id"), F.col(item_text_col).alias("text")).where("item_id IS NOT NULL")
+    theirs = _windows(items, "item_id", "item_at", window).where("plain").select("item_id", "item_at", "h", F.col("slots").alias("item_slots"))
+    theirs = materialise(theirs.distinct(), "benchmark-windows")
+    needed = theirs.groupBy("item_id").agg(F.countDistinct("item_at").alias("n_windows"))
+    mine = _windows(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("id IS NOT NULL"), "id", "at", window).drop("plain")
+    small = theirs.count() <= BROADCAST_WINDOWS
+    hits = materialise(mine.join(F.broadcast(theirs) if small else theirs, "h"), "benchmark-hits")
+
+    found = hits.groupBy("id", "item_id").agg(F.countDistinct("item_at").alias("n_found"), F.min("at").alias("first_token"), (F.max("at") + window - 1).alias("last_token"))
+    found = found.join(F.broadcast(needed) if small else needed, "item_id").where(F.col("n_found") >= coverage * F.col("n_windows"))
+
+    pairs = hits.where("item_slots IS NOT NULL AND slots IS NOT NULL").select("id", "item_id", F.explode(F.arrays_zip("item_slots", "slots")).alias("s"))
+    pairs = pairs.select("id", "item_id", F.col("s.item_slots").alias("theirs"), F.col("s.slots").alias("ours")).distinct()
+    per = pairs.groupBy("id", "item_id", "theirs").agg(F.count(F.lit(1)).alias("n"), F.min("ours").alias("ours"))
+    back = pairs.groupBy("id", "item_id", "ours").agg(F.count(F.lit(1)).alias("m"))
+    slots = (
+        per.join(back, ["id", "item_id", "ours"])
+        .groupBy("id", "item_id")
+        .agg(F.count(F.lit(1)).alias("n_slots"), F.count_if((F.col("n") == 1) & (F.col("m") == 1)).alias("n_consistent"))
+    )
+    out = found.join(slots, ["id", "item_id"], "left").fillna(0, ["n_slots", "n_consistent"])
+    return out.where(F.col("n_consistent") >= coverage * F.col("n_slots")).select("id", "item_id", "n_windows", "n_found", "first_token", "last_token", "n_slots", "n_consistent")
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows of ``docs``, all columns, in which no benchmark item is found.  Rows without an id stay."""
+    bad = materialise(contaminated(docs, benchmark, id_col, text_col, **options).select(F.col("id").alias("_bad_id")).distinct(), "contaminated-ids")
+    return docs.join(bad, F.col(id_col) == F.col("_bad_id"), "left_anti")

@@ -1,0 +1,166 @@
+"""Mixing sources to target weights through a min-cost flow.
+
+Documents are aggregated by membership pattern (the set of sources they belong to).  Source quotas are the weighted
+shares of all words, capped at ``max_repeats`` times a source's own size with the excess shared again by weight.  A flow
+routes the patterns' word capacity to the quotas; taking a pattern a further time costs more each time, so repetition is
+used only where a quota needs it.  Last, seeded documents realise each pattern's flow: all its documents are taken
+``flow // capacity`` times, and those that come first in a seeded order once more.
+
+Only one row per pattern and per source reaches the driver.  The seeded order is cut into hash ranges whose sums are
+scanned first; row-level running sums are needed in the one range per pattern where the flow ends.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+from fractions import Fraction
+from math import ceil, log2
+
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from .common import materialise
+
+WEIGHTS = (5, 2, 1)
+MAX_REPEATS = 3
+#: Sources and patterns that the driver's flow may hold.
+MAX_PATTERNS = 100_000
+RANGE_ROWS = 50_000
+
+
+def quotas(sizes: Sequence[int], weights: Sequence[int], total: int, max_repeats: int = MAX_REPEATS) -> list[float]:
+    """Weighted shares of ``total``, none above ``max_repeats`` times its size, the excess reshared by weight."""
+    out, open_, rest = [0.0] * len(sizes), set(range(len(sizes))), total
+    while open_:
+        weight = sum(weights[i] for i in open_)
+        full = [i for i in open_ if Fraction(rest * weights[i], weight) > max_repeats * sizes[i]]
+        if not full:
+            for i in open_:
+                out[i] = rest * weights[i] / weight
+            break
+        for i in full:
+            out[i] = float(max_repeats * sizes[i])
+            rest -= max_repeats * sizes[i]
+        open_ -= set(full)
+    return out
+
+
+def route(patterns: Sequence[tuple[tuple[int, ...], int]], quota: Sequence[int], max_repeats: int = MAX_REPEATS) -> list[int]:
+    """Words to take of each pattern (its sources, its capacity), by successive shortest paths.
+
+    Arcs: start to pattern (``max_repeats`` parallel arcs of its capacity at cost 0, 1, 2, ...), pattern to each of its
+    sources, source to end (its quota).  Repetition costs are convex, so cheaper rounds fill first.
+    """
+    n, m = len(patterns), len(quota)
+    start, end = n + m, n + m + 1
+    arcs: list[list[int]] = []  # to, room, cost
+    out: list[list[int]] = [[] for _ in range(n + m + 2)]
+
+    def arc(a: int, b: int, room: int, cost: int) -> None:
+        out[a].append(len(arcs))
+        arcs.append([b, room, cost])
+        out[b].append(len(arcs))
+        arcs.append([a, 0, -cost])
+
+    total = sum(quota)
+    for i, (members, capacity) in enumerate(patterns):
+        for again in range(max_repeats):
+            arc(start, i, capacity, again)
+        for s in members:
+            arc(i, n + s, total, 0)
+    for s, q in enumerate(quota):
+        arc(n + s, end, q, 0)
+    while True:
+        cost, via, queue = {start: 0}, {}, [start]
+        while queue:
+            after = []
+            for a in queue:
+                for e in out[a]:
+                    b, room, c = arcs[e]
+                    if room > 0 and cost[a] + c < cost.get(b, 1 << 60):
+                        cost[b], via[b] = cost[a] + c, e
+                        after.append(b)
+            queue = list(dict.fromkeys(after))
+        if end not in cost:
+            break
+        path, at = [], end
+        while at != start:
+            path.append(via[at])
+            at = arcs[via[at] ^ 1][0]
+        push = min(arcs[e][1] for e in path)
+        for e in path:
+            arcs[e][1] -= push
+            arcs[e ^ 1][1] += push
+    # a reverse arc's room is the flow on its arc
+    return [sum(arcs[e][1] for e in out[i] if e % 2 and arcs[e][0] == start) for i in range(n)]
+
+
+def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, max_repeats: int = MAX_REPEATS, seed: str = "mix-1") -> DataFrame:
+    """(id, size, sources, source_size, target, taken) for ``docs`` (id long, sources array<string>, size long).
+
+    Sources stand in code-point order, null last, and weigh ``weights`` in turn.  ``source_size`` and ``target`` are
+    those of the first of a document's sources.  ``taken`` is the words that the mix takes of a document, repeats
+    counted: a multiple of its size, at most ``max_repeats`` times it.  Documents of size 0 take nothing.  Repeated ids
+    are separate documents that tie, and share one place in the seeded order.  A null id sorts like an empty one.  An
+    empty table gives an empty result.
+    """
+    spark = docs.sparkSession
+    docs = docs.select("id", F.array_sort(F.array_distinct("sources")).alias("sources"), F.col("size").cast("long").alias("size"))
+    grouped = docs.groupBy("sources").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n"))
+    rows = grouped.limit(MAX_PATTERNS + 1).collect()
+    if len(rows) > MAX_PATTERNS:
+        raise ValueError(f"more than {MAX_PATTERNS} membership patterns")
+    rows.sort(key=lambda r: [(s is None, s or "") for s in r["sources"]])
+    names = sorted({s for r in rows for s in r["sources"]}, key=lambda s: (s is None, s or ""))
+    place = {s: i for i, s in enumerate(names)}
+    sizes = [0] * len(names)
+    for r in rows:
+        for s in r["sources"]:
+            sizes[place[s]] += r["size"]
+    targets = quotas(sizes, [weights[i % len(weights)] for i in range(len(names))], sum(r["size"] for r in rows), max_repeats)
+    flow = route([(tuple(place[s] for s in r["sources"]), r["size"]) for r in rows], [int(t) for t in targets], max_repeats)
+    plan = []
+    for r, words in zip(rows, flow):
+        whole = min(words // r["size"], max_repeats) if r["size"] else 0
+        first = place[r["sources"][0]] if r["sources"] else None
+        plan.append((r["sources"], sizes[first] if r["sources"] else 0, targets[first] if r["sources"] else 0.0, whole, words - whole * r["size"] if whole < max_repeats else 0))
+    kinds = "sources array<string>, source_size long, target double, whole long, extra long"
+    plan = spark.createDataFrame(plan, kinds).withColumn("pattern", F.to_json("sources"))
+
+    most = max([1, *(r["n"] for r in rows)])
+    digits = max(2, ceil(log2(max(most / RANGE_ROWS, 1)) / 4))
+    keyed = docs.withColumn("pattern", F.to_json("sources")).withColumn("key", F.md5(F.concat_ws("/", F.lit(seed), F.col("id").cast("string"))))
+    keyed = keyed.withColumn("range", F.substring("key", 1, digits))
+    sums = keyed.groupBy("pattern", "range").agg(F.sum("size").alias("words"))
+    upto = F.sum("words").over(Window.partitionBy("pattern").orderBy("range")) - F.col("words")
+    ranges = sums.select("pattern", "range", upto.alias("before"), "words").join(F.broadcast(plan.drop("sources")), "pattern")
+    last = materialise(ranges.where("before < extra AND before + words >= extra").select("pattern", F.col("range").alias("last"), "before"), "mix-ranges")
+    marked = keyed.join(F.broadcast(plan.drop("sources")), "pattern").join(F.broadcast(last), "pattern", "left")
+    inside = marked.where("range = last")
+    running = F.sum("size").over(Window.partitionBy("pattern").orderBy("key", F.col("id").isNull(), "id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    inside = inside.withColumn("once", (2 * (F.col("before") + running - F.col("size")) + F.col("size") <= 2 * F.col("extra")).cast("long"))
+    outside = marked.where("last IS NULL OR range <> last").withColumn("once", F.coalesce(F.col("range") < F.col("last"), F.lit(False)).cast("long"))
+    return inside.unionByName(outside).select("id", "size", "sources", "source_size", "target", (F.col("size") * (F.col("whole") + F.col("once"))).alias("taken"), (F.col("whole") + F.col("once")).alias("times"))
+
+
+def word_count(text: str = "text"):
+    """Number of white-space words (``[^\\x20\\x09-\\x0D]+``) of a text, null as 0."""
+    return F.coalesce(F.regexp_count(F.col(text), F.lit("[^\\x20\\x09-\\x0D]+")), F.lit(0)).cast("long")
+
+
+def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """(id, sources, size) of documents with one source each, written once so that texts are read once."""
+    return materialise(docs.select(F.col(id_col).cast("long").alias("id"), F.array(F.col(source_col)).alias("sources"), word_count(text_col).alias("size")), "mix-sizes")
+
+
+def mix_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
+    """The rows of ``docs``, all columns, each as often as the mix takes it.
+
+    Rows without an id stay once, since no decision can be carried back to them.
+    """
+    taken = mix(measured(docs.where(F.col(id_col).isNotNull()), id_col, text_col, source_col), **options).where("times > 0")
+    taken = materialise(taken.groupBy("id").agg(F.max("times").cast("int").alias("_times")), "mix-taken").withColumnRenamed("id", "_taken_id")
+    joined = docs.join(taken, F.col(id_col) == F.col("_taken_id"))
+    again = joined.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("_times"))).alias("_again")).select(*docs.columns)
+    return again.unionByName(docs.where(F.col(id_col).isNull()))

@@ -1,0 +1,137 @@
+"""Queries of the training-data operators: one per operator over its whole table, with production parameters."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from . import decontaminate, media_sniff, mixing, quality_gam, secret_scan, simhash, substring_dedup, token_store, url_rules, warc_store
+from .common import materialise, table
+
+#: The rules of op6 (host, path, verdict).
+RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
+
+
+def tokenizer_path() -> str:
+    """Place of the public byte-level BPE file; callers of the operator pass their own."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans that repeat earlier text, one row each; documents without repeats give none."""
+    spans = substring_dedup.repeated_spans(table(spark, sf_dir, "documents"))
+    return spans.select(F.col("id").alias("doc_id"), F.col("start").alias("start_char"), F.col("stop").alias("stop_char"), F.col("words").alias("n_words"), "n_units", F.col("kept_id").alias("kept_doc_id"))
+
+
+def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items found in documents, one row each; clean documents give none."""
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).withColumnRenamed("id", "doc_id")
+
+
+def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(mixing.measured(table(spark, sf_dir, "documents")))
+    return mixed.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
+
+
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scored = quality_gam.score(docs, quality_gam.train(docs, table(spark, sf_dir, "labels")))
+    return scored.select(F.col("id").alias("doc_id"), quality_gam.is_held_out("id").alias("held_out"), "score", "predicted")
+
+
+def op5_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media_sniff.media_features(media_sniff.stored_media(table(spark, sf_dir, "documents"))).withColumnRenamed("id", "doc_id")
+
+
+def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.createDataFrame(list(RULES), "host string, path string, verdict string")
+    return url_rules.judged(table(spark, sf_dir, "pages"), rules).withColumnRenamed("id", "page_id")
+
+
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.secrets(table(spark, sf_dir, "documents"))
+    return found.select(F.col("id").alias("doc_id"), "n_assign", "n_access", "n_hex", "base_sha256", F.col("listed").alias("spans"))
+
+
+def op8_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    blocks = token_store.write_tokens(table(spark, sf_dir, "documents"), tokenizer_path())
+    return token_store.read_documents(blocks).withColumnRenamed("id", "doc_id")
+
+
+def op9_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records, payloads = warc_store.archive(table(spark, sf_dir, "pages"))
+    digests = materialise(warc_store.payload_digests(payloads), "warc-read")
+    read = warc_store.record_fields(records).select("id", "digest", "record_type", "refers_to").join(digests, "digest")
+    return read.select(F.col("id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    groups = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return groups.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f
+    for f in (
+        op1_substring_dedup, op2_benchmark_decontamination, op3_source_mixing, op4_quality_classifier, op5_media_columns,
+        op6_url_filters, op7_secret_scan, op8_token_output, op9_warc_archive, op10_simhash_near_dedup,
+    )
+}
+
+ORACLE_SQL: dict[str, str] = {
+    "op3_source_mixing": r"""
+WITH d AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents
+), s AS (
+  SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source
+), o AS (
+  SELECT *, CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END::BIGINT AS weight FROM s
+), r AS (
+  SELECT *, row_number() OVER (ORDER BY source_size::DOUBLE / weight, source NULLS LAST) AS k,
+         sum(source_size) OVER () AS total FROM o
+), f AS (
+  SELECT *, coalesce(sum(3 * source_size) OVER (ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS capped,
+         sum(weight) OVER (ORDER BY k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS open_weight FROM r
+), g AS (
+  SELECT *, (total - capped) * weight > 3 * source_size * open_weight AS is_full FROM f
+), l AS (
+  SELECT min(k) AS first_open FROM g WHERE NOT is_full
+), t AS (
+  SELECT g.source, g.source_size,
+         CASE WHEN first_open IS NULL OR g.k < first_open THEN (3 * g.source_size)::DOUBLE
+              ELSE ((w.total - w.capped) * g.weight)::DOUBLE / w.open_weight::DOUBLE END AS target
+  FROM g CROSS JOIN l LEFT JOIN g w ON w.k = l.first_open
+), q AS (
+  SELECT *, CASE WHEN source_size = 0 THEN 0 ELSE least(3, floor(target)::BIGINT // source_size) END AS whole FROM t
+), x AS (
+  SELECT *, CASE WHEN whole < 3 THEN floor(target)::BIGINT - whole * source_size ELSE 0 END AS extra FROM q
+), n AS (
+  SELECT d.doc_id, d.size, x.source_size, x.target, x.whole, x.extra,
+         sum(d.size) OVER (PARTITION BY d.source ORDER BY md5('mix-1/' || d.doc_id::VARCHAR), d.doc_id
+                           ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - d.size AS before
+  FROM d JOIN x ON d.source IS NOT DISTINCT FROM x.source
+)
+SELECT doc_id, size, source_size, target,
+       (size * (whole + CASE WHEN extra > 0 AND 2 * before + size <= 2 * extra THEN 1 ELSE 0 END))::BIGINT AS taken
+FROM n
+""",
+    "op6_url_filters": r"""
+WITH p AS (
+  SELECT page_id, translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 1), ''),
+                            'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 2), '') AS path
+  FROM pages
+), r(rhost, rpath, verdict) AS (
+  VALUES ('net', '/', 'block'), ('example.net', '/en/', 'allow'), ('example.com', '/de/', 'block'), ('org', '/fr/', 'allow')
+), m AS (
+  SELECT p.*, rhost || rpath AS rule, verdict,
+         row_number() OVER (PARTITION BY page_id ORDER BY length(rhost || rpath) DESC) AS k
+  FROM p LEFT JOIN r ON (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath)
+)
+SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM m WHERE k = 1
+""",
+}

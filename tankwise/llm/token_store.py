@@ -1,0 +1,207 @@
+"""Token ids in a fixed-width bit-packed binary format.
+
+Documents are dealt into shards by ranges of their id and sorted there; each shard is a sequence of blocks.  A block
+holds whole documents: their ids in the fewest bits that the vocabulary needs, packed back to back, with the offset of
+each document's first token, so numpy unpacks a block at once or any document alone.  Blocks are rows of a Parquet
+table, which Spark's committer writes: a lost executor leaves no half-written shard.
+
+Texts are encoded by the ``tokenizers`` library.  Byte-level BPE never merges across the pieces of its pre-tokenizer, so
+every distinct piece is encoded once per task and its ids are reused.
+"""
+
+from __future__ import annotations
+
+import re
+import zlib
+from collections.abc import Iterator
+from functools import lru_cache
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from .common import materialise
+
+END_ID = 2
+BLOCK_IDS = 1 << 18
+#: Pieces whose ids a task remembers (about 200 bytes each).
+REMEMBERED = 1_000_000
+_PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?[^\s\w]+|\s+")
+#: Texts in which Python's and the tokenizer's character classes surely agree, blanks are single, and words stand between them.
+_PLAIN = re.compile(r"[!-~À-ÖØ-öø-ſ]+(?:[ \n][!-~À-ÖØ-öø-ſ]+)*")
+_BLOCKS = "shard int, block long, bits int, n_ids long, doc_ids array<long>, starts array<int>, counts array<int>, packed binary"
+_LONGS, _INTS = pa.list_(pa.int64()), pa.list_(pa.int32())
+_BLOCK_TYPES = (pa.int32(), pa.int64(), pa.int32(), pa.int64(), _LONGS, _INTS, _INTS, pa.binary())
+
+
+def pack(ids: np.ndarray, bits: int) -> bytes:
+    """``bits`` bits per id, the high bit first, padded to whole bytes."""
+    if bits == 16:
+        return ids.astype(">u2").tobytes()
+    shifts = np.arange(bits - 1, -1, -1, dtype=np.uint32)
+    out = [np.packbits((ids[at : at + 65536, None].astype(np.uint32) >> shifts & 1).astype(np.uint8)).tobytes() for at in range(0, len(ids), 65536)]
+    return b"".join(out)
+
+
+def unpack(packed: bytes, bits: int, count: int, start: int = 0) -> np.ndarray:
+    """``count`` ids from the ``start``-th on, reading only their bytes."""
+    if bits == 16:
+        return np.frombuffer(packed, ">u2", count, 2 * start).astype("<u4")
+    first, last = start * bits // 8, -(-(start + count) * bits // 8)
+    flat = np.unpackbits(np.frombuffer(packed, np.uint8, last - first, first))[start * bits - 8 * first :][: count * bits]
+    weights = (1 << np.arange(bits - 1, -1, -1, dtype=np.uint64)).astype(np.uint64)
+    return (flat.reshape(count, bits).astype(np.uint64) @ weights).astype("<u4")
+
+
+@lru_cache(maxsize=2)
+def _tokenizer(path: str):
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(path)
+
+
+def vocabulary_bits(path: str, end_id: int = END_ID) -> int:
+    size = max(_tokenizer(path).get_vocab_size(with_added_tokens=True), end_id + 1)
+    return max(1, (size - 1).bit_length())
+
+
+class Encoder:
+    """Encodes batches of texts; results equal ``encode(text, add_special_tokens=False)`` for each."""
+
+    def __init__(self, path: str):
+        self.tok = _tokenizer(path)
+        self.special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
+        self.ids: dict[str, np.ndarray] = {}
+
+    def _one(self, text: str) -> np.ndarray:
+        return np.array(self.tok.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
+
+    def _plain(self, text: str) -> bool:
+        return _PLAIN.fullmatch(text) is not None and "_" not in text and not any(s in text for s in self.special)
+
+    def _chunks(self, chunks: list[str]) -> list[np.ndarray]:
+        """Ids of strings of non-blanks, each with at most one blank before it."""
+        split = [_PIECE.findall(c) for c in chunks]
+        new = list({p for pieces in split for p in pieces if p not in self.ids})
+        more = dict(zip(new, (np.array(e.ids, dtype=np.uint32) for e in self.tok.encode_batch_fast(new, add_special_tokens=False))))
+        known = self.ids
+        if len(known) + len(more) <= REMEMBERED:
+            known.update(more)
+            get = known.__getitem__
+        else:
+            get = lambda p: more[p] if p in more else known[p]
+        return [get(p[0]) if len(p) == 1 else np.concatenate([get(x) for x in p]) for p in split]
+
+    def __call__(self, texts: list[str | None]) -> list[np.ndarray]:
+        out: list[np.ndarray | None] = [None] * len(texts)
+        plain = []
+        for i, text in enumerate(texts):
+            if not text:
+                out[i] = np.empty(0, np.uint32)
+            elif self._plain(text):
+                plain.append(i)
+            else:
+                out[i] = self._one(text)
+        if plain:
+            # " word" and "\nword" chunks: the blank goes to the front of the word it precedes, a line end stands alone
+            marked = pa.array([texts[i].replace("\n", " \n ") for i in plain], pa.large_string())
+            lists = pc.split_pattern(marked, " ")
+            coded = lists.values.dictionary_encode()
+            words = coded.dictionary.to_pylist()
+            index = np.asarray(coded.indices)
+            offsets = np.asarray(lists.offsets)
+            line = words.index("\n") if "\n" in words else -1
+            first = np.zeros(len(index), bool)
+            first[offsets[:-1]] = True
+            if line >= 0:
+                after = np.flatnonzero(index == line) + 1
+                first[after[after < len(index)]] = True
+            bare = first | (index == line)
+            both = index.astype(np.int64) * 2 + bare
+            used, index = np.unique(both, return_inverse=True)
+            ids = self._chunks([words[u >> 1] if u & 1 else " " + words[u >> 1] for u in used.tolist()])
+            size = np.fromiter(map(len, ids), np.int64, len(ids))
+            flat = np.concatenate(ids)
+            begin = np.cumsum(size) - size
+            for i, a, b in zip(plain, offsets[:-1].tolist(), offsets[1:].tolist()):
+                mine = index[a:b]
+                n = size[mine]
+                ends = np.cumsum(n)
+                out[i] = flat[np.arange(ends[-1]) + np.repeat(begin[mine] - ends + n, n)]
+        return out
+
+
+def write_tokens(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID) -> DataFrame:
+    """Encode, pack and write all documents in ascending id order (null ids last); return the written blocks.
+
+    Null and empty texts hold the end id alone.  Repeated ids keep their rows, in the order of their texts.
+    """
+    bits = vocabulary_bits(tokenizer, end_id)
+    schema = pa.schema([(x.split()[0], t) for x, t in zip(_BLOCKS.split(", "), _BLOCK_TYPES)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode, block = Encoder(tokenizer), 0
+        keys, parts, held, shard = [], [], 0, 0
+
+        def flush() -> pa.RecordBatch:
+            counts = np.fromiter(map(len, parts), np.int64, len(parts))
+            row = [[shard], [block], [bits], [int(counts.sum())], [keys], [(np.cumsum(counts) - counts).tolist()], [counts.tolist()], [pack(np.concatenate(parts), bits)]]
+            return pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(row, schema)], schema=schema)
+
+        for batch in batches:
+            for at in range(0, batch.num_rows, 2000):
+                piece = batch.slice(at, 2000)
+                texts = piece.column(1).to_pylist()
+                shard = piece.column(2)[0].as_py()
+                for key, ids in zip(piece.column(0).to_pylist(), encode(texts)):
+                    keys.append(key)
+                    parts.append(np.append(ids, np.uint32(end_id)))
+                    held += len(ids) + 1
+                    if held >= BLOCK_IDS:
+                        yield flush()
+                        block += 1
+                        keys, parts, held = [], [], 0
+        if keys:
+            yield flush()
+
+    key = F.col(id_col).cast("long")
+    rows = docs.select(key.alias("id"), F.col(text_col).alias("text"))
+    dealt = rows.repartitionByRange(F.col("id").asc_nulls_last()).sortWithinPartitions(F.col("id").asc_nulls_last(), "text")
+    return materialise(dealt.withColumn("shard", F.spark_partition_id()).mapInArrow(run, _BLOCKS), "tokens")
+
+
+def read_documents(blocks: DataFrame) -> DataFrame:
+    """(id, start, n_tokens, ids_crc32) of every document, unpacked from the stored blocks.
+
+    ``start`` is the number of ids of all documents before it.  ``ids_crc32`` covers its ids as little-endian unsigned
+    32-bit integers.
+    """
+    out = "shard int, block long, id long, local long, n_tokens long, ids_crc32 long"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = {c: batch.column(c)[i].as_py() for c in batch.schema.names}
+                ids = unpack(row["packed"], row["bits"], row["n_ids"])
+                n, raw = len(row["counts"]), ids.astype("<u4").tobytes()
+                crc = [zlib.crc32(raw[4 * a : 4 * (a + c)]) for a, c in zip(row["starts"], row["counts"])]
+                cols = [[row["shard"]] * n, [row["block"]] * n, row["doc_ids"], row["starts"], row["counts"], crc]
+                kinds = [pa.int32(), *[pa.int64()] * 5]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["shard", "block", "id", "local", "n_tokens", "ids_crc32"])
+
+    sizes = blocks.groupBy("shard", "block").agg(F.sum("n_ids").alias("n"))
+    shards = sizes.groupBy("shard").agg(F.sum("n").alias("n"))
+    shards = shards.select("shard", (F.sum("n").over(Window.orderBy("shard")) - F.col("n")).alias("shard_start"))
+    inside = F.sum("n").over(Window.partitionBy("shard").orderBy("block")) - F.col("n")
+    starts = sizes.select("shard", "block", inside.alias("before")).join(shards, "shard")
+    starts = materialise(starts.select("shard", "block", (F.col("before") + F.col("shard_start")).alias("first")), "token-starts")
+    found = blocks.mapInArrow(run, out).join(starts, ["shard", "block"])
+    return found.select("id", (F.col("first") + F.col("local")).alias("start"), "n_tokens", "ids_crc32")
+
+
+def read_ids(blocks: DataFrame, id_value: int) -> list[np.ndarray]:
+    """Random access: the ids of one document (one array for each row that has the id), reading its block only."""
+    rows = blocks.where(F.array_contains("doc_ids", F.lit(id_value).cast("long"))).collect()
+    return [unpack(r["packed"], r["bits"], c, a) for r in rows for d, a, c in zip(r["doc_ids"], r["starts"], r["counts"]) if d == id_value]

@@ -1,0 +1,89 @@
+"""WARC as a content-addressed archive.
+
+Payload bytes are stored once, under their SHA-256; exact record headers are stored separately, one per record.  Equal
+payloads are found by digest and verified by length and a second digest.  Original records come back through a join
+of headers and payloads, whose bytes are digested again on reading.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from .common import materialise
+
+_BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
+
+
+def base32(hex_digest: Column) -> Column:
+    """Upper-case base32 of a 40-digit hexadecimal string."""
+    out = []
+    for group in range(8):
+        bits = F.conv(F.substring(hex_digest, 5 * group + 1, 5), 16, 10).cast("int")
+        out += [F.substring(F.lit(_BASE32), F.shiftright(bits, shift).bitwiseAND(F.lit(31)) + 1, F.lit(1)) for shift in (15, 10, 5, 0)]
+    return F.concat(*out)
+
+
+def _header(kind: str) -> Column:
+    """The exact header block of a record, up to and with the empty line."""
+    lines = [
+        F.lit("WARC/1.1"),
+        F.lit(f"WARC-Type: {kind}"),
+        F.concat(F.lit("WARC-Record-ID: <urn:page:"), F.coalesce(F.col("id").cast("string"), F.lit("none")), F.lit(">")),
+        F.concat(F.lit("WARC-Target-URI: "), F.coalesce(F.regexp_replace("url", "[\\r\\n]", ""), F.lit(""))),
+        F.concat(F.lit("WARC-Payload-Digest: sha1:"), F.col("sha1")),
+        F.concat(F.lit("Content-Type: text/html")),
+    ]
+    if kind == "revisit":
+        lines += [F.lit("WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), F.concat(F.lit("WARC-Refers-To: <urn:page:"), F.col("first").cast("string"), F.lit(">"))]
+        lines.append(F.lit("Content-Length: 0"))
+    else:
+        lines.append(F.concat(F.lit("Content-Length: "), F.col("n").cast("string")))
+    return F.encode(F.concat(F.concat_ws("\r\n", *lines), F.lit("\r\n\r\n")), "UTF-8")
+
+
+def archive(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", least_bytes: int = 0) -> tuple[DataFrame, DataFrame]:
+    """Write (records, payloads) to the shared folder and return both as read back.
+
+    records: id, header, digest.  payloads: digest, payload.  Of records with equal payloads of at least
+    ``least_bytes`` bytes, that with the least id is the response and the others revisit it; rows that repeat that id
+    are responses too, and rows without an id revisit it; if none of them has an id, all are responses.  A null payload
+    is an empty one.  Extra columns are ignored; empty tables give empty archives.
+    """
+    raw = F.coalesce(F.encode(F.col(payload_col).cast("string"), "UTF-8"), F.encode(F.lit(""), "UTF-8"))
+    rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).alias("url"), raw.alias("payload"))
+    rows = rows.select("id", "url", F.sha2("payload", 256).alias("digest"), base32(F.sha1("payload")).alias("sha1"), F.octet_length("payload").cast("long").alias("n"))
+    rows = materialise(rows, "warc-digests")
+    same = rows.groupBy("digest").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("rows"), F.min("n").alias("n0"), F.max("n").alias("n1"), F.min("sha1").alias("s0"), F.max("sha1").alias("s1"))
+    verified = F.when((F.col("n0") == F.col("n1")) & (F.col("s0") == F.col("s1")), F.col("first")).otherwise(F.raise_error(F.concat(F.lit("digest collision at "), F.col("digest"))).cast("long"))
+    same = materialise(same.select("digest", verified.alias("first")), "warc-firsts")
+    told = rows.join(same, "digest")
+    revisit = F.col("first").isNotNull() & ~F.col("id").eqNullSafe(F.col("first")) & (F.col("n") >= least_bytes)
+    records = materialise(told.select("id", F.when(revisit, _header("revisit")).otherwise(_header("response")).alias("header"), "digest"), "warc-records")
+    again = pages.select(F.col(id_col).cast("long").alias("id"), raw.alias("payload")).withColumn("digest", F.sha2("payload", 256))
+    owners = same.select(F.col("digest").alias("_digest"), F.col("first").alias("_first"))
+    mine = again.join(owners, (F.col("digest") == F.col("_digest")) & F.col("id").eqNullSafe(F.col("_first")), "left_semi")
+    payloads = materialise(mine.select("digest", "payload"), "warc-payloads")
+    if payloads.groupBy("digest").count().where("count > 1").limit(1).count():  # only where a page id was repeated
+        payloads = materialise(payloads.dropDuplicates(["digest"]), "warc-payloads")
+    return records, payloads
+
+
+def restored(records: DataFrame, payloads: DataFrame) -> DataFrame:
+    """(id, header, payload, digest_ok) of every record, its payload joined in and digested again."""
+    joined = records.join(payloads, "digest")
+    return joined.select("id", "header", "payload", (F.sha2("payload", 256) == F.col("digest")).alias("digest_ok"))
+
+
+def payload_digests(payloads: DataFrame) -> DataFrame:
+    """(digest, payload_bytes, payload_digest): sizes and base32 SHA-1 of the stored bytes, each payload read once."""
+    checked = F.when(F.sha2("payload", 256) == F.col("digest"), F.sha1("payload")).otherwise(F.raise_error(F.lit("a stored payload differs from its digest")))
+    return payloads.select("digest", F.octet_length("payload").cast("long").alias("payload_bytes"), base32(checked).alias("payload_digest"))
+
+
+def record_fields(records: DataFrame) -> DataFrame:
+    """Add record_type and refers_to, parsed from the stored headers."""
+    text = F.decode("header", "UTF-8")
+    refers = F.regexp_extract(text, "\\r\\nWARC-Refers-To: <urn:page:(-?\\d+)>\\r\\n", 1)
+    kind = F.regexp_extract(text, "\\r\\nWARC-Type: (\\w+)\\r\\n", 1)
+    return records.withColumn("record_type", kind).withColumn("refers_to", F.when(refers != "", refers.cast("long")))
