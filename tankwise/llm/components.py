@@ -36,7 +36,7 @@ def connected_components(edges: DataFrame, src: str = "a", dst: str = "b") -> Da
     """
     a, b = F.col(src).cast("long"), F.col(dst).cast("long")
     now = materialise(
-        edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"), (a + b).isNotNull().alias("_ok"))
+        edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"), (a.isNotNull() & b.isNotNull()).alias("_ok"))
         .where("_ok AND u <> v")
         .select("u", "v")
         .distinct(),
