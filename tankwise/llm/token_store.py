@@ -6,7 +6,7 @@ each document's first token, so numpy unpacks a block at once or any document al
 table, which Spark's committer writes: a lost executor leaves no half-written shard.
 
 Texts are encoded by the ``tokenizers`` library.  Byte-level BPE never merges across the pieces of its pre-tokenizer, so
-every distinct piece is encoded once per task and its ids are reused.
+the ids of a word are reused wherever the word comes again.
 """
 
 from __future__ import annotations
@@ -26,8 +26,9 @@ from .common import materialise
 
 END_ID = 2
 BLOCK_IDS = 1 << 18
-#: Pieces whose ids a task remembers (about 200 bytes each).
-REMEMBERED = 1_000_000
+#: Words whose ids a Python worker remembers (about 200 bytes each), texts and new pieces it handles at a time.
+REMEMBERED = 600_000
+TEXTS, PIECES = 2500, 4000
 _PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?[^\s\w]+|\s+")
 #: Texts in which Python's and the tokenizer's character classes surely agree, blanks are single, and words stand between them.
 _PLAIN = re.compile(r"[!-~À-ÖØ-öø-ſ]+(?:[ \n][!-~À-ÖØ-öø-ſ]+)*")
@@ -68,12 +69,19 @@ def vocabulary_bits(path: str, end_id: int = END_ID) -> int:
 
 
 class Encoder:
-    """Encodes batches of texts; results equal ``encode(text, add_special_tokens=False)`` for each."""
+    """Encodes batches of texts; results equal ``encode(text, add_special_tokens=False)`` for each.
+
+    ``place`` has the number of each word met so far (with or without the blank before it); ids, begins and sizes of
+    all words stand in flat arrays.
+    """
 
     def __init__(self, path: str):
         self.tok = _tokenizer(path)
         self.special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
-        self.ids: dict[str, np.ndarray] = {}
+        self.line = self._one("\n")
+        self.place: dict[str, int] = {}
+        self.ids, self.sizes = np.empty(0, np.uint32), np.empty(0, np.int64)
+        self._add(["\n"], [self.line], np.array([len(self.line)]))
 
     def _one(self, text: str) -> np.ndarray:
         return np.array(self.tok.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
@@ -81,18 +89,48 @@ class Encoder:
     def _plain(self, text: str) -> bool:
         return _PLAIN.fullmatch(text) is not None and "_" not in text and not any(s in text for s in self.special)
 
-    def _chunks(self, chunks: list[str]) -> list[np.ndarray]:
-        """Ids of strings of non-blanks, each with at most one blank before it."""
-        split = [_PIECE.findall(c) for c in chunks]
-        new = list({p for pieces in split for p in pieces if p not in self.ids})
-        more = dict(zip(new, (np.array(e.ids, dtype=np.uint32) for e in self.tok.encode_batch_fast(new, add_special_tokens=False))))
-        known = self.ids
-        if len(known) + len(more) <= REMEMBERED:
-            known.update(more)
-            get = known.__getitem__
-        else:
-            get = lambda p: more[p] if p in more else known[p]
-        return [get(p[0]) if len(p) == 1 else np.concatenate([get(x) for x in p]) for p in split]
+    def _add(self, names: list[str], ids: list[np.ndarray], sizes: np.ndarray) -> None:
+        self.place.update(zip(names, range(len(self.place), len(self.place) + len(names))))
+        self.ids, self.sizes = np.concatenate((self.ids, *ids)), np.concatenate((self.sizes, sizes))
+
+    def _learn(self, pieces: list[str]) -> None:
+        """Encode new pieces, many to a call: a line end between pieces is a piece of its own."""
+        for at in range(0, len(pieces), PIECES):
+            part = pieces[at : at + PIECES]
+            flat = np.array(self.tok.encode_batch_fast(["\n".join(part) + "\n"], add_special_tokens=False)[0].ids, dtype=np.uint32)
+            ends = np.flatnonzero(flat == self.line[0])
+            self._add(part, [np.delete(flat, ends)], np.diff(ends, prepend=-1) - 1)
+
+    def numbers(self, words: list[str]) -> np.ndarray:
+        """Numbers of words, each with at most one blank before it and none inside, or a lone line end."""
+        get = self.place.get
+        found = [get(w, -1) for w in words]
+        new = [w for w, k in zip(words, found) if k < 0]
+        if new:
+            split = [_PIECE.findall(w) for w in new]
+            self._learn(list({p for pieces in split for p in pieces if p not in self.place}))
+            joined = [(w, pieces) for w, pieces in zip(new, split) if len(pieces) > 1]
+            flat = np.fromiter((self.place[p] for _, pieces in joined for p in pieces), np.int64)
+            counts = np.fromiter((len(pieces) for _, pieces in joined), np.int64, len(joined))
+            if len(joined):
+                first = np.cumsum(counts) - counts
+                self._add([w for w, _ in joined], [self.gather(flat)], np.add.reduceat(self.sizes[flat], first))
+            found = [self.place[w] for w in words]
+        return np.array(found, dtype=np.int64)
+
+    def _trim(self) -> None:
+        """Forget the words that came after the first REMEMBERED, which tend to be the rare ones."""
+        if len(self.place) > REMEMBERED:
+            while len(self.place) > REMEMBERED:
+                self.place.popitem()
+            self.sizes = self.sizes[:REMEMBERED]
+            self.ids = self.ids[: int(self.sizes.sum())]
+
+    def gather(self, numbers: np.ndarray) -> np.ndarray:
+        """Ids of the numbered words, one after another."""
+        begin, n = (np.cumsum(self.sizes) - self.sizes)[numbers], self.sizes[numbers]
+        ends = np.cumsum(n)
+        return self.ids[np.arange(ends[-1] if len(ends) else 0) + np.repeat(begin - ends + n, n)]
 
     def __call__(self, texts: list[str | None]) -> list[np.ndarray]:
         out: list[np.ndarray | None] = [None] * len(texts)
@@ -105,34 +143,32 @@ class Encoder:
             else:
                 out[i] = self._one(text)
         if plain:
-            # " word" and "\nword" chunks: the blank goes to the front of the word it precedes, a line end stands alone
-            marked = pa.array([texts[i].replace("\n", " \n ") for i in plain], pa.large_string())
-            lists = pc.split_pattern(marked, " ")
+            # line ends become words of their own; the blank before any other word belongs to it
+            lists = pc.split_pattern(pa.array([texts[i].replace("\n", " \n ") for i in plain], pa.large_string()), " ")
             coded = lists.values.dictionary_encode()
+            index, offsets = np.asarray(coded.indices).astype(np.int64), np.asarray(lists.offsets)
             words = coded.dictionary.to_pylist()
-            index = np.asarray(coded.indices)
-            offsets = np.asarray(lists.offsets)
-            line = words.index("\n") if "\n" in words else -1
-            first = np.zeros(len(index), bool)
-            first[offsets[:-1]] = True
-            if line >= 0:
-                after = np.flatnonzero(index == line) + 1
-                first[after[after < len(index)]] = True
-            bare = first | (index == line)
-            both = index.astype(np.int64) * 2 + bare
-            used, index = np.unique(both, return_inverse=True)
-            ids = self._chunks([words[u >> 1] if u & 1 else " " + words[u >> 1] for u in used.tolist()])
-            size = np.fromiter(map(len, ids), np.int64, len(ids))
-            flat = np.concatenate(ids)
-            begin = np.cumsum(size) - size
-            for i, a, b in zip(plain, offsets[:-1].tolist(), offsets[1:].tolist()):
-                mine = index[a:b]
-                n = size[mine]
-                ends = np.cumsum(n)
-                out[i] = flat[np.arange(ends[-1]) + np.repeat(begin[mine] - ends + n, n)]
+            line = index == words.index("\n") if "\n" in words else np.zeros(len(index), bool)
+            bare = line.copy()
+            bare[offsets[:-1]] = True
+            bare[1:] |= line[:-1]
+            both = 2 * index + bare
+            used = np.flatnonzero(np.bincount(both, minlength=1))
+            number = np.zeros(2 * len(words), np.int64)
+            number[used] = self.numbers([words[u >> 1] if u & 1 else " " + words[u >> 1] for u in used.tolist()])
+            numbers = number[both]
+            flat, sizes = self.gather(numbers), np.concatenate(([0], np.cumsum(self.sizes[numbers])))
+            for i, a, b in zip(plain, sizes[offsets[:-1]].tolist(), sizes[offsets[1:]].tolist()):
+                out[i] = flat[a:b]
+            self._trim()
         return out
 
 
+@lru_cache(maxsize=1)
+def _encoder(path: str) -> Encoder:
+    return Encoder(path)
+
+
 def write_tokens(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID) -> DataFrame:
     """Encode, pack and write all documents in ascending id order (null ids last); return the written blocks.
 
@@ -142,7 +178,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_c
     schema = pa.schema([(x.split()[0], t) for x, t in zip(_BLOCKS.split(", "), _BLOCK_TYPES)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, block = Encoder(tokenizer), 0
+        encode, block = _encoder(tokenizer), 0
         keys, parts, held, shard = [], [], 0, 0
 
         def flush() -> pa.RecordBatch:
@@ -151,8 +187,8 @@ def write_tokens(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_c
             return pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(row, schema)], schema=schema)
 
         for batch in batches:
-            for at in range(0, batch.num_rows, 2000):
-                piece = batch.slice(at, 2000)
+            for at in range(0, batch.num_rows, TEXTS):
+                piece = batch.slice(at, TEXTS)
                 texts = piece.column(1).to_pylist()
                 shard = piece.column(2)[0].as_py()
                 for key, ids in zip(piece.column(0).to_pylist(), encode(texts)):
