@@ -1,0 +1,29 @@
+"""Planar geometry in micro-degrees and miles, as column expressions."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+#: Miles in a degree of latitude.
+MILES = 69.172
+
+
+def planar_miles(lat_a: Column, lng_a: Column, lat_b: Column, lng_b: Column) -> Column:
+    """Equirectangular distance at the pair's mean latitude; arguments in micro-degrees."""
+    dy = (lat_a - lat_b) / F.lit(1e6) * F.lit(MILES)
+    dx = (lng_a - lng_b) / F.lit(1e6) * F.lit(MILES) * F.cos(F.radians((lat_a + lat_b) / F.lit(2e6)))
+    return F.sqrt(dx * dx + dy * dy)
+
+
+def cell(value_u: Column, size_u: int) -> Column:
+    """Grid cell number of a coordinate in micro-degrees."""
+    return F.floor(value_u / F.lit(size_u)).cast("long")
+
+
+def along_segment(px: Column, py: Column, ax: Column, ay: Column, bx: Column, by: Column) -> Column:
+    """Clamped share of segment a-b at which the point's foot lies."""
+    dx, dy = bx - ax, by - ay
+    norm = dx * dx + dy * dy
+    raw = ((px - ax) * dx + (py - ay) * dy) / F.when(norm > 0, norm)
+    return F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(1.0), raw)), F.lit(0.0))

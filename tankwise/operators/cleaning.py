@@ -1,0 +1,88 @@
+"""Station ETL: scans, hygiene, duplicate collapse, entity matching, ids and upserts."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from ..functions import geo, text
+
+ID_BASE = 1_000_000_000
+TIER1_MI = 0.25
+
+
+def scan_prices(lines: DataFrame) -> DataFrame:
+    """Parse ``id,name,price`` lines; ``ok`` is false where the id or the price does not parse."""
+    parts = F.split("line", ",")
+    rows = lines.select(F.get(parts, 0).try_cast("int").alias("opis_id"), F.get(parts, 1).alias("name"), F.get(parts, 2).try_cast("decimal(11,8)").alias("retail_price"))
+    return rows.withColumn("ok", F.col("opis_id").isNotNull() & F.col("retail_price").isNotNull())
+
+
+def collapse(observations: DataFrame) -> DataFrame:
+    """One row per station: lower median, least and greatest price, count, and the longest name (first on ties)."""
+    return observations.groupBy("opis_id").agg(
+        F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY price_milli)").cast("long").alias("median_low_milli"),
+        F.min("price_milli").alias("min_milli"),
+        F.max("price_milli").alias("max_milli"),
+        F.count(F.lit(1)).alias("observation_count"),
+        F.max_by("name", F.struct(F.char_length("name"), -F.col("obs_ord"))).alias("name"),
+    )
+
+
+def duplicate_report(groups: DataFrame) -> DataFrame:
+    many = F.col("observation_count") > 1
+    spread = F.when(many, F.col("max_milli") - F.col("min_milli"))
+    return groups.agg(
+        F.count(F.lit(1)).alias("groups"),
+        F.count_if(many).alias("duplicated"),
+        F.count_if(many & (spread == 0)).alias("equal_price"),
+        F.count_if(many & (spread > 0)).alias("conflicting"),
+        F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY CASE WHEN observation_count > 1 THEN max_milli - min_milli END)").cast("long").alias("median_spread_milli"),
+        F.max(spread).alias("max_spread_milli"),
+    )
+
+
+def hygiene(rows: DataFrame, name: str, status: str, confidence: str) -> DataFrame:
+    """Add ``bucket``: the first rule that a row breaks, or kept."""
+    n = F.col(name)
+    bucket = (
+        F.when(text.has_mojibake(n), "mojibake").when(text.is_alt_fuel(n), "alt_fuel").when(text.is_closed(F.col(status)), "closed").when(F.col(confidence) < 0.5, "below_floor").otherwise("kept")
+    )
+    return rows.withColumn("bucket", bucket)
+
+
+def nearest_rooftop(incoming: DataFrame, existing: DataFrame) -> DataFrame:
+    """(in_id, match_id, dist_mi) of the nearest rooftop station in the 3 × 3 cells around each point, ties by id."""
+    lat, lng = int(1e6 / geo.MILES), int(1e6 / (geo.MILES * 0.6))
+    own = existing.where("geocode_precision = 'rooftop'").select(F.col("opis_id").alias("match_id"), F.col("lat_u").alias("m_lat"), F.col("lng_u").alias("m_lng"))
+    own = own.withColumn("cy", geo.cell(F.col("m_lat"), lat)).withColumn("cx", geo.cell(F.col("m_lng"), lng))
+    steps = F.array(F.lit(-1), F.lit(0), F.lit(1))
+    near = incoming.withColumn("dy", F.explode(steps)).withColumn("dx", F.explode(steps))
+    near = near.withColumn("cy", geo.cell(F.col("lat_u"), lat) + F.col("dy")).withColumn("cx", geo.cell(F.col("lng_u"), lng) + F.col("dx"))
+    dist = F.round(geo.planar_miles(F.col("lat_u"), F.col("lng_u"), F.col("m_lat"), F.col("m_lng")), 4)
+    return near.join(own, ["cy", "cx"]).withColumn("dist", dist).groupBy("in_id").agg(F.min(F.struct("dist", "match_id")).alias("b")).select("in_id", "b.match_id", F.col("b.dist").alias("dist_mi"))
+
+
+def entity_match(incoming: DataFrame, existing: DataFrame) -> DataFrame:
+    """(in_id, tier, match_id, decision): tier 1 a rooftop within 0.25 miles, tier 2 the chain's first city-precision row."""
+    close = nearest_rooftop(incoming, existing).where(F.col("dist_mi") <= TIER1_MI).select("in_id", F.col("match_id").alias("m1"))
+    city = existing.where("geocode_precision = 'city'").withColumn("chain", text.chain_of(F.col("name"))).where("chain IS NOT NULL")
+    city = city.groupBy("chain", F.lower("city").alias("city"), F.upper("state").alias("state")).agg(F.min("opis_id").alias("m2"))
+    mine = incoming.withColumn("chain", text.chain_of(F.col("name"))).withColumn("city", F.lower("city")).withColumn("state", F.upper("state"))
+    out = mine.join(close, "in_id", "left").join(city, ["chain", "city", "state"], "left")
+    tier = F.when(F.col("m1").isNotNull(), 1).when(F.col("m2").isNotNull(), 2)
+    return out.select("in_id", tier.alias("tier"), F.coalesce("m1", "m2").alias("match_id"), F.when(tier.isNull(), "keep").otherwise("drop").alias("decision"))
+
+
+def minted(key: Column) -> Column:
+    """A station id from a source key: base plus the first 12 digits of its SHA-256, modulo 10^9."""
+    return F.lit(ID_BASE) + F.conv(F.substring(F.sha2(key, 256), 1, 12), 16, 10).cast("long") % 1_000_000_000
+
+
+def upsert_plan(snapshot: DataFrame, files: DataFrame, value: str) -> DataFrame:
+    """(opis_id, value, change): the later file wins per id; change is against one snapshot taken before."""
+    last = Window.partitionBy("opis_id").orderBy(F.col("file_no").desc(), F.col("line_no").desc())
+    new = files.withColumn("_r", F.row_number().over(last)).where("_r = 1").select("opis_id", F.col(value).alias("_new"), F.lit(True).alias("_in"))
+    old = snapshot.select("opis_id", F.col(value).alias("_old"), F.lit(True).alias("_had"))
+    change = F.when(F.col("_had").isNull(), "created").when(F.col("_in").isNull(), "untouched").when(F.col("_old").eqNullSafe(F.col("_new")), "unchanged").otherwise("updated")
+    return old.join(new, "opis_id", "full").select("opis_id", F.when(F.col("_in"), F.col("_new")).otherwise(F.col("_old")).alias(value), change.alias("change"))

@@ -1,0 +1,30 @@
+"""World against world, dominance and rank measures."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+
+def world_diff(a: DataFrame, b: DataFrame, key: list[str], fields: list[str], censored: str) -> DataFrame:
+    """Cells that differ between two worlds: presence, censoring, else the changed fields.  Both censored is no change."""
+    left = a.select(*key, F.lit(True).alias("_a"), *[F.col(c).alias(f"a_{c}") for c in (*fields, censored)])
+    right = b.select(*key, F.lit(True).alias("_b"), *[F.col(c).alias(f"b_{c}") for c in (*fields, censored)])
+    ca, cb = F.col(f"a_{censored}"), F.col(f"b_{censored}")
+    changed = F.array_compact(F.array(*[F.when(~F.col(f"a_{c}").eqNullSafe(F.col(f"b_{c}")), F.lit(c)) for c in fields]))
+    kind = (
+        F.when(F.col("_a").isNull(), "appeared").when(F.col("_b").isNull(), "vanished").when(ca & cb, None).when(ca != cb, "censor_flip").when(F.size(changed) > 0, "changed")
+    )
+    out = left.join(right, key, "full").withColumn("kind", kind).withColumn("fields", F.when(F.col("kind") == "changed", F.array_join(changed, ",")))
+    return out.where("kind IS NOT NULL").select(*key, "kind", "fields")
+
+
+def money(milli: Column) -> Column:
+    return F.round(milli.cast("decimal(20,0)") / F.lit(1000).cast("decimal(5,0)"), 2).cast("decimal(18,2)")
+
+
+def quantile_edges(df: DataFrame, value: str, bins: int) -> DataFrame:
+    """Inner bin edges: the sorted value at floor(n × i / bins)."""
+    listed = df.where(F.col(value).isNotNull()).groupBy("route_id").agg(F.sort_array(F.collect_list(value)).alias("v"))
+    edge = lambda i: F.get("v", F.floor(F.size("v") * i / bins).cast("int"))
+    return listed.select("route_id", F.posexplode(F.array(*[edge(i) for i in range(1, bins)])).alias("i", "edge_milli")).select("route_id", (F.col("i") + 1).cast("long").alias("bin"), "edge_milli")

@@ -1,0 +1,131 @@
+"""Plan search over many routes: reachability, pruning and effort in windows and joins, the sequential search per route
+in batches of whole routes."""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from . import solvers
+
+MPG = 10
+STOP_CENTS = 3500
+MARGIN_CENTS = 547
+EXACT_BUDGET = 50_000
+_ORDER = ("pos_milli_mi", "price_milli", "opis_id")
+
+
+def _route() -> Window:
+    return Window.partitionBy("route_id").orderBy(*_ORDER)
+
+
+def preflight(routes: DataFrame, candidates: DataFrame) -> DataFrame:
+    """(route_id, feasible, from_milli, to_milli, gap_milli): the first stretch beyond reach, null where none is."""
+    nodes = candidates.select("route_id", "tank_milli_mi", F.col("pos_milli_mi").alias("pos"), F.col("opis_id").cast("long").alias("id"))
+    ends = routes.select("route_id", "tank_milli_mi", F.col("total_milli_mi").alias("pos"), F.lit(2**40).cast("long").alias("id"))
+    before = F.lag("pos", 1, 0).over(Window.partitionBy("route_id").orderBy("pos", "id"))
+    gaps = nodes.unionByName(ends).withColumn("before", before).withColumn("gap", F.col("pos") - F.col("before"))
+    bad = F.when(F.col("gap") > F.col("tank_milli_mi"), F.struct("pos", "before", "gap"))
+    first = gaps.groupBy("route_id").agg(F.min(bad).alias("bad"))
+    return first.select("route_id", F.col("bad").isNull().alias("feasible"), F.col("bad.before").alias("from_milli"), F.col("bad.pos").alias("to_milli"), F.col("bad.gap").alias("gap_milli"))
+
+
+def pruned(candidates: DataFrame) -> DataFrame:
+    """Candidates without those that a cheaper one dominates: at the same position, then within a tank of the end.
+
+    An estimated price never dominates a real one.  A removed candidate is never cheaper than what removed it, so plain
+    running minima over all of them give the sequential rule's result.
+    """
+    real = F.when(F.col("price_source") != "eia_regional_estimate", F.col("price_milli"))
+    rows = candidates.withColumn("real", real)
+    same = Window.partitionBy("route_id", "pos_milli_mi").orderBy("price_milli", "opis_id").rowsBetween(Window.unboundedPreceding, -1)
+    least = lambda w: F.when(F.col("real").isNull(), F.min("price_milli").over(w)).otherwise(F.min("real").over(w))
+    rows = rows.withColumn("_floor", least(same)).where("_floor IS NULL OR price_milli < _floor")
+    rows = rows.withColumn("_tail", F.col("pos_milli_mi") + F.col("tank_milli_mi") >= F.col("total_milli_mi"))
+    tail = Window.partitionBy("route_id", "_tail").orderBy(*_ORDER).rowsBetween(Window.unboundedPreceding, -1)
+    return rows.withColumn("_floor", least(tail)).where("NOT _tail OR _floor IS NULL OR price_milli < _floor").drop("real", "_floor", "_tail")
+
+
+def effort(routes: DataFrame, kept: DataFrame) -> DataFrame:
+    """(route_id, nodes, estimate): reach of the start plus reach × (reach + 1) of each station; the end is a node.
+
+    A station's reach counts the later-ranked nodes within a tank.  With ranks and positions in step that is a count of
+    rows up to a position, so two windows replace a self-join: the last rank at or before pos + tank, minus one's own.
+    """
+    ranked = kept.withColumn("rank", F.row_number().over(_route()))
+    upto = Window.partitionBy("route_id").orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    marks = ranked.select("route_id", F.col("pos_milli_mi").alias("at"), F.lit(0).alias("kind"), "rank", F.lit(1).alias("one")).unionByName(
+        ranked.select("route_id", (F.col("pos_milli_mi") + F.col("tank_milli_mi")).alias("at"), F.lit(1).alias("kind"), "rank", F.lit(0).alias("one"))
+    )
+    counted = marks.withColumn("seen", F.sum("one").over(upto)).where("kind = 1").join(routes.select("route_id", "total_milli_mi", "tank_milli_mi"), "route_id")
+    reach = F.col("seen") - F.col("rank") + (F.col("at") >= F.col("total_milli_mi")).cast("long")
+    from_station = counted.groupBy("route_id").agg(F.count(F.lit(1)).alias("nodes"), F.sum(reach * (reach + 1)).alias("work"))
+    first = ranked.where("pos_milli_mi <= tank_milli_mi").groupBy("route_id").agg(F.count(F.lit(1)).alias("from_start"))
+    joined = routes.join(from_station, "route_id", "left").join(first, "route_id", "left").fillna(0, ["nodes", "work", "from_start"])
+    start = F.col("from_start") + (F.col("total_milli_mi") <= F.col("tank_milli_mi")).cast("long")
+    return joined.select("route_id", "nodes", (start + F.col("work")).alias("estimate"))
+
+
+def problems(routes: DataFrame, candidates: DataFrame, kept: DataFrame | None = None) -> DataFrame:
+    """One row per route with its stations, and the pruned ones, as arrays."""
+    station = F.struct(F.col("pos_milli_mi").alias("pos"), F.col("price_milli").alias("price"), F.col("opis_id").cast("long").alias("id"), (F.col("price_source") == "eia_regional_estimate").alias("estimated"))
+    gather = lambda df, name: df.groupBy("route_id").agg(F.sort_array(F.collect_list(station)).alias(name))
+    out = routes.select("route_id", "total_milli_mi", "tank_milli_mi").join(gather(candidates, "stations"), "route_id", "left")
+    return out.join(gather(kept if kept is not None else candidates, "kept"), "route_id", "left")
+
+
+PLANS = (
+    "route_id long, method string, feasible boolean, n_stops int, cost long, objective long, bought long, "
+    "stops array<struct<pos:long,id:long,price:long,amount:long,reason:string>>"
+)
+
+
+def solve(problem_rows: DataFrame, methods: tuple[str, ...], mpg: int = MPG, stop_cents: int = STOP_CENTS, margin_cents: int = MARGIN_CENTS) -> DataFrame:
+    """A plan per route and method: naive, greedy, heuristic (on all stations) and exact (on the pruned ones).
+
+    ``planned`` takes the column ``method`` of each row.  Costs are in price milli-dollars × milli-miles.
+    """
+    rates = solvers.Rates(stop_cents * 10_000 * mpg, margin_cents * 10_000 * mpg)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for r in pdf.itertuples(index=False):
+                every, kept = ([solvers.Station(s["pos"], s["price"], s["id"], s["estimated"]) for s in (x if x is not None else [])] for x in (r.stations, r.kept))
+                whole = solvers.Problem(int(r.total_milli_mi), int(r.tank_milli_mi), int(r.tank_milli_mi), every)
+                for name in methods:
+                    kind = r.method if name == "planned" else name
+                    if kind == "naive":
+                        plan = solvers.price_blind(whole)
+                    elif kind == "greedy":
+                        plan = solvers.greedy(whole)
+                    elif kind == "heuristic":
+                        plan = solvers.heuristic(whole, rates)
+                    else:
+                        plan = solvers.exact(whole._replace(stations=kept), rates)
+                    done = plan is not None
+                    rows.append((
+                        r.route_id, kind, done, len(plan) if done else None, solvers.plan_cost(plan) if done else None,
+                        solvers.objective(plan, every, rates) if done else None, sum(b.amount for b in plan) if done else None,
+                        [b._asdict() for b in plan] if done else None,
+                    ))
+            out = pd.DataFrame(rows, columns=["route_id", "method", "feasible", "n_stops", "cost", "objective", "bought", "stops"])
+            yield out.astype({"n_stops": "Int32", "cost": "Int64", "objective": "Int64", "bought": "Int64"})
+
+    return problem_rows.mapInPandas(run, PLANS)
+
+
+def dispatched(routes: DataFrame, candidates: DataFrame, budget: int = EXACT_BUDGET) -> DataFrame:
+    """Problems of feasible routes with the method that their estimated effort allows."""
+    kept = pruned(candidates)
+    method = F.when(F.col("estimate") <= budget, "exact").otherwise("heuristic")
+    chosen = effort(routes, kept).select("route_id", method.alias("method"))
+    good = preflight(routes, candidates).where("feasible").select("route_id")
+    return problems(routes, candidates, kept).join(chosen, "route_id").join(good, "route_id", "left_semi")
+
+
+def dollars(cost, mpg: int = MPG):
+    return F.round(cost.cast("decimal(28,0)") / F.lit(1_000_000 * mpg).cast("decimal(12,0)"), 2).cast("decimal(18,2)")

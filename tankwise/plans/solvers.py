@@ -1,0 +1,252 @@
+"""Plan search on one route, in exact integers and without Spark.
+
+A problem is (length, tank, on_board, stations) in milli-miles; a station is (pos, price, id, estimated) with its price
+in milli-dollars a gallon.  Costs are price times milli-miles, so dollars are cost / (1e6 × mpg).  A plan lists
+purchases (pos, id, price, milli-miles bought, reason); None means that no plan reaches the end.
+"""
+
+from __future__ import annotations
+
+from bisect import bisect_right
+from typing import NamedTuple
+
+
+class Station(NamedTuple):
+    pos: int
+    price: int
+    id: int
+    estimated: bool
+
+
+class Buy(NamedTuple):
+    pos: int
+    id: int
+    price: int
+    amount: int
+    reason: str
+
+
+class Problem(NamedTuple):
+    length: int
+    tank: int
+    on_board: int
+    stations: list[Station]
+
+
+class Rates(NamedTuple):
+    """Flat charges in cost units: per stop, and per purchase at an estimated price."""
+
+    stop: int
+    estimate: int
+
+
+def plan_cost(plan: list[Buy]) -> int:
+    return sum(b.price * b.amount for b in plan)
+
+
+def objective(plan: list[Buy], stations: list[Station], rates: Rates) -> int:
+    estimated = {s.id for s in stations if s.estimated}
+    return plan_cost(plan) + sum(rates.stop + rates.estimate * (b.id in estimated) for b in plan)
+
+
+def first_gap(p: Problem) -> tuple[int, int] | None:
+    """(from, to) of the first stretch longer than its reach."""
+    at, reach = 0, p.on_board
+    for pos in [*sorted(s.pos for s in p.stations), p.length]:
+        if pos - at > reach:
+            return at, pos
+        at, reach = pos, p.tank
+    return None
+
+
+def price_blind(p: Problem) -> list[Buy] | None:
+    """Drive on to the farthest station that the fuel aboard reaches and fill up; the last stop buys only the rest."""
+    stops = sorted(p.stations, key=lambda s: (s.pos, -s.id))
+    places = [s.pos for s in stops]
+    at, fuel, plan = 0, p.on_board, []
+    while p.length - at > fuel:
+        k = bisect_right(places, at + fuel) - 1
+        if k < 0 or places[k] <= at:
+            return None
+        here = stops[k]
+        fuel -= here.pos - at
+        at = here.pos
+        plan.append(Buy(at, here.id, here.price, min(p.tank, p.length - at) - fuel, "price_blind"))
+        fuel = p.tank
+    return plan
+
+
+class _Drive:
+    """A vehicle under way: where it is, its fuel, and what it has bought."""
+
+    def __init__(self, p: Problem):
+        self.p, self.here, self.at, self.fuel, self.plan = p, None, 0, p.on_board, []
+        self.stops = sorted(p.stations)
+        self.places = [s.pos for s in self.stops]
+
+    def window(self) -> list[Station]:
+        """Stations strictly ahead, within a full tank (at the start: within the fuel aboard)."""
+        reach = self.p.tank if self.here else self.fuel
+        return self.stops[bisect_right(self.places, self.at) : bisect_right(self.places, self.at + reach)]
+
+    def ends_within(self) -> bool:
+        return self.p.length - self.at <= (self.p.tank if self.here else self.fuel)
+
+    def buy(self, level: int, reason: str) -> None:
+        if self.here and level > self.fuel:
+            self.plan.append(Buy(self.at, self.here.id, self.here.price, level - self.fuel, reason))
+            self.fuel = level
+
+    def go(self, to: Station) -> None:
+        self.fuel -= to.pos - self.at
+        self.at, self.here = to.pos, to
+
+    def fill_reason(self) -> str:
+        ahead = [s.price for s in self.stops if s.pos > self.at]
+        return "top_up_at_cheapest" if not ahead or self.here.price <= min(ahead) else "fill_to_continue"
+
+
+def _by_price(s: Station) -> tuple[int, int, int]:
+    return s.price, s.pos, s.id
+
+
+def greedy(p: Problem) -> list[Buy] | None:
+    """To the nearest cheaper station if there is one, else to the end, else fill up and go to the cheapest in reach."""
+    d = _Drive(p)
+    while True:
+        seen = d.window()
+        lower = [s for s in seen if d.here and s.price < d.here.price]
+        if lower:
+            to = min(lower)
+            d.buy(to.pos - d.at, "reach_cheaper_stop")
+        elif d.ends_within():
+            d.buy(p.length - d.at, "reach_finish")
+            return d.plan
+        elif not seen:
+            return None
+        else:
+            to = min(seen, key=_by_price)
+            if d.here:
+                d.buy(p.tank, d.fill_reason())
+        d.go(to)
+
+
+def heuristic(p: Problem, rates: Rates) -> list[Buy] | None:
+    """One pass that weighs the flat charge of a stop against what the cheaper stations passed by would save."""
+    d = _Drive(p)
+    while True:
+        seen, done = d.window(), d.ends_within()
+        if d.here is None:
+            if done:
+                return []
+            if not seen:
+                return None
+            d.go(min(seen, key=_by_price))
+            continue
+        lower = [s for s in seen if s.price < d.here.price]
+        if not seen and not done:
+            return None
+        far = None if done else max(seen, key=lambda s: (s.pos, -s.price, -s.id))
+        if not lower:
+            action = ("finish" if done else "far", "reach_finish" if done else d.fill_reason())
+        elif far and far.price < d.here.price:
+            action = ("far", "reach_cheaper_stop")
+        else:
+            passed = [s for s in lower if s.pos < (far.pos if far else p.length)]
+            saved = sum(max(0, s.pos - d.at - d.fuel) * (d.here.price - s.price) for s in passed)
+            charge = rates.stop + rates.estimate * d.here.estimated
+            skip = bool(passed) and charge > saved
+            action = (("finish", "reach_finish") if done else ("far", "bypass_cheaper_not_worth_stop")) if skip else ("near", "reach_cheaper_stop")
+        move, reason = action
+        if move == "finish":
+            d.buy(p.length - d.at, reason)
+            break
+        to = far if move == "far" else min(lower, key=_by_price)
+        d.buy(p.tank if move == "far" else to.pos - d.at, reason)
+        d.go(to)
+    if d.plan and d.plan[-1].reason == "reach_cheaper_stop":
+        # the station it was bought for turned out to need no purchase
+        last = d.plan[-1]
+        d.plan[-1] = last._replace(reason="reach_finish") if d.here and d.here.id not in {b.id for b in d.plan} else last
+    return d.plan
+
+
+def exact(p: Problem, rates: Rates) -> list[Buy] | None:
+    """Least fuel cost plus flat charges; ties by fewer stops, then earlier positions, then lower ids.
+
+    Between two successive purchases an optimal plan either fills the tank or arrives empty (shifting fuel between the
+    two purchases changes cost linearly), so each label (station, fuel on arrival) has two moves per station ahead.
+    Labels at a station are cut to their Pareto frontier of key and fuel.
+    """
+    if p.length <= p.on_board:
+        return []
+    stops = sorted(p.stations)
+    n = len(stops)
+    labels: list[list[tuple]] = [[] for _ in range(n)]
+    for j, s in enumerate(stops):
+        if s.pos <= p.on_board:
+            labels[j].append(((0, 0, (), ()), p.on_board - s.pos, ()))
+    best = None
+    for i, s in enumerate(stops):
+        frontier, most = [], -1
+        for label in sorted(labels[i], key=lambda x: (x[0], -x[1])):
+            if label[1] > most:
+                frontier.append(label)
+                most = label[1]
+        flat = rates.stop + rates.estimate * s.estimated
+        for (cost, count, at, ids), fuel, trail in frontier:
+            count, at, ids = count + 1, (*at, s.pos), (*ids, s.id)
+            need = p.length - s.pos
+            if fuel < need <= p.tank:
+                key = (cost + flat + s.price * (need - fuel), count, at, ids)
+                if best is None or key < best[0]:
+                    best = (key, (*trail, (i, need - fuel)))
+            full = cost + flat + s.price * (p.tank - fuel)
+            for j in range(i + 1, n):
+                gap = stops[j].pos - s.pos
+                if gap > p.tank:
+                    break
+                if gap > fuel:
+                    labels[j].append(((cost + flat + s.price * (gap - fuel), count, at, ids), 0, (*trail, (i, gap - fuel))))
+                if p.tank > fuel and p.tank > gap:
+                    labels[j].append(((full, count, at, ids), p.tank - gap, (*trail, (i, p.tank - fuel))))
+        labels[i] = []
+    if best is None:
+        return None
+    plan = [Buy(stops[i].pos, stops[i].id, stops[i].price, amount, "") for i, amount in best[1]]
+    return explained(p, plan, rates)
+
+
+def explained(p: Problem, plan: list[Buy], rates: Rates) -> list[Buy]:
+    """The plan with a reason for each purchase."""
+    out, fuel, at = [], p.on_board, 0
+    for k, b in enumerate(plan):
+        fuel += b.amount - (b.pos - at)
+        at = b.pos
+        goal = plan[k + 1].pos if k + 1 < len(plan) else p.length
+        lower = [s for s in p.stations if b.pos < s.pos <= b.pos + p.tank and s.price < b.price]
+        if k + 1 == len(plan):
+            reason = "reach_finish"
+        elif fuel < p.tank or plan[k + 1].price < b.price:
+            reason = "reach_cheaper_stop"
+        else:
+            passed = [s for s in lower if s.pos < goal]
+            before = fuel - b.amount
+            saved = sum(max(0, s.pos - b.pos - before) * (b.price - s.price) for s in passed)
+            if passed and rates.stop > saved:
+                reason = "bypass_cheaper_not_worth_stop"
+            else:
+                reason = "fill_to_continue" if any(s.price < b.price for s in p.stations if s.pos > b.pos) else "top_up_at_cheapest"
+        out.append(b._replace(reason=reason))
+    return out
+
+
+def legs_of(p: Problem, plan: list[Buy]) -> list[tuple[int, int, int]]:
+    """(from, to, fuel on arrival) between the start, the purchases and the end."""
+    out, at, fuel = [], 0, p.on_board
+    for b in plan:
+        fuel -= b.pos - at
+        out.append((at, b.pos, fuel))
+        at, fuel = b.pos, fuel + b.amount
+    out.append((at, p.length, fuel - (p.length - at)))
+    return out

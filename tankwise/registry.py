@@ -4,7 +4,509 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from .adapter_sql import sql
+from .functions import text
+from .operators import cleaning, corridor, measure, pricing
+from .plans import search
+from .sources import adapters as src
+from .streaming import counters
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def query(body: str | None = None, recursive: bool = False):
+    """Register a query under its function's name, with its SQL twin if SQL can express it."""
+
+    def mark(f):
+        QUERIES[f.__name__] = f
+        if body:
+            ORACLE_SQL[f.__name__] = sql(body, recursive)
+        return f
+
+    return mark
+
+
+# --- sources and cleaning
+
+
+@query("""x AS (SELECT CASE WHEN obs_ord % 50 = 7 THEN 'bad' ELSE opis_id::VARCHAR END AS a, CASE WHEN obs_ord % 70 = 3 THEN 'n/a' ELSE (price_milli / 1000.0)::VARCHAR END AS p FROM v_price_obs)
+SELECT count(*) FILTER (ok) AS parsed, count(*) FILTER (NOT ok) AS skipped, sum(CASE WHEN ok THEN try_cast(p AS DECIMAL(11,3)) END)::DECIMAL(18,3) AS total
+FROM (SELECT *, try_cast(a AS INT) IS NOT NULL AND try_cast(p AS DECIMAL(11,3)) IS NOT NULL AS ok FROM x)""")
+def src1_price_scan(spark, d):
+    obs = src.price_observations(spark, d)
+    ident = F.when(F.col("obs_ord") % 50 == 7, "bad").otherwise(F.col("opis_id").cast("string"))
+    price = F.when(F.col("obs_ord") % 70 == 3, "n/a").otherwise((F.col("price_milli") / 1000).cast("string"))
+    rows = cleaning.scan_prices(obs.select(F.concat_ws(",", ident, "name", price).alias("line")))
+    return rows.agg(F.count_if("ok").alias("parsed"), F.count_if(~F.col("ok")).alias("skipped"), F.sum(F.when(F.col("ok"), F.col("retail_price"))).cast("decimal(18,3)").alias("total"))
+
+
+@query("""SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events WHERE CAST(json_extract_string(props, '$.k') AS BIGINT) >= 50""")
+def src7_json_fields(spark, d):
+    k = F.from_json("props", "k long")["k"]
+    return src.read(spark, d, "events").select("event_id", k.alias("k")).where("k >= 50")
+
+
+@query("""SELECT geocode_precision, count(*) AS stations, min(opis_id) AS least_id FROM v_station WHERE geocode_status = 'ok' AND lat_u BETWEEN 24400000 AND 49400000 AND lng_u BETWEEN -125000000 AND -66900000 GROUP BY ALL""")
+def fil1_routable_in_bounds(spark, d):
+    rows = src.stations(spark, d).where((F.col("geocode_status") == "ok") & F.col("lat_u").between(24_400_000, 49_400_000) & F.col("lng_u").between(-125_000_000, -66_900_000))
+    return rows.groupBy("geocode_precision").agg(F.count(F.lit(1)).alias("stations"), F.min("opis_id").alias("least_id"))
+
+
+_DIRTY = """dirty AS (SELECT opis_id, CASE opis_id % 7 WHEN 0 THEN 'Pilot � stop' WHEN 1 THEN 'Loves EV Charging' WHEN 2 THEN 'Love''s Travel Stop' WHEN 3 THEN 'TA Petro Atlanta' WHEN 4 THEN 'Atlanta Fuel' WHEN 5 THEN 'Flying-J Travel Center' ELSE 'H2 Hub' END AS name,
+  CASE opis_id % 5 WHEN 0 THEN 'open' WHEN 1 THEN NULL WHEN 2 THEN ' Permanently_Closed ' ELSE '' END AS status, (opis_id % 100) / 100.0 AS confidence FROM v_station)"""
+
+
+def _dirty(spark, d):
+    names = ("Pilot � stop", "Loves EV Charging", "Love's Travel Stop", "TA Petro Atlanta", "Atlanta Fuel", "Flying-J Travel Center", "H2 Hub")
+    status = F.when(F.col("opis_id") % 5 == 0, "open").when(F.col("opis_id") % 5 == 1, None).when(F.col("opis_id") % 5 == 2, " Permanently_Closed ").otherwise("")
+    name = F.element_at(F.array(*[F.lit(n) for n in names]), (F.col("opis_id") % 7 + 1).cast("int"))
+    return src.stations(spark, d).select("opis_id", name.alias("name"), status.alias("status"), (F.col("opis_id") % 100 / 100).alias("confidence"))
+
+
+@query(_DIRTY + """ SELECT bucket, count(*) AS n FROM (SELECT CASE WHEN contains(name, '�') THEN 'mojibake' WHEN opis_id % 7 IN (1, 6) THEN 'alt_fuel' WHEN lower(trim(status)) IN ('permanently_closed', 'temporarily_closed') THEN 'closed' WHEN confidence < 0.5 THEN 'below_floor' ELSE 'kept' END AS bucket FROM dirty) GROUP BY bucket""")
+def fil7_hygiene_cascade(spark, d):
+    return cleaning.hygiene(_dirty(spark, d), "name", "status", "confidence").groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(_DIRTY + """ SELECT opis_id, CASE opis_id % 7 WHEN 0 THEN 'PILOT' WHEN 1 THEN 'LOVES' WHEN 2 THEN 'LOVES' WHEN 3 THEN 'TA' WHEN 5 THEN 'FLYING J' END AS chain FROM dirty""")
+def str3_chain_alias(spark, d):
+    return _dirty(spark, d).select("opis_id", text.chain_of(F.col("name")).alias("chain"))
+
+
+_PLACES = """CASE opis_id % 4 WHEN 0 THEN 'St. ' || city || ' city' WHEN 1 THEN 'Ft ' || city || ' Town' WHEN 2 THEN 'N. ' || city ELSE city || ' CDP' END"""
+
+
+def _place():
+    c, k = F.col("city"), F.col("opis_id") % 4
+    return F.when(k == 0, F.concat(F.lit("St. "), c, F.lit(" city"))).when(k == 1, F.concat(F.lit("Ft "), c, F.lit(" Town"))).when(k == 2, F.concat(F.lit("N. "), c)).otherwise(F.concat(c, F.lit(" CDP")))
+
+
+@query("""SELECT opis_id, CASE opis_id % 4 WHEN 0 THEN 'SAINT ' WHEN 1 THEN 'FORT ' WHEN 2 THEN 'NORTH ' ELSE '' END || upper(city) AS place FROM v_station""")
+def str1_place_key(spark, d):
+    return src.stations(spark, d).select("opis_id", text.place_key(_place()).alias("place"))
+
+
+@query("""g AS (SELECT upper(city) AS place, state, max_by(lat_u, opis_id) AS lat_u FROM v_station WHERE opis_id % 3 = 0 GROUP BY ALL)
+SELECT s.opis_id, CASE WHEN s.geocode_precision = 'rooftop' THEN 'rooftop' WHEN g.place IS NOT NULL THEN 'city' ELSE 'failed' END AS result, CASE WHEN s.geocode_precision = 'rooftop' THEN s.lat_u ELSE g.lat_u END AS lat_u
+FROM v_station s LEFT JOIN g ON upper(s.city) = g.place AND s.state = g.state""")
+def join7_geocode_fallback(spark, d):
+    s = src.stations(spark, d)
+    g = s.where("opis_id % 3 = 0").groupBy(text.place_key(F.col("city")).alias("place"), "state").agg(F.max_by("lat_u", "opis_id").alias("g_lat"))
+    j = s.withColumn("place", text.place_key(F.col("city"))).join(g, ["place", "state"], "left")
+    roof = F.col("geocode_precision") == "rooftop"
+    return j.select("opis_id", F.when(roof, "rooftop").when(F.col("g_lat").isNotNull(), "city").otherwise("failed").alias("result"), F.when(roof, F.col("lat_u")).otherwise(F.col("g_lat")).alias("lat_u"))
+
+
+_COLLAPSED = """c AS (SELECT opis_id, quantile_disc(price_milli, 0.5)::BIGINT AS median_low_milli, min(price_milli) AS min_milli, max(price_milli) AS max_milli, count(*) AS observation_count, arg_max(name, {'l': length(name), 'o': -obs_ord}) AS name FROM v_price_obs GROUP BY opis_id)"""
+
+
+@query(_COLLAPSED + " SELECT * FROM c")
+def agg1_duplicate_collapse(spark, d):
+    return cleaning.collapse(src.price_observations(spark, d))
+
+
+@query(_COLLAPSED + """ SELECT count(*) AS groups, count(*) FILTER (observation_count > 1) AS duplicated, count(*) FILTER (observation_count > 1 AND max_milli = min_milli) AS equal_price, count(*) FILTER (observation_count > 1 AND max_milli > min_milli) AS conflicting,
+quantile_disc(CASE WHEN observation_count > 1 THEN max_milli - min_milli END, 0.5)::BIGINT AS median_spread_milli, max(CASE WHEN observation_count > 1 THEN max_milli - min_milli END) AS max_spread_milli FROM c""")
+def agg2_duplicate_report(spark, d):
+    return cleaning.duplicate_report(cleaning.collapse(src.price_observations(spark, d)))
+
+
+_INCOMING = """i AS (SELECT opis_id AS in_id, CASE opis_id % 3 WHEN 0 THEN 'Pilot ' || name ELSE name END AS name, city, state, lat_u + (opis_id % 9 - 4) * 1000 AS lat_u, lng_u + (opis_id % 7 - 3) * 1000 AS lng_u FROM v_station WHERE opis_id % 5 IN (0, 2)),
+r AS (SELECT opis_id, lat_u, lng_u, floor(lat_u / (1000000 // 69.172)) AS cy, floor(lng_u / (1000000 // 41.5032)) AS cx FROM v_station WHERE geocode_precision = 'rooftop'),
+n AS (SELECT in_id, arg_min(opis_id, {'d': dist, 'i': opis_id}) AS match_id, min(dist) AS dist_mi FROM (
+  SELECT i.in_id, r.opis_id, round(sqrt(power((i.lat_u - r.lat_u) / 1e6 * 69.172, 2) + power((i.lng_u - r.lng_u) / 1e6 * 69.172 * cos(radians((i.lat_u + r.lat_u) / 2e6)), 2)), 4) AS dist
+  FROM i JOIN r ON abs(floor(i.lat_u / (1000000 // 69.172)) - cy) <= 1 AND abs(floor(i.lng_u / (1000000 // 41.5032)) - cx) <= 1) GROUP BY in_id)"""
+
+
+def _incoming(spark, d):
+    k = F.col("opis_id")
+    name = F.when(k % 3 == 0, F.concat(F.lit("Pilot "), "name")).otherwise(F.col("name"))
+    return src.stations(spark, d).where("opis_id % 5 IN (0, 2)").select(
+        k.alias("in_id"), name.alias("name"), "city", "state", (F.col("lat_u") + (k % 9 - 4) * 1000).alias("lat_u"), (F.col("lng_u") + (k % 7 - 3) * 1000).alias("lng_u")
+    )
+
+
+def _existing(spark, d):
+    return src.stations(spark, d).withColumn("name", F.when(F.col("opis_id") % 2 == 0, F.concat(F.lit("PILOT #"), "opis_id")).otherwise(F.col("name")))
+
+
+@query(_INCOMING + " SELECT in_id, match_id, dist_mi FROM n")
+def join4_nearest_rooftop(spark, d):
+    return cleaning.nearest_rooftop(_incoming(spark, d), src.stations(spark, d))
+
+
+@query(_INCOMING + """, c AS (SELECT lower(city) AS city, state, min(opis_id) AS m2 FROM v_station WHERE geocode_precision = 'city' AND opis_id % 2 = 0 GROUP BY ALL)
+SELECT i.in_id, CASE WHEN dist_mi <= 0.25 THEN 1 WHEN m2 IS NOT NULL THEN 2 END AS tier, CASE WHEN dist_mi <= 0.25 THEN match_id ELSE m2 END AS match_id, CASE WHEN dist_mi <= 0.25 OR m2 IS NOT NULL THEN 'drop' ELSE 'keep' END AS decision
+FROM i LEFT JOIN n USING (in_id) LEFT JOIN c ON i.in_id % 3 = 0 AND lower(i.city) = c.city AND i.state = c.state""")
+def join5_entity_match(spark, d):
+    return cleaning.entity_match(_incoming(spark, d), _existing(spark, d))
+
+
+@query(_INCOMING + " SELECT t AS threshold_mi, count(*) FILTER (dist_mi <= t) AS matches FROM n, (VALUES (0.15), (0.25), (0.40)) v(t) GROUP BY t")
+def agg28_match_sensitivity(spark, d):
+    n = cleaning.nearest_rooftop(_incoming(spark, d), src.stations(spark, d))
+    ladder = F.explode(F.array(*[F.lit(x).cast("decimal(3,2)") for x in ("0.15", "0.25", "0.40")]))
+    return n.withColumn("threshold_mi", ladder).groupBy("threshold_mi").agg(F.count_if(F.col("dist_mi") <= F.col("threshold_mi")).alias("matches"))
+
+
+@query("""SELECT opis_id, 1000000000 + cast('0x' || substr(sha256('gers-' || opis_id), 1, 12) AS BIGINT) % 1000000000 AS minted_id FROM v_station""")
+def mat12_minted_ids(spark, d):
+    return src.stations(spark, d).select("opis_id", cleaning.minted(F.concat(F.lit("gers-"), F.col("opis_id").cast("string"))).alias("minted_id"))
+
+
+@query("""SELECT minted % 5000 AS id, count(DISTINCT k) AS keys FROM (SELECT 'gers-' || opis_id AS k, 1000000000 + cast('0x' || substr(sha256('gers-' || opis_id), 1, 12) AS BIGINT) % 1000000000 AS minted FROM v_station) GROUP BY ALL HAVING count(DISTINCT k) > 1""")
+def mat13_collisions(spark, d):
+    key = F.concat(F.lit("gers-"), F.col("opis_id").cast("string"))
+    return src.stations(spark, d).groupBy((cleaning.minted(key) % 5000).alias("id")).agg(F.countDistinct(key).alias("keys")).where("keys > 1")
+
+
+@query("""f AS (SELECT opis_id, 1 AS file_no, price_milli + CASE WHEN opis_id % 3 = 0 THEN 5 ELSE 0 END AS price_milli FROM v_station WHERE opis_id % 2 = 0 UNION ALL SELECT opis_id + 1000000, 1, price_milli FROM v_station WHERE opis_id % 11 = 0 UNION ALL SELECT opis_id, 2, price_milli FROM v_station WHERE opis_id % 9 = 0),
+n AS (SELECT opis_id, arg_max(price_milli, file_no) AS p FROM f GROUP BY opis_id)
+SELECT change, count(*) AS n, sum(price_milli)::BIGINT AS total_milli FROM (SELECT CASE WHEN s.opis_id IS NULL THEN 'created' WHEN n.opis_id IS NULL THEN 'untouched' WHEN s.price_milli = n.p THEN 'unchanged' ELSE 'updated' END AS change, coalesce(n.p, s.price_milli) AS price_milli FROM v_station s FULL JOIN n ON s.opis_id = n.opis_id) GROUP BY change""")
+def snk4_upsert_plan(spark, d):
+    s = src.stations(spark, d).select("opis_id", "price_milli")
+    one = s.where("opis_id % 2 = 0").select("opis_id", F.lit(1).alias("file_no"), (F.col("price_milli") + F.when(F.col("opis_id") % 3 == 0, 5).otherwise(0)).alias("price_milli"))
+    new = s.where("opis_id % 11 = 0").select((F.col("opis_id") + 1_000_000).alias("opis_id"), F.lit(1).alias("file_no"), "price_milli")
+    two = s.where("opis_id % 9 = 0").select("opis_id", F.lit(2).alias("file_no"), "price_milli")
+    files = one.union(new).union(two).withColumn("line_no", F.col("opis_id"))
+    return cleaning.upsert_plan(s, files, "price_milli").groupBy("change").agg(F.count(F.lit(1)).alias("n"), F.sum("price_milli").alias("total_milli"))
+
+
+@query("""SELECT state, count(*) AS stations, count(*) FILTER (geocode_status = 'ok') AS routable, round(count(*) FILTER (geocode_status = 'ok') / count(*)::DOUBLE, 6) AS coverage FROM v_station GROUP BY state""")
+def agg8_coverage(spark, d):
+    good = F.count_if(F.col("geocode_status") == "ok")
+    return src.stations(spark, d).groupBy("state").agg(F.count(F.lit(1)).alias("stations"), good.alias("routable"), F.round(good / F.count(F.lit(1)), 6).alias("coverage"))
+
+
+@query("""SELECT count(*) FILTER (price_source NOT IN ('opis_indexed', 'eia_regional_estimate')) AS unknown_source, count(*) FILTER (opis_id BETWEEN 1000000000 AND 1999999999) AS in_reserved_span, max(opis_id) AS max_id, count(*) FILTER (price_source = 'eia_regional_estimate' AND s.price_milli <> r.baseline_milli) AS estimate_off_baseline FROM v_station s LEFT JOIN v_state r USING (state)""")
+def agg10_invariants(spark, d):
+    s = src.stations(spark, d).join(F.broadcast(src.state_regions(spark)), "state", "left")
+    return s.agg(
+        F.count_if(~F.col("price_source").isin("opis_indexed", "eia_regional_estimate")).alias("unknown_source"), F.count_if(F.col("opis_id").between(1_000_000_000, 1_999_999_999)).alias("in_reserved_span"),
+        F.max("opis_id").alias("max_id"), F.count_if((F.col("price_source") == "eia_regional_estimate") & (F.col("price_milli") != F.col("baseline_milli"))).alias("estimate_off_baseline"),
+    )
+
+
+# --- prices
+
+_FACTORS = """w AS (SELECT *, row_number() OVER (PARTITION BY region_no ORDER BY period DESC) AS r FROM v_weekly),
+p AS (SELECT region_no, max(CASE WHEN r = 1 THEN period END) AS period, max(CASE WHEN r = 1 THEN value_milli END) AS cur, max(CASE WHEN r = 2 THEN value_milli END) AS prior FROM w WHERE r <= 2 GROUP BY region_no),
+f AS (SELECT region, cur AS current_milli, prior AS prior_milli, CASE WHEN round(cur / baseline_milli::DOUBLE, 6) BETWEEN 0.5 AND 2 THEN round(cur / baseline_milli::DOUBLE, 6) END AS factor, round_even((cur - prior) / 10.0::DOUBLE, 0)::BIGINT AS delta_cents, (max(period) OVER ())::VARCHAR AS week FROM p JOIN v_region USING (region_no))"""
+
+
+def _factors(spark, d):
+    return pricing.latest_factors(src.weekly_prices(spark, d), src.regions(spark))
+
+
+def _indexed(spark, d):
+    return pricing.indexed(src.stations(spark, d), src.state_regions(spark), _factors(spark, d))
+
+
+@query(_FACTORS + " SELECT * FROM f")
+def agg4_latest_factors(spark, d):
+    return _factors(spark, d)
+
+
+@query(_FACTORS + " SELECT opis_id, region, round(price_milli * coalesce(factor, 1), 3) AS indexed_milli FROM v_station LEFT JOIN v_state USING (state) LEFT JOIN f USING (region)")
+def join8_indexed_prices(spark, d):
+    return _indexed(spark, d).select("opis_id", "region", "indexed_milli")
+
+
+@query("SELECT coalesce(region, 'unmapped') AS region, count(*) AS stations, round(avg(price_milli), 4) AS mean_milli FROM v_station LEFT JOIN v_state USING (state) GROUP BY ALL")
+def agg3_region_means(spark, d):
+    return pricing.region_means(src.stations(spark, d).join(F.broadcast(src.state_regions(spark)), "state", "left"))
+
+
+@query("""m AS (SELECT round(median(abs(price_milli - a)), 4) AS mad_milli FROM (SELECT price_milli, avg(price_milli) OVER (PARTITION BY region) AS a FROM v_station JOIN v_state USING (state)))
+SELECT mad_milli, round(mad_milli / 1000 * 56.63 * 0.5, 2) AS rung_half, round(mad_milli / 1000 * 56.63, 2) AS rung_one, round(mad_milli / 1000 * 56.63 * 2, 2) AS rung_two FROM m""")
+def agg5_pooled_deviation(spark, d):
+    return pricing.pooled_deviation(src.stations(spark, d).join(F.broadcast(src.state_regions(spark)), "state", "left"))
+
+
+@query("""c AS (SELECT route_id, region, count(*) AS n, min(pos_milli_mi) AS first FROM v_candidate JOIN v_state USING (state) GROUP BY ALL) SELECT route_id, arg_max(region, {'n': n, 'f': -first, 'r': region}) AS region FROM c GROUP BY route_id""")
+def agg12_dominant_region(spark, d):
+    c = src.candidates(spark, d).join(F.broadcast(src.state_regions(spark)), "state")
+    per = c.groupBy("route_id", "region").agg(F.count(F.lit(1)).alias("n"), F.min("pos_milli_mi").alias("first"))
+    return per.groupBy("route_id").agg(F.max_by("region", F.struct("n", -F.col("first"), "region")).alias("region"))
+
+
+# --- corridors
+
+
+_CORRIDOR = """q AS (SELECT *, cos(radians(sum(lat_u) OVER (PARTITION BY route_id) / 65.0::DOUBLE / 1e6)) AS k FROM v_point),
+g AS (SELECT route_id, total_milli_mi, seq, k, lng_u / 1e6 * 69.172 * k AS a_x, lat_u / 1e6 * 69.172 AS a_y, lead(lng_u) OVER l / 1e6 * 69.172 * k AS b_x, lead(lat_u) OVER l / 1e6 * 69.172 AS b_y FROM q WINDOW l AS (PARTITION BY route_id ORDER BY seq)),
+h AS (SELECT *, sqrt(power(b_x - a_x, 2) + power(b_y - a_y, 2)) AS len FROM g WHERE b_x IS NOT NULL),
+u AS (SELECT *, sum(len) OVER (PARTITION BY route_id ORDER BY seq) - len AS start, sum(len) OVER (PARTITION BY route_id) AS planar FROM h),
+st AS (SELECT opis_id, lat_u, lng_u, CASE WHEN geocode_precision = 'rooftop' THEN 5 ELSE 20 END AS tier FROM v_station WHERE geocode_status = 'ok'),
+bb AS (SELECT route_id, min(lat_u) - 600000 AS y0, max(lat_u) + 600000 AS y1, min(lng_u) - 600000 AS x0, max(lng_u) + 600000 AS x1 FROM v_point GROUP BY route_id),
+z AS (SELECT u.*, opis_id, tier, lng_u / 1e6 * 69.172 * k AS px, lat_u / 1e6 * 69.172 AS py FROM bb JOIN st ON lat_u BETWEEN y0 AND y1 AND lng_u BETWEEN x0 AND x1 JOIN u USING (route_id)),
+tt AS (SELECT *, greatest(0, least(1, ((px - a_x) * (b_x - a_x) + (py - a_y) * (b_y - a_y)) / (len * len))) AS t FROM z),
+o AS (SELECT *, sqrt(power(px - (a_x + t * (b_x - a_x)), 2) + power(py - (a_y + t * (b_y - a_y)), 2)) AS off FROM tt),
+w AS (SELECT *, row_number() OVER (PARTITION BY route_id, opis_id ORDER BY off, seq) AS r FROM o WHERE off <= tier)
+SELECT route_id, opis_id, round(off, 3) AS off_mi, round((start + t * len) / planar * total_milli_mi / 1000, 2) AS at_mi FROM w WHERE r = 1"""
+
+
+@query(_CORRIDOR)
+def join1_corridor(spark, d):
+    return corridor.corridor_join(src.route_points(spark, d), src.stations(spark, d))
+
+
+@query("SELECT * FROM (SELECT 0::BIGINT AS only_grid, 0::BIGINT AS only_referee)")
+def set7_corridor_referee(spark, d):
+    points = src.route_points(spark, d).where("route_id % 500 = 0")  # the referee is quadratic: the set of routes is stated
+    a, b = (f(points, src.stations(spark, d)).select("route_id", "opis_id") for f in (corridor.corridor_join, corridor.corridor_referee))
+    both = a.withColumn("g", F.lit(1)).join(b.withColumn("r", F.lit(1)), ["route_id", "opis_id"], "full")
+    return both.agg(F.count_if(F.col("r").isNull()).alias("only_grid"), F.count_if(F.col("g").isNull()).alias("only_referee"))
+
+
+# --- windows over candidates and legs
+
+
+@query("SELECT l_orderkey AS route_id, l_linenumber AS seg, sum(l_quantity) OVER w AS miles, round(sum(l_extendedprice) OVER w, 2) AS seconds FROM lineitem WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_quantity, l_extendedprice ROWS UNBOUNDED PRECEDING)")
+def win1_cumulative_axes(spark, d):
+    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_quantity", "l_extendedprice").rowsBetween(Window.unboundedPreceding, 0)
+    return src.read(spark, d, "lineitem").select(F.col("l_orderkey").alias("route_id"), F.col("l_linenumber").alias("seg"), F.sum("l_quantity").over(w).alias("miles"), F.round(F.sum("l_extendedprice").over(w), 2).alias("seconds"))
+
+
+@query("""a AS (SELECT route_id, total_milli_mi, i AS k, i * total_milli_mi // 8 AS d0, (i + 1) * total_milli_mi // 8 AS d1, i * i * 1000 AS s0, (i + 1) * (i + 1) * 1000 AS s1 FROM v_route, range(8) t(i))
+SELECT c.route_id, opis_id, round(s0 + (s1 - s0) * (pos_milli_mi - d0)::DOUBLE / (d1 - d0), 3) AS seconds FROM v_candidate c JOIN a ON c.route_id = a.route_id AND (pos_milli_mi >= d0 AND (pos_milli_mi < d1 OR (k = 7 AND pos_milli_mi <= c.total_milli_mi)))""")
+def win3_interpolated_time(spark, d):
+    i = F.col("i").cast("long")
+    axis = src.routes(spark, d).select("route_id", "total_milli_mi", F.explode(F.sequence(F.lit(0), F.lit(7))).alias("i"))
+    axis = axis.select("route_id", "i", F.floor(i * F.col("total_milli_mi") / 8).alias("at"), (i * i * 1000).alias("s0"), F.floor((i + 1) * F.col("total_milli_mi") / 8).alias("d1"), ((i + 1) * (i + 1) * 1000).alias("s1"))
+    marks = axis.select("route_id", "at", F.lit(0).alias("kind"), F.struct("at", "d1", "s0", "s1").alias("seg"), F.lit(None).cast("int").alias("opis_id"))
+    seg = F.last("seg", ignorenulls=True).over(Window.partitionBy("route_id").orderBy("at", "kind"))
+    points = src.candidates(spark, d).select("route_id", F.col("pos_milli_mi").alias("at"), F.lit(1).alias("kind"), F.lit(None).cast(marks.schema["seg"].dataType).alias("seg"), "opis_id")
+    rows = marks.union(points).withColumn("seg", seg).where("kind = 1")
+    value = F.col("seg.s0") + (F.col("seg.s1") - F.col("seg.s0")) * (F.col("at") - F.col("seg.at")) / (F.col("seg.d1") - F.col("seg.at"))
+    return rows.select("route_id", "opis_id", F.round(value, 3).alias("seconds"))
+
+
+_PREFLIGHT = """nd AS (SELECT route_id, tank_milli_mi, pos_milli_mi AS pos, opis_id::BIGINT AS id FROM v_candidate UNION ALL SELECT route_id, tank_milli_mi, total_milli_mi, 1099511627776 FROM v_route),
+ng AS (SELECT *, lag(pos, 1, 0) OVER (PARTITION BY route_id ORDER BY pos, id) AS before FROM nd),
+pf AS (SELECT route_id, count(*) FILTER (pos - before > tank_milli_mi) = 0 AS feasible, arg_min(before, pos) FILTER (pos - before > tank_milli_mi) AS from_milli, min(pos) FILTER (pos - before > tank_milli_mi) AS to_milli, arg_min(pos - before, pos) FILTER (pos - before > tank_milli_mi) AS gap_milli FROM ng GROUP BY route_id)"""
+
+
+@query(_PREFLIGHT + " SELECT * FROM pf")
+def pln1_preflight(spark, d):
+    return search.preflight(src.routes(spark, d), src.candidates(spark, d))
+
+
+_PRUNED = """dd AS (SELECT * FROM v_candidate c WHERE NOT EXISTS (SELECT 1 FROM v_candidate b WHERE b.route_id = c.route_id AND b.pos_milli_mi = c.pos_milli_mi AND (b.price_milli < c.price_milli OR (b.price_milli = c.price_milli AND b.opis_id < c.opis_id)) AND (c.price_source = 'eia_regional_estimate' OR b.price_source <> 'eia_regional_estimate'))),
+pr AS (SELECT * FROM dd c WHERE pos_milli_mi + tank_milli_mi < total_milli_mi OR NOT EXISTS (SELECT 1 FROM dd b WHERE b.route_id = c.route_id AND b.pos_milli_mi + b.tank_milli_mi >= b.total_milli_mi AND b.price_milli <= c.price_milli AND (b.pos_milli_mi, b.price_milli, b.opis_id) < (c.pos_milli_mi, c.price_milli, c.opis_id) AND (c.price_source = 'eia_regional_estimate' OR b.price_source <> 'eia_regional_estimate')))"""
+
+
+@query(_PRUNED + " SELECT route_id, opis_id, pos_milli_mi, price_milli FROM pr")
+def pln2_domination_prune(spark, d):
+    return search.pruned(src.candidates(spark, d)).select("route_id", "opis_id", "pos_milli_mi", "price_milli")
+
+
+_EFFORT = _PRUNED + """, rk AS (SELECT *, row_number() OVER (PARTITION BY route_id ORDER BY pos_milli_mi, price_milli, opis_id) AS k FROM pr),
+rc AS (SELECT a.route_id, a.k, count(b.k) + (a.pos_milli_mi + a.tank_milli_mi >= a.total_milli_mi)::INT AS reach FROM rk a LEFT JOIN rk b ON a.route_id = b.route_id AND b.k > a.k AND b.pos_milli_mi <= a.pos_milli_mi + a.tank_milli_mi GROUP BY a.route_id, a.k, a.pos_milli_mi, a.tank_milli_mi, a.total_milli_mi),
+ef AS (SELECT r.route_id, (SELECT count(*) FROM rc WHERE rc.route_id = r.route_id) AS nodes, (coalesce((SELECT sum(reach * (reach + 1)) FROM rc WHERE rc.route_id = r.route_id), 0) + (SELECT count(*) FROM pr WHERE pr.route_id = r.route_id AND pos_milli_mi <= r.tank_milli_mi) + (total_milli_mi <= tank_milli_mi)::INT)::BIGINT AS estimate FROM v_route r)"""
+
+
+@query(_EFFORT + " SELECT * FROM ef")
+def pln3_transition_estimate(spark, d):
+    return search.effort(src.routes(spark, d), search.pruned(src.candidates(spark, d)))
+
+
+@query(_EFFORT + " SELECT CASE WHEN estimate <= 2000 THEN 'exact' ELSE 'heuristic' END AS method, count(*) AS routes, sum(estimate)::BIGINT AS total FROM ef GROUP BY ALL")
+def pln4_dispatch(spark, d):
+    e = search.effort(src.routes(spark, d), search.pruned(src.candidates(spark, d)))
+    return e.groupBy(F.when(F.col("estimate") <= 2000, "exact").otherwise("heuristic").alias("method")).agg(F.count(F.lit(1)).alias("routes"), F.sum("estimate").alias("total"))
+
+
+@query(_PRUNED + """ SELECT route_id, count(*) AS before, (SELECT count(*) FROM dd WHERE dd.route_id = c.route_id) AS after_co_located, (SELECT count(*) FROM pr WHERE pr.route_id = c.route_id) AS kept FROM v_candidate c GROUP BY route_id""")
+def agg27_removal_tallies(spark, d):
+    c = src.candidates(spark, d)
+    same = search.pruned(c.withColumn("total_milli_mi", F.lit(2**40)))  # no station is near that end: the first pass alone
+    tag = lambda df, n: df.groupBy("route_id").agg(F.count(F.lit(1)).alias(n))
+    return tag(c, "before").join(tag(same, "after_co_located"), "route_id").join(tag(search.pruned(c), "kept"), "route_id")
+
+
+@query("SELECT route_id, opis_id, round(avg(price_milli) OVER p, 4) AS mean_milli, round((rank() OVER (PARTITION BY route_id ORDER BY price_milli) - 1) / count(*) OVER p::DOUBLE, 6) AS percentile FROM v_candidate WINDOW p AS (PARTITION BY route_id)")
+def agg13_price_percentile(spark, d):
+    w = Window.partitionBy("route_id")
+    share = (F.rank().over(w.orderBy("price_milli")) - 1) / F.count(F.lit(1)).over(w)
+    return src.candidates(spark, d).select("route_id", "opis_id", F.round(F.avg("price_milli").over(w), 4).alias("mean_milli"), F.round(share, 6).alias("percentile"))
+
+
+@query("SELECT route_id, opis_id, coalesce(price_milli <= min(price_milli) OVER (PARTITION BY route_id ORDER BY pos_milli_mi, price_milli, opis_id ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), true) AS cheapest_ahead FROM v_candidate")
+def win13_cheapest_ahead(spark, d):
+    w = Window.partitionBy("route_id").orderBy("pos_milli_mi", "price_milli", "opis_id").rowsBetween(1, Window.unboundedFollowing)
+    return src.candidates(spark, d).select("route_id", "opis_id", F.coalesce(F.col("price_milli") <= F.min("price_milli").over(w), F.lit(True)).alias("cheapest_ahead"))
+
+
+@query("""SELECT a.route_id, a.opis_id, count(b.opis_id) AS skipped, round(avg(b.price_milli), 4) AS skipped_avg_milli FROM v_candidate a LEFT JOIN v_candidate b ON a.route_id = b.route_id AND b.pos_milli_mi > a.pos_milli_mi AND b.pos_milli_mi <= a.pos_milli_mi + a.tank_milli_mi AND b.price_milli < a.price_milli GROUP BY a.route_id, a.opis_id""")
+def join14_rejected_context(spark, d):
+    a = src.candidates(spark, d).select("route_id", "opis_id", "pos_milli_mi", "price_milli", "tank_milli_mi")
+    b = a.select(F.col("route_id").alias("r"), F.col("pos_milli_mi").alias("p"), F.col("price_milli").alias("c"))
+    on = (F.col("r") == F.col("route_id")) & (F.col("p") > F.col("pos_milli_mi")) & (F.col("p") <= F.col("pos_milli_mi") + F.col("tank_milli_mi")) & (F.col("c") < F.col("price_milli"))
+    return a.join(b, on, "left").groupBy("route_id", "opis_id").agg(F.count("c").alias("skipped"), F.round(F.avg("c"), 4).alias("skipped_avg_milli"))
+
+
+@query("""v AS (SELECT route_id, list_sort(list(price_milli)) AS v FROM v_candidate GROUP BY route_id) SELECT route_id, i AS bin, v[len(v) * i // 5 + 1] AS edge_milli FROM v, range(1, 5) t(i)""")
+def agg17_quantile_edges(spark, d):
+    return measure.quantile_edges(src.candidates(spark, d), "price_milli", 5)
+
+
+@query("""e AS (SELECT l_orderkey AS route_id, l_quantity - lag(l_quantity) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_quantity) AS dz, l_quantity FROM lineitem) SELECT route_id, min(l_quantity) AS low, max(l_quantity) AS high, coalesce(sum(dz) FILTER (dz > 0), 0) AS ascent, coalesce(-sum(dz) FILTER (dz < 0), 0) AS descent, coalesce(sum(dz) FILTER (dz > 0), 0) < 50 AS flat FROM e GROUP BY route_id""")
+def agg18_elevation(spark, d):
+    dz = F.col("l_quantity") - F.lag("l_quantity").over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_quantity"))
+    e = src.read(spark, d, "lineitem").select(F.col("l_orderkey").alias("route_id"), dz.alias("dz"), "l_quantity")
+    up, down = F.coalesce(F.sum(F.when(F.col("dz") > 0, F.col("dz"))), F.lit(0.0)), F.coalesce(-F.sum(F.when(F.col("dz") < 0, F.col("dz"))), F.lit(0.0))
+    return e.groupBy("route_id").agg(F.min("l_quantity").alias("low"), F.max("l_quantity").alias("high"), up.alias("ascent"), down.alias("descent"), (up < 50).alias("flat"))
+
+
+@query("""x AS (SELECT route_id, price_milli AS a, pos_milli_mi AS b, opis_id FROM v_candidate) SELECT p.route_id, count(*) AS discordant FROM x p JOIN x q ON p.route_id = q.route_id AND p.opis_id < q.opis_id AND sign(p.a - q.a) * sign(p.b - q.b) < 0 GROUP BY p.route_id""")
+def agg22_discordant_pairs(spark, d):
+    c = src.candidates(spark, d)
+    p = c.select("route_id", F.col("opis_id").alias("i"), F.col("price_milli").alias("a"), F.col("pos_milli_mi").alias("b"))
+    q = c.select("route_id", F.col("opis_id").alias("j"), F.col("price_milli").alias("a2"), F.col("pos_milli_mi").alias("b2"))
+    pairs = p.join(q, "route_id").where("i < j AND sign(a - a2) * sign(b - b2) < 0")
+    return pairs.groupBy("route_id").agg(F.count(F.lit(1)).alias("discordant"))
+
+
+@query("""a AS (SELECT route_id, tank_milli_mi, total_milli_mi AS cost, route_id % 13 = 0 AS cens FROM v_route WHERE route_id % 3 <> 0), b AS (SELECT route_id, tank_milli_mi, total_milli_mi + CASE WHEN route_id % 4 = 0 THEN 1 ELSE 0 END AS cost, route_id % 26 = 0 AS cens FROM v_route WHERE route_id % 7 <> 0)
+SELECT route_id, kind, CASE WHEN kind = 'changed' THEN 'cost' END AS fields FROM (SELECT coalesce(a.route_id, b.route_id) AS route_id, CASE WHEN a.route_id IS NULL THEN 'appeared' WHEN b.route_id IS NULL THEN 'vanished' WHEN a.cens AND b.cens THEN NULL WHEN a.cens <> b.cens THEN 'censor_flip' WHEN a.cost <> b.cost THEN 'changed' END AS kind FROM a FULL JOIN b ON a.route_id = b.route_id) WHERE kind IS NOT NULL""")
+def join9_world_diff(spark, d):
+    r = src.routes(spark, d).withColumn("cost", F.col("total_milli_mi"))
+    a = r.where("route_id % 3 <> 0").withColumn("cens", F.col("route_id") % 13 == 0)
+    b = r.where("route_id % 7 <> 0").withColumn("cost", F.col("cost") + F.when(F.col("route_id") % 4 == 0, 1).otherwise(0)).withColumn("cens", F.col("route_id") % 26 == 0)
+    return measure.world_diff(a, b, ["route_id"], ["cost", "tank_milli_mi"], "cens")
+
+
+@query("""SELECT m AS multiplier, count(*) AS candidates, sum((price_milli * m)::BIGINT)::BIGINT AS total_milli FROM v_candidate, (VALUES (1), (2), (3)) t(m) GROUP BY m""")
+def join13_price_sweep(spark, d):
+    swept = src.candidates(spark, d).withColumn("multiplier", F.explode(F.array(F.lit(1), F.lit(2), F.lit(3))))
+    return swept.groupBy("multiplier").agg(F.count(F.lit(1)).alias("candidates"), F.sum(F.col("price_milli") * F.col("multiplier")).alias("total_milli"))
+
+
+@query("""SELECT alternative_index, arg_min(route_id, {'t': total_milli_mi, 'r': route_id}) AS winner, min(total_milli_mi) AS total_milli_mi FROM v_route GROUP BY ALL""")
+def top1_winner(spark, d):
+    best = F.min(F.struct("total_milli_mi", "route_id")).alias("b")
+    return src.routes(spark, d).groupBy("alternative_index").agg(best).select("alternative_index", F.col("b.route_id").alias("winner"), "b.total_milli_mi")
+
+
+@query(_PREFLIGHT + """ SELECT route_id % 10 AS batch, arg_min(route_id, {'g': gap_milli, 'r': route_id}) AS route_id, min(gap_milli) AS gap_milli FROM pf WHERE NOT feasible GROUP BY ALL""")
+def top2_smallest_gap(spark, d):
+    bad = search.preflight(src.routes(spark, d), src.candidates(spark, d)).where("NOT feasible")
+    least = F.min(F.struct("gap_milli", "route_id")).alias("b")
+    return bad.groupBy((F.col("route_id") % 10).alias("batch")).agg(least).select("batch", "b.route_id", "b.gap_milli")
+
+
+@query("SELECT user_id, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM (SELECT user_id, event_type, max(ts) AS ts, arg_max(event_id, {'t': ts, 'e': event_id}) AS event_id FROM events GROUP BY ALL)) WHERE r <= 5")
+def top7_recent_distinct(spark, d):
+    per = src.read(spark, d, "events").groupBy("user_id", "event_type").agg(F.max(F.struct("ts", "event_id")).alias("m")).select("user_id", "m.ts", "m.event_id")
+    order = Window.partitionBy("user_id").orderBy(F.col("ts").desc(), F.col("event_id").desc())
+    return per.withColumn("r", F.row_number().over(order)).where("r <= 5").select("user_id", "event_id")
+
+
+@query("""SELECT route_id, CASE WHEN s >= 3600 THEN (s + 30) // 60 // 60 || 'h ' || lpad(((s + 30) // 60 % 60)::VARCHAR, 2, '0') || 'm' WHEN (s + 30) // 60 >= 60 THEN '1h 00m' ELSE (s + 30) // 60 || 'm' END AS duration, strftime(DATE '2024-01-05' + (route_id % 300)::INT, '%b %-d, %Y') AS shown FROM (SELECT route_id, total_milli_mi // 17 AS s FROM v_route)""")
+def str15_display_formats(spark, d):
+    day = F.date_add(F.lit("2024-01-05").cast("date"), (F.col("route_id") % 300).cast("int"))
+    seconds = F.floor(F.col("total_milli_mi") / 17).cast("long")
+    return src.routes(spark, d).select("route_id", text.duration(seconds).alias("duration"), F.date_format(day, "MMM d, yyyy").alias("shown"))
+
+
+@query("""SELECT route_id, '[' || string_agg('{"opis_id":' || opis_id || ',"price":' || price_milli || '}', ',' ORDER BY pos_milli_mi, price_milli, opis_id) || ']' AS payload FROM v_candidate GROUP BY route_id""")
+def jsn3_candidate_payload(spark, d):
+    sortable = F.struct("pos_milli_mi", "price_milli", "opis_id", F.struct("opis_id", F.col("price_milli").alias("price")).alias("j"))
+    listed = src.candidates(spark, d).groupBy("route_id").agg(F.sort_array(F.collect_list(sortable)).alias("v"))
+    return listed.select("route_id", F.to_json(F.transform("v", lambda x: x["j"])).alias("payload"))
+
+
+# --- plans
+
+
+def _problems(spark, d):
+    c = src.candidates(spark, d)
+    return search.problems(src.routes(spark, d), c, search.pruned(c))
+
+
+def _plan_rows(spark, d, method):
+    return search.solve(_problems(spark, d), (method,)).select("route_id", "feasible", "n_stops", "cost", "bought")
+
+
+@query("""walk AS (
+  SELECT route_id, total_milli_mi AS l, tank_milli_mi AS t, 0::BIGINT AS pos, tank_milli_mi AS fuel, 0 AS n, 0::BIGINT AS cost, 0::BIGINT AS bought, true AS alive FROM v_route
+  UNION ALL
+  SELECT w.route_id, l, t, coalesce(c.pos, w.pos), t, n + (c.pos IS NOT NULL)::INT,
+         cost + coalesce(c.price * (least(t, l - c.pos) - (fuel - (c.pos - w.pos))), 0), bought + coalesce(least(t, l - c.pos) - (fuel - (c.pos - w.pos)), 0), c.pos IS NOT NULL
+  FROM walk w LEFT JOIN LATERAL (SELECT x.pos_milli_mi AS pos, x.price_milli AS price FROM v_candidate x WHERE x.route_id = w.route_id AND x.pos_milli_mi > w.pos AND x.pos_milli_mi <= w.pos + w.fuel ORDER BY x.pos_milli_mi DESC, x.opis_id LIMIT 1) c ON true
+  WHERE w.alive AND l - w.pos > fuel)
+SELECT route_id, alive AS feasible, CASE WHEN alive THEN n END AS n_stops, CASE WHEN alive THEN cost END AS cost, CASE WHEN alive THEN bought END AS bought
+FROM (SELECT *, row_number() OVER (PARTITION BY route_id ORDER BY alive, n DESC) AS r FROM walk) WHERE r = 1""", recursive=True)
+def pln10_price_blind(spark, d):
+    return _plan_rows(spark, d, "naive")
+
+
+@query()
+def pln9_greedy(spark, d):
+    return _plan_rows(spark, d, "greedy")
+
+
+@query()
+def pln8_heuristic(spark, d):
+    return _plan_rows(spark, d, "heuristic")
+
+
+@query()
+def pln6_exact(spark, d):
+    return search.solve(_problems(spark, d), ("exact",)).select("route_id", "feasible", "n_stops", "cost", "objective", "bought")
+
+
+@query()
+def pln7_purchase_reasons(spark, d):
+    stops = search.solve(_problems(spark, d), ("exact", "heuristic")).select("method", F.explode("stops").alias("s"))
+    return stops.groupBy("method", F.col("s.reason").alias("reason")).agg(F.count(F.lit(1)).alias("stops"))
+
+
+@query()
+def win5_plan_legs(spark, d):
+    """Legs between start, purchases and end, with the tank's level on arrival: a window over the exploded plan."""
+    plans = search.solve(_problems(spark, d), ("exact",)).where("feasible").join(src.routes(spark, d), "route_id")
+    end = F.struct(F.col("total_milli_mi").alias("pos"), F.lit(-1).cast("long").alias("id"), F.lit(0).cast("long").alias("price"), F.lit(0).cast("long").alias("amount"), F.lit("").alias("reason"))
+    nodes = plans.select("route_id", "tank_milli_mi", F.posexplode(F.concat("stops", F.array(end))).alias("leg", "n")).select("route_id", "tank_milli_mi", "leg", "n.pos", "n.id", "n.amount")
+    w = Window.partitionBy("route_id").orderBy("leg")
+    before = F.coalesce(F.sum("amount").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return nodes.select("route_id", "leg", F.lag("pos", 1, 0).over(w).alias("from_milli"), F.col("pos").alias("to_milli"), (F.col("tank_milli_mi") + before - F.col("pos")).alias("arrival_milli"))
+
+
+@query()
+def pln22_method_comparison(spark, d):
+    plans = search.solve(_problems(spark, d), ("naive", "greedy", "heuristic", "exact")).where("feasible")
+    trivial = F.size(F.filter("stops", lambda s: s["amount"] < 40_000))
+    return plans.groupBy("method").agg(F.count(F.lit(1)).alias("routes"), F.sum("n_stops").alias("stops"), F.sum(trivial).alias("trivial_stops"), search.dollars(F.sum("cost")).alias("cost_usd"), search.dollars(F.sum("objective")).alias("objective_usd"))
+
+
+@query()
+def flagship_cheapest_plan(spark, d):
+    """For each feasible route the cheapest plan and its saving over a price-blind driver."""
+    ready = search.dispatched(src.routes(spark, d), src.candidates(spark, d))
+    both = search.solve(ready, ("planned", "naive")).select("route_id", "method", "feasible", "n_stops", "cost")
+    blind, own = (both.where(f"method {op} 'naive'") for op in ("=", "<>"))
+    naive = blind.select("route_id", F.col("cost").alias("naive"))
+    out = own.join(naive, "route_id", "left").withColumn("saved", F.col("naive") - F.col("cost"))
+    return out.select(
+        "route_id", F.col("method").alias("strategy"), "n_stops", search.dollars(F.col("cost")).alias("cost_usd"), search.dollars(F.col("naive")).alias("naive_usd"),
+        search.dollars(F.col("saved")).alias("saved_usd"), F.round(F.col("saved") * 100 / F.nullif("naive", F.lit(0)), 1).alias("saved_percent"),
+    )
+
+
+# --- time-keyed counters
+
+
+@query("""SELECT strftime(ts, '%Y-%m-%d') AS day, count(*) AS calls, count(*) FILTER (n <= 3) AS admitted FROM (SELECT ts, row_number() OVER (PARTITION BY user_id, ts::DATE ORDER BY ts, event_id) AS n FROM events) GROUP BY ALL""")
+def stm1_capped_calls(spark, d):
+    return counters.capped_calls(src.read(spark, d, "events"), 3)
+
+
+@query("""SELECT event_id, user_id FROM (SELECT *, lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS nx FROM events) WHERE nx IS NULL OR epoch_us(nx) - epoch_us(ts) > 3600000000""")
+def stm6_debounced(spark, d):
+    return counters.debounced(src.read(spark, d, "events"), 3600).select("event_id", "user_id")

@@ -1,0 +1,109 @@
+"""Station, price, route and candidate tables derived from the star-schema tables by integer arithmetic on keys.
+
+Positions are milli-miles, prices milli-dollars, coordinates micro-degrees, all BIGINT; decimals come last.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Lower-48 state codes by state name, two characters each.
+STATES = "ALAZARCACOCTDEFLGAIDILINIAKSKYLAMEMDMAMIMNMSMOMTNENVNHNJNMNYNCNDOHOKORPARISCSDTNTXUTVTVAWAWVWIWY"
+#: Region, states, label, series area, series product, baseline in milli-dollars.
+REGIONS = (
+    ("PADD1A", "CT ME MA NH RI VT", "New England", "R1X", "EPD2D", 3753),
+    ("PADD1B", "DE DC MD NJ NY PA", "Central Atlantic", "R1Y", "EPD2D", 3774),
+    ("PADD1C", "FL GA NC SC VA WV", "Lower Atlantic", "R1Z", "EPD2D", 3501),
+    ("PADD2", "IL IN IA KS KY MI MN MO NE ND SD OH OK TN WI", "Midwest", "R20", "EPD2D", 3469),
+    ("PADD3", "AL AR LA MS NM TX", "Gulf Coast", "R30", "EPD2D", 3196),
+    ("PADD4", "CO ID MT UT WY", "Rocky Mountain", "R40", "EPD2DXL0", 3370),
+    ("PADD5_EX_CA", "AK AZ HI NV OR WA", "West Coast", "R5XCA", "EPD2D", 3705),
+    ("CALIFORNIA", "CA", "California", "SCA", "EPD2D", 4576),
+)
+
+
+def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def stations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("p_partkey").cast("long")
+    price = 2687 + (k * 613) % 3713
+    precision = F.when(k % 12 == 0, "rooftop").when(k % 19 == 0, None).otherwise("city")
+    return read(spark, sf_dir, "part").select(
+        k.cast("int").alias("opis_id"),
+        F.col("p_name").alias("name"),
+        F.concat(F.lit("City"), (k % 97).cast("string")).alias("city"),
+        F.expr(f"substring('{STATES}', cast(2 * (p_partkey % 48) + 1 as int), 2)").alias("state"),
+        (30_000_000 + (k * 7919 % 15000) * 1000).alias("lat_u"),
+        (-120_000_000 + (k * 104729 % 45000) * 1000).alias("lng_u"),
+        price.alias("price_milli"),
+        precision.alias("geocode_precision"),
+        F.when(precision.isNull(), "failed").otherwise("ok").alias("geocode_status"),
+        F.when(k % 4 == 1, "eia_regional_estimate").otherwise("opis_indexed").alias("price_source"),
+    )
+
+
+def price_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o, p, n = (F.col(c).cast("long") for c in ("l_orderkey", "l_partkey", "l_linenumber"))
+    return read(spark, sf_dir, "lineitem").select(
+        p.cast("int").alias("opis_id"),
+        (o * 10 + n).alias("obs_ord"),
+        F.concat(F.lit("STOP "), F.repeat(F.lit("X"), ((o + n) % 4).cast("int")), p.cast("string")).alias("name"),
+        (2687 + (o * 31 + n * 977 + p * 613) % 3713).alias("price_milli"),
+    )
+
+
+def routes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("o_orderkey").cast("long")
+    m = read(spark, sf_dir, "part").agg(F.greatest(F.lit(1), F.floor(F.count(F.lit(1)) / 33)).cast("long").alias("m"))
+    rows = read(spark, sf_dir, "orders").where(k % 50 == 0)
+    rows = rows.select(
+        k.alias("route_id"), (k % 3).cast("int").alias("alternative_index"), (900_000 + k * 37717 % 1_900_000).alias("total_milli_mi"), (400_000 + (k % 7) * 100_000).alias("tank_milli_mi")
+    )
+    return rows.crossJoin(F.broadcast(m))  # one row
+
+
+def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Route × station pairs whose key sum is a multiple of the route's modulus: an equality join on the residue."""
+    r = routes(spark, sf_dir).withColumn("step", F.col("m") * F.when(F.col("route_id") % 200 == 0, 10).otherwise(1))
+    r = r.withColumn("residue", (F.col("step") - F.col("route_id") % F.col("step")) % F.col("step"))
+    steps = r.select("step").distinct()  # at most two values, m and 10 m
+    s = stations(spark, sf_dir).crossJoin(F.broadcast(steps)).withColumn("residue", F.col("opis_id") % F.col("step"))
+    pos = (F.col("opis_id").cast("long") * 15485863 + F.col("route_id") * 32452843) % 2_800_000
+    return (
+        r.join(s, ["step", "residue"])
+        .withColumn("pos_milli_mi", pos)
+        .where("pos_milli_mi <= total_milli_mi")
+        .select("route_id", "alternative_index", "total_milli_mi", "tank_milli_mi", "opis_id", "name", "state", "price_milli", "price_source", "pos_milli_mi")
+    )
+
+
+def weekly_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    joined = read(spark, sf_dir, "orders").join(read(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    return joined.groupBy(F.to_date(F.date_trunc("week", "o_orderdate")).alias("period"), (F.col("c_nationkey") % 8).cast("int").alias("region_no")).agg(
+        (3000 + F.sum(F.col("o_orderkey") % 1000) % 1500).cast("long").alias("value_milli")
+    )
+
+
+def regions(spark: SparkSession) -> DataFrame:
+    rows = [(i, code, label, area, product, base) for i, (code, _, label, area, product, base) in enumerate(REGIONS)]
+    return spark.createDataFrame(rows, "region_no int, region string, label string, duoarea string, product string, baseline_milli long")
+
+
+def state_regions(spark: SparkSession) -> DataFrame:
+    rows = [(state, code, base) for code, states, _, _, _, base in REGIONS for state in states.split()]
+    return spark.createDataFrame(rows, "state string, region string, baseline_milli long")
+
+
+def route_points(spark: SparkSession, sf_dir: str, n: int = 65) -> DataFrame:
+    """(route_id, seq, lat_u, lng_u): a straight line with an integer zig-zag across it, in micro-degrees."""
+    k = F.col("route_id")
+    i = F.col("seq").cast("long")
+    lat0, lng0 = 31_000_000 + k * 7919 % 13_000 * 1000, -119_000_000 + k * 104729 % 20_000 * 1000
+    lat1, lng1 = 31_000_000 + k * 6101 % 13_000 * 1000, -97_000_000 + k * 15013 % 20_000 * 1000
+    wiggle = F.when(i % 4 == 1, 150_000).when(i % 4 == 3, -150_000).otherwise(0)
+    at = lambda a, b: a + F.floor((b - a) * i / (n - 1)).cast("long")
+    rows = routes(spark, sf_dir).select("route_id", "total_milli_mi", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("seq"))
+    return rows.select("route_id", "total_milli_mi", "seq", (at(lat0, lat1) + wiggle).alias("lat_u"), at(lng0, lng1).alias("lng_u"))

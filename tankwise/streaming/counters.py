@@ -1,0 +1,31 @@
+"""Time-keyed counters and a debounce, as batch windows and as Structured Streaming."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+
+def capped_calls(events: DataFrame, cap: int) -> DataFrame:
+    """Calls admitted per user and calendar day: the first ``cap`` of the day; 0 admits none."""
+    order = Window.partitionBy("user_id", "day").orderBy("ts", "event_id")
+    rows = events.withColumn("day", F.date_format("ts", "yyyy-MM-dd")).withColumn("n", F.row_number().over(order))
+    return rows.groupBy("day").agg(F.count(F.lit(1)).alias("calls"), F.count_if(F.col("n") <= cap).alias("admitted"))
+
+
+def debounced(events: DataFrame, gap_seconds: int) -> DataFrame:
+    """Per user the last event of each burst: no other follows within the gap."""
+    after = F.lead("ts").over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
+    return events.withColumn("_next", after).where(F.col("_next").isNull() | (F.unix_micros(F.col("_next").cast("timestamp")) - F.unix_micros(F.col("ts").cast("timestamp")) > gap_seconds * 1_000_000)).drop("_next")
+
+
+def stream_daily_counts(stream: DataFrame, late: str = "1 day") -> DataFrame:
+    """Calls per day and event type of a stream, with a watermark for late rows."""
+    timed = stream.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
+    return timed.groupBy(F.window("ts", "1 day"), "event_type").agg(F.count(F.lit(1)).alias("calls"))
+
+
+def stream_bursts(stream: DataFrame, gap: str = "500 milliseconds", late: str = "1 day") -> DataFrame:
+    """Bursts of a user by session windows, with the last event of each."""
+    timed = stream.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
+    return timed.groupBy(F.session_window("ts", gap), "user_id").agg(F.max_by("event_id", F.struct("ts", "event_id")).alias("last_event_id"), F.count(F.lit(1)).alias("events"))
