@@ -1,0 +1,352 @@
+"""The training-data operators against brute force, with nulls, empty and long texts, ties, repeats and extra columns."""
+
+import base64
+import hashlib
+import random
+import re
+import zlib
+
+import numpy as np
+import pytest
+import xxhash
+from pyspark.sql import functions as F
+
+from tankwise.llm import components, decontaminate, media_sniff, mixing, quality_gam, queries, secret_scan, simhash, substring_dedup, token_store, url_rules, warc_store
+
+SF = "/root/testdata/sf0.001"
+WORDS = "river stone meadow cloud copper lantern orbit velvet harbor thicket ember quartz willow summit canyon ripple marble falcon timber breeze".split()
+
+
+def prose(seed, n):
+    rng = random.Random(seed)
+    return " ".join(rng.choice(WORDS) + str(rng.randint(0, 30)) * rng.randint(0, 1) for _ in range(n))
+
+
+def docs(spark, rows):
+    """Rows of (id, text); further columns clash with names that operators use inside."""
+    full = [(i, t, "en", "s", len(t or ""), "x", 1) for i, t in rows]
+    return spark.createDataFrame(full, "doc_id long, text string, lang string, source string, n_chars long, fp string, size int")
+
+
+@pytest.fixture(scope="module")
+def awkward(spark):
+    long = prose(3, 30_000)
+    return docs(spark, [(1, None), (2, ""), (3, "  \n\t "), (4, prose(1, 80)), (4, prose(1, 80)), (5, prose(1, 80)), (6, long), (7, "one"), (None, "no id here"), (8, "É ü 日本 😀")])
+
+
+def by_id(df):
+    return {r[0]: r for r in df.collect()}
+
+
+# --- components and SimHash
+
+
+def test_components(spark):
+    rng = random.Random(2)
+    edges = [(rng.randint(0, 300), rng.randint(0, 300)) for _ in range(150)] + [(i, i + 1) for i in range(400, 460)] + [(7, 7), (None, 3)]
+    parent = {}
+
+    def find(x):
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
+    for a, b in edges:
+        if a is not None and a != b:
+            a, b = sorted((find(a), find(b)))
+            parent[b] = a
+    got = dict(map(tuple, components.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()))
+    assert got == {x: find(x) for x in parent}
+    assert components.connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def plain_fingerprint(text):
+    words = [w for w in re.split(r"[\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m.group().lower(), text or "")) if w]
+    if not words:
+        return 0
+    shingles = [" ".join(words[i : i + 3]) for i in range(len(words) - 2)] or [" ".join(words)]
+    hashes = [xxhash.xxh64_intdigest(s.encode(), 42) for s in shingles]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def test_simhash_rows(spark, awkward):
+    got = simhash.near_duplicates(awkward).collect()
+    assert len(got) == awkward.count()
+    texts = {r["doc_id"]: r["text"] for r in awkward.collect()}
+    assert all(r["fp"] % 2**64 == plain_fingerprint(texts[r["id"]]) for r in got)
+    named = {r["id"]: r["component_id"] for r in got}
+    assert named[1] == named[2] == named[3] == 1 and named[4] == named[5] == 4
+    assert sorted(str(r["doc_id"]) for r in simhash.keep_one_of_each(awkward).collect()) == ["1", "4", "6", "7", "8", "None"]
+    assert simhash.near_duplicates(awkward.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("bucket", [8192, 4])
+def test_simhash_links_equal_brute_force(spark, bucket):
+    rng = random.Random(4)
+    base = [rng.getrandbits(64) for _ in range(40)]
+    prints = set(base)
+    for b in base[:8]:
+        for _ in range(30):
+            x = b
+            for bit in rng.sample(range(64), rng.randint(1, 5)):
+                x ^= 1 << bit
+            prints.add(x)
+    for low in range(40):  # one crowded half
+        prints.add(base[0] & ~0xFFFFFFFF | rng.getrandbits(32))
+    signed = sorted(int(np.uint64(x).astype(np.int64)) for x in prints)
+    root = {x: x for x in signed}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, a in enumerate(signed):
+        for b in signed[i + 1 :]:
+            if ((a ^ b) % 2**64).bit_count() <= 3:
+                u, v = sorted((find(a), find(b)))
+                root[v] = u
+    links = simhash.fingerprint_links(spark.createDataFrame([(x,) for x in signed], "fp long"), 3, bucket)
+    assert all(((r["a"] ^ r["b"]) % 2**64).bit_count() <= 64 for r in links.collect())
+    got = dict(map(tuple, components.connected_components(links).collect()))
+    assert {x: got.get(x, x) for x in signed} == {x: find(x) for x in signed}
+
+
+# --- repeats and leaks
+
+
+def test_repeats_are_found_wherever_they_stand(spark):
+    passage = prose(50, 60)
+    rows = [(1, prose(10, 40) + "\n" + passage + "\n" + prose(11, 30)), (2, prose(12, 33) + " " + passage + " " + prose(13, 20)), (3, prose(14, 200)), (4, "short line\n" + prose(15, 40)), (5, "short line\n" + prose(16, 40)), (6, None), (7, "")]
+    frame = docs(spark, rows)
+    spans = substring_dedup.repeated_spans(frame).collect()
+    assert {r["id"] for r in spans} == {2} and {r["kept_id"] for r in spans} == {1}
+    text = dict(rows)[2]
+    assert all(text[r["start"] : r["stop"]] in passage for r in spans) and sum(r["words"] for r in spans) >= 30
+    cleaned = {r["doc_id"]: r["text"] for r in substring_dedup.remove_repeats(frame).collect()}
+    span = spans[0]
+    assert cleaned[2] == text[: span["start"]] + text[span["stop"] :] and cleaned[1] == rows[0][1] and cleaned[6] is None
+    assert substring_dedup.repeated_spans(frame.limit(0)).count() == 0
+
+
+def test_units_cover_words_and_digests_ignore_case():
+    text = prose(9, 500).replace(" ", "  ", 7) + "\n\nLast Line"
+    found = list(substring_dedup.units(text))
+    assert sum(n for _, _, n, _ in found) == len(re.findall(r"\w+", text))
+    assert [d for *_, d in found] == [d for *_, d in substring_dedup.units(text.upper())]
+
+
+def test_awkward_repeats(spark, awkward):
+    assert {r["id"] for r in substring_dedup.repeated_spans(awkward).collect()} == {5}
+
+
+def test_templates(spark):
+    question = "If Tom buys 12 apples and 30 pears for 5 km of road, how many fruits does Tom carry home after the market closes"
+    other = question.replace("Tom", "Anna").replace("12", "7").replace("30", "44").replace("5 km", "9 miles")
+    mixed = "If Tom buys 12 apples and 30 pears for 5 km of road, how many fruits does Anna carry home after the market closes"
+    bench = spark.createDataFrame([(1, question), (2, None), (3, ""), (1, question)], "item_id long, text string")
+    frame = docs(spark, [(1, prose(1, 30) + ". " + other + ". " + prose(2, 20)), (2, question), (3, prose(3, 100)), (4, None), (5, ""), (None, question), (6, " ".join(question.split()[:9])), (7, question + " " + mixed)])
+    got = by_id(decontaminate.contaminated(frame, bench))
+    assert set(got) >= {1, 2} and not {3, 4, 5, 6, None} & set(got)
+    assert got[1]["n_slots"] >= 4 and got[1]["n_consistent"] == got[1]["n_slots"]
+    left = [r["doc_id"] for r in decontaminate.drop_contaminated(frame, bench).collect()]
+    assert None in left and 3 in left and 1 not in left
+    assert decontaminate.contaminated(frame.limit(0), bench).count() == 0 and decontaminate.contaminated(frame, bench.limit(0)).count() == 0
+
+
+def test_inconsistent_slots_are_refused(spark):
+    item = "pay 10 to the 20 clerk then 30 for the old 10 maps and 20 coins or 30 pens"
+    twisted = "pay 1 to the 2 clerk then 3 for the old 4 maps and 5 coins or 6 pens"
+    got = decontaminate.contaminated(docs(spark, [(1, twisted), (2, item)]), spark.createDataFrame([(1, item)], "item_id long, text string"))
+    assert [r["id"] for r in got.collect()] == [2]
+
+
+def test_op2_equals_whole_passage_search(spark):
+    got = {(r["doc_id"], r["item_id"]) for r in queries.op2_benchmark_decontamination(spark, SF).collect()}
+    words = lambda t: " ".join(re.findall(r"\w+", t.lower()))
+    bench = [(r["item_id"], " " + " ".join(words(r["text"]).split()[1:-1]) + " ") for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    want = {(r["doc_id"], i) for r in spark.read.parquet(f"{SF}/documents.parquet").collect() for i, t in bench if t in f" {words(r['text'])} "}
+    assert got == want
+
+
+# --- mixing
+
+
+def test_quotas():
+    assert mixing.quotas([10, 100, 1000], [5, 2, 1], 1110) == [30.0, 300.0, 780.0]
+    assert mixing.quotas([0, 0], [5, 2], 0) == [0.0, 0.0] and mixing.quotas([], [], 0) == []
+
+
+def test_flow_uses_repeats_only_where_needed():
+    assert mixing.route([((0,), 10), ((1,), 100), ((0, 1), 50)], [60, 100]) == [10, 100, 50]
+    assert mixing.route([((0,), 10)], [25]) == [25] and mixing.route([((0,), 10)], [90]) == [30]
+
+
+def test_mix_is_near_targets_and_stable(spark):
+    rows = [(i, [f"s{i % 3}"] if i % 7 else ["s0", "s1"], 10 + i % 13) for i in range(600)] + [(900, [None], 5), (901, ["s2"], 0), (1, ["s1"], 11)]
+    frame = spark.createDataFrame(rows, "id long, sources array<string>, size long")
+    a, b = (sorted(map(tuple, mixing.mix(frame).drop("sources").collect())) for _ in range(2))
+    assert a == b and len(a) == len(rows)
+    assert all(taken in (0, size, 2 * size, 3 * size) for _, size, _, _, taken, _ in a)
+    single = spark.createDataFrame([r for r in rows if len(r[1]) == 1], frame.schema)
+    got = mixing.mix(single).groupBy(F.element_at("sources", 1).alias("s")).agg(F.sum("taken").alias("taken"), F.first("target").alias("target")).collect()
+    assert all(abs(r["taken"] - r["target"]) <= 25 for r in got)
+    assert mixing.mix(frame.limit(0)).count() == 0
+
+
+def test_mix_documents_repeats_rows(spark, awkward):
+    out = mixing.mix_documents(awkward)
+    assert out.columns == awkward.columns and None in [r["doc_id"] for r in out.collect()]
+    assert mixing.measured(awkward).where("id = 6").first()["size"] == 30_000
+
+
+# --- quality
+
+
+def test_quality_held_out_accuracy(spark):
+    d = "/root/testdata/sf0.01"
+    got = queries.op4_quality_classifier(spark, d).join(spark.read.parquet(f"{d}/labels.parquet"), "doc_id").where("held_out")
+    right = got.agg(F.avg((F.col("predicted") == F.col("quality")).cast("int"))).first()[0]
+    assert right >= 0.95
+    want = {r["doc_id"]: zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0 for r in got.collect()}
+    assert all(want.values())
+
+
+def test_quality_edges(spark, awkward):
+    none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    model = quality_gam.train(awkward, none)
+    assert all(abs(r["score"] - 0.5) < 1e-9 for r in quality_gam.score(awkward, model).collect())
+    assert quality_gam.keep_good(awkward, model).count() == awkward.count() and quality_gam.keep_good(awkward, model).columns == awkward.columns
+    some = spark.createDataFrame([(4, None, 0), (6, 1, 0), (6, 0, 1), (7, 1, 0)], "doc_id long, quality int, toxic int")
+    assert quality_gam.score(awkward.limit(0), quality_gam.train(awkward, some)).count() == 0
+
+
+def test_tables_add_up():
+    rng = np.random.default_rng(1)
+    x = rng.random((2000, len(quality_gam.FEATURES)))
+    y = ((x[:, 0] > 0.5) ^ (x[:, 1] > 0.5)).astype(float)  # an interaction alone
+    p = quality_gam.fit(x, y).score(x)
+    assert ((p > 0.5) == y).mean() > 0.95
+
+
+# --- media
+
+
+def test_media_round_trip(spark, awkward):
+    texts = {r["doc_id"]: r["text"] or "" for r in awkward.collect()}
+    for r in media_sniff.media_features(media_sniff.stored_media(awkward)).collect():
+        raw = texts[r["id"]].encode()
+        padded = raw + b" " * (-len(raw) % 192 or (0 if raw else 192))
+        assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(raw), len(padded), hashlib.sha256(padded).hexdigest(), zlib.crc32(padded[-16:]))
+        assert r["media_sha256"] == hashlib.sha256(media_sniff.wav(padded)).hexdigest() and r["feature"].startswith("audio/wav;")
+
+
+def test_sniffing_corrects_and_carves(spark):
+    chunk = lambda kind, body: len(body).to_bytes(4, "big") + kind + body + zlib.crc32(kind + body).to_bytes(4, "big")
+    png = b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", b"\0" * 13) + chunk(b"IEND", b"")
+    zipped = zlib.compressobj(wbits=31)
+    gz = zipped.compress(b"hello") + zipped.flush()
+    gif = b"GIF89a" + b"\1\0\1\0\0\0\0" + b"," + b"\0" * 9 + b"\2\2\x4c\1\0;"
+    data = b"junk" + png + b"GIF89a broken" + gz + gif
+    assert media_sniff.carve(data) == [("image/png", 4, len(png)), ("application/gzip", 17 + len(png), len(gz)), ("image/gif", 17 + len(png) + len(gz), len(gif))]
+    frame = spark.createDataFrame([(png, "image/jpeg"), (None, "text/plain"), (b"", None), (png[:-3], "image/png")], "data binary, declared string")
+    got = [(r["media_type"], r["declared_ok"]) for r in media_sniff.sniffed(frame, "data", "declared").collect()]
+    assert got == [("image/png", False), ("text/plain", None), (None, None), ("image/png", None)]
+
+
+# --- URLs
+
+
+def test_url_rules(spark):
+    rules = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("a.example.net", "/en/x", "block"), ("org", "", "block"), ("zz", "/", "block"), (None, "/", "block")]
+    urls = ["http://net/a", "http://x.example.net/en/1", "HTTP://A.EXAMPLE.NET/en/xy?q#f", "http://b.a.example.net/en/x", "http://example.net/de/", "http://subnet/a", "http://q.org", "http://com/", None, "no scheme", "x://", "http://net", "http://netx.com/"] * 2
+    frame = spark.createDataFrame([(i, u, "h", "p") for i, u in enumerate(urls)], "page_id long, url string, host string, path string")
+
+    def plain(url):
+        m = re.search(r"(?s)^.*?://([^/?#]*)([^?#]*)", url or "")
+        host, path = (m[1].lower(), m[2]) if m else ("", "")
+        fit = [(len(h + p), v, h + p) for h, p, v in rules if h and (host == h or host.endswith("." + h)) and path.startswith(p)]
+        return (host, path, *(max(fit)[:0:-1] if fit else (None, "allow")))
+
+    got = by_id(url_rules.judged(frame, spark.createDataFrame(rules, "host string, path string, verdict string")))
+    assert {i: tuple(r)[1:] for i, r in got.items()} == {i: plain(u) for i, u in enumerate(urls)}
+    assert url_rules.judged(frame.limit(0), spark.createDataFrame(rules, "host string, path string, verdict string")).count() == 0
+
+
+# --- secrets
+
+
+def test_secrets(spark):
+    text = "Password = 'abcdefghijkl1234' token:short AKIA" + "A1B2C3D4E5F6G7H8 x 0123456789abcdef0 secret:token:abcdefghijklmnop id 123e4567-e89b-12d3-a456-426614174000 key Zx9Qw8Er7Ty6Ui5Op4As3Df2"
+    got = [(secret_scan.KINDS[k], text[a:b]) for a, k, b in secret_scan.scan(text)]
+    kinds = [k for k, _ in got]
+    assert kinds.count("assign") == 1 and kinds.count("access") == 1 and ("hex", "0123456789abcdef0") in got
+    assert ("entropy", "Zx9Qw8Er7Ty6Ui5Op4As3Df2") in got and not any("426614174000" in s for k, s in got if k == "entropy")
+    assert secret_scan.scan(None) == secret_scan.scan("") == [] and secret_scan.entropy_spans("a" * 40) == []
+
+
+def test_sliding_entropy_equals_direct():
+    rng = random.Random(8)
+    run = "".join(rng.choice("abcXYZ0123456789") for _ in range(60))
+    _, alphabet, least, digits = secret_scan.CLASSES[1]
+    direct = []
+    for i in range(len(run) - 19):
+        w = run[i : i + 20]
+        h = -sum(w.count(c) / 20 * np.log2(w.count(c) / 20) for c in set(w))
+        if h >= least + 1e-9 and sum(c.isdigit() for c in w) >= digits:
+            direct.append((i, i + 20))
+    spans = secret_scan.entropy_spans(run)
+    assert all(any(a <= i and j <= b for a, b in spans) for i, j in direct)
+
+
+def test_secret_rows(spark, awkward):
+    got = secret_scan.secrets(awkward).collect()
+    assert len(got) == awkward.count() and all(r["base_sha256"] == hashlib.sha256(b"").hexdigest() for r in got if r["id"] in (1, 2))
+
+
+# --- tokens
+
+
+@pytest.mark.parametrize("bits", [1, 5, 13, 16, 17, 31])
+def test_packing(bits):
+    ids = np.random.default_rng(bits).integers(0, 1 << bits, 1000).astype(np.uint32)
+    packed = token_store.pack(ids, bits)
+    assert len(packed) == -(-1000 * bits // 8)
+    assert np.array_equal(token_store.unpack(packed, bits, 1000), ids) and np.array_equal(token_store.unpack(packed, bits, 50, 333), ids[333:383])
+
+
+def test_tokens_equal_the_library(spark, awkward):
+    from tokenizers import Tokenizer
+
+    path = queries.tokenizer_path()
+    tok = Tokenizer.from_file(path)
+    odd = docs(spark, [(20, "a  b\n\n c\tx_y don't <|endoftext|> ½²"), (21, "x y" * 3), (22, "Plain words,\nand lines.")])
+    frame = awkward.union(odd)
+    blocks = token_store.write_tokens(frame, path)
+    got = sorted(((r["id"] is None, r["id"] or 0, r["start"]), r) for r in token_store.read_documents(blocks).collect())
+    start = 0
+    for r, (key, text) in zip((r for _, r in got), sorted(((r["doc_id"], r["text"] or "") for r in frame.collect()), key=lambda x: (x[0] is None, x[0] or 0, x[1]))):
+        ids = np.array(tok.encode(text, add_special_tokens=False).ids + [2], "<u4")
+        assert (r["id"], r["start"], r["n_tokens"], r["ids_crc32"]) == (key, start, len(ids), zlib.crc32(ids.tobytes()))
+        start += len(ids)
+    assert token_store.read_ids(blocks, 22)[0].tolist() == tok.encode("Plain words,\nand lines.", add_special_tokens=False).ids + [2]
+    assert token_store.read_documents(token_store.write_tokens(frame.limit(0), path)).count() == 0
+
+
+# --- WARC
+
+
+def test_warc(spark):
+    rows = [(5, "http://a", "same"), (3, "http://b", "same"), (9, None, "same"), (4, "u", None), (6, "u", ""), (7, "v", "alone é"), (None, "n", "same"), (8, "x", "twice"), (8, "y", "twice")]
+    pages = spark.createDataFrame([(*r, "d") for r in rows], "page_id long, url string, html string, digest string")
+    records, payloads = warc_store.archive(pages)
+    assert payloads.count() == 4
+    back = warc_store.record_fields(warc_store.restored(records, payloads)).collect()
+    html = {(i, h or "") for i, _, h in rows}
+    assert {(r["id"], bytes(r["payload"]).decode()) for r in back} == html and all(r["digest_ok"] for r in back)
+    kinds = {r["id"]: (r["record_type"], r["refers_to"]) for r in back}
+    assert kinds == {3: ("response", None), 5: ("revisit", 3), 9: ("revisit", 3), None: ("revisit", 3), 4: ("response", None), 6: ("revisit", 4), 7: ("response", None), 8: ("response", None)}
+    got = {r["payload_digest"] for r in warc_store.payload_digests(payloads).collect()}
+    assert got == {base64.b32encode(hashlib.sha1(h.encode()).digest()).decode() for _, h in html}
+    empty = warc_store.archive(pages.limit(0))
+    assert warc_store.restored(*empty).count() == 0
