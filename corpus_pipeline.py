@@ -36,8 +36,11 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Writes the documents' token ids and returns what is read back, one row per document row."""
-    return token_store.read_documents(token_store.write_tokens(docs, tokenizer_path())).withColumnRenamed("id", "doc_id")
+    """Writes the documents' token ids and returns what is read back, one row per document row.
+
+    Workers get less memory than the lone operator's: the executors still hold that of the stages before.
+    """
+    return token_store.read_documents(token_store.write_tokens(docs, tokenizer_path(), remembered=450_000, texts=1000)).withColumnRenamed("id", "doc_id")
 
 
 STAGES = [

@@ -75,12 +75,13 @@ class Encoder:
     all words stand in flat arrays.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, remembered: int = REMEMBERED):
+        self.remembered = remembered
         self.tok = _tokenizer(path)
         self.special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
         self.line = self._one("\n")
         self.place: dict[str, int] = {}
-        self.ids, self.sizes = np.empty(0, np.uint32), np.empty(0, np.int64)
+        self.ids, self.sizes = np.empty(0, np.uint32), np.empty(0, np.int32)
         self._add(["\n"], [self.line], np.array([len(self.line)]))
 
     def _one(self, text: str) -> np.ndarray:
@@ -91,7 +92,7 @@ class Encoder:
 
     def _add(self, names: list[str], ids: list[np.ndarray], sizes: np.ndarray) -> None:
         self.place.update(zip(names, range(len(self.place), len(self.place) + len(names))))
-        self.ids, self.sizes = np.concatenate((self.ids, *ids)), np.concatenate((self.sizes, sizes))
+        self.ids, self.sizes = np.concatenate((self.ids, *ids)), np.concatenate((self.sizes, sizes.astype(np.int32)))
 
     def _learn(self, pieces: list[str]) -> None:
         """Encode new pieces, many to a call: a line end between pieces is a piece of its own."""
@@ -119,18 +120,18 @@ class Encoder:
         return np.array(found, dtype=np.int64)
 
     def _trim(self) -> None:
-        """Forget the words that came after the first REMEMBERED, which tend to be the rare ones."""
-        if len(self.place) > REMEMBERED:
-            while len(self.place) > REMEMBERED:
+        """Forget the words that came after the first ``remembered``, which tend to be the rare ones."""
+        if len(self.place) > self.remembered:
+            while len(self.place) > self.remembered:
                 self.place.popitem()
-            self.sizes = self.sizes[:REMEMBERED]
+            self.sizes = self.sizes[: self.remembered]
             self.ids = self.ids[: int(self.sizes.sum())]
 
     def gather(self, numbers: np.ndarray) -> np.ndarray:
         """Ids of the numbered words, one after another."""
         begin, n = (np.cumsum(self.sizes) - self.sizes)[numbers], self.sizes[numbers]
         ends = np.cumsum(n)
-        return self.ids[np.arange(ends[-1] if len(ends) else 0) + np.repeat(begin - ends + n, n)]
+        return self.ids[np.arange(ends[-1] if len(ends) else 0, dtype=np.int32) + np.repeat((begin - ends + n).astype(np.int32), n)]
 
     def __call__(self, texts: list[str | None]) -> list[np.ndarray]:
         out: list[np.ndarray | None] = [None] * len(texts)
@@ -165,20 +166,21 @@ class Encoder:
 
 
 @lru_cache(maxsize=1)
-def _encoder(path: str) -> Encoder:
-    return Encoder(path)
+def _encoder(path: str, remembered: int) -> Encoder:
+    return Encoder(path, remembered)
 
 
-def write_tokens(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID) -> DataFrame:
+def write_tokens(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID, remembered: int = REMEMBERED, texts: int = TEXTS) -> DataFrame:
     """Encode, pack and write all documents in ascending id order (null ids last); return the written blocks.
 
-    Null and empty texts hold the end id alone.  Repeated ids keep their rows, in the order of their texts.
+    ``remembered`` words and ``texts`` at a time bound a worker's memory; results don't depend on them.  Null and empty
+    texts hold the end id alone.  Repeated ids keep their rows, in the order of their texts.
     """
     bits = vocabulary_bits(tokenizer, end_id)
     schema = pa.schema([(x.split()[0], t) for x, t in zip(_BLOCKS.split(", "), _BLOCK_TYPES)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, block = _encoder(tokenizer), 0
+        encode, block = _encoder(tokenizer, remembered), 0
         keys, parts, held, shard = [], [], 0, 0
 
         def flush() -> pa.RecordBatch:
@@ -187,11 +189,10 @@ def write_tokens(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_c
             return pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(row, schema)], schema=schema)
 
         for batch in batches:
-            for at in range(0, batch.num_rows, TEXTS):
-                piece = batch.slice(at, TEXTS)
-                texts = piece.column(1).to_pylist()
+            for at in range(0, batch.num_rows, texts):
+                piece = batch.slice(at, texts)
                 shard = piece.column(2)[0].as_py()
-                for key, ids in zip(piece.column(0).to_pylist(), encode(texts)):
+                for key, ids in zip(piece.column(0).to_pylist(), encode(piece.column(1).to_pylist())):
                     keys.append(key)
                     parts.append(np.append(ids, np.uint32(end_id)))
                     held += len(ids) + 1
