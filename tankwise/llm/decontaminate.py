@@ -100,4 +100,4 @@ def contaminated(
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of ``docs``, all columns, in which no benchmark item is found.  Rows without an id stay."""
     bad = materialise(contaminated(docs, benchmark, id_col, text_col, **options).select(F.col("id").alias("_bad_id")).distinct(), "contaminated-ids")
-    return docs.join(bad, F.col(id_col) == F.col("_bad_id"), "left_anti")
+    return docs.join(bad.hint("merge"), F.col(id_col) == F.col("_bad_id"), "left_anti")

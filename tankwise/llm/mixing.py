@@ -161,6 +161,6 @@ def mix_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """
     taken = mix(measured(docs.where(F.col(id_col).isNotNull()), id_col, text_col, source_col), **options).where("times > 0")
     taken = materialise(taken.groupBy("id").agg(F.max("times").cast("int").alias("_times")), "mix-taken").withColumnRenamed("id", "_taken_id")
-    joined = docs.join(taken, F.col(id_col) == F.col("_taken_id"))
+    joined = docs.join(taken.hint("merge"), F.col(id_col) == F.col("_taken_id"))
     again = joined.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("_times"))).alias("_again")).select(*docs.columns)
     return again.unionByName(docs.where(F.col(id_col).isNull()))

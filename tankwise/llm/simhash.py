@@ -207,7 +207,7 @@ def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """
     groups = near_duplicates(docs.where(F.col(id_col).isNotNull()), id_col, text_col, shingle, k)
     kept = materialise(groups.where("id = component_id").groupBy("id").agg(F.count(F.lit(1)).alias("n")), "simhash-kept")
-    out = docs.join(kept.select(F.col("id").alias("_kept_id")), F.col(id_col) == F.col("_kept_id"), "left_semi")
+    out = docs.join(kept.select(F.col("id").alias("_kept_id")).hint("merge"), F.col(id_col) == F.col("_kept_id"), "left_semi")
     if kept.where("n > 1").limit(1).count():
         out = out.dropDuplicates([id_col])
     return out.unionByName(docs.where(F.col(id_col).isNull()))
