@@ -69,3 +69,8 @@ def duration(seconds: Column) -> Column:
     minutes = F.floor((seconds + 30) / 60).cast("long")
     hours = F.floor(minutes / 60).cast("long")
     return F.when(hours > 0, F.format_string("%dh %02dm", hours, minutes % 60)).otherwise(F.format_string("%dm", minutes))
+
+
+def csv_field(s: Column) -> Column:
+    """A CSV field, quoted if it holds a comma, a quote or a line end."""
+    return F.when(s.rlike('[",\r\n]'), F.concat(F.lit('"'), F.replace(s, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(s)

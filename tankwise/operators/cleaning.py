@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -86,3 +88,26 @@ def upsert_plan(snapshot: DataFrame, files: DataFrame, value: str) -> DataFrame:
     old = snapshot.select("opis_id", F.col(value).alias("_old"), F.lit(True).alias("_had"))
     change = F.when(F.col("_had").isNull(), "created").when(F.col("_in").isNull(), "untouched").when(F.col("_old").eqNullSafe(F.col("_new")), "unchanged").otherwise("updated")
     return old.join(new, "opis_id", "full").select("opis_id", F.when(F.col("_in"), F.col("_new")).otherwise(F.col("_old")).alias(value), change.alias("change"))
+
+
+def overlapping(places: DataFrame, boxes: tuple[tuple[int, int, int, int], ...]) -> DataFrame:
+    """Rows whose ``bbox`` struct meets one of the (south, north, west, east) boxes; plain field ranges, so scans can use them."""
+    b = lambda f: F.col(f"bbox.{f}")
+    hits = [(b("ymax") >= s) & (b("ymin") <= n) & (b("xmax") >= w) & (b("xmin") <= e) for s, n, w, e in boxes]
+    return places.where(reduce(Column.__or__, hits))
+
+
+def hash_sample(df: DataFrame, key: str, seed: str, share: float) -> DataFrame:
+    """Rows whose seeded key digest falls in the lowest ``share`` of 10,000 bins: the same rows in every run."""
+    digest = F.substring(F.sha2(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")), 256), 1, 12)
+    return df.where(F.conv(digest, 16, 10).cast("long") % 10_000 < round(share * 10_000))
+
+
+def location_kind(s: Column) -> Column:
+    """``point`` for a coordinate pair inside the bounds, ``out_of_bounds`` for one outside, ``address`` up to 256 characters, else ``invalid``."""
+    s = F.trim(s)
+    pair = F.when(s.rlike(r"^-?[0-9.]+ *, *-?[0-9.]+$"), F.split(s, ","))
+    lat, lng = (F.trim(F.get(pair, i)).try_cast("double") for i in (0, 1))
+    inside = lat.between(24.4, 49.4) & lng.between(-125.0, -66.9)
+    point = F.when(inside, "point").otherwise("out_of_bounds")
+    return F.when(lat.isNotNull() & lng.isNotNull(), point).when(F.char_length(s).between(1, 256), "address").otherwise("invalid")

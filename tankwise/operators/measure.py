@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -28,3 +28,42 @@ def quantile_edges(df: DataFrame, value: str, bins: int) -> DataFrame:
     listed = df.where(F.col(value).isNotNull()).groupBy("route_id").agg(F.sort_array(F.collect_list(value)).alias("v"))
     edge = lambda i: F.get("v", F.floor(F.size("v") * i / bins).cast("int"))
     return listed.select("route_id", F.posexplode(F.array(*[edge(i) for i in range(1, bins)])).alias("i", "edge_milli")).select("route_id", (F.col("i") + 1).cast("long").alias("bin"), "edge_milli")
+
+
+def by_rung(effort: DataFrame, ladder: tuple[int, ...]) -> DataFrame:
+    """Cells that each rung admits for the first time, those in (previous rung, rung]; null is beyond the ladder."""
+    rung = F.coalesce(*[F.when(F.col("estimate") <= r, F.lit(r).cast("long")) for r in ladder])
+    return effort.groupBy(rung.alias("rung")).agg(F.count(F.lit(1)).alias("newly_admitted"))
+
+
+def adopted_rung(effort: DataFrame, ladder: tuple[int, ...], most_nodes: int) -> DataFrame:
+    """The ladder's rungs with the largest admitted cell; ``adopted`` holds up to the first rung that exceeds ``most_nodes``."""
+    largest = [F.coalesce(F.max(F.when(F.col("estimate") <= r, F.col("nodes"))), F.lit(0)) for r in ladder]
+    rows = effort.agg(*[c.alias(f"r{i}") for i, c in enumerate(largest)]).select(F.explode(F.array(*[F.struct(F.lit(r).cast("long").alias("rung"), F.col(f"r{i}").alias("largest")) for i, r in enumerate(ladder)])).alias("x"))
+    walk = Window.partitionBy(F.lit(1)).orderBy("rung")  # as many rows as the ladder has rungs
+    return rows.select("x.*").select("rung", "largest", F.every(F.col("largest") <= most_nodes).over(walk).alias("adopted"))
+
+
+def induced_threshold(cells: DataFrame, group: str, value: str, censored: str) -> DataFrame:
+    """Per group the largest uncensored value below the least censored one, and how many cells lie up to it."""
+    least = cells.groupBy(group).agg(F.min(F.when(F.col(censored), F.col(value))).alias("least_censored"))
+    below = ~F.col(censored) & (F.col("least_censored").isNull() | (F.col(value) < F.col("least_censored")))
+    return cells.join(least, group).groupBy(group).agg(F.max(F.when(below, F.col(value))).alias("threshold"), F.count_if(below).alias("retained"), F.count(F.lit(1)).alias("cells"))
+
+
+def filled_linear(df: DataFrame, key: str, order: list[str], value: str) -> DataFrame:
+    """Nulls of an ordered series on the straight line between their neighbours, the nearest value at the ends; all null stays null."""
+    line = Window.partitionBy(key).orderBy(*order)
+    rows = df.withColumn("i", F.row_number().over(line))
+    known = F.when(F.col(value).isNotNull(), F.struct(F.col("i"), F.col(value).alias("v")))
+    by_i = Window.partitionBy(key).orderBy("i")
+    rows = rows.withColumn("k", known).withColumn("p", F.last("k", ignorenulls=True).over(by_i)).withColumn("q", F.first("k", ignorenulls=True).over(by_i.rowsBetween(0, Window.unboundedFollowing)))
+    share = (F.col("i") - F.col("p.i")) / F.nullif(F.col("q.i") - F.col("p.i"), F.lit(0))
+    return rows.withColumn("filled", F.coalesce(F.col("p.v") + share * (F.col("q.v") - F.col("p.v")), "p.v", "q.v")).drop("k", "p", "q")
+
+
+def content_digest(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Twelve hex digits that name a table's rows, in whatever order: row digests are summed, so no row set meets in one task."""
+    row = F.sha2(F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns]), 256)
+    parts = [F.sum(F.conv(F.substring(row, 1 + 12 * i, 12), 16, 10).cast("decimal(20,0)")) for i in range(2)]
+    return df.agg(F.count(F.lit(1)).alias("n_rows"), F.substring(F.sha2(F.concat_ws("|", *[p.cast("decimal(38,0)").cast("string") for p in parts]), 256), 1, 12).alias("digest"))

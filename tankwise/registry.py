@@ -510,3 +510,240 @@ def stm1_capped_calls(spark, d):
 @query("""SELECT event_id, user_id FROM (SELECT *, lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS nx FROM events) WHERE nx IS NULL OR epoch_us(nx) - epoch_us(ts) > 3600000000""")
 def stm6_debounced(spark, d):
     return counters.debounced(src.read(spark, d, "events"), 3600).select("event_id", "user_id")
+
+
+# --- legs of a trip
+
+
+_LEGS = """lp AS (SELECT route_id, 0 AS leg, 0::BIGINT AS offset_milli_mi, total_milli_mi * 2 // 5 AS total_milli_mi, seq, lat_u, lng_u FROM v_point WHERE seq <= 24
+  UNION ALL SELECT route_id, 1, total_milli_mi * 2 // 5, total_milli_mi - total_milli_mi * 2 // 5, seq, lat_u, lng_u FROM v_point WHERE seq >= 24)"""
+
+
+def _legs(spark, d):
+    """Points of two legs per route; the boundary point belongs to both."""
+    p = src.route_points(spark, d)
+    cut = F.floor(F.col("total_milli_mi") * 2 / 5).cast("long")
+    first = p.where("seq <= 24").select("route_id", F.lit(0).alias("leg"), F.lit(0).cast("long").alias("offset_milli_mi"), cut.alias("total_milli_mi"), "seq", "lat_u", "lng_u")
+    second = p.where("seq >= 24").select("route_id", F.lit(1).alias("leg"), cut.alias("offset_milli_mi"), (F.col("total_milli_mi") - cut).alias("total_milli_mi"), "seq", "lat_u", "lng_u")
+    return first.unionByName(second)
+
+
+@query(_LEGS + """, q AS (SELECT *, cos(radians(avg(lat_u) OVER (PARTITION BY route_id, leg) / 1e6)) AS k FROM lp),
+g AS (SELECT route_id, leg, offset_milli_mi, total_milli_mi, seq, k, lng_u / 1e6 * 69.172 * k AS a_x, lat_u / 1e6 * 69.172 AS a_y, lead(lng_u) OVER l / 1e6 * 69.172 * k AS b_x, lead(lat_u) OVER l / 1e6 * 69.172 AS b_y FROM q WINDOW l AS (PARTITION BY route_id, leg ORDER BY seq)),
+h AS (SELECT *, sqrt(power(b_x - a_x, 2) + power(b_y - a_y, 2)) AS len FROM g WHERE b_x IS NOT NULL),
+u AS (SELECT *, sum(len) OVER (PARTITION BY route_id, leg ORDER BY seq) - len AS start, sum(len) OVER (PARTITION BY route_id, leg) AS planar FROM h),
+st AS (SELECT opis_id, lat_u, lng_u, CASE WHEN geocode_precision = 'rooftop' THEN 5 ELSE 20 END AS tier FROM v_station WHERE geocode_status = 'ok'),
+bb AS (SELECT route_id, leg, min(lat_u) - 600000 AS y0, max(lat_u) + 600000 AS y1, min(lng_u) - 600000 AS x0, max(lng_u) + 600000 AS x1 FROM lp GROUP BY ALL),
+z AS (SELECT u.*, opis_id, tier, lng_u / 1e6 * 69.172 * k AS px, lat_u / 1e6 * 69.172 AS py FROM bb JOIN st ON lat_u BETWEEN y0 AND y1 AND lng_u BETWEEN x0 AND x1 JOIN u USING (route_id, leg)),
+tt AS (SELECT *, greatest(0, least(1, ((px - a_x) * (b_x - a_x) + (py - a_y) * (b_y - a_y)) / (len * len))) AS t FROM z),
+o AS (SELECT *, sqrt(power(px - (a_x + t * (b_x - a_x)), 2) + power(py - (a_y + t * (b_y - a_y)), 2)) AS off FROM tt),
+w AS (SELECT *, row_number() OVER (PARTITION BY route_id, opis_id ORDER BY off, leg, seq) AS r FROM o WHERE off <= tier)
+SELECT route_id, opis_id, leg, round(off, 3) AS off_mi, round(offset_milli_mi / 1000 + (start + t * len) / planar * total_milli_mi / 1000, 2) AS at_mi FROM w WHERE r = 1""")
+def join2_multi_leg_corridor(spark, d):
+    return corridor.multi_leg_join(_legs(spark, d), src.stations(spark, d))
+
+
+@query("""q AS (SELECT *, cos(radians(sum(lat_u) OVER (PARTITION BY route_id) / 65.0::DOUBLE / 1e6)) AS k, lead(lat_u) OVER l AS lat2, lead(lng_u) OVER l AS lng2 FROM v_point WINDOW l AS (PARTITION BY route_id ORDER BY seq)),
+h AS (SELECT *, sqrt(power((lng2 - lng_u) / 1e6 * 69.172 * k, 2) + power((lat2 - lat_u) / 1e6 * 69.172, 2)) AS len FROM q WHERE lat2 IS NOT NULL),
+u AS (SELECT *, sum(len) OVER (PARTITION BY route_id ORDER BY seq) - len AS start FROM h),
+n AS (SELECT route_id, i, planar * i / 200 AS want FROM (SELECT route_id, sum(len) AS planar FROM u GROUP BY route_id), range(201) t(i))
+SELECT n.route_id, i, round((lat_u + least(1, (want - start) / len) * (lat2 - lat_u)) / 1e6, 4) AS lat, round((lng_u + least(1, (want - start) / len) * (lng2 - lng_u)) / 1e6, 4) AS lng FROM n ASOF JOIN u ON n.route_id = u.route_id AND n.want >= u.start""")
+def mat16_even_samples(spark, d):
+    return corridor.even_samples(src.route_points(spark, d), 200)
+
+
+@query(_PREFLIGHT + """ SELECT route_id, from_milli, to_milli, CASE WHEN from_milli >= total_milli_mi * 2 // 5 THEN 1 ELSE 0 END AS leg FROM pf JOIN v_route USING (route_id) WHERE NOT feasible""")
+def pln16_infeasible_leg(spark, d):
+    bad = search.preflight(src.routes(spark, d), src.candidates(spark, d)).where("NOT feasible")
+    starts = src.routes(spark, d).select("route_id", F.array(F.lit(0).cast("long"), F.floor(F.col("total_milli_mi") * 2 / 5)).alias("starts"))
+    reached = F.size(F.filter("starts", lambda s: s <= F.col("from_milli"))) - 1
+    return bad.join(starts, "route_id").select("route_id", "from_milli", "to_milli", reached.alias("leg"))
+
+
+@query("SELECT l_orderkey AS route_id, l_linenumber AS seg, sum(l_quantity) OVER w - l_quantity AS starts FROM lineitem WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_quantity, l_extendedprice ROWS UNBOUNDED PRECEDING)")
+def win2_leg_starts(spark, d):
+    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_quantity", "l_extendedprice").rowsBetween(Window.unboundedPreceding, 0)
+    return src.read(spark, d, "lineitem").select(F.col("l_orderkey").alias("route_id"), F.col("l_linenumber").alias("seg"), (F.sum("l_quantity").over(w) - F.col("l_quantity")).alias("starts"))
+
+
+@query("SELECT route_id, opis_id, chr((64 + n)::INT) AS letter, round(pos_milli_mi / 1000.0::DOUBLE, 0) AS at_mi FROM (SELECT *, row_number() OVER (PARTITION BY route_id ORDER BY pos_milli_mi, price_milli, opis_id) AS n FROM v_candidate) WHERE n <= 8")
+def win6_waypoint_markers(spark, d):
+    n = F.row_number().over(Window.partitionBy("route_id").orderBy("pos_milli_mi", "price_milli", "opis_id"))
+    marked = src.candidates(spark, d).withColumn("n", n).where("n <= 8")  # a trip takes eight waypoints
+    return marked.select("route_id", "opis_id", F.char((64 + F.col("n")).cast("long")).alias("letter"), F.round(F.col("pos_milli_mi") / 1000, 0).alias("at_mi"))
+
+
+@query("""x AS (SELECT l_orderkey AS route_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_quantity, l_extendedprice) AS i, CASE WHEN l_partkey % 3 <> 0 THEN l_quantity END AS v FROM lineitem),
+y AS (SELECT *, (SELECT max(i) FROM x a WHERE a.route_id = x.route_id AND a.i <= x.i AND a.v IS NOT NULL) AS p, (SELECT min(i) FROM x a WHERE a.route_id = x.route_id AND a.i >= x.i AND a.v IS NOT NULL) AS q FROM x)
+SELECT y.route_id, y.i, round(coalesce(a.v + (y.i - p) * (b.v - a.v)::DOUBLE / nullif(q - p, 0), a.v, b.v), 6) AS filled FROM y LEFT JOIN x a ON a.route_id = y.route_id AND a.i = p LEFT JOIN x b ON b.route_id = y.route_id AND b.i = q""")
+def win10_filled_profile(spark, d):
+    rows = src.read(spark, d, "lineitem").withColumn("v", F.when(F.col("l_partkey") % 3 != 0, F.col("l_quantity")))
+    filled = measure.filled_linear(rows, "l_orderkey", ["l_linenumber", "l_partkey", "l_quantity", "l_extendedprice"], "v")
+    return filled.select(F.col("l_orderkey").alias("route_id"), F.col("i").cast("long").alias("i"), F.round("filled", 6).alias("filled"))
+
+
+# --- measurement ladders
+
+LADDER = (100, 300, 500, 1000, 2000, 4000)
+_RUNGS = "ld(rung) AS (VALUES " + ", ".join(f"({r}::BIGINT)" for r in LADDER) + ")"
+
+
+def _effort(spark, d):
+    return search.effort(src.routes(spark, d), search.pruned(src.candidates(spark, d)))
+
+
+@query(_EFFORT + " SELECT alternative_index, count(*) AS cells, count(*) FILTER (estimate > 1000) AS demoted, round(100.0::DOUBLE * count(*) FILTER (estimate > 1000) / count(*), 1) AS percent, count(DISTINCT CASE WHEN estimate > 1000 THEN tank_milli_mi END) AS tanks FROM ef JOIN v_route USING (route_id) GROUP BY ALL")
+def agg19_demoted_summary(spark, d):
+    over = F.col("estimate") > 1000
+    cells = _effort(spark, d).join(src.routes(spark, d), "route_id")
+    return cells.groupBy("alternative_index").agg(
+        F.count(F.lit(1)).alias("cells"), F.count_if(over).alias("demoted"), F.round(F.lit(100.0) * F.count_if(over) / F.count(F.lit(1)), 1).alias("percent"), F.count_distinct(F.when(over, F.col("tank_milli_mi"))).alias("tanks")
+    )
+
+
+@query(_EFFORT + f", {_RUNGS} SELECT (SELECT min(rung) FROM ld WHERE estimate <= rung) AS rung, count(*) AS newly_admitted FROM ef GROUP BY ALL")
+def agg20_newly_admitted(spark, d):
+    return measure.by_rung(_effort(spark, d), LADDER)
+
+
+@query(_EFFORT + ", c AS (SELECT tank_milli_mi, nodes, estimate > 1000 AS cens FROM ef JOIN v_route USING (route_id)), l AS (SELECT *, min(CASE WHEN cens THEN nodes END) OVER (PARTITION BY tank_milli_mi) AS m FROM c) SELECT tank_milli_mi, max(CASE WHEN NOT cens AND (m IS NULL OR nodes < m) THEN nodes END) AS threshold, count(*) FILTER (NOT cens AND (m IS NULL OR nodes < m)) AS retained, count(*) AS cells FROM l GROUP BY ALL")
+def agg23_induced_threshold(spark, d):
+    cells = _effort(spark, d).withColumn("cens", F.col("estimate") > 1000).join(src.routes(spark, d), "route_id")
+    return measure.induced_threshold(cells, "tank_milli_mi", "nodes", "cens")
+
+
+@query(_EFFORT + f", {_RUNGS}, s AS (SELECT rung, coalesce((SELECT max(nodes) FROM ef WHERE estimate <= rung), 0) AS largest FROM ld) SELECT rung, largest, bool_and(largest <= 14) OVER (ORDER BY rung) AS adopted FROM s")
+def agg30_adopted_rung(spark, d):
+    return measure.adopted_rung(_effort(spark, d), LADDER, 14)
+
+
+@query("""h AS (SELECT sha256(concat_ws('|', opis_id, name, state, price_milli, coalesce(geocode_precision, ''))) AS x FROM v_station) SELECT count(*) AS n_rows, substr(sha256(sum(('0x' || substr(x, 1, 12))::BIGINT)::VARCHAR || '|' || sum(('0x' || substr(x, 13, 12))::BIGINT)::VARCHAR), 1, 12) AS digest FROM h""")
+def agg26_content_digest(spark, d):
+    return measure.content_digest(src.stations(spark, d), ["opis_id", "name", "state", "price_milli", "geocode_precision"])
+
+
+@query(_EFFORT + " SELECT route_id, nodes, total_milli_mi * 1000000 // tank_milli_mi AS tanks_micro, estimate * total_milli_mi // tank_milli_mi AS scaled FROM ef JOIN v_route USING (route_id)")
+def pln18_effort_predictors(spark, d):
+    cells = _effort(spark, d).join(src.routes(spark, d), "route_id")
+    return cells.selectExpr("route_id", "nodes", "total_milli_mi * 1000000 div tank_milli_mi AS tanks_micro", "estimate * total_milli_mi div tank_milli_mi AS scaled")
+
+
+@query("""g AS (SELECT region, round(avg(price_milli), 0)::BIGINT AS mean FROM v_station JOIN v_state USING (state) GROUP BY region) SELECT route_id, sum(CASE WHEN (opis_id + route_id) % 4 = 0 THEN coalesce(mean, price_milli) ELSE price_milli END)::BIGINT AS total_milli, count(*) FILTER ((opis_id + route_id) % 4 = 0) AS tagged FROM v_candidate LEFT JOIN v_state USING (state) LEFT JOIN g USING (region) GROUP BY route_id""")
+def pln19_average_price_substitution(spark, d):
+    regions = src.state_regions(spark)
+    means = src.stations(spark, d).join(F.broadcast(regions), "state").groupBy("region").agg(F.round(F.avg("price_milli"), 0).cast("long").alias("mean"))  # eight rows
+    c = src.candidates(spark, d).join(F.broadcast(regions), "state", "left").join(F.broadcast(means), "region", "left")
+    tagged = (F.col("opis_id") + F.col("route_id")) % 4 == 0
+    return c.groupBy("route_id").agg(F.sum(F.when(tagged, F.coalesce("mean", "price_milli")).otherwise(F.col("price_milli"))).alias("total_milli"), F.count_if(tagged).alias("tagged"))
+
+
+@query()
+def agg24_pruned_list_verdict(spark, d):
+    """The heuristic fed the pruned list against the full one, by objective."""
+    routes, c = src.routes(spark, d), src.candidates(spark, d)
+    plan = lambda stations, name: search.solve(search.problems(routes, stations), ("heuristic",)).where("feasible").select("route_id", F.col("objective").alias(name))
+    both = plan(c, "full").join(plan(search.pruned(c), "lean"), "route_id")
+    verdict = F.when(F.col("lean") < F.col("full"), "BETTER").when(F.col("lean") > F.col("full"), "WORSE").otherwise("SAME")
+    return both.groupBy(verdict.alias("verdict")).agg(F.count(F.lit(1)).alias("routes"), search.dollars(F.sum(F.col("lean") - F.col("full"))).alias("delta_usd"))
+
+
+@query()
+def agg25_disagreement_rate(spark, d):
+    """Share of feasible routes whose greedy plan has a larger objective than the exact one."""
+    plans = search.solve(_problems(spark, d), ("greedy", "exact")).where("feasible")
+    of = lambda m: F.max(F.when(F.col("method") == m, F.col("objective")))
+    return plans.groupBy("route_id").agg((of("greedy") > of("exact")).alias("worse")).agg(F.count(F.lit(1)).alias("routes"), F.round(F.avg(F.col("worse").cast("int")), 6).alias("rate"))
+
+
+@query()
+def agg29_stop_set_change(spark, d):
+    """Stations that enter or leave the exact plan when all prices are scaled by half and by two."""
+    c, stops = src.candidates(spark, d), {}
+    for percent in (50, 100, 200):
+        scaled = c.withColumn("price_milli", F.floor(F.col("price_milli") * percent / 100).cast("long"))
+        plans = search.solve(search.problems(src.routes(spark, d), scaled, search.pruned(scaled)), ("exact",)).where("feasible")
+        stops[percent] = plans.select("route_id", F.col("stops.id").alias(f"s{percent}"))
+    both = stops[100].join(stops[50], "route_id").join(stops[200], "route_id")
+    change = lambda n: F.size(F.array_except(n, "s100")) + F.size(F.array_except("s100", n))
+    return both.select("route_id", change("s50").alias("changed_at_half"), change("s200").alias("changed_at_double"))
+
+
+# --- requests and exports
+
+
+@query("SELECT state, count(*) AS failed FROM v_station WHERE geocode_status = 'failed' GROUP BY state")
+def agg9_failed_by_state(spark, d):
+    return src.stations(spark, d).where("geocode_status = 'failed'").groupBy("state").agg(F.count(F.lit(1)).alias("failed"))
+
+
+@query("SELECT city, state, min(opis_id) AS first_id FROM v_station WHERE geocode_status = 'failed' GROUP BY ALL ORDER BY first_id LIMIT 20")
+def top5_unmatched_sample(spark, d):
+    return src.stations(spark, d).where("geocode_status = 'failed'").groupBy("city", "state").agg(F.min("opis_id").alias("first_id")).orderBy("first_id").limit(20)
+
+
+@query("SELECT floor(lat_u / 500000.0::DOUBLE)::BIGINT AS cy, floor(lng_u / 500000.0::DOUBLE)::BIGINT AS cx, count(*) AS stations FROM v_station GROUP BY ALL ORDER BY stations DESC, cy, cx LIMIT 8")
+def top3_densest_cells(spark, d):
+    from .functions import geo
+
+    cells = src.stations(spark, d).groupBy(geo.cell(F.col("lat_u"), 500_000).alias("cy"), geo.cell(F.col("lng_u"), 500_000).alias("cx"))
+    return cells.agg(F.count(F.lit(1)).alias("stations")).orderBy(F.col("stations").desc(), "cy", "cx").limit(8)
+
+
+@query("SELECT opis_id FROM v_station WHERE (lat_u + 2000 >= 32000000 AND lat_u - 2000 <= 36000000 AND lng_u + 2000 >= -110000000 AND lng_u - 2000 <= -100000000) OR (lat_u + 2000 >= 40000000 AND lat_u - 2000 <= 43000000 AND lng_u + 2000 >= -90000000 AND lng_u - 2000 <= -80000000)")
+def fil5_box_overlap(spark, d):
+    box = F.struct((F.col("lng_u") - 2000).alias("xmin"), (F.col("lng_u") + 2000).alias("xmax"), (F.col("lat_u") - 2000).alias("ymin"), (F.col("lat_u") + 2000).alias("ymax"))
+    return cleaning.overlapping(src.stations(spark, d).withColumn("bbox", box), ((32_000_000, 36_000_000, -110_000_000, -100_000_000), (40_000_000, 43_000_000, -90_000_000, -80_000_000))).select("opis_id")
+
+
+@query("SELECT opis_id FROM v_station WHERE ('0x' || substr(sha256('s1:' || opis_id), 1, 12))::BIGINT % 10000 < 2500")
+def fil14_hash_sample(spark, d):
+    return cleaning.hash_sample(src.stations(spark, d), "opis_id", "s1", 0.25).select("opis_id")
+
+
+@query("""x AS (SELECT opis_id, CASE opis_id % 5 WHEN 0 THEN (lat_u / 1000) || ',' || opis_id WHEN 1 THEN (30 + opis_id % 9) || '.5, -' || (80 + opis_id % 40) WHEN 2 THEN ' ' || city || ', ' || state || ' ' WHEN 3 THEN '' ELSE '45,-' || (opis_id % 90) END AS s FROM v_station),
+y AS (SELECT *, CASE WHEN regexp_full_match(trim(s), '-?[0-9.]+ *, *-?[0-9.]+') THEN try_cast(trim(split_part(trim(s), ',', 1)) AS DOUBLE) END AS a, CASE WHEN regexp_full_match(trim(s), '-?[0-9.]+ *, *-?[0-9.]+') THEN try_cast(trim(split_part(trim(s), ',', 2)) AS DOUBLE) END AS b FROM x)
+SELECT opis_id, CASE WHEN a IS NOT NULL AND b IS NOT NULL THEN CASE WHEN a BETWEEN 24.4 AND 49.4 AND b BETWEEN -125 AND -66.9 THEN 'point' ELSE 'out_of_bounds' END WHEN length(trim(s)) BETWEEN 1 AND 256 THEN 'address' ELSE 'invalid' END AS kind FROM y""")
+def fil17_location_kind(spark, d):
+    k = F.col("opis_id")
+    s = (
+        F.when(k % 5 == 0, F.concat_ws(",", F.col("lat_u") / 1000, k)).when(k % 5 == 1, F.format_string("%d.5, -%d", 30 + k % 9, 80 + k % 40))
+        .when(k % 5 == 2, F.concat(F.lit(" "), "city", F.lit(", "), "state", F.lit(" "))).when(k % 5 == 3, "").otherwise(F.concat(F.lit("45,-"), k % 90))
+    )
+    return src.stations(spark, d).select("opis_id", cleaning.location_kind(s).alias("kind"))
+
+
+@query("""SELECT route_id, 'start=' || route_id % 90 || '&finish=' || total_milli_mi % 90 || '&mpg=' || tank_milli_mi // 50000 AS state_text, route_id % 90 AS start, total_milli_mi % 90 AS finish, (tank_milli_mi // 50000)::BIGINT AS mpg FROM v_route""")
+def str13_trip_state(spark, d):
+    """Trip state to a query string and back."""
+    pairs = [F.concat(F.lit(f"{n}="), F.url_encode(v.cast("string"))) for n, v in (("start", F.col("route_id") % 90), ("finish", F.col("total_milli_mi") % 90), ("mpg", F.floor(F.col("tank_milli_mi") / 50_000)))]
+    coded = src.routes(spark, d).select("route_id", F.concat_ws("&", *pairs).alias("state_text"))
+    back = lambda n: F.url_decode(F.parse_url(F.concat(F.lit("http://x/?"), "state_text"), F.lit("QUERY"), F.lit(n))).cast("long").alias(n)
+    return coded.select("route_id", "state_text", back("start"), back("finish"), back("mpg"))
+
+
+@query("""SELECT stage, count(*) AS n, sum(ms)::BIGINT AS total_ms, max(ms) AS worst_ms FROM (SELECT 'corridor' AS stage, event_id % 97 AS ms FROM events UNION ALL SELECT 'solve', event_id * 7 % 313 FROM events WHERE event_id % 3 <> 0) GROUP BY stage""")
+def str12_stage_timings(spark, d):
+    e = F.col("event_id")
+    header = F.concat(F.lit("corridor;dur="), e % 97, F.when(e % 3 != 0, F.concat(F.lit(", solve;dur="), e * 7 % 313)).otherwise(""))
+    part = src.read(spark, d, "events").select(F.explode(F.split(header, ", *")).alias("p"))
+    ms = F.regexp_extract("p", "dur=([0-9.]+)", 1).try_cast("double").cast("long")
+    return part.groupBy(F.substring_index("p", ";", 1).alias("stage")).agg(F.count(F.lit(1)).alias("n"), F.sum(ms).alias("total_ms"), F.max(ms).alias("worst_ms"))
+
+
+@query("""SELECT route_id, opis_id, CASE WHEN regexp_matches(n, '[",]') THEN '"' || replace(n, '"', '""') || '"' ELSE n END || ',' || pos_milli_mi || ',' || price_milli AS line FROM (SELECT *, CASE opis_id % 3 WHEN 0 THEN name || ', "' || state || '"' WHEN 1 THEN name || ', ' || state ELSE name END AS n FROM v_candidate)""")
+def snk7_stop_lines(spark, d):
+    k = F.col("opis_id")
+    n = F.when(k % 3 == 0, F.concat("name", F.lit(', "'), "state", F.lit('"'))).when(k % 3 == 1, F.concat("name", F.lit(", "), "state")).otherwise(F.col("name"))
+    return src.candidates(spark, d).select("route_id", "opis_id", F.concat_ws(",", text.csv_field(n), "pos_milli_mi", "price_milli").alias("line"))
+
+
+@query("""SELECT route_id, '{"type":"LineString","coordinates":[' || string_agg('[' || (lng_u * 0.000001::DECIMAL(7,6))::DECIMAL(10,6) || ',' || (lat_u * 0.000001::DECIMAL(7,6))::DECIMAL(10,6) || ']', ',' ORDER BY seq) || ']}' AS geometry FROM v_point GROUP BY route_id""")
+def snk8_route_geojson(spark, d):
+    degrees = lambda c: (F.col(c).cast("decimal(12,0)") * F.lit(0.000001).cast("decimal(7,6)")).cast("decimal(10,6)")
+    listed = src.route_points(spark, d).groupBy("route_id").agg(F.sort_array(F.collect_list(F.struct("seq", F.array(degrees("lng_u"), degrees("lat_u")).alias("p")))).alias("v"))
+    return listed.select("route_id", F.to_json(F.struct(F.lit("LineString").alias("type"), F.col("v.p").alias("coordinates"))).alias("geometry"))
+
+
+@query("""w AS (SELECT event_id, user_id, event_type, ts, max(CASE WHEN event_type = 'purchase' THEN ts END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS ok FROM events) SELECT event_id, CASE WHEN ok IS NULL THEN 'missing' WHEN epoch_us(ts) - epoch_us(ok) <= 86400000000 THEN 'current' WHEN epoch_us(ts) - epoch_us(ok) <= 604800000000 THEN 'stale' ELSE 'frozen' END AS state FROM w WHERE event_type = 'view'""")
+def stm3_table_state(spark, d):
+    return counters.as_of_state(src.read(spark, d, "events"), "purchase", "view", 86_400, 604_800).select("event_id", "state")

@@ -29,3 +29,13 @@ def stream_bursts(stream: DataFrame, gap: str = "500 milliseconds", late: str =
     """Bursts of a user by session windows, with the last event of each."""
     timed = stream.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
     return timed.groupBy(F.session_window("ts", gap), "user_id").agg(F.max_by("event_id", F.struct("ts", "event_id")).alias("last_event_id"), F.count(F.lit(1)).alias("events"))
+
+
+def as_of_state(events: DataFrame, success: str, ask: str, fresh_seconds: int, kept_seconds: int) -> DataFrame:
+    """Each ``ask`` event with the age class of its user's last ``success``: current, stale, frozen, or missing if there was none."""
+    line = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    last = F.last(F.when(F.col("event_type") == success, F.col("ts")), ignorenulls=True).over(line)
+    micros = lambda c: F.unix_micros(c.cast("timestamp"))
+    age = micros(F.col("ts")) - micros(F.col("_ok"))
+    state = F.when(F.col("_ok").isNull(), "missing").when(age <= fresh_seconds * 1_000_000, "current").when(age <= kept_seconds * 1_000_000, "stale").otherwise("frozen")
+    return events.withColumn("_ok", last).where(F.col("event_type") == ask).withColumn("state", state).drop("_ok")
