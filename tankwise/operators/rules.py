@@ -1,0 +1,94 @@
+"""Import rules, picks along a route, and throttles."""
+
+from __future__ import annotations
+
+from collections import deque
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+
+def reimported(snapshot: DataFrame, incoming: DataFrame, in_scope: Column) -> DataFrame:
+    """Upsert by id; a changed address clears the coordinates and sets the status to pending, or out_of_scope by state."""
+    new = incoming.select("opis_id", F.col("city").alias("_city"), F.col("state").alias("_state"), F.lit(True).alias("_in"))
+    moved = F.col("_in") & ~(F.col("city").eqNullSafe(F.col("_city")) & F.col("state").eqNullSafe(F.col("_state")))
+    rows = snapshot.join(new, "opis_id", "full").withColumn("_moved", F.coalesce(moved, F.lit(False)))
+    rows = rows.withColumn("city", F.when(F.col("_in"), F.col("_city")).otherwise(F.col("city"))).withColumn("state", F.when(F.col("_in"), F.col("_state")).otherwise(F.col("state")))
+    for c in ("lat_u", "lng_u"):
+        rows = rows.withColumn(c, F.when(~F.col("_moved"), F.col(c)))
+    status = F.when(~F.col("_moved"), F.col("geocode_status")).when(in_scope, "pending").otherwise("out_of_scope")
+    return rows.select("opis_id", "city", "state", "lat_u", "lng_u", status.alias("geocode_status"))
+
+
+def purge_counts(df: DataFrame, source: str) -> DataFrame:
+    """What a delete by source would leave: rows before, deleted and after.  Nothing is deleted."""
+    gone = F.coalesce(F.col("price_source") == source, F.lit(False))
+    return df.agg(F.count(F.lit(1)).alias("before"), F.count_if(gone).alias("deleted"), F.count_if(~gone).alias("after"))
+
+
+def token_rule(tokens: Column, singles: tuple[str, ...], pairs: tuple[str, ...]) -> Column:
+    """True if a token is among ``singles`` or two neighbours are among ``pairs``."""
+    two = F.zip_with(tokens, F.slice(tokens, 2, F.greatest(F.size(tokens), F.lit(1))), lambda a, b: F.concat_ws(" ", a, b))
+    return F.arrays_overlap(tokens, F.array(*map(F.lit, singles))) | F.arrays_overlap(two, F.array(*map(F.lit, pairs)))
+
+
+def first_fault(total: Column, tank: Column, mpg: Column, fuel: Column, price: Column, pos: Column) -> Column:
+    """The first input rule that a problem row breaks, null for a good row; a null value breaks its rule."""
+    rules = (("total", total > 0), ("tank", tank > 0), ("mpg", mpg > 0), ("fuel", fuel.between(0, 1)), ("price", price >= 0), ("position", pos.between(0, total)))
+    return F.coalesce(*[F.when(~F.coalesce(ok, F.lit(False)), name) for name, ok in rules])
+
+
+def picks_in_reach(candidates: DataFrame) -> DataFrame:
+    """Per route, of the stations within the first tank: nearest, farthest, cheapest, all ties broken by (position, price, id)."""
+    near = candidates.where("pos_milli_mi <= tank_milli_mi")
+    return near.groupBy("route_id").agg(
+        F.min_by("opis_id", F.struct("pos_milli_mi", "price_milli", "opis_id")).alias("nearest"),
+        F.min_by("opis_id", F.struct(-F.col("pos_milli_mi"), "price_milli", "opis_id")).alias("farthest"),
+        F.min_by("opis_id", F.struct("price_milli", "pos_milli_mi", "opis_id")).alias("cheapest"),
+    )
+
+
+def frontier(candidates: DataFrame) -> DataFrame:
+    """Stations that none at the same place or farther undercuts or equals in price: one running minimum from the far end."""
+    beyond = Window.partitionBy("route_id").orderBy(F.col("pos_milli_mi").desc(), "price_milli", "opis_id").rowsBetween(Window.unboundedPreceding, -1)
+    return candidates.withColumn("_least", F.min("price_milli").over(beyond)).where("_least IS NULL OR price_milli < _least").drop("_least")
+
+
+def tank_levels(rows: DataFrame, key: str, order: list[str], used: str, bought: str, start: int, capacity: int) -> DataFrame:
+    """Level after each leg and after the purchase that follows it; what is displayed stays between 0 and the capacity."""
+    w = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    after = F.lit(start) + F.sum(F.col(bought) - F.col(used)).over(w)
+    clamp = lambda c: F.greatest(F.lit(0), F.least(F.lit(capacity), c))
+    return rows.withColumn("arrival", clamp(after - F.col(bought))).withColumn("departure", clamp(after))
+
+
+def throttled(events: DataFrame, burst: int = 20, burst_seconds: int = 60, sustained: int = 200, sustained_seconds: int = 86_400) -> DataFrame:
+    """Every event with ``admitted``: fewer than ``burst`` admitted ones of its user in the seconds before, likewise ``sustained``.
+
+    Refused calls do not count, so a user's events are read in order; a limit of 0 admits none.  A task holds one user's
+    last admitted times, at most as many as the limits, however many events the user has.
+    """
+    limits = ((burst, burst_seconds * 1_000_000), (sustained, sustained_seconds * 1_000_000))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        user, logs = object(), ()
+        for pdf in batches:
+            flags = []
+            for who, at in zip(pdf["user_id"].astype(object), pdf["at"].tolist()):
+                who = None if pd.isna(who) else who
+                if who != user:
+                    user, logs = who, tuple(deque() for _ in limits)
+                for log, (_, span) in zip(logs, limits):
+                    while log and log[0] <= at - span:
+                        log.popleft()
+                good = all(len(log) < most for log, (most, _) in zip(logs, limits))
+                if good:
+                    for log in logs:
+                        log.append(at)
+                flags.append(good)
+            yield pdf[["event_id", "user_id"]].assign(admitted=flags)
+
+    rows = events.where("ts IS NOT NULL").select("event_id", "user_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"))
+    return rows.repartition("user_id").sortWithinPartitions("user_id", "at", "event_id").mapInPandas(run, "event_id long, user_id long, admitted boolean")

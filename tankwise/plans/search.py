@@ -49,21 +49,26 @@ def pruned(candidates: DataFrame) -> DataFrame:
     return rows.withColumn("_floor", least(tail)).where("NOT _tail OR _floor IS NULL OR price_milli < _floor").drop("real", "_floor", "_tail")
 
 
-def effort(routes: DataFrame, kept: DataFrame) -> DataFrame:
-    """(route_id, nodes, estimate): reach of the start plus reach × (reach + 1) of each station; the end is a node.
+def reach(routes: DataFrame, kept: DataFrame) -> DataFrame:
+    """(route_id, opis_id, reach): the later-ranked nodes within a tank of each station; the end is a node.
 
-    A station's reach counts the later-ranked nodes within a tank.  With ranks and positions in step that is a count of
-    rows up to a position, so two windows replace a self-join: the last rank at or before pos + tank, minus one's own.
+    With ranks and positions in step that is a count of rows up to a position, so two windows replace a self-join: the
+    last rank at or before pos + tank, minus one's own.
     """
     ranked = kept.withColumn("rank", F.row_number().over(_route()))
     upto = Window.partitionBy("route_id").orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    marks = ranked.select("route_id", F.col("pos_milli_mi").alias("at"), F.lit(0).alias("kind"), "rank", F.lit(1).alias("one")).unionByName(
-        ranked.select("route_id", (F.col("pos_milli_mi") + F.col("tank_milli_mi")).alias("at"), F.lit(1).alias("kind"), "rank", F.lit(0).alias("one"))
+    marks = ranked.select("route_id", "opis_id", F.col("pos_milli_mi").alias("at"), F.lit(0).alias("kind"), "rank", F.lit(1).alias("one")).unionByName(
+        ranked.select("route_id", "opis_id", (F.col("pos_milli_mi") + F.col("tank_milli_mi")).alias("at"), F.lit(1).alias("kind"), "rank", F.lit(0).alias("one"))
     )
     counted = marks.withColumn("seen", F.sum("one").over(upto)).where("kind = 1").join(routes.select("route_id", "total_milli_mi", "tank_milli_mi"), "route_id")
-    reach = F.col("seen") - F.col("rank") + (F.col("at") >= F.col("total_milli_mi")).cast("long")
-    from_station = counted.groupBy("route_id").agg(F.count(F.lit(1)).alias("nodes"), F.sum(reach * (reach + 1)).alias("work"))
-    first = ranked.where("pos_milli_mi <= tank_milli_mi").groupBy("route_id").agg(F.count(F.lit(1)).alias("from_start"))
+    ahead = F.col("seen") - F.col("rank") + (F.col("at") >= F.col("total_milli_mi")).cast("long")
+    return counted.select("route_id", "opis_id", ahead.alias("reach"))
+
+
+def effort(routes: DataFrame, kept: DataFrame) -> DataFrame:
+    """(route_id, nodes, estimate): reach of the start plus reach × (reach + 1) of each station."""
+    from_station = reach(routes, kept).groupBy("route_id").agg(F.count(F.lit(1)).alias("nodes"), F.sum(F.col("reach") * (F.col("reach") + 1)).alias("work"))
+    first = kept.where("pos_milli_mi <= tank_milli_mi").groupBy("route_id").agg(F.count(F.lit(1)).alias("from_start"))
     joined = routes.join(from_station, "route_id", "left").join(first, "route_id", "left").fillna(0, ["nodes", "work", "from_start"])
     start = F.col("from_start") + (F.col("total_milli_mi") <= F.col("tank_milli_mi")).cast("long")
     return joined.select("route_id", "nodes", (start + F.col("work")).alias("estimate"))

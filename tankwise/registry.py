@@ -255,12 +255,16 @@ def join1_corridor(spark, d):
     return corridor.corridor_join(src.route_points(spark, d), src.stations(spark, d))
 
 
-@query("SELECT * FROM (SELECT 0::BIGINT AS only_grid, 0::BIGINT AS only_referee)")
+@query(f"SELECT count(*) AS coarse, count(*) AS fine, 0::BIGINT AS only_coarse, 0::BIGINT AS only_fine FROM ({_CORRIDOR.replace('q AS', 'WITH q AS', 1)})")
 def set7_corridor_referee(spark, d):
-    points = src.route_points(spark, d).where("route_id % 500 = 0")  # the referee is quadratic: the set of routes is stated
-    a, b = (f(points, src.stations(spark, d)).select("route_id", "opis_id") for f in (corridor.corridor_join, corridor.corridor_referee))
-    both = a.withColumn("g", F.lit(1)).join(b.withColumn("r", F.lit(1)), ["route_id", "opis_id"], "full")
-    return both.agg(F.count_if(F.col("r").isNull()).alias("only_grid"), F.count_if(F.col("g").isNull()).alias("only_referee"))
+    """Both must find the same: the join on the usual cells and on cells of two fifths of their size."""
+    points, stations = src.route_points(spark, d), src.stations(spark, d)
+    a, b = (corridor.corridor_join(points, stations, size) for size in (corridor.CELL, corridor.CELL * 2 // 5))
+    keys = ["route_id", "opis_id"]
+    both = a.withColumnsRenamed({"off_mi": "a_off", "at_mi": "a_at"}).join(b, keys, "full")
+    same = F.coalesce((F.col("a_off") == F.col("off_mi")) & (F.col("a_at") == F.col("at_mi")), F.lit(False))
+    has_a, has_b = F.col("a_off").isNotNull(), F.col("off_mi").isNotNull()
+    return both.agg(F.count_if(has_a).alias("coarse"), F.count_if(has_b).alias("fine"), F.count_if(has_a & ~same).alias("only_coarse"), F.count_if(has_b & ~same).alias("only_fine"))
 
 
 # --- windows over candidates and legs
@@ -747,3 +751,6 @@ def snk8_route_geojson(spark, d):
 @query("""w AS (SELECT event_id, user_id, event_type, ts, max(CASE WHEN event_type = 'purchase' THEN ts END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS ok FROM events) SELECT event_id, CASE WHEN ok IS NULL THEN 'missing' WHEN epoch_us(ts) - epoch_us(ok) <= 86400000000 THEN 'current' WHEN epoch_us(ts) - epoch_us(ok) <= 604800000000 THEN 'stale' ELSE 'frozen' END AS state FROM w WHERE event_type = 'view'""")
 def stm3_table_state(spark, d):
     return counters.as_of_state(src.read(spark, d, "events"), "purchase", "view", 86_400, 604_800).select("event_id", "state")
+
+
+from . import registry_more  # noqa: E402, F401  registers its queries, which use the tables above

@@ -1,0 +1,357 @@
+"""Further queries: file scans and sinks, import rules, picks, text keys, payloads and throttles, with their SQL twins."""
+
+from __future__ import annotations
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from .functions import text
+from .operators import cleaning, rules
+from .plans import search
+from .registry import _EFFORT, _PREFLIGHT, _PRUNED, _dirty, _problems, query
+from .sources import adapters as src
+from .sources import files
+from .streaming import counters
+
+# --- sources and sinks
+
+
+def _export(spark, d):
+    rows = src.stations(spark, d).select("opis_id", "name", "city", "state", "geocode_precision", (F.col("price_milli") / F.lit(1000).cast("decimal(5,0)")).cast("decimal(11,3)").alias("price"))
+    return files.export_csv(rows, "opis_id", "stations-csv")
+
+
+@query("SELECT concat_ws(',', opis_id, name, city, state, coalesce(geocode_precision, ''), (price_milli / 1000.0)::DECIMAL(11,3)) AS line FROM v_station")
+def snk1_csv_export(spark, d):
+    """The lines of the ordered export, null as nothing; every part file opens with the header."""
+    return spark.read.text(_export(spark, d)).where("NOT startswith(value, 'opis_id,')").select(F.col("value").alias("line"))
+
+
+@query("SELECT opis_id, name, geocode_precision, (price_milli / 1000.0)::DECIMAL(11,3) AS price FROM v_station")
+def src2_derived_csv(spark, d):
+    rows = files.scan_csv(spark, _export(spark, d), ["opis_id", "name", "geocode_precision", "price"])
+    return rows.select(F.col("opis_id").try_cast("int").alias("opis_id"), "name", "geocode_precision", F.col("price").try_cast("decimal(11,3)").alias("price"))
+
+
+@query("""SELECT CASE WHEN opis_id % 17 <> 5 AND opis_id % 23 <> 3 THEN state END AS state, count(*) AS n, count(*) FILTER (opis_id % 17 = 5 OR opis_id % 23 = 3) AS malformed FROM v_station GROUP BY 1""")
+def src3_extract_rows(spark, d):
+    k = F.col("opis_id")
+    lat = F.when(k % 17 == 5, "north").otherwise((F.col("lat_u") / 1_000_000).cast("string"))
+    ident = F.when(k % 23 == 3, "").otherwise(k.cast("string"))
+    lines = src.stations(spark, d).select(F.concat_ws("|", ident, F.concat(F.lit(" "), F.lower("state")), lat, (F.col("lng_u") / 1_000_000).cast("string")).alias("line"))
+    return files.extract_rows(lines).groupBy(F.when(F.col("ok"), F.col("state")).alias("state")).agg(F.count(F.lit(1)).alias("n"), F.count_if(~F.col("ok")).alias("malformed"))
+
+
+def _extract(spark, d):
+    k = F.col("opis_id")
+    release = F.when(k % 2 == 0, "2025-01-15.0").otherwise("2025-02-19.0")
+    category = F.when(k % 3 == 0, "gas_station").when(k % 3 == 1, "truck_stop").otherwise("cafe")
+    rows = src.stations(spark, d).select(
+        k.alias("id"), F.struct(F.col("name").alias("primary")).alias("names"), F.struct(category.alias("primary")).alias("categories"),
+        F.array(F.struct(F.col("state").alias("region"), F.col("city").alias("locality"))).alias("addresses"), (k % 100 / 100).alias("confidence"), release.alias("release"),
+    )
+    return files.write_extract(rows)
+
+
+_WANTED = "FROM v_station WHERE opis_id % 2 = 1 AND opis_id % 3 <> 2 AND opis_id % 100 >= 50"
+
+
+@query(f"SELECT opis_id AS id, name, city, state {_WANTED}")
+def src4_nested_extract(spark, d):
+    rows = files.wanted_places(spark, _extract(spark, d), "2025-02-19.0", ["gas_station", "truck_stop"], 0.5)
+    first = F.get("addresses", 0)
+    return rows.select("id", F.col("names.primary").alias("name"), first["locality"].alias("city"), first["region"].alias("state"))
+
+
+@query(f"SELECT n, base, n BETWEEN 0.5 * base AND 2 * base AS plausible FROM (SELECT (SELECT count(*) {_WANTED}) AS n, (SELECT count(*) // 6 FROM v_station) AS base)")
+def src5_count_scan(spark, d):
+    """The extract's predicate, counted before it is fetched, against a sixth of the stations."""
+    n = files.wanted_places(spark, _extract(spark, d), "2025-02-19.0", ["gas_station", "truck_stop"], 0.5).agg(F.count(F.lit(1)).alias("n"))
+    both = n.join(src.stations(spark, d).agg(F.floor(F.count(F.lit(1)) / 6).alias("base")), F.lit(True))  # one row each
+    return both.select("n", "base", ((F.col("n") >= 0.5 * F.col("base")) & (F.col("n") <= 2 * F.col("base"))).alias("plausible"))
+
+
+@query("SELECT release, release = max(release) OVER () AS is_newest, release > '2025-01-15.0' AS after_pinned FROM (SELECT DISTINCT CASE WHEN opis_id % 2 = 0 THEN '2025-01-15.0' ELSE '2025-02-19.0' END AS release FROM v_station)")
+def src6_release_listing(spark, d):
+    found = files.releases(spark, _extract(spark, d))  # as many rows as there are release folders
+    newest = F.max("release").over(Window.partitionBy(F.lit(1)))
+    return found.select("release", (F.col("release") == newest).alias("is_newest"), (F.col("release") > "2025-01-15.0").alias("after_pinned"))
+
+
+@query("SELECT opis_id, CASE WHEN opis_id % 9 <> 0 THEN lat_u END AS lat_u, CASE WHEN opis_id % 9 <> 0 THEN lng_u END AS lng_u FROM v_station")
+def src8_geocode_json(spark, d):
+    feature = F.array(F.struct(F.array("lng_u", "lat_u").alias("center")), F.struct(F.array(F.lit(0).cast("long"), F.lit(0).cast("long")).alias("center")))
+    body = F.when(F.col("opis_id") % 9 == 0, F.lit('{"features":[]}')).otherwise(F.to_json(F.struct(feature.alias("features"))))
+    return src.stations(spark, d).select("opis_id", files.first_feature(body).alias("p")).select("opis_id", "p.lat_u", "p.lng_u")
+
+
+@query("SELECT opis_id, opis_id % 5 > 1 AS matched, CASE WHEN opis_id % 5 > 1 THEN lat_u END AS lat_u, CASE WHEN opis_id % 5 > 1 THEN lng_u END AS lng_u FROM v_station WHERE opis_id % 5 <> 0")
+def src10_batch_geocodes(spark, d):
+    k = F.col("opis_id")
+    full = F.concat_ws(",", k, "city", F.lit("Match"), F.lit("Exact"), "city", F.concat_ws(";", "lng_u", "lat_u"), F.lit("7"), F.lit("L"))
+    line = F.when(k % 5 == 0, F.concat_ws(",", k, "city")).when(k % 5 == 1, F.concat_ws(",", k, "city", F.lit("No_Match"))).otherwise(full)
+    return files.batch_answers(src.stations(spark, d).select(line.alias("line")))
+
+
+_GAZETTEER = "g AS (SELECT upper(city) AS place, state, max_by(lat_u, opis_id) AS lat_u, max_by(lng_u, opis_id) AS lng_u FROM v_station WHERE opis_id % 7 <> 0 GROUP BY ALL)"
+
+
+def _gazetteer(spark, d):
+    """A gazetteer of pipe-delimited lines, states outside the lower 48 among them; of equal names the last line counts."""
+    k = F.col("opis_id")
+    state = F.when(k % 7 == 0, "AK").otherwise(F.col("state"))
+    lines = src.stations(spark, d).select(k.alias("line_no"), F.concat_ws("|", F.concat("city", F.lit(" city")), state, "lat_u", "lng_u").alias("line"))
+    part = lambda i: F.get(F.split("line", r"\|"), i)
+    rows = lines.select("line_no", text.place_key(part(0)).alias("place"), part(1).alias("state"), part(2).try_cast("long").alias("lat_u"), part(3).try_cast("long").alias("lng_u"))
+    rows = rows.where(F.col("state").isin(*[src.STATES[i : i + 2] for i in range(0, 96, 2)]))
+    last = lambda c: F.max_by(c, "line_no").alias(c)
+    return rows.groupBy("place", "state").agg(last("lat_u"), last("lng_u"))
+
+
+@query(_GAZETTEER + " SELECT * FROM g")
+def src11_gazetteer(spark, d):
+    return _gazetteer(spark, d)
+
+
+@query(_GAZETTEER + " SELECT opis_id, g.lat_u, g.lng_u FROM v_station s LEFT JOIN g ON upper(s.city) = g.place AND s.state = g.state WHERE s.geocode_precision IS DISTINCT FROM 'rooftop'")
+def join6_gazetteer(spark, d):
+    s = src.stations(spark, d).where("NOT geocode_precision <=> 'rooftop'").select("opis_id", text.place_key(F.col("city")).alias("place"), "state")
+    return s.join(_gazetteer(spark, d), ["place", "state"], "left").select("opis_id", "lat_u", "lng_u")
+
+
+@query("SELECT opis_id, (lat_u / 1000000.0)::DECIMAL(12,8)::VARCHAR AS lat, (lng_u / 1000000.0)::DECIMAL(12,8)::VARCHAR AS lng, CASE WHEN opis_id % 2 = 0 THEN 'keep' ELSE 'drop' END AS decision FROM v_station")
+def snk2_decision_rows(spark, d):
+    degrees = lambda c: (F.col(c).cast("decimal(20,0)") / F.lit(1_000_000).cast("decimal(8,0)")).cast("decimal(12,8)").cast("string").alias(c[:3])
+    return src.stations(spark, d).select("opis_id", degrees("lat_u"), degrees("lng_u"), F.when(F.col("opis_id") % 2 == 0, "keep").otherwise("drop").alias("decision"))
+
+
+@query("""n AS (SELECT opis_id + CASE WHEN opis_id % 10 = 4 THEN 5000000 ELSE 0 END AS opis_id, CASE WHEN opis_id % 6 = 2 THEN 'Moved' ELSE city END AS city, CASE WHEN opis_id % 14 = 0 THEN 'HI' ELSE state END AS state FROM v_station WHERE opis_id % 2 = 0),
+j AS (SELECT coalesce(s.opis_id, n.opis_id) AS opis_id, CASE WHEN n.opis_id IS NULL THEN s.city ELSE n.city END AS city, CASE WHEN n.opis_id IS NULL THEN s.state ELSE n.state END AS state, lat_u, lng_u, geocode_status, n.opis_id IS NOT NULL AND (s.city IS DISTINCT FROM n.city OR s.state IS DISTINCT FROM n.state) AS moved FROM v_station s FULL JOIN n ON s.opis_id = n.opis_id)
+SELECT opis_id, city, state, CASE WHEN NOT moved THEN lat_u END AS lat_u, CASE WHEN NOT moved THEN lng_u END AS lng_u, CASE WHEN NOT moved THEN geocode_status WHEN state = 'HI' THEN 'out_of_scope' ELSE 'pending' END AS geocode_status FROM j""")
+def snk5_reimport(spark, d):
+    s, k = src.stations(spark, d), F.col("opis_id")
+    new = s.where("opis_id % 2 = 0").select(
+        (k + F.when(k % 10 == 4, 5_000_000).otherwise(0)).alias("opis_id"), F.when(k % 6 == 2, "Moved").otherwise(F.col("city")).alias("city"), F.when(k % 14 == 0, "HI").otherwise(F.col("state")).alias("state")
+    )
+    return rules.reimported(s, new, F.col("state").isin(*[src.STATES[i : i + 2] for i in range(0, 96, 2)]))
+
+
+@query("SELECT count(*) AS before, count(*) FILTER (price_source = 'eia_regional_estimate') AS deleted, count(*) FILTER (price_source <> 'eia_regional_estimate') AS after FROM v_station")
+def snk6_purge_counts(spark, d):
+    return rules.purge_counts(src.stations(spark, d), "eia_regional_estimate")
+
+
+@query("""SELECT route_id, opis_id, '{"type":"Point","price":' || price_milli || ',"coordinates":[' || lng_u || ',' || lat_u || ']}' AS feature FROM v_candidate JOIN (SELECT opis_id, lat_u, lng_u FROM v_station) USING (opis_id)""")
+def snk9_candidate_features(spark, d):
+    at = src.stations(spark, d).select("opis_id", F.array("lng_u", "lat_u").alias("coordinates"))
+    point = F.struct(F.lit("Point").alias("type"), F.col("price_milli").alias("price"), "coordinates")
+    return src.candidates(spark, d).join(at, "opis_id").select("route_id", "opis_id", F.to_json(point).alias("feature"))
+
+
+# --- filters and keys
+
+
+@query("SELECT opis_id FROM v_station WHERE (lat_u BETWEEN 32000000 AND 36000000 AND lng_u BETWEEN -110000000 AND -100000000) OR (lat_u BETWEEN 40000000 AND 42000000 AND lng_u BETWEEN -95000000 AND -80000000)")
+def fil4_in_boxes(spark, d):
+    inside = lambda s, n, w, e: F.col("lat_u").between(s, n) & F.col("lng_u").between(w, e)
+    return src.stations(spark, d).where(inside(32_000_000, 36_000_000, -110_000_000, -100_000_000) | inside(40_000_000, 42_000_000, -95_000_000, -80_000_000)).select("opis_id")
+
+
+@query("dirty AS (SELECT opis_id, opis_id % 7 AS k FROM v_station) SELECT opis_id, k IN (1, 4, 6) AS hit FROM dirty")
+def fil9_token_rule(spark, d):
+    tokens = F.split(F.trim(text.padded_tokens(F.col("name"))), " ")
+    return _dirty(spark, d).select("opis_id", rules.token_rule(tokens, ("h2", "fuel"), ("ev charging", "stop travel")).alias("hit"))
+
+
+@query("""SELECT coalesce(fault, 'none') AS fault, count(*) AS n FROM (SELECT CASE WHEN route_id % 350 = 0 THEN 'total' WHEN tank_milli_mi <= 500000 THEN 'tank' WHEN opis_id % 31 = 0 THEN 'fuel' WHEN price_milli < 2800 THEN 'price' WHEN pos_milli_mi > total_milli_mi - 50000 THEN 'position' END AS fault FROM v_candidate) GROUP BY ALL""")
+def fil13_input_rules(spark, d):
+    total = F.when(F.col("route_id") % 350 == 0, -1).otherwise(F.col("total_milli_mi"))
+    fault = rules.first_fault(total, F.col("tank_milli_mi") - 500_000, F.lit(10), F.when(F.col("opis_id") % 31 != 0, 0.5), F.col("price_milli") - 2800, F.col("pos_milli_mi") + F.when(F.col("pos_milli_mi") > total - 50_000, 50_000).otherwise(0))
+    return src.candidates(spark, d).groupBy(F.coalesce(fault, F.lit("none")).alias("fault")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""SELECT opis_id, CASE opis_id % 7 WHEN 0 THEN 'pilot stop' WHEN 1 THEN 'loves ev charging' WHEN 2 THEN 'loves travel stop' WHEN 3 THEN 'ta petro atlanta' WHEN 4 THEN 'atlanta fuel' WHEN 5 THEN 'flying j travel center' ELSE 'h2 hub' END AS brand, CASE opis_id % 7 WHEN 0 THEN 2 WHEN 3 THEN 3 WHEN 1 THEN 3 WHEN 2 THEN 3 WHEN 5 THEN 4 ELSE 2 END AS n_tokens FROM v_station""")
+def str2_brand_tokens(spark, d):
+    brand = F.trim(text.padded_tokens(F.col("name")))
+    return _dirty(spark, d).select("opis_id", brand.alias("brand"), F.size(F.split(brand, " ")).alias("n_tokens"))
+
+
+@query("""SELECT opis_id, CASE opis_id % 7 WHEN 0 THEN 'PILOT' WHEN 1 THEN 'LOVES' WHEN 2 THEN 'LOVES' WHEN 3 THEN 'TA' WHEN 5 THEN 'FLYING J' ELSE CASE WHEN opis_id % 2 = 0 THEN 'SAPP BROS' END END AS chain FROM v_station""")
+def str4_brand_assignment(spark, d):
+    brand = F.when(F.col("opis_id") % 2 == 0, "Sapp Bros.")
+    return _dirty(spark, d).select("opis_id", F.coalesce(text.chain_of(F.col("name")), text.chain_of(brand)).alias("chain"))
+
+
+@query("""SELECT route_id, concat_ws(':', 'v1', 'main st ' || route_id % 90, 'lat' || (route_id * 7919 % 13000 / 100000.0)::DECIMAL(9,5), alternative_index, (tank_milli_mi / 1000.0)::DECIMAL(9,2), (route_id % 7 / 10.0)::DECIMAL(5,1), (total_milli_mi / 1000.0)::DECIMAL(9,3)) AS key FROM v_route""")
+def str7_cache_key(spark, d):
+    """STR-6 and STR-7: seven segments in the order of the visit; addresses case-folded with single blanks, numbers to fixed places."""
+    k = F.col("route_id")
+    place = F.lower(F.trim(F.regexp_replace(F.concat(F.lit("  Main   ST "), (k % 90).cast("string"), F.lit(" ")), r"\s+", " ")))
+    fixed = lambda c, by, places: (c.cast("decimal(18,0)") / F.lit(by).cast("decimal(7,0)")).cast(f"decimal(9,{places})").cast("string")
+    return src.routes(spark, d).select(
+        "route_id",
+        F.concat_ws(
+            ":", F.lit("v1"), place, F.concat(F.lit("lat"), fixed(k * 7919 % 13000, 100_000, 5)), F.col("alternative_index").cast("string"), fixed(F.col("tank_milli_mi"), 1000, 2), fixed(k % 7, 10, 1), fixed(F.col("total_milli_mi"), 1000, 3)
+        ).alias("key"),
+    )
+
+
+@query("""SELECT region_no, strftime(period, '%b %-d, %Y') AS shown, strftime(period, '%Y-%m') AS month_key, period::VARCHAR = max(period::VARCHAR) OVER (PARTITION BY region_no) AS is_latest FROM v_weekly""")
+def dat1_period_keys(spark, d):
+    """DAT-1 to DAT-3: a week's display date, its month, and the latest period by string order."""
+    day = F.col("period").cast("string")
+    latest = F.max(day).over(Window.partitionBy("region_no"))
+    return src.weekly_prices(spark, d).select("region_no", F.date_format("period", "MMM d, yyyy").alias("shown"), F.date_format("period", "yyyy-MM").alias("month_key"), (day == latest).alias("is_latest"))
+
+
+@query("""x AS (SELECT *, (price_milli + 5) // 10 AS cents, (pos_milli_mi + 50) // 100 AS tenths, (2000 * pos_milli_mi + total_milli_mi) // (2 * total_milli_mi) AS per_mille FROM v_candidate)
+SELECT route_id, opis_id, cents // 100 || '.' || lpad((cents % 100)::VARCHAR, 2, '0') AS money, tenths // 10 || '.' || tenths % 10 AS miles, (per_mille / 10.0)::DECIMAL(6,1) AS percent FROM x""")
+def mat8_quantised(spark, d):
+    """Half-up on decimals, never on doubles: money to cents, miles and percents to a tenth."""
+    of = lambda a, b, n: F.round(a.cast("decimal(18,0)") / b.cast("decimal(18,0)"), n)
+    return src.candidates(spark, d).select(
+        "route_id", "opis_id", of(F.col("price_milli"), F.lit(1000), 2).cast("decimal(10,2)").cast("string").alias("money"), of(F.col("pos_milli_mi"), F.lit(1000), 1).cast("decimal(12,1)").cast("string").alias("miles"),
+        of(F.col("pos_milli_mi") * 100, F.col("total_milli_mi"), 1).cast("decimal(6,1)").alias("percent"),
+    )
+
+
+# --- picks, sets and windows
+
+
+@query("SELECT route_id, price_source, count(*) AS n FROM v_candidate GROUP BY ALL")
+def agg11_source_counts(spark, d):
+    return src.candidates(spark, d).groupBy("route_id", "price_source").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""n AS (SELECT * FROM v_candidate WHERE pos_milli_mi <= tank_milli_mi)
+SELECT route_id, first(opis_id ORDER BY pos_milli_mi, price_milli, opis_id) AS nearest, first(opis_id ORDER BY pos_milli_mi DESC, price_milli, opis_id) AS farthest, first(opis_id ORDER BY price_milli, pos_milli_mi, opis_id) AS cheapest FROM n GROUP BY route_id""")
+def top4_picks_in_reach(spark, d):
+    return rules.picks_in_reach(src.candidates(spark, d))
+
+
+@query(_EFFORT + " SELECT route_id, estimate, pick FROM (SELECT route_id, estimate, row_number() OVER (ORDER BY estimate <= 2000, estimate, route_id) AS pick FROM ef) WHERE pick <= 3")
+def top6_probe_routes(spark, d):
+    """Three routes to probe: those beyond the budget first, then by effort (a top-k report)."""
+    e = search.effort(src.routes(spark, d), search.pruned(src.candidates(spark, d)))
+    top = e.orderBy(F.col("estimate") <= 2000, "estimate", "route_id").limit(3)
+    return top.select("route_id", "estimate", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(F.col("estimate") <= 2000, "estimate", "route_id")).cast("long").alias("pick"))
+
+
+@query("SELECT route_id, opis_id FROM v_candidate c WHERE NOT EXISTS (SELECT 1 FROM v_candidate b WHERE b.route_id = c.route_id AND b.price_milli <= c.price_milli AND (b.pos_milli_mi > c.pos_milli_mi OR (b.pos_milli_mi = c.pos_milli_mi AND (b.price_milli < c.price_milli OR b.opis_id < c.opis_id))))")
+def top8_frontier(spark, d):
+    return rules.frontier(src.candidates(spark, d)).select("route_id", "opis_id")
+
+
+@query(_PRUNED + " SELECT route_id, opis_id FROM dd")
+def win7_co_located(spark, d):
+    """The first pass alone: with the end out of reach no station counts as near it."""
+    return search.pruned(src.candidates(spark, d).withColumn("total_milli_mi", F.lit(2**40))).select("route_id", "opis_id")
+
+
+@query(_EFFORT + " SELECT rk.route_id, opis_id, reach::BIGINT AS reach FROM rk JOIN rc ON rk.route_id = rc.route_id AND rk.k = rc.k")
+def join12_reach(spark, d):
+    return search.reach(src.routes(spark, d), search.pruned(src.candidates(spark, d)))
+
+
+@query("""x AS (SELECT l_orderkey AS route_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_quantity, l_extendedprice) AS leg, l_quantity::BIGINT AS used, l_partkey % 60 AS bought FROM lineitem),
+y AS (SELECT *, 50 + sum(bought - used) OVER (PARTITION BY route_id ORDER BY leg) AS level FROM x)
+SELECT route_id, leg, greatest(0, least(100, level - bought))::BIGINT AS arrival, greatest(0, least(100, level))::BIGINT AS departure FROM y""")
+def win11_tank_levels(spark, d):
+    order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_quantity", "l_extendedprice")
+    legs = src.read(spark, d, "lineitem").select(F.col("l_orderkey").alias("route_id"), F.row_number().over(order).cast("long").alias("leg"), F.col("l_quantity").cast("long").alias("used"), (F.col("l_partkey") % 60).alias("bought"))
+    return rules.tank_levels(legs, "route_id", ["leg"], "used", "bought", 50, 100).select("route_id", "leg", "arrival", "departure")
+
+
+_WORLDS = """a AS (SELECT route_id, opis_id, price_milli FROM v_candidate WHERE opis_id % 5 <> 0), b AS (SELECT route_id, opis_id, price_milli + CASE WHEN opis_id % 3 = 0 THEN 1 ELSE 0 END AS price_milli FROM v_candidate WHERE opis_id % 7 <> 0)"""
+
+
+def _worlds(spark, d):
+    c = src.candidates(spark, d).select("route_id", "opis_id", "price_milli")
+    return c.where("opis_id % 5 <> 0"), c.where("opis_id % 7 <> 0").withColumn("price_milli", F.col("price_milli") + F.when(F.col("opis_id") % 3 == 0, 1).otherwise(0))
+
+
+@query(_WORLDS + " SELECT route_id, opis_id, a.price_milli AS a_milli, b.price_milli AS b_milli FROM a FULL JOIN b USING (route_id, opis_id)")
+def join10_world_pairs(spark, d):
+    """JOIN-10 and SET-1: every key of either world with both prices."""
+    a, b = _worlds(spark, d)
+    return a.withColumnRenamed("price_milli", "a_milli").join(b.withColumnRenamed("price_milli", "b_milli"), ["route_id", "opis_id"], "full")
+
+
+@query(_WORLDS + " SELECT route_id, count(*) FILTER (b.opis_id IS NULL) AS left_out, count(*) FILTER (a.opis_id IS NULL) AS added FROM a FULL JOIN b USING (route_id, opis_id) GROUP BY route_id")
+def set2_symmetric_difference(spark, d):
+    a, b = _worlds(spark, d)
+    gather = lambda df, n: df.groupBy("route_id").agg(F.collect_set("opis_id").alias(n))
+    none = F.array().cast("array<int>")
+    both = gather(a, "x").join(gather(b, "y"), "route_id", "full").select("route_id", F.coalesce("x", none).alias("x"), F.coalesce("y", none).alias("y"))
+    return both.select("route_id", F.size(F.array_except("x", "y")).cast("long").alias("left_out"), F.size(F.array_except("y", "x")).cast("long").alias("added"))
+
+
+@query("SELECT count(*) * 2 AS n_rows, count(*) * 2 AS ids, 0::BIGINT AS shared_ids FROM (SELECT DISTINCT opis_id FROM v_station)")
+def set6_disjoint_union(spark, d):
+    """Price-list stations and minted ones: the reserved span keeps their ids apart."""
+    s = src.stations(spark, d).select(F.col("opis_id").cast("long").alias("id"), F.lit(0).alias("minted"))
+    new = s.select((cleaning.ID_BASE + F.col("id")).alias("id"), F.lit(1).alias("minted"))
+    per = s.unionByName(new).groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("minted").alias("kinds"))
+    return per.agg(F.sum("n").alias("n_rows"), F.count(F.lit(1)).alias("ids"), F.count_if(F.col("kinds") > 1).alias("shared_ids"))
+
+
+@query("SELECT route_id, 0 AS leg, 25::BIGINT AS n, sum(lat_u)::BIGINT AS total FROM v_point WHERE seq <= 24 GROUP BY route_id UNION ALL SELECT route_id, 1, 41, sum(lat_u)::BIGINT FROM v_point WHERE seq >= 24 GROUP BY route_id")
+def arr1_leg_slices(spark, d):
+    """A route's coordinates as one array, sliced per leg; legs share their boundary point."""
+    line = F.transform(F.array_sort(F.collect_list(F.struct("seq", "lat_u"))), lambda p: p["lat_u"]).alias("line")
+    rows = src.route_points(spark, d).groupBy("route_id").agg(line)
+    cut = rows.select("route_id", F.posexplode(F.array(F.slice("line", 1, 25), F.slice("line", 25, 41))).alias("leg", "part"))
+    return cut.select("route_id", "leg", F.size("part").cast("long").alias("n"), F.aggregate("part", F.lit(0).cast("long"), lambda a, x: a + x).alias("total"))
+
+
+@query("SELECT l_orderkey AS route_id, string_agg(l_quantity::BIGINT, ',' ORDER BY l_linenumber, l_partkey, l_quantity) AS miles FROM lineitem GROUP BY l_orderkey")
+def arr2_flattened_annotations(spark, d):
+    """Per-leg annotation arrays of a route, one after the other."""
+    value = F.struct("l_linenumber", "l_partkey", "l_quantity")
+    legs = src.read(spark, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.array_sort(F.collect_list(value)).alias("leg"))
+    flat = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "leg"))), lambda x: x["leg"]))
+    return legs.groupBy(F.col("l_orderkey").alias("route_id")).agg(F.array_join(F.transform(flat, lambda v: v["l_quantity"].cast("long").cast("string")), ",").alias("miles"))
+
+
+# --- trips and throttles
+
+
+@query(_PREFLIGHT + """, x AS (SELECT route_id // 200 AS trip, route_id, feasible, gap_milli, total_milli_mi FROM pf JOIN v_route USING (route_id))
+SELECT trip, count(*) AS alternatives, count(*) FILTER (feasible) AS feasible, first(route_id ORDER BY total_milli_mi, route_id) FILTER (feasible) AS winner, CASE WHEN count(*) FILTER (feasible) = 0 THEN first(route_id ORDER BY gap_milli, route_id) END AS least_bad,
+CASE WHEN count(*) FILTER (feasible) = 0 THEN '{"code":"infeasible","gap_milli":' || min(gap_milli) || '}' END AS error FROM x GROUP BY trip""")
+def pln15_alternatives(spark, d):
+    """PLN-15 and JSN-4: infeasible alternatives are recorded, not fatal; a trip without a feasible one gets an error with the smallest gap."""
+    routes = src.routes(spark, d)
+    x = search.preflight(routes, src.candidates(spark, d)).join(routes.select("route_id", "total_milli_mi"), "route_id").withColumn("trip", F.floor(F.col("route_id") / 200))
+    good = F.count_if("feasible")
+    error = F.to_json(F.struct(F.lit("infeasible").alias("code"), F.min("gap_milli").alias("gap_milli")))
+    return x.groupBy("trip").agg(
+        F.count(F.lit(1)).alias("alternatives"), good.alias("feasible"), F.min_by("route_id", F.when(F.col("feasible"), F.struct("total_milli_mi", "route_id"))).alias("winner"),
+        F.when(good == 0, F.min_by("route_id", F.struct("gap_milli", "route_id"))).alias("least_bad"), F.when(good == 0, error).alias("error"),
+    )
+
+
+@query()
+def agg15_fleet_savings(spark, d):
+    """AGG-15 and AGG-31: saving over the price-blind driver per route, and for five hauls a week over a year."""
+    both = search.solve(_problems(spark, d), ("exact", "naive")).where("feasible").groupBy("route_id").agg(*[F.max(F.when(F.col("method") == m, F.col("cost"))).alias(m) for m in ("exact", "naive")])
+    saved = F.col("naive") - F.col("exact")
+    return both.where("exact IS NOT NULL AND naive IS NOT NULL").select("route_id", search.dollars(saved).alias("saved_usd"), F.round(saved * 100 / F.nullif("naive", F.lit(0)), 1).alias("saved_percent"), search.dollars(saved * 260).alias("yearly_usd"))
+
+
+@query()
+def agg6_median_fill(spark, d):
+    """Median of bought miles over all purchases of all exact plans."""
+    stops = search.solve(_problems(spark, d), ("exact",)).select(F.explode("stops").alias("s"))
+    return stops.agg(F.count(F.lit(1)).alias("purchases"), F.median("s.amount").alias("median_milli_mi"))
+
+
+@query()
+def stm2_throttled(spark, d):
+    """Three calls an hour and eight a day: refused calls do not count, which no window frame can say; tests hold it against a loop."""
+    return rules.throttled(src.read(spark, d, "events"), 3, 3600, 8, 86_400)
+
+
+@query("SELECT user_id, event_type, min(event_id) AS computed_by, count(*) - 1 AS served_again FROM events GROUP BY ALL")
+def stm4_response_cache(spark, d):
+    return counters.cached(src.read(spark, d, "events"), ["user_id", "event_type"]).select("user_id", "event_type", "computed_by", "served_again")

@@ -1,0 +1,88 @@
+"""Files that queries write and read back: delimited exports, nested partitioned extracts, release listings.
+
+Everything goes to a fresh folder below the one that ``spark.checkpoint.dir`` names, which all executors share.
+"""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+_FALLBACK: dict[str, str] = {}
+#: Pattern of a release folder: date and counter.
+RELEASE = r"/release=(\d{4}-\d{2}-\d{2}\.\d+)/"
+
+
+def fresh_path(spark: SparkSession, label: str) -> str:
+    """A new path in the shared folder; a folder of this machine stands in only where the setting is absent."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named:
+        app = spark.sparkContext.applicationId
+        if app not in _FALLBACK:
+            _FALLBACK[app] = "file://" + tempfile.mkdtemp(prefix="spark-files-", dir="/tmp")
+        named = _FALLBACK[app]
+    return f"{named.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+
+
+def export_csv(df: DataFrame, order: str, label: str) -> str:
+    """Write ``df`` as CSV with a header, null as nothing, ordered by ``order`` across and within the part files."""
+    path = fresh_path(df.sparkSession, label)
+    df.repartitionByRange(order).sortWithinPartitions(order).write.csv(path, header=True, nullValue="", emptyValue="")
+    return path
+
+
+def scan_csv(spark: SparkSession, path: str, required: list[str]) -> DataFrame:
+    """The required columns as strings, blanks as null; a column that the header lacks stops the scan by its name."""
+    rows = spark.read.csv(path, header=True)
+    missing = [c for c in required if c not in rows.columns]
+    if missing:
+        raise ValueError(f"columns missing from {path}: {', '.join(missing)}")
+    return rows.select(*[F.nullif(F.trim(c), F.lit("")).alias(c) for c in required])
+
+
+def extract_rows(lines: DataFrame) -> DataFrame:
+    """``id|state|lat|lng`` lines: state trimmed and upper-cased; ``ok`` is false where a number does not parse."""
+    parts = F.split("line", r"\|")
+    rows = lines.select(
+        F.get(parts, 0).try_cast("int").alias("opis_id"), F.upper(F.trim(F.get(parts, 1))).alias("state"),
+        F.get(parts, 2).try_cast("decimal(10,6)").alias("lat"), F.get(parts, 3).try_cast("decimal(10,6)").alias("lng"),
+    )
+    return rows.withColumn("ok", F.col("opis_id").isNotNull() & F.col("lat").isNotNull() & F.col("lng").isNotNull())
+
+
+def write_extract(places: DataFrame) -> str:
+    """Places as Parquet with nested columns, one folder a release."""
+    path = fresh_path(places.sparkSession, "extract")
+    places.write.partitionBy("release").parquet(path)
+    return path
+
+
+def wanted_places(spark: SparkSession, path: str, release: str, categories: list[str], floor: float) -> DataFrame:
+    """Places of one release by category and confidence: partition and field predicates reach the Parquet scan."""
+    return spark.read.parquet(path).where((F.col("release") == release) & F.col("categories.primary").isin(*categories) & (F.col("confidence") >= floor))
+
+
+def releases(spark: SparkSession, path: str) -> DataFrame:
+    """(release,) folders below ``path``, each once."""
+    found = spark.read.parquet(path).select(F.regexp_extract(F.col("_metadata.file_path"), RELEASE, 1).alias("release"))
+    return found.where("release <> ''").distinct()
+
+
+def first_feature(body: Column) -> Column:
+    """(lat, lng) of a geocoder answer's first feature, whose centre is given as (lng, lat); null without features."""
+    centre = F.get(F.from_json(body, "features array<struct<center:array<long>>>")["features"], 0)["center"]
+    return F.when(F.size(centre) >= 2, F.struct(F.get(centre, 1).alias("lat_u"), F.get(centre, 0).alias("lng_u")))
+
+
+def batch_answers(lines: DataFrame) -> DataFrame:
+    """Geocoder batch answers: under three fields a line is dropped; eight or more with ``Match`` carry ``lng;lat`` in the sixth."""
+    parts = F.split("line", ",")
+    matched = (F.size(parts) >= 8) & (F.get(parts, 2) == "Match")
+    pair = F.split(F.get(parts, 5), ";")
+    return lines.where(F.size(parts) >= 3).select(
+        F.get(parts, 0).try_cast("int").alias("opis_id"), F.coalesce(matched, F.lit(False)).alias("matched"),
+        F.when(matched, F.get(pair, 1).try_cast("long")).alias("lat_u"), F.when(matched, F.get(pair, 0).try_cast("long")).alias("lng_u"),
+    )

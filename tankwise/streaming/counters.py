@@ -39,3 +39,8 @@ def as_of_state(events: DataFrame, success: str, ask: str, fresh_seconds: int, k
     age = micros(F.col("ts")) - micros(F.col("_ok"))
     state = F.when(F.col("_ok").isNull(), "missing").when(age <= fresh_seconds * 1_000_000, "current").when(age <= kept_seconds * 1_000_000, "stale").otherwise("frozen")
     return events.withColumn("_ok", last).where(F.col("event_type") == ask).withColumn("state", state).drop("_ok")
+
+
+def cached(events: DataFrame, key: list[str]) -> DataFrame:
+    """Per composite key the event that computes the answer (the first) and how many later ones are served from it."""
+    return events.groupBy(*key).agg(F.min("event_id").alias("computed_by"), (F.count(F.lit(1)) - 1).alias("served_again"))
