@@ -3,8 +3,9 @@
 Texts become template tokens: numbers, units that follow a number, and names (capitalised words inside a sentence) turn
 into typed placeholders whose values are kept as slots.  Windows of five template tokens are hashed and equality-joined
 with the benchmark's windows.  An item counts as found in a document if at least 0.8 of its windows are, and, where the
-item has slots, if at least 0.8 of its slot values map one-to-one onto the document's: a re-parameterised question
-swaps values consistently, unrelated text with the same template does not.
+item has slots, if at least 0.8 of its slot values stand there themselves or map one-to-one onto the document's: a
+re-parameterised question swaps values consistently, unrelated text with the same template does not.  Both must hold over
+the whole document or along one alignment, so an item that comes twice with different values is found too.
 """
 
 from __future__ import annotations
@@ -20,6 +21,8 @@ WINDOW = 5
 COVERAGE = 0.8
 #: Above this many benchmark windows the join shuffles instead of broadcasting (16 bytes a window and its slots).
 BROADCAST_WINDOWS = 500_000
+#: In place of an alignment: all of them.
+WHOLE = 1 << 30
 
 
 def template_tokens(text: Column) -> Column:
@@ -81,20 +84,24 @@ def contaminated(
     small = theirs.count() <= BROADCAST_WINDOWS
     hits = materialise(mine.join(F.broadcast(theirs) if small else theirs, "h"), "benchmark-hits")
 
-    found = hits.groupBy("id", "item_id").agg(F.countDistinct("item_at").alias("n_found"), F.min("at").alias("first_token"), (F.max("at") + window - 1).alias("last_token"))
+    # judged over the whole document and over each alignment, since a document can hold an item twice with other values
+    aligned = hits.withColumn("shift", F.explode(F.array(F.lit(WHOLE), F.col("at") - F.col("item_at"))))
+    key = ["id", "item_id", "shift"]
+    found = aligned.groupBy(*key).agg(F.countDistinct("item_at").alias("n_found"), F.min("at").alias("first_token"), (F.max("at") + window - 1).alias("last_token"))
     found = found.join(F.broadcast(needed) if small else needed, "item_id").where(F.col("n_found") >= coverage * F.col("n_windows"))
 
-    pairs = hits.where("item_slots IS NOT NULL AND slots IS NOT NULL").select("id", "item_id", F.explode(F.arrays_zip("item_slots", "slots")).alias("s"))
-    pairs = pairs.select("id", "item_id", F.col("s.item_slots").alias("theirs"), F.col("s.slots").alias("ours")).distinct()
-    per = pairs.groupBy("id", "item_id", "theirs").agg(F.count(F.lit(1)).alias("n"), F.min("ours").alias("ours"))
-    back = pairs.groupBy("id", "item_id", "ours").agg(F.count(F.lit(1)).alias("m"))
+    pairs = aligned.where("item_slots IS NOT NULL AND slots IS NOT NULL").select(*key, F.explode(F.arrays_zip("item_slots", "slots")).alias("s"))
+    pairs = pairs.select(*key, F.col("s.item_slots").alias("theirs"), F.col("s.slots").alias("ours")).distinct()
+    per = pairs.groupBy(*key, "theirs").agg(F.count(F.lit(1)).alias("n"), F.min("ours").alias("ours"), F.max(F.col("ours") == F.col("theirs")).alias("same"))
+    back = pairs.groupBy(*key, "ours").agg(F.count(F.lit(1)).alias("m"))
     slots = (
-        per.join(back, ["id", "item_id", "ours"])
-        .groupBy("id", "item_id")
-        .agg(F.count(F.lit(1)).alias("n_slots"), F.count_if((F.col("n") == 1) & (F.col("m") == 1)).alias("n_consistent"))
+        per.join(back, [*key, "ours"])
+        .groupBy(*key)
+        .agg(F.count(F.lit(1)).alias("n_slots"), F.count_if(F.col("same") | ((F.col("n") == 1) & (F.col("m") == 1))).alias("n_consistent"))
     )
-    out = found.join(slots, ["id", "item_id"], "left").fillna(0, ["n_slots", "n_consistent"])
-    return out.where(F.col("n_consistent") >= coverage * F.col("n_slots")).select("id", "item_id", "n_windows", "n_found", "first_token", "last_token", "n_slots", "n_consistent")
+    judged = found.join(slots, key, "left").fillna(0, ["n_slots", "n_consistent"]).where(F.col("n_consistent") >= coverage * F.col("n_slots"))
+    best = judged.groupBy("id", "item_id").agg(F.max(F.struct("n_found", "shift", "n_windows", "first_token", "last_token", "n_slots", "n_consistent")).alias("b"))
+    return best.select("id", "item_id", *[f"b.{c}" for c in ("n_windows", "n_found", "first_token", "last_token", "n_slots", "n_consistent")])
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

@@ -107,7 +107,6 @@ def test_simhash_links_equal_brute_force(spark, bucket):
                 u, v = sorted((find(a), find(b)))
                 root[v] = u
     links = simhash.fingerprint_links(spark.createDataFrame([(x,) for x in signed], "fp long"), 3, bucket)
-    assert all(((r["a"] ^ r["b"]) % 2**64).bit_count() <= 64 for r in links.collect())
     got = dict(map(tuple, components.connected_components(links).collect()))
     assert {x: got.get(x, x) for x in signed} == {x: find(x) for x in signed}
 
@@ -147,7 +146,7 @@ def test_templates(spark):
     bench = spark.createDataFrame([(1, question), (2, None), (3, ""), (1, question)], "item_id long, text string")
     frame = docs(spark, [(1, prose(1, 30) + ". " + other + ". " + prose(2, 20)), (2, question), (3, prose(3, 100)), (4, None), (5, ""), (None, question), (6, " ".join(question.split()[:9])), (7, question + " " + mixed)])
     got = by_id(decontaminate.contaminated(frame, bench))
-    assert set(got) >= {1, 2} and not {3, 4, 5, 6, None} & set(got)
+    assert set(got) == {1, 2, 7}
     assert got[1]["n_slots"] >= 4 and got[1]["n_consistent"] == got[1]["n_slots"]
     left = [r["doc_id"] for r in decontaminate.drop_contaminated(frame, bench).collect()]
     assert None in left and 3 in left and 1 not in left
@@ -161,6 +160,17 @@ def test_inconsistent_slots_are_refused(spark):
     assert [r["id"] for r in got.collect()] == [2]
 
 
+def test_item_found_twice_with_other_values(spark):
+    item = "a train leaves at 10 with 20 seats taken and 30 free, then 40 riders join and 50 leave before it stops"
+    swap = lambda *v: item.replace("10", v[0]).replace("20", v[1]).replace("30", v[2]).replace("40", v[3]).replace("50", v[4])
+    first, second = swap("1", "2", "3", "4", "5"), swap("6", "1", "2", "8", "3")
+    broken = item.replace("seats taken", "seats all taken")
+    clash = " then 9 riders join and 8 leave before it stops"
+    frame = docs(spark, [(1, item + ". " + first), (2, first + ". " + second), (3, broken + clash), (4, clash)])
+    got = decontaminate.contaminated(frame, spark.createDataFrame([(1, item)], "item_id long, text string")).collect()
+    assert sorted(r["id"] for r in got) == [1, 2]
+
+
 def test_op2_equals_whole_passage_search(spark):
     got = {(r["doc_id"], r["item_id"]) for r in queries.op2_benchmark_decontamination(spark, SF).collect()}
     words = lambda t: " ".join(re.findall(r"\w+", t.lower()))
