@@ -23,7 +23,7 @@ def tokenizer_path() -> str:
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spans that repeat earlier text, one row each; documents without repeats give none."""
-    spans = substring_dedup.repeated_spans(table(spark, sf_dir, "documents"))
+    spans = substring_dedup.repeated_spans(table(spark, sf_dir, "documents"), whole_lines=True)
     return spans.select(F.col("id").alias("doc_id"), F.col("start").alias("start_char"), F.col("stop").alias("stop_char"), F.col("words").alias("n_words"), "n_units", F.col("kept_id").alias("kept_doc_id"))
 
 

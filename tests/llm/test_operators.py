@@ -128,6 +128,46 @@ def test_repeats_are_found_wherever_they_stand(spark):
     assert substring_dedup.repeated_spans(frame.limit(0)).count() == 0
 
 
+def test_repeated_whole_lines_of_any_length(spark):
+    rng = random.Random(21)
+    common = [prose(100 + n, n) for n in (1, 2, 5, 9, 12, 13, 14, 15, 17, 18, 40)]
+    rows = [(i, "\n".join(rng.choice(common).upper() if rng.random() < 0.4 else prose(1000 * i + j, rng.randint(3, 30)) for j in range(6))) for i in range(1, 40)]
+    rows += [(50, "a wholly short text"), (51, "A wholly short text."), (52, common[7] + " " + prose(77, 4)), (53, None)]
+    frame = docs(spark, rows)
+    seen, want = set(), {}
+    for i, text in rows:
+        at = 0
+        for line in (text or "").split("\n"):
+            words = tuple(re.findall(r"\w+", line.lower()))
+            if words in seen:
+                want.setdefault(i, set()).update(at + k for m in re.finditer(r"\w+", line) for k in range(m.start(), m.end()))
+            seen.add(words)
+            at += len(line) + 1
+    got = {}
+    for r in substring_dedup.repeated_spans(frame, whole_lines=True).collect():
+        text = dict(rows)[r["id"]]
+        assert r["words"] == len(re.findall(r"\w+", text[r["start"] : r["stop"]])) and r["kept_id"] <= r["id"]
+        got.setdefault(r["id"], set()).update(k for k in range(r["start"], r["stop"]) if re.match(r"\w", text[k]))
+    assert got == want and 51 in got and 52 not in got
+    assert {r["doc_id"]: r["text"] for r in substring_dedup.remove_repeats(frame, whole_lines=True).collect()}[51] == "."
+
+
+def test_op1_reports_short_repeated_lines(spark):
+    found = {}
+    for r in queries.op1_substring_dedup(spark, SF).collect():
+        found.setdefault(r["doc_id"], []).append((r["start_char"], r["stop_char"]))
+    seen = set()
+    for r in spark.read.parquet(f"{SF}/documents.parquet").orderBy("doc_id").collect():
+        at = 0
+        for line in (r["text"] or "").split("\n"):
+            words = [(m.start(), m.end(), m.group().lower()) for m in re.finditer(r"\w+", line)]
+            if words:
+                key = " ".join(w for *_, w in words)
+                assert key not in seen or any(a <= at + words[0][0] and at + words[-1][1] <= b for a, b in found.get(r["doc_id"], []))
+                seen.add(key)
+            at += len(line) + 1
+
+
 def test_units_cover_words_and_digests_ignore_case():
     text = prose(9, 500).replace(" ", "  ", 7) + "\n\nLast Line"
     found = list(substring_dedup.units(text))
