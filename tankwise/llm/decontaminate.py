@@ -3,9 +3,10 @@
 Texts become template tokens: numbers, units that follow a number, and names (capitalised words inside a sentence) turn
 into typed placeholders whose values are kept as slots.  Windows of five template tokens are hashed and equality-joined
 with the benchmark's windows.  An item counts as found in a document if at least 0.8 of its windows are, and, where the
-item has slots, if at least 0.8 of its slot values stand there themselves or map one-to-one onto the document's: a
+item has slots, if at least 0.8 of its slot values stand there themselves or map onto one value of the document's each: a
 re-parameterised question swaps values consistently, unrelated text with the same template does not.  Both must hold over
-the whole document or along one alignment, so an item that comes twice with different values is found too.
+the whole document or along one alignment, so an item that comes twice with different values is found too.  Along one
+alignment two values may become the same one; over the whole document the mapping must be one-to-one.
 """
 
 from __future__ import annotations
@@ -97,7 +98,7 @@ def contaminated(
     slots = (
         per.join(back, [*key, "ours"])
         .groupBy(*key)
-        .agg(F.count(F.lit(1)).alias("n_slots"), F.count_if(F.col("same") | ((F.col("n") == 1) & (F.col("m") == 1))).alias("n_consistent"))
+        .agg(F.count(F.lit(1)).alias("n_slots"), F.count_if(F.col("same") | ((F.col("n") == 1) & ((F.col("m") == 1) | (F.col("shift") != WHOLE)))).alias("n_consistent"))
     )
     judged = found.join(slots, key, "left").fillna(0, ["n_slots", "n_consistent"]).where(F.col("n_consistent") >= coverage * F.col("n_slots"))
     best = judged.groupBy("id", "item_id").agg(F.max(F.struct("n_found", "shift", "n_windows", "first_token", "last_token", "n_slots", "n_consistent")).alias("b"))

@@ -211,6 +211,17 @@ def test_item_found_twice_with_other_values(spark):
     assert sorted(r["id"] for r in got) == [1, 2]
 
 
+def test_values_that_become_one_are_found(spark):
+    item = "Yesterday Tom had 3 crates of plums and gave Anna 5 of them before the market closed for the day"
+    same = item.replace("3", "4").replace("5", "4")
+    one_name = item.replace("Tom", "Mary").replace("Anna", "Mary")
+    parted = "pay 10 to the clerk and then 10 to the guard before the old gate shuts"
+    frame = docs(spark, [(1, prose(5, 20) + ". " + same + ". " + prose(6, 20)), (2, one_name), (3, parted.replace("10", "1", 1).replace("10", "4")), (4, prose(7, 60))])
+    got = decontaminate.contaminated(frame, spark.createDataFrame([(1, item), (2, parted)], "item_id long, text string")).collect()
+    assert sorted((r["id"], r["item_id"], r["n_slots"], r["n_consistent"]) for r in got) == [(1, 1, 4, 4), (2, 1, 4, 4)]
+    assert sorted(r["doc_id"] for r in decontaminate.drop_contaminated(frame, spark.createDataFrame([(1, item)], "item_id long, text string")).collect()) == [3, 4]
+
+
 def test_op2_equals_whole_passage_search(spark):
     got = {(r["doc_id"], r["item_id"]) for r in queries.op2_benchmark_decontamination(spark, SF).collect()}
     words = lambda t: " ".join(re.findall(r"\w+", t.lower()))
