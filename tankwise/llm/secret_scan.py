@@ -2,7 +2,8 @@
 
 A candidate is a long run of key-like characters.  For each character class a window slides over it; its entropy follows
 from per-character counts that change by one in and one out.  Windows above the class's threshold are merged into spans.
-Candidates that look like known harmless shapes (an allow-list) are suppressed.
+Candidates that look like known harmless shapes (an allow-list) are suppressed.  The word "example" suppresses only the
+part of a candidate that holds it, between the marks / = - _; the stretches before and after are scanned on their own.
 """
 
 from __future__ import annotations
@@ -29,15 +30,26 @@ CLASSES = (
     ("alnum", frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"), 3.6, 2),
     ("base64", frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"), 3.8, 2),
 )
-#: Shapes that are never reported by entropy: UUIDs, dates and times, words joined by marks, documented examples.
-ALLOW = re.compile(r"[0-9A-Fa-f]{8}(?:-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}|\d{4}-\d\d-\d\d[T_]?[\d-]*|[A-Za-z]+(?:[-_/=+]+[A-Za-z]+)*[-_/=+]*|.*(?:EXAMPLE|example).*")
+#: Shapes that are never reported by entropy: UUIDs, dates and times, words joined by marks.
+ALLOW = re.compile(r"[0-9A-Fa-f]{8}(?:-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}|\d{4}-\d\d-\d\d[T_]?[\d-]*|[A-Za-z]+(?:[-_/=+]+[A-Za-z]+)*[-_/=+]*")
+_EXAMPLE = re.compile(r"EXAMPLE|example")
+_PART = re.compile(r"[^/=_-]+")
 _TERM = [0.0, 0.0, *(n * log2(n) for n in range(2, WINDOW + 1))]
 
 
 def entropy_spans(run: str) -> list[tuple[int, int]]:
-    """Merged windows of ``run`` whose entropy is high for a class that holds all their characters."""
-    if ALLOW.fullmatch(run):
-        return []
+    """Merged windows of ``run`` whose entropy is high for a class that holds all their characters, outside of examples."""
+    if not _EXAMPLE.search(run):
+        return [] if ALLOW.fullmatch(run) else _hot_spans(run)
+    examples = [m.span() for m in _PART.finditer(run) if _EXAMPLE.search(m.group())]
+    out = []
+    for a, b in zip([0, *(b for _, b in examples)], [*(a for a, _ in examples), len(run)]):
+        if b - a >= WINDOW and not ALLOW.fullmatch(run[a:b].strip("/=_-")):
+            out += [(a + start, a + stop) for start, stop in _hot_spans(run[a:b])]
+    return out
+
+
+def _hot_spans(run: str) -> list[tuple[int, int]]:
     hot: list[tuple[int, int]] = []
     for _, alphabet, least, digits in CLASSES:
         at = 0
