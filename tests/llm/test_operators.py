@@ -11,7 +11,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from tankwise.llm import components, decontaminate, media_sniff, mixing, quality_gam, queries, secret_scan, simhash, substring_dedup, token_store, url_rules, warc_store
+from larkspan.llm import components, decontaminate, media_sniff, mixing, quality_gam, queries, secret_scan, simhash, substring_dedup, token_store, url_rules, warc_store
 
 SF = "/root/testdata/sf0.001"
 WORDS = "river stone meadow cloud copper lantern orbit velvet harbor thicket ember quartz willow summit canyon ripple marble falcon timber breeze".split()

@@ -8,8 +8,8 @@ import numpy as np
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tankwise.llm import mixing, queries, simhash
-from tankwise.llm.common import materialise, table
+from larkspan.llm import mixing, queries, simhash
+from larkspan.llm.common import materialise, table
 
 SF = "/root/testdata/sf0.001"
 
