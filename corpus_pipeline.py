@@ -9,9 +9,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tankwise.llm import decontaminate, mixing, quality_gam, simhash, token_store
-from tankwise.llm.common import materialise, table
-from tankwise.llm.queries import tokenizer_path
+from larkspan.llm import decontaminate, mixing, quality_gam, simhash, token_store
+from larkspan.llm.common import materialise, table
+from larkspan.llm.queries import tokenizer_path
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

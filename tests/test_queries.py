@@ -7,7 +7,7 @@ import duckdb
 import pandas as pd
 import pytest
 
-from tankwise import registry
+from larkspan import registry
 
 DATA = "/root/testdata/sf0.001"
 
@@ -50,7 +50,7 @@ def test_exact_is_never_dearer(spark):
 def test_streaming_counts_equal_batch(spark, tmp_path):
     from pyspark.sql import functions as F
 
-    from tankwise.streaming import counters
+    from larkspan.streaming import counters
 
     events = spark.read.parquet(f"{DATA}/events.parquet")
     events.write.parquet(str(tmp_path / "in"))

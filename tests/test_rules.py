@@ -3,8 +3,8 @@
 import pytest
 from pyspark.sql import functions as F
 
-from tankwise.operators import corridor, rules
-from tankwise.sources import adapters, files
+from larkspan.operators import corridor, rules
+from larkspan.sources import adapters, files
 
 DATA = "/root/testdata/sf0.001"
 

@@ -7,8 +7,8 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from tankwise.plans import solvers
-from tankwise.plans.solvers import Problem, Rates, Station
+from larkspan.plans import solvers
+from larkspan.plans.solvers import Problem, Rates, Station
 
 
 def brute(p, rates):
@@ -54,7 +54,7 @@ def test_price_blind_stops_at_the_farthest_in_reach():
 
 
 def test_pruning_keeps_the_optimum(spark):
-    from tankwise.plans import search
+    from larkspan.plans import search
 
     rng = random.Random(11)
     rows = [(r, 0, 2_000_000, 700_000, i, f"s{i}", "TX", rng.randint(2500, 4000), rng.choice(["opis_indexed", "eia_regional_estimate"]), rng.randint(1, 19) * 100_000) for r in range(12) for i in range(14)]
@@ -70,7 +70,7 @@ def test_pruning_keeps_the_optimum(spark):
 def test_chain_names_are_whole_tokens(spark, name, chain):
     from pyspark.sql import functions as F
 
-    from tankwise.functions import text
+    from larkspan.functions import text
 
     assert spark.createDataFrame([(name,)], "n string").select(text.chain_of(F.col("n"))).first()[0] == chain
 
@@ -78,5 +78,5 @@ def test_chain_names_are_whole_tokens(spark, name, chain):
 def test_core_stands_without_the_other_subpackage():
     from pathlib import Path
 
-    root = Path(__file__).resolve().parents[1] / "tankwise"
+    root = Path(__file__).resolve().parents[1] / "larkspan"
     assert not [p for p in root.rglob("*.py") if "llm" not in p.parts and "llm" in p.read_text()]
