@@ -407,6 +407,23 @@ def test_tokens_equal_the_library(spark, awkward):
     assert token_store.read_documents(token_store.write_tokens(frame.limit(0), path)).count() == 0
 
 
+@pytest.mark.parametrize("file", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_encoder_equals_the_library_on_odd_texts(file):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path(file)
+    tok, rng = Tokenizer.from_file(path), random.Random(12)
+    parts = ["a", "b", "s", "t", "re", "ve", "ll", "m", "d", "'", "'s", "'re", "1", " ", "  ", "\n", "\n\n", "\t", "\r", ".", "_", '"', "é", "ſ", "Z"]
+    odd = [*parts, "×", "½", "日", "<|endoftext|>", "\x0b", "\u00a0", "\0"]
+    texts = ["".join(rng.choice(alphabet) for _ in range(rng.randint(0, 30))) for alphabet in (parts, odd) for _ in range(3000)]
+    encode = token_store.Encoder(path, remembered=2000)
+    assert encode.by_piece == (file == "byte_bpe_50k.json")
+    for at in range(0, len(texts), 500):
+        some = texts[at : at + 500]
+        assert [x.tolist() for x in encode([t.encode() for t in some])] == [tok.encode(t, add_special_tokens=False).ids for t in some]
+
+
 # --- WARC
 
 
