@@ -40,7 +40,7 @@ def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Workers get less memory than the lone operator's: the executors still hold that of the stages before.
     """
-    return token_store.read_documents(token_store.write_tokens(docs, tokenizer_path(), remembered=450_000, texts=1000)).withColumnRenamed("id", "doc_id")
+    return token_store.read_documents(token_store.write_tokens(docs, tokenizer_path(), remembered=450_000, batch_bytes=4_000_000)).withColumnRenamed("id", "doc_id")
 
 
 STAGES = [
