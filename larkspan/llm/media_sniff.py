@@ -1,16 +1,20 @@
 """Media columns: signature sniffing.
 
 An Aho-Corasick automaton finds the magic bytes of all formats in one pass over stored bytes.  A validator per format
-then walks the structure behind each hit (chunk lengths, checksums, trailers) and returns the length it accounts for,
-or 0.  The format that starts the bytes corrects the declared type; valid media at later offsets are carved.
+then walks the structure behind each hit (chunk lengths, checksums, trailers) and returns where the medium ends, or 0.
+Validators work by offsets in the whole bytes; trailers are found once for all hits, and walks that meet at a place go on
+as one, so many false hits cost no more than a pass.  The format that starts the bytes corrects the declared type; valid
+media at later offsets are carved.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
 import struct
 import zlib
-from collections.abc import Callable, Iterator
+from bisect import bisect_left
+from collections.abc import Iterator
 from functools import cache
 
 import ahocorasick
@@ -38,160 +42,245 @@ MAGIC = {
     b"BM": (0, "bmp"),
     b"ftyp": (4, "mp4"),
 }
+_KINDS = tuple(dict.fromkeys(kind for _, kind in MAGIC.values()))
 TYPES = {
     "png": "image/png", "jpeg": "image/jpeg", "gif": "image/gif", "wav": "audio/wav", "webp": "image/webp", "avi": "video/x-msvideo",
     "pdf": "application/pdf", "zip": "application/zip", "gzip": "application/gzip", "ogg": "audio/ogg", "bmp": "image/bmp", "mp4": "video/mp4",
 }
 
 
-def _png(b: memoryview) -> int:
-    at = 8
-    while at + 12 <= len(b):
-        n, kind = int.from_bytes(b[at : at + 4], "big"), bytes(b[at + 4 : at + 8])
-        if at + 12 + n > len(b) or (at == 8) != (kind == b"IHDR"):
+_OGG_POLY_REVERSED = bytes(int(f"{b:08b}"[::-1], 2) for b in range(256))
+_FORMS = {b"WAVE": "wav", b"WEBP": "webp", b"AVI ": "avi"}
+_WEBP = (b"VP8 ", b"VP8L", b"VP8X")
+_AFTER_SCAN = re.compile(rb"\xff+[^\x00\xd0-\xd7\xff]")
+
+
+class _Walk:
+    """Validators over the bytes of one text; each takes where its format's file would start and returns its end, or 0."""
+
+    def __init__(self, data: bytes):
+        self.data, self.size = data, len(data)
+        self.seen: dict[tuple[str, int], int] = {}
+        self.found: dict[bytes, list[int]] = {}
+
+    def number(self, at: int, n: int, order: str = "little") -> int:
+        return int.from_bytes(self.data[at : at + n], order)
+
+    def places(self, pattern: bytes) -> list[int]:
+        """All offsets of ``pattern``, searched once."""
+        if pattern not in self.found:
+            self.found[pattern] = [m.start() for m in re.finditer(re.escape(pattern), self.data)]
+        return self.found[pattern]
+
+    def next_of(self, pattern: bytes, at: int) -> int:
+        """The first offset of ``pattern`` from ``at`` on, or -1."""
+        known = self.places(pattern)
+        k = bisect_left(known, at)
+        return known[k] if k < len(known) else -1
+
+    def follow(self, kind: str, at: int, step) -> int:
+        """Walk from ``at`` by ``step``, which gives (next place, None) or (None, end); each place is walked once."""
+        trail, end = [], self.seen.get((kind, at))
+        while end is None:
+            trail.append(at)
+            at, end = step(at)
+            if end is None:
+                end = self.seen.get((kind, at))
+        for place in trail:
+            self.seen[kind, place] = end
+        return end
+
+    def png(self, start: int) -> int:
+        if self.data[start + 8 : start + 16] != b"\0\0\0\rIHDR":
             return 0
-        if zlib.crc32(b[at + 4 : at + 8 + n]) != int.from_bytes(b[at + 8 + n : at + 12 + n], "big"):
-            return 0
-        at += 12 + n
-        if kind == b"IEND":
-            return at
-    return 0
 
+        def chunk(at: int):
+            n, body = self.number(at, 4, "big"), at + 8
+            if body + n + 4 > self.size or zlib.crc32(self.data[at + 4 : body + n]) != self.number(body + n, 4, "big"):
+                return None, 0
+            return (None, body + n + 4) if self.data[at + 4 : body] == b"IEND" else (body + n + 4, None)
+
+        return self.follow("png", start + 8, chunk)
+
+    def jpeg(self, start: int) -> int:
+        def segment(at: int):
+            while at + 1 < self.size and self.data[at : at + 2] == b"\xff\xff":
+                at += 1
+            if at + 2 > self.size or self.data[at] != 0xFF:
+                return None, 0
+            kind = self.data[at + 1]
+            if kind == 0xD9:
+                return None, at + 2
+            if kind == 1 or 0xD0 <= kind <= 0xD7:
+                return at + 2, None
+            n = self.number(at + 2, 2, "big")
+            if n < 2 or kind in (0, 0xD8):
+                return None, 0
+            if kind != 0xDA:
+                return at + 2 + n, None
+            m = _AFTER_SCAN.search(self.data, at + 2 + n)
+            return (m.end() - 2, None) if m else (None, 0)
+
+        return self.follow("jpeg", start + 2, segment) if self.places(b"\xff\xd9") else 0
+
+    def gif(self, start: int) -> int:
+        if start + 14 > self.size:
+            return 0
 
-def _jpeg(b: memoryview) -> int:
-    at = 2
-    while at + 4 <= len(b) and b[at] == 0xFF:
-        n = int.from_bytes(b[at + 2 : at + 4], "big")
-        if n < 2:
+        def table(flags: int) -> int:
+            return 3 << ((flags & 7) + 1) if flags & 0x80 else 0
+
+        def sub_block(at: int):
+            if at >= self.size:
+                return None, 0
+            return (None, at + 1) if not self.data[at] else (at + 1 + self.data[at], None)
+
+        def block(at: int):
+            mark = self.data[at] if at < self.size else 0
+            if mark == 0x3B:
+                return None, at + 1
+            if mark == 0x21:
+                after = self.follow("gif-data", at + 2, sub_block)
+            elif mark == 0x2C and at + 10 < self.size:
+                after = self.follow("gif-data", at + 11 + table(self.data[at + 9]), sub_block)
+            else:
+                after = 0
+            return (after, None) if after else (None, 0)
+
+        at = start + 13 + table(self.data[start + 10])
+        return self.follow("gif", at, block) if at < self.size and self.data[at] in b";!," else 0
+
+    def riff(self, start: int) -> int:
+        form, first = self.data[start + 8 : start + 12], self.data[start + 12 : start + 16]
+        if form not in _FORMS:
             return 0
-        scan, at = b[at + 1] == 0xDA, at + 2 + n
-        if scan:
-            end = bytes(b[at:]).find(b"\xff\xd9")
-            return at + end + 2 if end >= 0 else 0
-    return 0
-
-
-def _gif(b: memoryview) -> int:
-    def table(flags: int) -> int:
-        return 3 << ((flags & 7) + 1) if flags & 0x80 else 0
-
-    def blocks(at: int) -> int:
-        while at < len(b) and b[at]:
-            at += 1 + b[at]
-        return at + 1
-
-    if len(b) < 14:
-        return 0
-    at = 13 + table(b[10])
-    while at < len(b):
-        if b[at] == 0x3B:
-            return at + 1
-        if b[at] == 0x21:
-            at = blocks(at + 2)
-        elif b[at] == 0x2C and at + 10 < len(b):
-            at = blocks(at + 11 + table(b[at + 9]))
-        else:
+        usual = {b"WAVE": first != b"data", b"WEBP": first in _WEBP, b"AVI ": first == b"LIST"}.get(form, False)
+        end = start + 8 + self.number(start + 4, 4)
+        if not usual or end > self.size:
             return 0
-    return 0
-
-
-def _riff(b: memoryview) -> int:
-    if len(b) < 12 or bytes(b[8:12]) not in (b"WAVE", b"WEBP", b"AVI "):
-        return 0
-    end = 8 + int.from_bytes(b[4:8], "little")
-    at = 12
-    while at + 8 <= min(end, len(b)):
-        n = int.from_bytes(b[at + 4 : at + 8], "little")
-        at += 8 + n + n % 2
-    return end if end <= len(b) and at == end else 0
-
-
-def _pdf(b: memoryview) -> int:
-    end = bytes(b).find(b"%%EOF")
-    return end + 5 if end > 0 and bytes(b[:end]).rfind(b"startxref") > 0 else 0
-
-
-def _zip(b: memoryview) -> int:
-    whole, at = bytes(b), 0
-    while (at := whole.find(b"PK\x05\x06", at)) >= 0 and at + 22 <= len(b):
-        size, begin = struct.unpack("<II", b[at + 12 : at + 20])
-        if begin + size == at and (not size or whole[begin : begin + 4] == b"PK\x01\x02"):
-            return at + 22 + int.from_bytes(b[at + 20 : at + 22], "little")
-        at += 4
-    return 0
-
-
-def _gzip(b: memoryview) -> int:
-    one = zlib.decompressobj(31)
-    try:
-        rest = b
-        while len(rest) and not one.eof:
-            one.decompress(rest, 1 << 20)
-            rest = one.unconsumed_tail
-    except zlib.error:
-        return 0
-    return len(b) - len(one.unused_data) if one.eof else 0
-
-
-def _ogg(b: memoryview) -> int:
-    at = 0
-    while at + 27 <= len(b) and bytes(b[at : at + 5]) == b"OggS\0":
-        n = b[at + 26]
-        if at + 27 + n > len(b):
+        if form == b"WEBP":
+            good = {b"VP8 ": self.data[start + 23 : start + 26] == b"\x9d\x01\x2a", b"VP8L": self.data[start + 20 : start + 21] == b"/", b"VP8X": self.number(start + 16, 4) == 10}
+            if not good[first]:
+                return 0
+        at = start + 12
+        while at + 8 <= end:
+            at += 8 + self.number(at + 4, 4)
+            at += (at - start) % 2
+        return end if at == end else 0
+
+    def pdf(self, start: int) -> int:
+        end = self.next_of(b"%%EOF", start)
+        return end + 5 if end >= 0 and start < self.next_of(b"startxref", start) < end else 0
+
+    def zip(self, start: int) -> int:
+        if "zip" not in self.found:
+            self.found["zip"] = {}
+            for at in reversed(self.places(b"PK\x05\x06")):
+                size, begin = self.number(at + 12, 4), self.number(at + 16, 4)
+                if at + 22 <= self.size and (not size or self.data[at - size : at - size + 4] == b"PK\x01\x02"):
+                    self.found["zip"][at - size - begin] = at + 22 + self.number(at + 20, 2)
+        return self.found["zip"].get(start, 0)
+
+    def gzip(self, start: int) -> int:
+        flags, at = self.data[start + 3] if start + 18 <= self.size else 0xFF, start + 10
+        if flags & 0xE0:
             return 0
-        last, at = b[at + 5] & 4, at + 27 + n + sum(b[at + 27 : at + 27 + n])
-        if last:
-            return at if at <= len(b) else 0
-    return 0
-
-
-def _bmp(b: memoryview) -> int:
-    if len(b) < 26:
-        return 0
-    size, begin, head = (int.from_bytes(b[i : i + 4], "little") for i in (2, 10, 14))
-    return size if head in (12, 40, 52, 56, 108, 124) and 14 + head <= begin <= size <= len(b) else 0
+        if flags & 4:
+            at += 2 + self.number(at, 2)
+        for name in (8, 16):
+            if flags & name:
+                at = self.next_of(b"\0", at) + 1
+                if not at:
+                    return 0
+        return self.follow("gzip", at + (flags & 2), self._inflated)
+
+    def _inflated(self, start: int):
+        one, at, crc, n = zlib.decompressobj(-15), start, 0, 0
+        try:
+            while at < self.size and not one.eof:
+                part = self.data[at : at + 65536]
+                at += len(part)
+                while part and not one.eof:
+                    out = one.decompress(part, 1 << 20)
+                    crc, n, part = zlib.crc32(out, crc), n + len(out), one.unconsumed_tail
+        except zlib.error:
+            return None, 0
+        end = at - len(one.unused_data)
+        good = one.eof and end + 8 <= self.size and self.number(end, 4) == crc and self.number(end + 4, 4) == n & 0xFFFFFFFF
+        return None, end + 8 if good else 0
+
+    def ogg(self, start: int) -> int:
+        def page(at: int):
+            if self.data[at : at + 5] != b"OggS\0" or at + 27 > self.size:
+                return None, 0
+            n = self.data[at + 26]
+            end = at + 27 + n + sum(self.data[at + 27 : at + 27 + n])
+            last = self.data[at + 5] & 4
+            if at + 27 + n > self.size or end > self.size or not (last or self.data[end : end + 5] == b"OggS\0"):
+                return None, 0
+            # the checksum runs high bit first, so zlib's gets every byte reversed
+            turned = (self.data[at : at + 22] + b"\0\0\0\0" + self.data[at + 26 : end]).translate(_OGG_POLY_REVERSED)
+            crc = int(f"{zlib.crc32(turned, 0xFFFFFFFF) ^ 0xFFFFFFFF:032b}"[::-1], 2)
+            if crc != self.number(at + 22, 4):
+                return None, 0
+            return (None, end) if last else (end, None)
+
+        return self.follow("ogg", start, page)
+
+    def bmp(self, start: int) -> int:
+        head = self.number(start + 14, 4)
+        if head not in (12, 40, 52, 56, 108, 124):
+            return 0
+        size, begin = self.number(start + 2, 4), self.number(start + 10, 4)
+        return start + size if 14 + head <= begin <= size <= self.size - start else 0
 
+    def mp4(self, start: int) -> int:
+        """``ftyp``, then boxes up to the first place that begins none; media data must be among them."""
 
-def _mp4(b: memoryview) -> int:
-    at, kinds = 0, []
-    while at + 8 <= len(b):
-        n, kind = int.from_bytes(b[at : at + 4], "big"), bytes(b[at + 4 : at + 8])
-        if n < 8 or at + n > len(b) or not kind.isalnum():
-            break
-        kinds.append(kind)
-        at += n
-    return at if kinds[:1] == [b"ftyp"] and {b"moov", b"mdat", b"moof"} & set(kinds) else 0
+        def box(at: int):
+            n, kind = self.number(at, 4, "big"), self.data[at + 4 : at + 8]
+            if at + 8 > self.size or n < 8 or at + n > self.size or not kind.isalnum():
+                return None, at
+            return at + n, None
 
+        def media(at: int):
+            after, end = box(at)
+            return (None, 0) if end is not None else (None, 1) if self.data[at + 4 : at + 8] in (b"moov", b"mdat", b"moof") else (after, None)
 
-_VALID: dict[str, Callable[[memoryview], int]] = {"png": _png, "jpeg": _jpeg, "gif": _gif, "riff": _riff, "pdf": _pdf, "zip": _zip, "gzip": _gzip, "ogg": _ogg, "bmp": _bmp, "mp4": _mp4}
+        first = self.number(start, 4, "big")
+        if self.data[start + 4 : start + 8] != b"ftyp" or not 8 <= first <= self.size - start or not self.follow("mp4-media", start + first, media):
+            return 0
+        return self.follow("mp4", start, box)
 
 
 @cache
 def _automaton() -> ahocorasick.Automaton:
     found = ahocorasick.Automaton()
     for magic, (before, kind) in MAGIC.items():
-        found.add_word(magic.decode("latin-1"), (len(magic) - 1 + before, kind))
+        found.add_word(magic.decode("latin-1"), 16 * (len(magic) - 1 + before) - _KINDS.index(kind))
     found.make_automaton()
     return found
 
 
 def carve(data: bytes) -> list[tuple[str, int, int]]:
     """(type, offset, length) of all valid media, in order.  Media inside a container that starts at 0 are told too; otherwise none overlap."""
-    out, free, view = [], 0, memoryview(data)
-    for at, kind in _hits(data):
+    out, free, walk = [], 0, None
+    for hit in _hits(data):
+        at, kind = hit >> 4, _KINDS[hit & 15]
         if at < free:
             continue
-        if n := _VALID[kind](view[at:]):
-            name = {b"WAVE": "wav", b"WEBP": "webp", b"AVI ": "avi"}[bytes(view[at + 8 : at + 12])] if kind == "riff" else kind
-            out.append((TYPES[name], at, n))
-            free = at + n if at else 1
+        walk = walk or _Walk(data)
+        if end := getattr(walk, kind)(at):
+            name = _FORMS[data[at + 8 : at + 12]] if kind == "riff" else kind
+            out.append((TYPES[name], at, end - at))
+            free = end if at else 1
     return out
 
 
-def _hits(data: bytes) -> list[tuple[int, str]]:
-    """Where a file may start, and its format."""
-    found = ((end - back, kind) for end, (back, kind) in _automaton().iter(data.decode("latin-1")))
-    return sorted(x for x in found if x[0] >= 0)
+def _hits(data: bytes) -> list[int]:
+    """Where a file may start, times 16, plus the number of its format."""
+    found = [end * 16 - back for end, back in _automaton().iter(data.decode("latin-1"))]
+    return sorted(x for x in found if x >= 0)
 
 
 def wav(payload: bytes) -> bytes:
@@ -214,9 +303,12 @@ def wav_samples(data: bytes) -> bytes:
 def sniffed(df: DataFrame, data_col: str, declared_col: str) -> DataFrame:
     """``df`` with media_type (the type found at the start, else the declared one), declared_ok and carved.
 
-    ``carved`` lists (type, start, length).  Null and empty data carve nothing and keep the declared type.
+    ``carved`` lists (type, start, length).  Null and empty data carve nothing and keep the declared type.  Rows are
+    judged one by one, so repeated rows repeat their result; an empty table gives no rows.  Columns of ``df`` with the
+    three new names are replaced.
     """
     one = T.StructType().add("type", T.StringType()).add("start", T.IntegerType()).add("length", T.IntegerType())
+    df = df.drop(*[c for c in ("media_type", "declared_ok", "carved") if c not in (data_col, declared_col)])
     schema = T.StructType(df.schema.fields + [T.StructField("media_type", T.StringType()), T.StructField("declared_ok", T.BooleanType()), T.StructField("carved", T.ArrayType(one))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -238,7 +330,8 @@ def sniffed(df: DataFrame, data_col: str, declared_col: str) -> DataFrame:
 def stored_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_bytes, declared, media): each text, padded with spaces to a positive multiple of 192 bytes, as a WAV file.
 
-    The table is written to the shared folder and read back.
+    The table is written to the shared folder and read back.  A null text is an empty one.  Every row has its own media,
+    repeated rows too; rows without an id keep a null; extra columns are ignored; an empty table gives an empty one.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -257,7 +350,8 @@ def stored_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def media_features(media: DataFrame) -> DataFrame:
     """Digests and a feature string of stored WAV files, all from the bytes read back.
 
-    The feature string depends on the stored bytes alone: format, sample statistics, and what was carved.
+    The feature string depends on the stored bytes alone: format, sample statistics, and what was carved.  Repeated rows
+    repeat their result; an empty table gives no rows.
     """
     out = "id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
 
