@@ -7,11 +7,16 @@ item has slots, if at least 0.8 of its slot values stand there themselves or map
 re-parameterised question swaps values consistently, unrelated text with the same template does not.  Both must hold over
 the whole document or along one alignment, so an item that comes twice with different values is found too.  Along one
 alignment two values may become the same one; over the whole document the mapping must be one-to-one.
+
+An item of fewer than five tokens is one window of its own length, and documents get windows of the short lengths that
+the benchmark has.  Windows that many documents and many items share are not joined with each other: an item needs one
+of its rarest windows (as many as it may lack, and one more), so documents are paired with items by those alone, and
+only then are all windows of a pair compared.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialise
@@ -36,28 +41,27 @@ def template_tokens(text: Column) -> Column:
     return F.array_remove(F.split(F.lower(F.coalesce(t, F.lit(""))), "[^\\p{L}\\p{M}\\p{N}\\u0001-\\u0003%€$]+"), "")
 
 
-def _windows(df: DataFrame, id_name: str, at: str, window: int) -> DataFrame:
-    """(id, position, h, slots, plain): one row per window; a shorter text is one window, an empty one none."""
+def _windows(df: DataFrame, id_name: str, at: str, lengths: tuple[int, ...], whole: bool = False) -> DataFrame:
+    """(id, position, n, h, slots, plain): the windows of each of ``lengths``; with ``whole`` a text that is shorter than the longest is one window."""
     mark = F.lit("\u0004")
     rows = df.select(id_name, template_tokens(F.col("text")).alias("raw"))
     rows = rows.select(id_name, "raw", F.transform("raw", lambda x: F.when(x < mark, F.substring(x, 1, 1)).otherwise(x)).alias("tok"))
 
-    def one(i):
-        raw, tok = ([F.get(F.col(c), i + F.lit(j)) for j in range(window)] for c in ("raw", "tok"))
-        slots = F.when(F.least(*raw) < mark, F.filter(F.slice("raw", i + 1, window), lambda x: x < mark))
-        return F.struct(F.xxhash64(*tok).alias("h"), slots.alias("slots"), (F.greatest(*tok) >= mark).alias("plain"))
-
-    # get() past the end is null and adds nothing to the hash; the short text's own length is hashed with it
-    long = F.transform(F.sequence(F.lit(0), F.greatest(F.size("raw") - window, F.lit(0))), one)
-    short = F.array(
-        F.struct(
-            F.xxhash64(F.size("raw"), F.concat_ws(" ", "tok")).alias("h"),
-            F.filter("raw", lambda x: x < mark).alias("slots"),
-            F.exists("tok", lambda x: x >= mark).alias("plain"),
-        )
-    )
-    listed = F.when(F.size("raw") >= window, long).when(F.size("raw") > 0, short)
-    return rows.select(id_name, F.posexplode(listed).alias(at, "w")).select(id_name, at, "w.h", "w.slots", "w.plain")
+    def of(n):
+        def one(i):
+            raw, tok = ([F.get(F.col(c), i + F.lit(j)) for j in range(n)] for c in ("raw", "tok"))
+            least, most = (F.least(*raw), F.greatest(*tok)) if n > 1 else (raw[0], tok[0])
+            slots = F.when(least < mark, F.filter(F.slice("raw", i + 1, n), lambda x: x < mark))
+            return F.struct(i.alias("i"), F.lit(n).alias("n"), F.xxhash64(*tok).alias("h"), slots.alias("slots"), (most >= mark).alias("plain"))
+
+        fits = F.size("raw") == n if whole and n < max(lengths) else F.size("raw") >= n
+        return F.when(fits, F.transform(F.sequence(F.lit(0), F.greatest(F.size("raw") - n, F.lit(0))), one))
+
+    found = [rows.select(id_name, F.explode(of(n)).alias("w")) for n in lengths]
+    listed = found[0]
+    for more in found[1:]:
+        listed = listed.unionByName(more)
+    return listed.select(id_name, F.col("w.i").alias(at), "w.n", "w.h", "w.slots", "w.plain")
 
 
 def contaminated(
@@ -72,24 +76,35 @@ def contaminated(
 ) -> DataFrame:
     """(id, item_id, n_windows, n_found, first_token, last_token, n_slots, n_consistent): items found in documents.
 
-    Null and empty texts and items have no windows and match nothing.  An item shorter than a window matches only a
-    document of the same template.  Windows of placeholders alone are not counted.  Repeated rows of an id count as one
+    Null and empty texts and items have no windows and match nothing.  An item shorter than a window is found wherever
+    its tokens stand in a row.  Windows of placeholders alone are not counted.  Repeated rows of an id count as one
     document, repeated items as one item; rows without an id are ignored.  Extra columns are ignored and empty tables
     give an empty result.
     """
     items = benchmark.select(F.col(item_col).alias("item_id"), F.col(item_text_col).alias("text")).where("item_id IS NOT NULL")
-    theirs = _windows(items, "item_id", "item_at", window).where("plain").select("item_id", "item_at", "h", F.col("slots").alias("item_slots"))
-    theirs = materialise(theirs.distinct(), "benchmark-windows")
+    theirs = _windows(items, "item_id", "item_at", tuple(range(window, 0, -1)), whole=True).where("plain")
+    theirs = materialise(theirs.select("item_id", "item_at", "n", "h", F.col("slots").alias("item_slots")).distinct(), "benchmark-windows")
     needed = theirs.groupBy("item_id").agg(F.countDistinct("item_at").alias("n_windows"))
-    mine = _windows(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("id IS NOT NULL"), "id", "at", window).drop("plain")
     small = theirs.count() <= BROADCAST_WINDOWS
-    hits = materialise(mine.join(F.broadcast(theirs) if small else theirs, "h"), "benchmark-hits")
+    bounded = F.broadcast if small else lambda df: df
+    short = [r["n"] for r in theirs.where(F.col("n") < window).select("n").distinct().collect()]  # fewer than ``window`` rows
+    known = theirs.select("h", "n").distinct()
+    mine = _windows(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("id IS NOT NULL"), "id", "at", (window, *short))
+    hits = materialise(mine.drop("plain").join(bounded(known), ["h", "n"], "left_semi"), "benchmark-hits")
+
+    # a window that no document has counts 0 and comes first: an item that lacks too many gets no pairs
+    seen = hits.groupBy("h", "n").agg(F.count(F.lit(1)).alias("times"))
+    rarest = Window.partitionBy("item_id").orderBy(F.coalesce("times", F.lit(0)), "item_at", "h")
+    probes = theirs.select("item_id", "item_at", "h", "n").distinct().join(seen, ["h", "n"], "left").withColumn("rank", F.row_number().over(rarest)).join(needed, "item_id")
+    probes = probes.where(F.col("rank") <= F.col("n_windows") - F.ceil(coverage * F.col("n_windows") - 1e-9) + 1).select("item_id", "h", "n")
+    pairs = hits.select("id", "h", "n").distinct().join(bounded(probes), ["h", "n"]).select("id", "item_id").distinct()
+    hits = materialise(pairs.join(bounded(theirs), "item_id").join(hits, ["id", "h", "n"]), "benchmark-pairs")
 
     # judged over the whole document and over each alignment, since a document can hold an item twice with other values
     aligned = hits.withColumn("shift", F.explode(F.array(F.lit(WHOLE), F.col("at") - F.col("item_at"))))
     key = ["id", "item_id", "shift"]
-    found = aligned.groupBy(*key).agg(F.countDistinct("item_at").alias("n_found"), F.min("at").alias("first_token"), (F.max("at") + window - 1).alias("last_token"))
-    found = found.join(F.broadcast(needed) if small else needed, "item_id").where(F.col("n_found") >= coverage * F.col("n_windows"))
+    found = aligned.groupBy(*key).agg(F.countDistinct("item_at").alias("n_found"), F.min("at").alias("first_token"), F.max(F.col("at") + F.col("n") - 1).alias("last_token"))
+    found = found.join(bounded(needed), "item_id").where(F.col("n_found") >= coverage * F.col("n_windows"))
 
     pairs = aligned.where("item_slots IS NOT NULL AND slots IS NOT NULL").select(*key, F.explode(F.arrays_zip("item_slots", "slots")).alias("s"))
     pairs = pairs.select(*key, F.col("s.item_slots").alias("theirs"), F.col("s.slots").alias("ours")).distinct()

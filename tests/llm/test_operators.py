@@ -222,6 +222,14 @@ def test_values_that_become_one_are_found(spark):
     assert sorted(r["doc_id"] for r in decontaminate.drop_contaminated(frame, spark.createDataFrame([(1, item)], "item_id long, text string")).collect()) == [3, 4]
 
 
+def test_short_items_and_common_windows(spark):
+    items = [(1, "Three short words"), (2, "zebra"), (3, "How many does Tom have left after the sale of 7 hens"), (4, "How many does Tom have left in the bag with 9 pens"), (5, "12 km"), (6, "four words stand here")]
+    rows = [(10, prose(1, 20) + " three SHORT words " + prose(2, 20)), (11, "short three words"), (12, "the zebra, of course"), (13, prose(3, 50))]
+    rows += [(100 + i, f"{prose(i, 5)} how many does Anna have left") for i in range(60)] + [(200, "so: How many does Anna have left in the bag with 4 pens?"), (201, "four words stand here four words stand here"), (202, "20 km and 12 km")]
+    got = {(r["id"], r["item_id"]) for r in decontaminate.contaminated(docs(spark, rows), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == {(10, 1), (12, 2), (200, 4), (201, 6)}
+
+
 def test_op2_equals_whole_passage_search(spark):
     got = {(r["doc_id"], r["item_id"]) for r in queries.op2_benchmark_decontamination(spark, SF).collect()}
     words = lambda t: " ".join(re.findall(r"\w+", t.lower()))
@@ -315,6 +323,45 @@ def test_sniffing_corrects_and_carves(spark):
     assert got == [("image/png", False), ("text/plain", None), (None, None), ("image/png", None)]
 
 
+def test_carving_finds_each_format_and_stays_linear():
+    import gzip
+    import io
+    import struct
+    import time
+    import zipfile
+
+    def page(flag, body):
+        sizes = bytes([255] * (len(body) // 255) + [len(body) % 255])
+        raw, crc = bytearray(b"OggS\0" + bytes([flag]) + bytes(8) + b"\1\0\0\0" + bytes(8) + bytes([len(sizes)]) + sizes + body), 0
+        for x in raw:
+            crc ^= x << 24
+            for _ in range(8):
+                crc = (crc << 1 ^ 0x04C11DB7 * (crc >> 31)) & 0xFFFFFFFF
+        raw[22:26] = struct.pack("<I", crc)
+        return bytes(raw)
+
+    with zipfile.ZipFile(zipped := io.BytesIO(), "w") as z:
+        z.writestr("a", "hello" * 20)
+    ogg = page(2, b"head" * 90) + page(4, b"end")
+    jpeg = b"\xff\xd8\xff\xff\xe0\x00\x04ab\xff\xda\x00\x03\x01xx\xff\x00yy\xff\xd0zz\xff\xff\xc4\x00\x03q\xff\xda\x00\x03\x01w\xff\xd9"
+    webp = b"RIFF" + struct.pack("<I", 22) + b"WEBPVP8L" + struct.pack("<I", 10) + b"/" + bytes(9)
+    parts = [
+        ("application/zip", zipped.getvalue()), ("audio/wav", media_sniff.wav(b"abc")), ("audio/ogg", ogg), ("image/jpeg", jpeg), ("application/pdf", b"%PDF-1.4 x startxref 9 %%EOF"),
+        ("video/mp4", b"\0\0\0\x10ftypisomiso2\0\0\0\x0cfreeabcd\0\0\0\x0amdatzz"), ("image/bmp", b"BM" + struct.pack("<IIII", 60, 0, 54, 40) + bytes(42)), ("image/webp", webp), ("application/gzip", gzip.compress(b"hello" * 99)),
+    ]
+    data, want = b"junk", []
+    for name, part in parts:
+        want.append((name, len(data), len(part)))
+        data += part + b"--"
+    assert media_sniff.carve(data) == want
+    spoiled = [webp.replace(b"/", b"?"), ogg.replace(b"end", b"enx"), b"RIFF" + struct.pack("<I", 22) + b"WEBPnone" + struct.pack("<I", 10) + bytes(10)]
+    assert all(media_sniff.carve(b"x" + part) == [] for part in spoiled)
+    for magic in (b"%PDF-1 ", b"%PDF-startxref ", b"\x89PNG\r\n\x1a\n", b"\xff\xd8\xff\xda", b"GIF89a!!!!!!!!", b"RIFFxxxxWAVEfmt ", b"\x1f\x8b\x08"):
+        began = time.process_time()
+        assert media_sniff.carve(magic * (2_000_000 // len(magic))) == []
+        assert time.process_time() - began < 8  # about one second each; a quadratic walk takes minutes
+
+
 # --- URLs
 
 
