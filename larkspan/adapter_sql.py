@@ -1,6 +1,6 @@
 """The adapter tables as DuckDB common table expressions, for the SQL twins of the queries."""
 
-from .sources.adapters import REGIONS, STATES
+from .sources.adapters import REGIONS, STATES, STEPS
 
 ADAPTERS = f"""
 v_station AS (
@@ -19,14 +19,15 @@ v_station AS (
   FROM lineitem
 ), v_route AS (
   SELECT o_orderkey AS route_id, (o_orderkey % 3)::INT AS alternative_index, 900000 + o_orderkey * 37717 % 1900000 AS total_milli_mi,
-         400000 + (o_orderkey % 7) * 100000 AS tank_milli_mi, (SELECT greatest(1, count(*) // 33) FROM part) AS m
-  FROM orders WHERE o_orderkey % 50 = 0
-), v_candidate AS (
-  SELECT route_id, alternative_index, total_milli_mi, tank_milli_mi, opis_id, name, state, price_milli, price_source,
+         400000 + (o_orderkey % 7) * 100000 AS tank_milli_mi,
+         (400000 + (o_orderkey % 7) * 100000) // CASE WHEN o_orderkey % 4 = 1 THEN 2 ELSE 1 END AS on_board_milli_mi
+  FROM orders
+), v_candidate AS MATERIALIZED (
+  SELECT route_id, alternative_index, total_milli_mi, tank_milli_mi, on_board_milli_mi, opis_id, name, state, price_milli, price_source,
          (opis_id::BIGINT * 15485863 + route_id * 32452843) % 2800000 AS pos_milli_mi
-  FROM v_route, v_station
-  WHERE (opis_id::BIGINT + route_id) % (m * CASE WHEN route_id % 200 = 0 THEN 10 ELSE 1 END) = 0
-    AND (opis_id::BIGINT * 15485863 + route_id * 32452843) % 2800000 <= total_milli_mi
+  FROM (SELECT *, [{", ".join(map(str, STEPS))}][(route_id % {len(STEPS)})::INT + 1] AS step FROM v_route) r
+  JOIN (SELECT *, unnest([{", ".join(map(str, sorted(set(STEPS))))}]) AS s_step FROM v_station) s ON r.step = s.s_step AND (r.step - route_id % r.step) % r.step = opis_id % s.s_step
+  WHERE (opis_id::BIGINT * 15485863 + route_id * 32452843) % 2800000 <= total_milli_mi
 ), v_weekly AS (
   SELECT date_trunc('week', o_orderdate)::DATE AS period, c_nationkey % 8 AS region_no, (3000 + sum(o_orderkey % 1000) % 1500)::BIGINT AS value_milli
   FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY ALL

@@ -16,6 +16,12 @@ def planar_miles(lat_a: Column, lng_a: Column, lat_b: Column, lng_b: Column) ->
     return F.sqrt(dx * dx + dy * dy)
 
 
+def half_up(value: Column, places: int) -> Column:
+    """A double to ``places`` decimals; what lies within 1e-7 units of the last place below a half goes up, so that the order of summands does not show."""
+    scale = 10**places
+    return F.floor(value * scale + F.lit(0.5000001)) / scale
+
+
 def cell(value_u: Column, size_u: int) -> Column:
     """Grid cell number of a coordinate in micro-degrees."""
     return F.floor(value_u / F.lit(size_u)).cast("long")

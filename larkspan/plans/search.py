@@ -5,16 +5,19 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.files import written
 from . import solvers
 
 MPG = 10
 STOP_CENTS = 3500
 MARGIN_CENTS = 547
+#: Estimated transitions up to which a route is searched exactly, and the labels that such a search may make.
 EXACT_BUDGET = 50_000
+EXACT_LABELS = 2_000_000
 _ORDER = ("pos_milli_mi", "price_milli", "opis_id")
 
 
@@ -23,30 +26,69 @@ def _route() -> Window:
 
 
 def preflight(routes: DataFrame, candidates: DataFrame) -> DataFrame:
-    """(route_id, feasible, from_milli, to_milli, gap_milli): the first stretch beyond reach, null where none is."""
-    nodes = candidates.select("route_id", "tank_milli_mi", F.col("pos_milli_mi").alias("pos"), F.col("opis_id").cast("long").alias("id"))
-    ends = routes.select("route_id", "tank_milli_mi", F.col("total_milli_mi").alias("pos"), F.lit(2**40).cast("long").alias("id"))
-    before = F.lag("pos", 1, 0).over(Window.partitionBy("route_id").orderBy("pos", "id"))
-    gaps = nodes.unionByName(ends).withColumn("before", before).withColumn("gap", F.col("pos") - F.col("before"))
-    bad = F.when(F.col("gap") > F.col("tank_milli_mi"), F.struct("pos", "before", "gap"))
-    first = gaps.groupBy("route_id").agg(F.min(bad).alias("bad"))
+    """(route_id, feasible, from_milli, to_milli, gap_milli): the first stretch beyond reach, null where none is.
+
+    The first stretch is driven on the fuel aboard, every other on a full tank.
+    """
+    nodes = candidates.select("route_id", "tank_milli_mi", "on_board_milli_mi", F.col("pos_milli_mi").alias("pos"), F.col("opis_id").cast("long").alias("id"))
+    ends = routes.select("route_id", "tank_milli_mi", "on_board_milli_mi", F.col("total_milli_mi").alias("pos"), F.lit(2**40).cast("long").alias("id"))
+    last = F.lag("pos").over(Window.partitionBy("route_id").orderBy("pos", "id"))
+    gaps = nodes.unionByName(ends).withColumn("last", last).withColumn("before", F.coalesce("last", F.lit(0))).withColumn("gap", F.col("pos") - F.col("before"))
+    within = F.when(F.col("last").isNull(), F.col("on_board_milli_mi")).otherwise(F.col("tank_milli_mi"))
+    first = gaps.groupBy("route_id").agg(F.min(F.when(F.col("gap") > within, F.struct("pos", "before", "gap"))).alias("bad"))
     return first.select("route_id", F.col("bad").isNull().alias("feasible"), F.col("bad.before").alias("from_milli"), F.col("bad.pos").alias("to_milli"), F.col("bad.gap").alias("gap_milli"))
 
 
-def pruned(candidates: DataFrame) -> DataFrame:
-    """Candidates without those that a cheaper one dominates: at the same position, then within a tank of the end.
+def marked(candidates: DataFrame) -> DataFrame:
+    """All candidates with ``removed`` and ``margin_blocked``.
 
-    An estimated price never dominates a real one.  A removed candidate is never cheaper than what removed it, so plain
-    running minima over all of them give the sequential rule's result.
+    ``removed`` is co_located or tail where a cheaper one dominates, null for those that stay: a candidate is dominated
+    by one at the same position, then within a tank of the end by one before it.  An estimated price never dominates a
+    real one; ``margin_blocked`` tells those that stay for that reason alone.  A removed candidate is never cheaper than
+    what removed it, so plain running minima over all of them give the sequential rule's result.
     """
-    real = F.when(F.col("price_source") != "eia_regional_estimate", F.col("price_milli"))
-    rows = candidates.withColumn("real", real)
+    estimated = F.col("price_source") == "eia_regional_estimate"
     same = Window.partitionBy("route_id", "pos_milli_mi").orderBy("price_milli", "opis_id").rowsBetween(Window.unboundedPreceding, -1)
-    least = lambda w: F.when(F.col("real").isNull(), F.min("price_milli").over(w)).otherwise(F.min("real").over(w))
-    rows = rows.withColumn("_floor", least(same)).where("_floor IS NULL OR price_milli < _floor")
-    rows = rows.withColumn("_tail", F.col("pos_milli_mi") + F.col("tank_milli_mi") >= F.col("total_milli_mi"))
     tail = Window.partitionBy("route_id", "_tail").orderBy(*_ORDER).rowsBetween(Window.unboundedPreceding, -1)
-    return rows.withColumn("_floor", least(tail)).where("NOT _tail OR _floor IS NULL OR price_milli < _floor").drop("real", "_floor", "_tail")
+    rows = candidates.withColumn("_tail", F.col("pos_milli_mi") + F.col("tank_milli_mi") >= F.col("total_milli_mi"))
+    for name, w in (("same", same), ("before", tail)):
+        rows = rows.withColumn(f"_any_{name}", F.min("price_milli").over(w)).withColumn(f"_real_{name}", F.min(F.when(~estimated, F.col("price_milli"))).over(w))
+    beats = lambda name, kind: F.coalesce(F.col("price_milli") >= F.col(f"_{kind}_{name}"), F.lit(False))
+    by = lambda name: F.when(estimated, beats(name, "any")).otherwise(beats(name, "real"))
+    removed = F.when(by("same"), "co_located").when(F.col("_tail") & by("before"), "tail")
+    rows = rows.withColumn("removed", removed).withColumn("_price_only", beats("same", "any") | (F.col("_tail") & beats("before", "any")))
+    rows = rows.withColumn("margin_blocked", F.col("removed").isNull() & F.col("_price_only"))
+    return rows.select(*candidates.columns, "removed", "margin_blocked", F.col("_price_only").alias("price_only"))
+
+
+def pruned(candidates: DataFrame) -> DataFrame:
+    """Candidates that no cheaper one dominates."""
+    return marked(candidates).where("removed IS NULL").select(*candidates.columns)
+
+
+def penalty_pruned(candidates: DataFrame, mpg: int = MPG, stop_cents: int = STOP_CENTS) -> DataFrame:
+    """The kept candidates of a stronger rule, with ``penalty_dominated`` per route: near the end also those go whose price beats the cheapest one kept so far by less than the stop charge over a full tank.
+
+    What goes does not lower the prices kept so far, so each route's stations are folded in order, within the JVM.
+    """
+    least = stop_cents * 10_000 * mpg
+    kept = pruned(candidates).withColumn("_tail", F.col("pos_milli_mi") + F.col("tank_milli_mi") >= F.col("total_milli_mi"))
+    station = F.struct("pos_milli_mi", "price_milli", "opis_id", (F.col("price_source") == "eia_regional_estimate").alias("est"), "tank_milli_mi")
+    listed = kept.where("_tail").groupBy("route_id").agg(F.sort_array(F.collect_list(station)).alias("v"))
+    none = F.lit(None).cast("long")
+    begin = F.struct(none.alias("any"), none.alias("real"), F.array().cast("array<int>").alias("gone"))
+
+    def step(state: Column, s: Column) -> Column:
+        witness = F.when(s["est"], state["any"]).otherwise(state["real"])
+        goes = F.coalesce((witness - s["price_milli"]) * s["tank_milli_mi"] < least, F.lit(False))
+        lower = lambda old: F.least(F.coalesce(old, s["price_milli"]), s["price_milli"])
+        return F.struct(
+            F.when(goes, state["any"]).otherwise(lower(state["any"])).alias("any"), F.when(goes | s["est"], state["real"]).otherwise(lower(state["real"])).alias("real"),
+            F.when(goes, F.concat(state["gone"], F.array(s["opis_id"]))).otherwise(state["gone"]).alias("gone"),
+        )
+
+    gone = listed.select("route_id", F.explode(F.aggregate("v", begin, step)["gone"]).alias("opis_id"))
+    return kept.join(gone, ["route_id", "opis_id"], "left_anti").select(*candidates.columns)
 
 
 def reach(routes: DataFrame, kept: DataFrame) -> DataFrame:
@@ -68,69 +110,94 @@ def reach(routes: DataFrame, kept: DataFrame) -> DataFrame:
 def effort(routes: DataFrame, kept: DataFrame) -> DataFrame:
     """(route_id, nodes, estimate): reach of the start plus reach × (reach + 1) of each station."""
     from_station = reach(routes, kept).groupBy("route_id").agg(F.count(F.lit(1)).alias("nodes"), F.sum(F.col("reach") * (F.col("reach") + 1)).alias("work"))
-    first = kept.where("pos_milli_mi <= tank_milli_mi").groupBy("route_id").agg(F.count(F.lit(1)).alias("from_start"))
+    first = kept.where("pos_milli_mi <= on_board_milli_mi").groupBy("route_id").agg(F.count(F.lit(1)).alias("from_start"))
     joined = routes.join(from_station, "route_id", "left").join(first, "route_id", "left").fillna(0, ["nodes", "work", "from_start"])
-    start = F.col("from_start") + (F.col("total_milli_mi") <= F.col("tank_milli_mi")).cast("long")
+    start = F.col("from_start") + (F.col("total_milli_mi") <= F.col("on_board_milli_mi")).cast("long")
     return joined.select("route_id", "nodes", (start + F.col("work")).alias("estimate"))
 
 
-def problems(routes: DataFrame, candidates: DataFrame, kept: DataFrame | None = None) -> DataFrame:
-    """One row per route with its stations, and the pruned ones, as arrays."""
-    station = F.struct(F.col("pos_milli_mi").alias("pos"), F.col("price_milli").alias("price"), F.col("opis_id").cast("long").alias("id"), (F.col("price_source") == "eia_regional_estimate").alias("estimated"))
-    gather = lambda df, name: df.groupBy("route_id").agg(F.sort_array(F.collect_list(station)).alias(name))
-    out = routes.select("route_id", "total_milli_mi", "tank_milli_mi").join(gather(candidates, "stations"), "route_id", "left")
-    return out.join(gather(kept if kept is not None else candidates, "kept"), "route_id", "left")
+def problems(routes: DataFrame, stations: DataFrame) -> DataFrame:
+    """One row per route with its stations as an array, each with ``kept`` (all, unless ``stations`` is marked by pruning)."""
+    kept = F.col("removed").isNull() if "removed" in stations.columns else F.lit(True)
+    station = F.struct(F.col("pos_milli_mi").alias("pos"), F.col("price_milli").alias("price"), F.col("opis_id").cast("long").alias("id"), (F.col("price_source") == "eia_regional_estimate").alias("estimated"), kept.alias("kept"))
+    gathered = stations.groupBy("route_id").agg(F.collect_list(station).alias("stations"))
+    return routes.select("route_id", "total_milli_mi", "tank_milli_mi", "on_board_milli_mi").join(gathered, "route_id", "left")
 
 
 PLANS = (
     "route_id long, method string, feasible boolean, n_stops int, cost long, objective long, bought long, "
-    "stops array<struct<pos:long,id:long,price:long,amount:long,reason:string>>"
+    "stops array<struct<pos:long,id:long,price:long,amount:long,reason:string,target:long>>"
 )
+_STOPS = pa.list_(pa.struct([("pos", pa.int64()), ("id", pa.int64()), ("price", pa.int64()), ("amount", pa.int64()), ("reason", pa.string()), ("target", pa.int64())]))
+_PLAN_TYPES = (pa.int64(), pa.string(), pa.bool_(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), _STOPS)
+
 
+def _planned(name: str, whole: solvers.Problem, kept: list[solvers.Station], rates: solvers.Rates, most_labels: int | None) -> tuple[str, list[solvers.Buy] | None]:
+    """The method used and its plan; an exact search over its budget gives way to the heuristic."""
+    if name == "exact":
+        try:
+            return name, solvers.exact(whole._replace(stations=kept), rates, most_labels)
+        except solvers.OverBudget:
+            name = "heuristic"
+    if name == "naive":
+        return name, solvers.price_blind(whole)
+    return name, solvers.greedy(whole) if name == "greedy" else solvers.heuristic(whole, rates)
 
-def solve(problem_rows: DataFrame, methods: tuple[str, ...], mpg: int = MPG, stop_cents: int = STOP_CENTS, margin_cents: int = MARGIN_CENTS) -> DataFrame:
-    """A plan per route and method: naive, greedy, heuristic (on all stations) and exact (on the pruned ones).
 
-    ``planned`` takes the column ``method`` of each row.  Costs are in price milli-dollars × milli-miles.
+def solve(problem_rows: DataFrame, methods: tuple[str, ...], mpg: int = MPG, stop_cents: int = STOP_CENTS, margin_cents: int = MARGIN_CENTS, most_labels: int | None = EXACT_LABELS) -> DataFrame:
+    """A plan per route and method: naive, greedy, heuristic (on all stations) and exact (on the kept ones).
+
+    ``planned`` takes the column ``method`` of each row.  Costs are in price milli-dollars × milli-miles.  Routes are
+    dealt by id over several times as many tasks as there are cores, since their efforts differ widely.
     """
     rates = solvers.Rates(stop_cents * 10_000 * mpg, margin_cents * 10_000 * mpg)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = []
-            for r in pdf.itertuples(index=False):
-                every, kept = ([solvers.Station(s["pos"], s["price"], s["id"], s["estimated"]) for s in (x if x is not None else [])] for x in (r.stations, r.kept))
-                whole = solvers.Problem(int(r.total_milli_mi), int(r.tank_milli_mi), int(r.tank_milli_mi), every)
-                for name in methods:
-                    kind = r.method if name == "planned" else name
-                    if kind == "naive":
-                        plan = solvers.price_blind(whole)
-                    elif kind == "greedy":
-                        plan = solvers.greedy(whole)
-                    elif kind == "heuristic":
-                        plan = solvers.heuristic(whole, rates)
-                    else:
-                        plan = solvers.exact(whole._replace(stations=kept), rates)
-                    done = plan is not None
-                    rows.append((
-                        r.route_id, kind, done, len(plan) if done else None, solvers.plan_cost(plan) if done else None,
-                        solvers.objective(plan, every, rates) if done else None, sum(b.amount for b in plan) if done else None,
-                        [b._asdict() for b in plan] if done else None,
-                    ))
-            out = pd.DataFrame(rows, columns=["route_id", "method", "feasible", "n_stops", "cost", "objective", "bought", "stops"])
-            yield out.astype({"n_stops": "Int32", "cost": "Int64", "objective": "Int64", "bought": "Int64"})
-
-    return problem_rows.mapInPandas(run, PLANS)
+    names = [x.split()[0] for x in PLANS.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole_batch in batches:
+            for begin in range(0, whole_batch.num_rows, 500):
+                batch = whole_batch.slice(begin, 500)
+                column = {c: batch.column(c) for c in batch.schema.names}
+                lists = column["stations"]
+                flat = lists.flatten()
+                counts = [len(x) if x.is_valid else 0 for x in lists]
+                fields = [flat.field(c).to_pylist() for c in ("pos", "price", "id", "estimated")]
+                every, flags = [solvers.Station(*x) for x in zip(*fields)], flat.field("kept").to_pylist()
+                routes = zip(*(column[c].to_pylist() for c in ("route_id", "total_milli_mi", "tank_milli_mi", "on_board_milli_mi")))
+                chosen = column["method"].to_pylist() if "method" in column else [None] * batch.num_rows
+                rows, at = [], 0
+                for (route, total, tank, on_board), n, own in zip(routes, counts, chosen):
+                    stations, kept = every[at : at + n], [s for s, good in zip(every[at : at + n], flags[at : at + n]) if good]
+                    at += n
+                    for name in methods:
+                        kind, plan = _planned(own if name == "planned" else name, solvers.Problem(total, tank, on_board, stations), kept, rates, most_labels)
+                        done = plan is not None
+                        rows.append((
+                            route, kind, done, len(plan) if done else None, solvers.plan_cost(plan) if done else None,
+                            solvers.objective(plan, stations, rates) if done else None, sum(b.amount for b in plan) if done else None,
+                            [b._asdict() for b in plan] if done else None,
+                        ))
+                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(_PLAN_TYPES)], names=names)
+
+    tasks = 4 * problem_rows.sparkSession.sparkContext.defaultParallelism
+    return problem_rows.repartition(tasks, "route_id").mapInArrow(run, PLANS)
 
 
 def dispatched(routes: DataFrame, candidates: DataFrame, budget: int = EXACT_BUDGET) -> DataFrame:
-    """Problems of feasible routes with the method that their estimated effort allows."""
-    kept = pruned(candidates)
-    method = F.when(F.col("estimate") <= budget, "exact").otherwise("heuristic")
-    chosen = effort(routes, kept).select("route_id", method.alias("method"))
-    good = preflight(routes, candidates).where("feasible").select("route_id")
-    return problems(routes, candidates, kept).join(chosen, "route_id").join(good, "route_id", "left_semi")
+    """Problems of feasible routes with ``method``, ``estimate`` and ``nodes``: exact up to ``budget`` estimated transitions, else heuristic.
+
+    The marked candidates are written to the shared folder once, since reachability, effort and problems all read them.
+    """
+    known = written(marked(candidates), "marked-candidates")
+    chosen = effort(routes, known.where("removed IS NULL")).withColumn("method", F.when(F.col("estimate") <= budget, "exact").otherwise("heuristic"))
+    good = preflight(routes, known).where("feasible").select("route_id")
+    return problems(routes, known).join(chosen, "route_id").join(good, "route_id", "left_semi")
 
 
-def dollars(cost, mpg: int = MPG):
+def dollars(cost: Column, mpg: int = MPG) -> Column:
     return F.round(cost.cast("decimal(28,0)") / F.lit(1_000_000 * mpg).cast("decimal(12,0)"), 2).cast("decimal(18,2)")
+
+
+def percent(part: Column, whole: Column) -> Column:
+    """A share in percent to one place, half up on decimals; null of nothing."""
+    return F.round(part.cast("decimal(28,0)") * 100 / F.nullif(whole.cast("decimal(24,0)"), F.lit(0)), 1).cast("decimal(8,1)")

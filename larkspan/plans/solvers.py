@@ -2,7 +2,8 @@
 
 A problem is (length, tank, on_board, stations) in milli-miles; a station is (pos, price, id, estimated) with its price
 in milli-dollars a gallon.  Costs are price times milli-miles, so dollars are cost / (1e6 × mpg).  A plan lists
-purchases (pos, id, price, milli-miles bought, reason); None means that no plan reaches the end.
+purchases (pos, id, price, milli-miles bought, reason, id of the station driven to, None for the end); None in place of a
+plan means that none reaches the end.
 """
 
 from __future__ import annotations
@@ -24,6 +25,11 @@ class Buy(NamedTuple):
     price: int
     amount: int
     reason: str
+    target: int | None = None
+
+
+class OverBudget(Exception):
+    """The exact search met more labels than allowed."""
 
 
 class Problem(NamedTuple):
@@ -92,9 +98,9 @@ class _Drive:
     def ends_within(self) -> bool:
         return self.p.length - self.at <= (self.p.tank if self.here else self.fuel)
 
-    def buy(self, level: int, reason: str) -> None:
+    def buy(self, level: int, reason: str, to: Station | None = None) -> None:
         if self.here and level > self.fuel:
-            self.plan.append(Buy(self.at, self.here.id, self.here.price, level - self.fuel, reason))
+            self.plan.append(Buy(self.at, self.here.id, self.here.price, level - self.fuel, reason, to.id if to else None))
             self.fuel = level
 
     def go(self, to: Station) -> None:
@@ -118,7 +124,7 @@ def greedy(p: Problem) -> list[Buy] | None:
         lower = [s for s in seen if d.here and s.price < d.here.price]
         if lower:
             to = min(lower)
-            d.buy(to.pos - d.at, "reach_cheaper_stop")
+            d.buy(to.pos - d.at, "reach_cheaper_stop", to)
         elif d.ends_within():
             d.buy(p.length - d.at, "reach_finish")
             return d.plan
@@ -127,7 +133,7 @@ def greedy(p: Problem) -> list[Buy] | None:
         else:
             to = min(seen, key=_by_price)
             if d.here:
-                d.buy(p.tank, d.fill_reason())
+                d.buy(p.tank, d.fill_reason(), to)
         d.go(to)
 
 
@@ -162,30 +168,45 @@ def heuristic(p: Problem, rates: Rates) -> list[Buy] | None:
             d.buy(p.length - d.at, reason)
             break
         to = far if move == "far" else min(lower, key=_by_price)
-        d.buy(p.tank if move == "far" else to.pos - d.at, reason)
+        d.buy(p.tank if move == "far" else to.pos - d.at, reason, to)
         d.go(to)
-    if d.plan and d.plan[-1].reason == "reach_cheaper_stop":
-        # the station it was bought for turned out to need no purchase
-        last = d.plan[-1]
-        d.plan[-1] = last._replace(reason="reach_finish") if d.here and d.here.id not in {b.id for b in d.plan} else last
+    if d.plan and d.plan[-1].reason == "reach_cheaper_stop" and d.plan[-1].target not in {b.id for b in d.plan}:
+        d.plan[-1] = d.plan[-1]._replace(reason="reach_finish", target=None)  # the station it was bought for needed no purchase
     return d.plan
 
 
-def exact(p: Problem, rates: Rates) -> list[Buy] | None:
+def exact(p: Problem, rates: Rates, most_labels: int | None = None) -> list[Buy] | None:
     """Least fuel cost plus flat charges; ties by fewer stops, then earlier positions, then lower ids.
 
     Between two successive purchases an optimal plan either fills the tank or arrives empty (shifting fuel between the
     two purchases changes cost linearly), so each label (station, fuel on arrival) has two moves per station ahead.
-    Labels at a station are cut to their Pareto frontier of key and fuel.
+    Labels at a station are cut to their Pareto frontier of key and fuel.  A label is dropped if even the cheapest fuel
+    ahead makes it dearer than the heuristic's plan.  More than ``most_labels`` labels raise OverBudget.
     """
     if p.length <= p.on_board:
         return []
     stops = sorted(p.stations)
     n = len(stops)
+    known = heuristic(p, rates)
+    limit = objective(known, stops, rates) if known is not None else None
+    cheapest = [s.price for s in stops]
+    for i in range(n - 2, -1, -1):
+        cheapest[i] = min(cheapest[i], cheapest[i + 1])
     labels: list[list[tuple]] = [[] for _ in range(n)]
+    made = 0
+
+    def add(j: int, cost: int, count: int, at: tuple, ids: tuple, fuel: int, trail: tuple) -> None:
+        nonlocal made
+        need = p.length - stops[j].pos - fuel
+        if limit is None or cost + (cheapest[j] * need + rates.stop if need > 0 else 0) <= limit:
+            labels[j].append(((cost, count, at, ids), fuel, trail))
+            made += 1
+            if most_labels is not None and made > most_labels:
+                raise OverBudget
+
     for j, s in enumerate(stops):
         if s.pos <= p.on_board:
-            labels[j].append(((0, 0, (), ()), p.on_board - s.pos, ()))
+            add(j, 0, 0, (), (), p.on_board - s.pos, ())
     best = None
     for i, s in enumerate(stops):
         frontier, most = [], -1
@@ -207,9 +228,9 @@ def exact(p: Problem, rates: Rates) -> list[Buy] | None:
                 if gap > p.tank:
                     break
                 if gap > fuel:
-                    labels[j].append(((cost + flat + s.price * (gap - fuel), count, at, ids), 0, (*trail, (i, gap - fuel))))
+                    add(j, cost + flat + s.price * (gap - fuel), count, at, ids, 0, (*trail, (i, gap - fuel)))
                 if p.tank > fuel and p.tank > gap:
-                    labels[j].append(((full, count, at, ids), p.tank - gap, (*trail, (i, p.tank - fuel))))
+                    add(j, full, count, at, ids, p.tank - gap, (*trail, (i, p.tank - fuel)))
         labels[i] = []
     if best is None:
         return None
@@ -237,7 +258,7 @@ def explained(p: Problem, plan: list[Buy], rates: Rates) -> list[Buy]:
                 reason = "bypass_cheaper_not_worth_stop"
             else:
                 reason = "fill_to_continue" if any(s.price < b.price for s in p.stations if s.pos > b.pos) else "top_up_at_cheapest"
-        out.append(b._replace(reason=reason))
+        out.append(b._replace(reason=reason, target=plan[k + 1].id if k + 1 < len(plan) else None))
     return out
 
 

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from . import plan_sql
 from .adapter_sql import sql
 from .functions import text
 from .operators import cleaning, corridor, measure, pricing
@@ -44,12 +45,6 @@ def src1_price_scan(spark, d):
     return rows.agg(F.count_if("ok").alias("parsed"), F.count_if(~F.col("ok")).alias("skipped"), F.sum(F.when(F.col("ok"), F.col("retail_price"))).cast("decimal(18,3)").alias("total"))
 
 
-@query("""SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events WHERE CAST(json_extract_string(props, '$.k') AS BIGINT) >= 50""")
-def src7_json_fields(spark, d):
-    k = F.from_json("props", "k long")["k"]
-    return src.read(spark, d, "events").select("event_id", k.alias("k")).where("k >= 50")
-
-
 @query("""SELECT geocode_precision, count(*) AS stations, min(opis_id) AS least_id FROM v_station WHERE geocode_status = 'ok' AND lat_u BETWEEN 24400000 AND 49400000 AND lng_u BETWEEN -125000000 AND -66900000 GROUP BY ALL""")
 def fil1_routable_in_bounds(spark, d):
     rows = src.stations(spark, d).where((F.col("geocode_status") == "ok") & F.col("lat_u").between(24_400_000, 49_400_000) & F.col("lng_u").between(-125_000_000, -66_900_000))
@@ -115,7 +110,7 @@ def agg2_duplicate_report(spark, d):
     return cleaning.duplicate_report(cleaning.collapse(src.price_observations(spark, d)))
 
 
-_INCOMING = """i AS (SELECT opis_id AS in_id, CASE opis_id % 3 WHEN 0 THEN 'Pilot ' || name ELSE name END AS name, city, state, lat_u + (opis_id % 9 - 4) * 1000 AS lat_u, lng_u + (opis_id % 7 - 3) * 1000 AS lng_u FROM v_station WHERE opis_id % 5 IN (0, 2)),
+_INCOMING = """i AS (SELECT opis_id AS in_id, CASE opis_id % 3 WHEN 0 THEN 'Pilot ' || name ELSE name END AS name, city, state, lat_u + (opis_id % 9 - 4) * 1000 AS lat_u, lng_u + (opis_id % 7 - 3) * 1000 AS lng_u FROM v_station),
 r AS (SELECT opis_id, lat_u, lng_u, floor(lat_u / (1000000 // 69.172)) AS cy, floor(lng_u / (1000000 // 41.5032)) AS cx FROM v_station WHERE geocode_precision = 'rooftop'),
 n AS (SELECT in_id, arg_min(opis_id, {'d': dist, 'i': opis_id}) AS match_id, min(dist) AS dist_mi FROM (
   SELECT i.in_id, r.opis_id, round(sqrt(power((i.lat_u - r.lat_u) / 1e6 * 69.172, 2) + power((i.lng_u - r.lng_u) / 1e6 * 69.172 * cos(radians((i.lat_u + r.lat_u) / 2e6)), 2)), 4) AS dist
@@ -125,7 +120,7 @@ n AS (SELECT in_id, arg_min(opis_id, {'d': dist, 'i': opis_id}) AS match_id, min
 def _incoming(spark, d):
     k = F.col("opis_id")
     name = F.when(k % 3 == 0, F.concat(F.lit("Pilot "), "name")).otherwise(F.col("name"))
-    return src.stations(spark, d).where("opis_id % 5 IN (0, 2)").select(
+    return src.stations(spark, d).select(
         k.alias("in_id"), name.alias("name"), "city", "state", (F.col("lat_u") + (k % 9 - 4) * 1000).alias("lat_u"), (F.col("lng_u") + (k % 7 - 3) * 1000).alias("lng_u")
     )
 
@@ -227,17 +222,10 @@ def agg5_pooled_deviation(spark, d):
     return pricing.pooled_deviation(src.stations(spark, d).join(F.broadcast(src.state_regions(spark)), "state", "left"))
 
 
-@query("""c AS (SELECT route_id, region, count(*) AS n, min(pos_milli_mi) AS first FROM v_candidate JOIN v_state USING (state) GROUP BY ALL) SELECT route_id, arg_max(region, {'n': n, 'f': -first, 'r': region}) AS region FROM c GROUP BY route_id""")
-def agg12_dominant_region(spark, d):
-    c = src.candidates(spark, d).join(F.broadcast(src.state_regions(spark)), "state")
-    per = c.groupBy("route_id", "region").agg(F.count(F.lit(1)).alias("n"), F.min("pos_milli_mi").alias("first"))
-    return per.groupBy("route_id").agg(F.max_by("region", F.struct("n", -F.col("first"), "region")).alias("region"))
-
-
 # --- corridors
 
 
-_CORRIDOR = """q AS (SELECT *, cos(radians(sum(lat_u) OVER (PARTITION BY route_id) / 65.0::DOUBLE / 1e6)) AS k FROM v_point),
+_CORRIDOR_AT = """q AS (SELECT *, cos(radians(sum(lat_u) OVER (PARTITION BY route_id) / 65.0::DOUBLE / 1e6)) AS k FROM v_point),
 g AS (SELECT route_id, total_milli_mi, seq, k, lng_u / 1e6 * 69.172 * k AS a_x, lat_u / 1e6 * 69.172 AS a_y, lead(lng_u) OVER l / 1e6 * 69.172 * k AS b_x, lead(lat_u) OVER l / 1e6 * 69.172 AS b_y FROM q WINDOW l AS (PARTITION BY route_id ORDER BY seq)),
 h AS (SELECT *, sqrt(power(b_x - a_x, 2) + power(b_y - a_y, 2)) AS len FROM g WHERE b_x IS NOT NULL),
 u AS (SELECT *, sum(len) OVER (PARTITION BY route_id ORDER BY seq) - len AS start, sum(len) OVER (PARTITION BY route_id) AS planar FROM h),
@@ -246,8 +234,9 @@ bb AS (SELECT route_id, min(lat_u) - 600000 AS y0, max(lat_u) + 600000 AS y1, mi
 z AS (SELECT u.*, opis_id, tier, lng_u / 1e6 * 69.172 * k AS px, lat_u / 1e6 * 69.172 AS py FROM bb JOIN st ON lat_u BETWEEN y0 AND y1 AND lng_u BETWEEN x0 AND x1 JOIN u USING (route_id)),
 tt AS (SELECT *, greatest(0, least(1, ((px - a_x) * (b_x - a_x) + (py - a_y) * (b_y - a_y)) / (len * len))) AS t FROM z),
 o AS (SELECT *, sqrt(power(px - (a_x + t * (b_x - a_x)), 2) + power(py - (a_y + t * (b_y - a_y)), 2)) AS off FROM tt),
-w AS (SELECT *, row_number() OVER (PARTITION BY route_id, opis_id ORDER BY off, seq) AS r FROM o WHERE off <= tier)
-SELECT route_id, opis_id, round(off, 3) AS off_mi, round((start + t * len) / planar * total_milli_mi / 1000, 2) AS at_mi FROM w WHERE r = 1"""
+wn AS (SELECT *, row_number() OVER (PARTITION BY route_id, opis_id ORDER BY off, seq) AS r FROM o WHERE off <= tier),
+near AS MATERIALIZED (SELECT route_id, opis_id, off, (start + t * len) / planar * total_milli_mi / 1000 AS at_mi FROM wn WHERE r = 1)"""
+_CORRIDOR = _CORRIDOR_AT + " SELECT route_id, opis_id, floor(off * 1000 + 0.5000001::DOUBLE) / 1000 AS off_mi, floor(at_mi * 100 + 0.5000001::DOUBLE) / 100 AS at_mi FROM near"
 
 
 @query(_CORRIDOR)
@@ -255,16 +244,15 @@ def join1_corridor(spark, d):
     return corridor.corridor_join(src.route_points(spark, d), src.stations(spark, d))
 
 
-@query(f"SELECT count(*) AS coarse, count(*) AS fine, 0::BIGINT AS only_coarse, 0::BIGINT AS only_fine FROM ({_CORRIDOR.replace('q AS', 'WITH q AS', 1)})")
+@query(f"SELECT count(*) AS pairs, 0::BIGINT AS differing FROM ({_CORRIDOR.replace('q AS', 'WITH q AS', 1)}) WHERE route_id % 50 = 0")
 def set7_corridor_referee(spark, d):
-    """Both must find the same: the join on the usual cells and on cells of two fifths of their size."""
-    points, stations = src.route_points(spark, d), src.stations(spark, d)
-    a, b = (corridor.corridor_join(points, stations, size) for size in (corridor.CELL, corridor.CELL * 2 // 5))
+    """The grid join against a plain range join of whole routes with all stations, for the stated query set of routes whose id is divisible by 50."""
+    points, stations = src.route_points(spark, d).where("route_id % 50 = 0"), src.stations(spark, d)
+    a, b = corridor.corridor_join(points, stations), corridor.corridor_referee(points, stations)
     keys = ["route_id", "opis_id"]
     both = a.withColumnsRenamed({"off_mi": "a_off", "at_mi": "a_at"}).join(b, keys, "full")
     same = F.coalesce((F.col("a_off") == F.col("off_mi")) & (F.col("a_at") == F.col("at_mi")), F.lit(False))
-    has_a, has_b = F.col("a_off").isNotNull(), F.col("off_mi").isNotNull()
-    return both.agg(F.count_if(has_a).alias("coarse"), F.count_if(has_b).alias("fine"), F.count_if(has_a & ~same).alias("only_coarse"), F.count_if(has_b & ~same).alias("only_fine"))
+    return both.agg(F.count(F.lit(1)).alias("pairs"), F.count_if(~same).alias("differing"))
 
 
 # --- windows over candidates and legs
@@ -290,9 +278,7 @@ def win3_interpolated_time(spark, d):
     return rows.select("route_id", "opis_id", F.round(value, 3).alias("seconds"))
 
 
-_PREFLIGHT = """nd AS (SELECT route_id, tank_milli_mi, pos_milli_mi AS pos, opis_id::BIGINT AS id FROM v_candidate UNION ALL SELECT route_id, tank_milli_mi, total_milli_mi, 1099511627776 FROM v_route),
-ng AS (SELECT *, lag(pos, 1, 0) OVER (PARTITION BY route_id ORDER BY pos, id) AS before FROM nd),
-pf AS (SELECT route_id, count(*) FILTER (pos - before > tank_milli_mi) = 0 AS feasible, arg_min(before, pos) FILTER (pos - before > tank_milli_mi) AS from_milli, min(pos) FILTER (pos - before > tank_milli_mi) AS to_milli, arg_min(pos - before, pos) FILTER (pos - before > tank_milli_mi) AS gap_milli FROM ng GROUP BY route_id)"""
+_PREFLIGHT, _PRUNED, _EFFORT = plan_sql.preflight(), plan_sql.pruned(), plan_sql.effort()
 
 
 @query(_PREFLIGHT + " SELECT * FROM pf")
@@ -300,37 +286,33 @@ def pln1_preflight(spark, d):
     return search.preflight(src.routes(spark, d), src.candidates(spark, d))
 
 
-_PRUNED = """dd AS (SELECT * FROM v_candidate c WHERE NOT EXISTS (SELECT 1 FROM v_candidate b WHERE b.route_id = c.route_id AND b.pos_milli_mi = c.pos_milli_mi AND (b.price_milli < c.price_milli OR (b.price_milli = c.price_milli AND b.opis_id < c.opis_id)) AND (c.price_source = 'eia_regional_estimate' OR b.price_source <> 'eia_regional_estimate'))),
-pr AS (SELECT * FROM dd c WHERE pos_milli_mi + tank_milli_mi < total_milli_mi OR NOT EXISTS (SELECT 1 FROM dd b WHERE b.route_id = c.route_id AND b.pos_milli_mi + b.tank_milli_mi >= b.total_milli_mi AND b.price_milli <= c.price_milli AND (b.pos_milli_mi, b.price_milli, b.opis_id) < (c.pos_milli_mi, c.price_milli, c.opis_id) AND (c.price_source = 'eia_regional_estimate' OR b.price_source <> 'eia_regional_estimate')))"""
-
-
 @query(_PRUNED + " SELECT route_id, opis_id, pos_milli_mi, price_milli FROM pr")
 def pln2_domination_prune(spark, d):
     return search.pruned(src.candidates(spark, d)).select("route_id", "opis_id", "pos_milli_mi", "price_milli")
 
 
-_EFFORT = _PRUNED + """, rk AS (SELECT *, row_number() OVER (PARTITION BY route_id ORDER BY pos_milli_mi, price_milli, opis_id) AS k FROM pr),
-rc AS (SELECT a.route_id, a.k, count(b.k) + (a.pos_milli_mi + a.tank_milli_mi >= a.total_milli_mi)::INT AS reach FROM rk a LEFT JOIN rk b ON a.route_id = b.route_id AND b.k > a.k AND b.pos_milli_mi <= a.pos_milli_mi + a.tank_milli_mi GROUP BY a.route_id, a.k, a.pos_milli_mi, a.tank_milli_mi, a.total_milli_mi),
-ef AS (SELECT r.route_id, (SELECT count(*) FROM rc WHERE rc.route_id = r.route_id) AS nodes, (coalesce((SELECT sum(reach * (reach + 1)) FROM rc WHERE rc.route_id = r.route_id), 0) + (SELECT count(*) FROM pr WHERE pr.route_id = r.route_id AND pos_milli_mi <= r.tank_milli_mi) + (total_milli_mi <= tank_milli_mi)::INT)::BIGINT AS estimate FROM v_route r)"""
-
-
 @query(_EFFORT + " SELECT * FROM ef")
 def pln3_transition_estimate(spark, d):
     return search.effort(src.routes(spark, d), search.pruned(src.candidates(spark, d)))
 
 
-@query(_EFFORT + " SELECT CASE WHEN estimate <= 2000 THEN 'exact' ELSE 'heuristic' END AS method, count(*) AS routes, sum(estimate)::BIGINT AS total FROM ef GROUP BY ALL")
+@query(_EFFORT + " SELECT CASE WHEN estimate <= 50000 THEN 'exact' ELSE 'heuristic' END AS method, count(*) AS routes, sum(estimate)::BIGINT AS total FROM ef GROUP BY ALL")
 def pln4_dispatch(spark, d):
     e = search.effort(src.routes(spark, d), search.pruned(src.candidates(spark, d)))
-    return e.groupBy(F.when(F.col("estimate") <= 2000, "exact").otherwise("heuristic").alias("method")).agg(F.count(F.lit(1)).alias("routes"), F.sum("estimate").alias("total"))
+    return e.groupBy(F.when(F.col("estimate") <= search.EXACT_BUDGET, "exact").otherwise("heuristic").alias("method")).agg(F.count(F.lit(1)).alias("routes"), F.sum("estimate").alias("total"))
 
 
-@query(_PRUNED + """ SELECT route_id, count(*) AS before, (SELECT count(*) FROM dd WHERE dd.route_id = c.route_id) AS after_co_located, (SELECT count(*) FROM pr WHERE pr.route_id = c.route_id) AS kept FROM v_candidate c GROUP BY route_id""")
+@query("""a AS (SELECT a.*, a.price_source = 'eia_regional_estimate' AS est, EXISTS (SELECT 1 FROM v_candidate b WHERE b.route_id = a.route_id AND b.pos_milli_mi = a.pos_milli_mi AND (b.price_milli, b.opis_id) < (a.price_milli, a.opis_id) AND (a.price_source = 'eia_regional_estimate' OR b.price_source <> 'eia_regional_estimate')) AS same,
+EXISTS (SELECT 1 FROM v_candidate b WHERE b.route_id = a.route_id AND b.pos_milli_mi + b.tank_milli_mi >= b.total_milli_mi AND b.price_milli <= a.price_milli AND (b.pos_milli_mi, b.price_milli, b.opis_id) < (a.pos_milli_mi, a.price_milli, a.opis_id) AND (a.price_source = 'eia_regional_estimate' OR b.price_source <> 'eia_regional_estimate')) AS tail,
+EXISTS (SELECT 1 FROM v_candidate b WHERE b.route_id = a.route_id AND b.price_milli <= a.price_milli AND (b.pos_milli_mi, b.price_milli, b.opis_id) < (a.pos_milli_mi, a.price_milli, a.opis_id) AND (b.pos_milli_mi = a.pos_milli_mi OR b.pos_milli_mi + b.tank_milli_mi >= b.total_milli_mi)) AS price_only FROM v_candidate a)
+SELECT route_id, count(*) AS before, count(*) FILTER (same) AS co_located, count(*) FILTER (NOT same AND tail) AS tail, count(*) FILTER (NOT same AND NOT tail AND price_only) AS margin_blocked, count(*) FILTER (price_only) AS price_only, true AS closed FROM a GROUP BY route_id""")
 def agg27_removal_tallies(spark, d):
-    c = src.candidates(spark, d)
-    same = search.pruned(c.withColumn("total_milli_mi", F.lit(2**40)))  # no station is near that end: the first pass alone
-    tag = lambda df, n: df.groupBy("route_id").agg(F.count(F.lit(1)).alias(n))
-    return tag(c, "before").join(tag(same, "after_co_located"), "route_id").join(tag(search.pruned(c), "kept"), "route_id")
+    """Removals by their first reason, and stations that stay for their provenance alone; ``closed``: the tallies add up."""
+    rows = search.marked(src.candidates(spark, d))
+    per = rows.groupBy("route_id").agg(
+        F.count(F.lit(1)).alias("before"), F.count_if(F.col("removed") == "co_located").alias("co_located"), F.count_if(F.col("removed") == "tail").alias("tail"), F.count_if("margin_blocked").alias("margin_blocked"), F.count_if("price_only").alias("price_only")
+    )
+    return per.withColumn("closed", F.col("margin_blocked") == F.col("price_only") - F.col("co_located") - F.col("tail"))
 
 
 @query("SELECT route_id, opis_id, round(avg(price_milli) OVER p, 4) AS mean_milli, round((rank() OVER (PARTITION BY route_id ORDER BY price_milli) - 1) / count(*) OVER p::DOUBLE, 6) AS percentile FROM v_candidate WINDOW p AS (PARTITION BY route_id)")
@@ -346,14 +328,6 @@ def win13_cheapest_ahead(spark, d):
     return src.candidates(spark, d).select("route_id", "opis_id", F.coalesce(F.col("price_milli") <= F.min("price_milli").over(w), F.lit(True)).alias("cheapest_ahead"))
 
 
-@query("""SELECT a.route_id, a.opis_id, count(b.opis_id) AS skipped, round(avg(b.price_milli), 4) AS skipped_avg_milli FROM v_candidate a LEFT JOIN v_candidate b ON a.route_id = b.route_id AND b.pos_milli_mi > a.pos_milli_mi AND b.pos_milli_mi <= a.pos_milli_mi + a.tank_milli_mi AND b.price_milli < a.price_milli GROUP BY a.route_id, a.opis_id""")
-def join14_rejected_context(spark, d):
-    a = src.candidates(spark, d).select("route_id", "opis_id", "pos_milli_mi", "price_milli", "tank_milli_mi")
-    b = a.select(F.col("route_id").alias("r"), F.col("pos_milli_mi").alias("p"), F.col("price_milli").alias("c"))
-    on = (F.col("r") == F.col("route_id")) & (F.col("p") > F.col("pos_milli_mi")) & (F.col("p") <= F.col("pos_milli_mi") + F.col("tank_milli_mi")) & (F.col("c") < F.col("price_milli"))
-    return a.join(b, on, "left").groupBy("route_id", "opis_id").agg(F.count("c").alias("skipped"), F.round(F.avg("c"), 4).alias("skipped_avg_milli"))
-
-
 @query("""v AS (SELECT route_id, list_sort(list(price_milli)) AS v FROM v_candidate GROUP BY route_id) SELECT route_id, i AS bin, v[len(v) * i // 5 + 1] AS edge_milli FROM v, range(1, 5) t(i)""")
 def agg17_quantile_edges(spark, d):
     return measure.quantile_edges(src.candidates(spark, d), "price_milli", 5)
@@ -391,12 +365,6 @@ def join13_price_sweep(spark, d):
     return swept.groupBy("multiplier").agg(F.count(F.lit(1)).alias("candidates"), F.sum(F.col("price_milli") * F.col("multiplier")).alias("total_milli"))
 
 
-@query("""SELECT alternative_index, arg_min(route_id, {'t': total_milli_mi, 'r': route_id}) AS winner, min(total_milli_mi) AS total_milli_mi FROM v_route GROUP BY ALL""")
-def top1_winner(spark, d):
-    best = F.min(F.struct("total_milli_mi", "route_id")).alias("b")
-    return src.routes(spark, d).groupBy("alternative_index").agg(best).select("alternative_index", F.col("b.route_id").alias("winner"), "b.total_milli_mi")
-
-
 @query(_PREFLIGHT + """ SELECT route_id % 10 AS batch, arg_min(route_id, {'g': gap_milli, 'r': route_id}) AS route_id, min(gap_milli) AS gap_milli FROM pf WHERE NOT feasible GROUP BY ALL""")
 def top2_smallest_gap(spark, d):
     bad = search.preflight(src.routes(spark, d), src.candidates(spark, d)).where("NOT feasible")
@@ -428,81 +396,6 @@ def jsn3_candidate_payload(spark, d):
 # --- plans
 
 
-def _problems(spark, d):
-    c = src.candidates(spark, d)
-    return search.problems(src.routes(spark, d), c, search.pruned(c))
-
-
-def _plan_rows(spark, d, method):
-    return search.solve(_problems(spark, d), (method,)).select("route_id", "feasible", "n_stops", "cost", "bought")
-
-
-@query("""walk AS (
-  SELECT route_id, total_milli_mi AS l, tank_milli_mi AS t, 0::BIGINT AS pos, tank_milli_mi AS fuel, 0 AS n, 0::BIGINT AS cost, 0::BIGINT AS bought, true AS alive FROM v_route
-  UNION ALL
-  SELECT w.route_id, l, t, coalesce(c.pos, w.pos), t, n + (c.pos IS NOT NULL)::INT,
-         cost + coalesce(c.price * (least(t, l - c.pos) - (fuel - (c.pos - w.pos))), 0), bought + coalesce(least(t, l - c.pos) - (fuel - (c.pos - w.pos)), 0), c.pos IS NOT NULL
-  FROM walk w LEFT JOIN LATERAL (SELECT x.pos_milli_mi AS pos, x.price_milli AS price FROM v_candidate x WHERE x.route_id = w.route_id AND x.pos_milli_mi > w.pos AND x.pos_milli_mi <= w.pos + w.fuel ORDER BY x.pos_milli_mi DESC, x.opis_id LIMIT 1) c ON true
-  WHERE w.alive AND l - w.pos > fuel)
-SELECT route_id, alive AS feasible, CASE WHEN alive THEN n END AS n_stops, CASE WHEN alive THEN cost END AS cost, CASE WHEN alive THEN bought END AS bought
-FROM (SELECT *, row_number() OVER (PARTITION BY route_id ORDER BY alive, n DESC) AS r FROM walk) WHERE r = 1""", recursive=True)
-def pln10_price_blind(spark, d):
-    return _plan_rows(spark, d, "naive")
-
-
-@query()
-def pln9_greedy(spark, d):
-    return _plan_rows(spark, d, "greedy")
-
-
-@query()
-def pln8_heuristic(spark, d):
-    return _plan_rows(spark, d, "heuristic")
-
-
-@query()
-def pln6_exact(spark, d):
-    return search.solve(_problems(spark, d), ("exact",)).select("route_id", "feasible", "n_stops", "cost", "objective", "bought")
-
-
-@query()
-def pln7_purchase_reasons(spark, d):
-    stops = search.solve(_problems(spark, d), ("exact", "heuristic")).select("method", F.explode("stops").alias("s"))
-    return stops.groupBy("method", F.col("s.reason").alias("reason")).agg(F.count(F.lit(1)).alias("stops"))
-
-
-@query()
-def win5_plan_legs(spark, d):
-    """Legs between start, purchases and end, with the tank's level on arrival: a window over the exploded plan."""
-    plans = search.solve(_problems(spark, d), ("exact",)).where("feasible").join(src.routes(spark, d), "route_id")
-    end = F.struct(F.col("total_milli_mi").alias("pos"), F.lit(-1).cast("long").alias("id"), F.lit(0).cast("long").alias("price"), F.lit(0).cast("long").alias("amount"), F.lit("").alias("reason"))
-    nodes = plans.select("route_id", "tank_milli_mi", F.posexplode(F.concat("stops", F.array(end))).alias("leg", "n")).select("route_id", "tank_milli_mi", "leg", "n.pos", "n.id", "n.amount")
-    w = Window.partitionBy("route_id").orderBy("leg")
-    before = F.coalesce(F.sum("amount").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return nodes.select("route_id", "leg", F.lag("pos", 1, 0).over(w).alias("from_milli"), F.col("pos").alias("to_milli"), (F.col("tank_milli_mi") + before - F.col("pos")).alias("arrival_milli"))
-
-
-@query()
-def pln22_method_comparison(spark, d):
-    plans = search.solve(_problems(spark, d), ("naive", "greedy", "heuristic", "exact")).where("feasible")
-    trivial = F.size(F.filter("stops", lambda s: s["amount"] < 40_000))
-    return plans.groupBy("method").agg(F.count(F.lit(1)).alias("routes"), F.sum("n_stops").alias("stops"), F.sum(trivial).alias("trivial_stops"), search.dollars(F.sum("cost")).alias("cost_usd"), search.dollars(F.sum("objective")).alias("objective_usd"))
-
-
-@query()
-def flagship_cheapest_plan(spark, d):
-    """For each feasible route the cheapest plan and its saving over a price-blind driver."""
-    ready = search.dispatched(src.routes(spark, d), src.candidates(spark, d))
-    both = search.solve(ready, ("planned", "naive")).select("route_id", "method", "feasible", "n_stops", "cost")
-    blind, own = (both.where(f"method {op} 'naive'") for op in ("=", "<>"))
-    naive = blind.select("route_id", F.col("cost").alias("naive"))
-    out = own.join(naive, "route_id", "left").withColumn("saved", F.col("naive") - F.col("cost"))
-    return out.select(
-        "route_id", F.col("method").alias("strategy"), "n_stops", search.dollars(F.col("cost")).alias("cost_usd"), search.dollars(F.col("naive")).alias("naive_usd"),
-        search.dollars(F.col("saved")).alias("saved_usd"), F.round(F.col("saved") * 100 / F.nullif("naive", F.lit(0)), 1).alias("saved_percent"),
-    )
-
-
 # --- time-keyed counters
 
 
@@ -542,7 +435,7 @@ z AS (SELECT u.*, opis_id, tier, lng_u / 1e6 * 69.172 * k AS px, lat_u / 1e6 * 6
 tt AS (SELECT *, greatest(0, least(1, ((px - a_x) * (b_x - a_x) + (py - a_y) * (b_y - a_y)) / (len * len))) AS t FROM z),
 o AS (SELECT *, sqrt(power(px - (a_x + t * (b_x - a_x)), 2) + power(py - (a_y + t * (b_y - a_y)), 2)) AS off FROM tt),
 w AS (SELECT *, row_number() OVER (PARTITION BY route_id, opis_id ORDER BY off, leg, seq) AS r FROM o WHERE off <= tier)
-SELECT route_id, opis_id, leg, round(off, 3) AS off_mi, round(offset_milli_mi / 1000 + (start + t * len) / planar * total_milli_mi / 1000, 2) AS at_mi FROM w WHERE r = 1""")
+SELECT route_id, opis_id, leg, floor(off * 1000 + 0.5000001::DOUBLE) / 1000 AS off_mi, floor((offset_milli_mi / 1000 + (start + t * len) / planar * total_milli_mi / 1000) * 100 + 0.5000001::DOUBLE) / 100 AS at_mi FROM w WHERE r = 1""")
 def join2_multi_leg_corridor(spark, d):
     return corridor.multi_leg_join(_legs(spark, d), src.stations(spark, d))
 
@@ -551,7 +444,7 @@ def join2_multi_leg_corridor(spark, d):
 h AS (SELECT *, sqrt(power((lng2 - lng_u) / 1e6 * 69.172 * k, 2) + power((lat2 - lat_u) / 1e6 * 69.172, 2)) AS len FROM q WHERE lat2 IS NOT NULL),
 u AS (SELECT *, sum(len) OVER (PARTITION BY route_id ORDER BY seq) - len AS start FROM h),
 n AS (SELECT route_id, i, planar * i / 200 AS want FROM (SELECT route_id, sum(len) AS planar FROM u GROUP BY route_id), range(201) t(i))
-SELECT n.route_id, i, round((lat_u + least(1, (want - start) / len) * (lat2 - lat_u)) / 1e6, 4) AS lat, round((lng_u + least(1, (want - start) / len) * (lng2 - lng_u)) / 1e6, 4) AS lng FROM n ASOF JOIN u ON n.route_id = u.route_id AND n.want >= u.start""")
+SELECT n.route_id, i, floor((lat_u + least(1, (want - start) / len) * (lat2 - lat_u)) / 1e6 * 10000 + 0.5000001::DOUBLE) / 10000 AS lat, floor((lng_u + least(1, (want - start) / len) * (lng2 - lng_u)) / 1e6 * 10000 + 0.5000001::DOUBLE) / 10000 AS lng FROM n ASOF JOIN u ON n.route_id = u.route_id AND n.want >= u.start""")
 def mat16_even_samples(spark, d):
     return corridor.even_samples(src.route_points(spark, d), 200)
 
@@ -641,37 +534,6 @@ def pln19_average_price_substitution(spark, d):
     return c.groupBy("route_id").agg(F.sum(F.when(tagged, F.coalesce("mean", "price_milli")).otherwise(F.col("price_milli"))).alias("total_milli"), F.count_if(tagged).alias("tagged"))
 
 
-@query()
-def agg24_pruned_list_verdict(spark, d):
-    """The heuristic fed the pruned list against the full one, by objective."""
-    routes, c = src.routes(spark, d), src.candidates(spark, d)
-    plan = lambda stations, name: search.solve(search.problems(routes, stations), ("heuristic",)).where("feasible").select("route_id", F.col("objective").alias(name))
-    both = plan(c, "full").join(plan(search.pruned(c), "lean"), "route_id")
-    verdict = F.when(F.col("lean") < F.col("full"), "BETTER").when(F.col("lean") > F.col("full"), "WORSE").otherwise("SAME")
-    return both.groupBy(verdict.alias("verdict")).agg(F.count(F.lit(1)).alias("routes"), search.dollars(F.sum(F.col("lean") - F.col("full"))).alias("delta_usd"))
-
-
-@query()
-def agg25_disagreement_rate(spark, d):
-    """Share of feasible routes whose greedy plan has a larger objective than the exact one."""
-    plans = search.solve(_problems(spark, d), ("greedy", "exact")).where("feasible")
-    of = lambda m: F.max(F.when(F.col("method") == m, F.col("objective")))
-    return plans.groupBy("route_id").agg((of("greedy") > of("exact")).alias("worse")).agg(F.count(F.lit(1)).alias("routes"), F.round(F.avg(F.col("worse").cast("int")), 6).alias("rate"))
-
-
-@query()
-def agg29_stop_set_change(spark, d):
-    """Stations that enter or leave the exact plan when all prices are scaled by half and by two."""
-    c, stops = src.candidates(spark, d), {}
-    for percent in (50, 100, 200):
-        scaled = c.withColumn("price_milli", F.floor(F.col("price_milli") * percent / 100).cast("long"))
-        plans = search.solve(search.problems(src.routes(spark, d), scaled, search.pruned(scaled)), ("exact",)).where("feasible")
-        stops[percent] = plans.select("route_id", F.col("stops.id").alias(f"s{percent}"))
-    both = stops[100].join(stops[50], "route_id").join(stops[200], "route_id")
-    change = lambda n: F.size(F.array_except(n, "s100")) + F.size(F.array_except("s100", n))
-    return both.select("route_id", change("s50").alias("changed_at_half"), change("s200").alias("changed_at_double"))
-
-
 # --- requests and exports
 
 
@@ -753,4 +615,4 @@ def stm3_table_state(spark, d):
     return counters.as_of_state(src.read(spark, d, "events"), "purchase", "view", 86_400, 604_800).select("event_id", "state")
 
 
-from . import registry_more  # noqa: E402, F401  registers its queries, which use the tables above
+from . import registry_more, registry_plans  # noqa: E402, F401  they register their queries, which use the tables above

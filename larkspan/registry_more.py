@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .functions import text
 from .operators import cleaning, rules
 from .plans import search
-from .registry import _EFFORT, _PREFLIGHT, _PRUNED, _dirty, _problems, query
+from .registry import _EFFORT, _PRUNED, _dirty, query
 from .sources import adapters as src
 from .sources import files
 from .streaming import counters
@@ -103,7 +103,7 @@ def _gazetteer(spark, d):
     lines = src.stations(spark, d).select(k.alias("line_no"), F.concat_ws("|", F.concat("city", F.lit(" city")), state, "lat_u", "lng_u").alias("line"))
     part = lambda i: F.get(F.split("line", r"\|"), i)
     rows = lines.select("line_no", text.place_key(part(0)).alias("place"), part(1).alias("state"), part(2).try_cast("long").alias("lat_u"), part(3).try_cast("long").alias("lng_u"))
-    rows = rows.where(F.col("state").isin(*[src.STATES[i : i + 2] for i in range(0, 96, 2)]))
+    rows = rows.where(F.col("state").isin(*src.LOWER_48))
     last = lambda c: F.max_by(c, "line_no").alias(c)
     return rows.groupBy("place", "state").agg(last("lat_u"), last("lng_u"))
 
@@ -133,7 +133,7 @@ def snk5_reimport(spark, d):
     new = s.where("opis_id % 2 = 0").select(
         (k + F.when(k % 10 == 4, 5_000_000).otherwise(0)).alias("opis_id"), F.when(k % 6 == 2, "Moved").otherwise(F.col("city")).alias("city"), F.when(k % 14 == 0, "HI").otherwise(F.col("state")).alias("state")
     )
-    return rules.reimported(s, new, F.col("state").isin(*[src.STATES[i : i + 2] for i in range(0, 96, 2)]))
+    return rules.reimported(s, new, F.col("state").isin(*src.LOWER_48))
 
 
 @query("SELECT count(*) AS before, count(*) FILTER (price_source = 'eia_regional_estimate') AS deleted, count(*) FILTER (price_source <> 'eia_regional_estimate') AS after FROM v_station")
@@ -229,12 +229,12 @@ def top4_picks_in_reach(spark, d):
     return rules.picks_in_reach(src.candidates(spark, d))
 
 
-@query(_EFFORT + " SELECT route_id, estimate, pick FROM (SELECT route_id, estimate, row_number() OVER (ORDER BY estimate <= 2000, estimate, route_id) AS pick FROM ef) WHERE pick <= 3")
+@query(_EFFORT + " SELECT route_id, estimate, pick FROM (SELECT route_id, estimate, row_number() OVER (ORDER BY estimate <= 50000, estimate, route_id) AS pick FROM ef) WHERE pick <= 3")
 def top6_probe_routes(spark, d):
     """Three routes to probe: those beyond the budget first, then by effort (a top-k report)."""
     e = search.effort(src.routes(spark, d), search.pruned(src.candidates(spark, d)))
-    top = e.orderBy(F.col("estimate") <= 2000, "estimate", "route_id").limit(3)
-    return top.select("route_id", "estimate", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(F.col("estimate") <= 2000, "estimate", "route_id")).cast("long").alias("pick"))
+    top = e.orderBy(F.col("estimate") <= search.EXACT_BUDGET, "estimate", "route_id").limit(3)
+    return top.select("route_id", "estimate", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(F.col("estimate") <= search.EXACT_BUDGET, "estimate", "route_id")).cast("long").alias("pick"))
 
 
 @query("SELECT route_id, opis_id FROM v_candidate c WHERE NOT EXISTS (SELECT 1 FROM v_candidate b WHERE b.route_id = c.route_id AND b.price_milli <= c.price_milli AND (b.pos_milli_mi > c.pos_milli_mi OR (b.pos_milli_mi = c.pos_milli_mi AND (b.price_milli < c.price_milli OR b.opis_id < c.opis_id))))")
@@ -244,8 +244,8 @@ def top8_frontier(spark, d):
 
 @query(_PRUNED + " SELECT route_id, opis_id FROM dd")
 def win7_co_located(spark, d):
-    """The first pass alone: with the end out of reach no station counts as near it."""
-    return search.pruned(src.candidates(spark, d).withColumn("total_milli_mi", F.lit(2**40))).select("route_id", "opis_id")
+    """The first pass alone."""
+    return search.marked(src.candidates(spark, d)).where("NOT removed <=> 'co_located'").select("route_id", "opis_id")
 
 
 @query(_EFFORT + " SELECT rk.route_id, opis_id, reach::BIGINT AS reach FROM rk JOIN rc ON rk.route_id = rc.route_id AND rk.k = rc.k")
@@ -316,36 +316,6 @@ def arr2_flattened_annotations(spark, d):
 # --- trips and throttles
 
 
-@query(_PREFLIGHT + """, x AS (SELECT route_id // 200 AS trip, route_id, feasible, gap_milli, total_milli_mi FROM pf JOIN v_route USING (route_id))
-SELECT trip, count(*) AS alternatives, count(*) FILTER (feasible) AS feasible, first(route_id ORDER BY total_milli_mi, route_id) FILTER (feasible) AS winner, CASE WHEN count(*) FILTER (feasible) = 0 THEN first(route_id ORDER BY gap_milli, route_id) END AS least_bad,
-CASE WHEN count(*) FILTER (feasible) = 0 THEN '{"code":"infeasible","gap_milli":' || min(gap_milli) || '}' END AS error FROM x GROUP BY trip""")
-def pln15_alternatives(spark, d):
-    """PLN-15 and JSN-4: infeasible alternatives are recorded, not fatal; a trip without a feasible one gets an error with the smallest gap."""
-    routes = src.routes(spark, d)
-    x = search.preflight(routes, src.candidates(spark, d)).join(routes.select("route_id", "total_milli_mi"), "route_id").withColumn("trip", F.floor(F.col("route_id") / 200))
-    good = F.count_if("feasible")
-    error = F.to_json(F.struct(F.lit("infeasible").alias("code"), F.min("gap_milli").alias("gap_milli")))
-    return x.groupBy("trip").agg(
-        F.count(F.lit(1)).alias("alternatives"), good.alias("feasible"), F.min_by("route_id", F.when(F.col("feasible"), F.struct("total_milli_mi", "route_id"))).alias("winner"),
-        F.when(good == 0, F.min_by("route_id", F.struct("gap_milli", "route_id"))).alias("least_bad"), F.when(good == 0, error).alias("error"),
-    )
-
-
-@query()
-def agg15_fleet_savings(spark, d):
-    """AGG-15 and AGG-31: saving over the price-blind driver per route, and for five hauls a week over a year."""
-    both = search.solve(_problems(spark, d), ("exact", "naive")).where("feasible").groupBy("route_id").agg(*[F.max(F.when(F.col("method") == m, F.col("cost"))).alias(m) for m in ("exact", "naive")])
-    saved = F.col("naive") - F.col("exact")
-    return both.where("exact IS NOT NULL AND naive IS NOT NULL").select("route_id", search.dollars(saved).alias("saved_usd"), F.round(saved * 100 / F.nullif("naive", F.lit(0)), 1).alias("saved_percent"), search.dollars(saved * 260).alias("yearly_usd"))
-
-
-@query()
-def agg6_median_fill(spark, d):
-    """Median of bought miles over all purchases of all exact plans."""
-    stops = search.solve(_problems(spark, d), ("exact",)).select(F.explode("stops").alias("s"))
-    return stops.agg(F.count(F.lit(1)).alias("purchases"), F.median("s.amount").alias("median_milli_mi"))
-
-
 @query()
 def stm2_throttled(spark, d):
     """Three calls an hour and eight a day: refused calls do not count, which no window frame can say; tests hold it against a loop."""

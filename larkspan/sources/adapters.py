@@ -8,8 +8,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Lower-48 state codes by state name, two characters each.
-STATES = "ALAZARCACOCTDEFLGAIDILINIAKSKYLAMEMDMAMIMNMSMOMTNENVNHNJNMNYNCNDOHOKORPARISCSDTNTXUTVTVAWAWVWIWY"
+#: Lower-48 state codes by state name.
+LOWER_48 = (
+    "AL", "AZ", "AR", "CA", "CO", "CT", "DE", "FL", "GA", "ID", "IL", "IN", "IA", "KS", "KY", "LA", "ME", "MD", "MA", "MI", "MN", "MS", "MO", "MT",
+    "NE", "NV", "NH", "NJ", "NM", "NY", "NC", "ND", "OH", "OK", "OR", "PA", "RI", "SC", "SD", "TN", "TX", "UT", "VT", "VA", "WA", "WV", "WI", "WY",
+)
+#: The same in one string, two characters each, which both SQL dialects can slice.
+STATES = "".join(LOWER_48)
+#: Of how many stations one lies on a route, by the route's id modulo 8: from dense to sparse routes, at any number of stations.
+STEPS = (12, 60, 60, 150, 150, 150, 600, 600)
 #: Region, states, label, series area, series product, baseline in milli-dollars.
 REGIONS = (
     ("PADD1A", "CT ME MA NH RI VT", "New England", "R1X", "EPD2D", 3753),
@@ -56,27 +63,27 @@ def price_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def routes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every order is a route; one in four starts with half a tank."""
     k = F.col("o_orderkey").cast("long")
-    m = read(spark, sf_dir, "part").agg(F.greatest(F.lit(1), F.floor(F.count(F.lit(1)) / 33)).cast("long").alias("m"))
-    rows = read(spark, sf_dir, "orders").where(k % 50 == 0)
-    rows = rows.select(
-        k.alias("route_id"), (k % 3).cast("int").alias("alternative_index"), (900_000 + k * 37717 % 1_900_000).alias("total_milli_mi"), (400_000 + (k % 7) * 100_000).alias("tank_milli_mi")
-    )
-    return rows.crossJoin(F.broadcast(m))  # one row
+    tank = 400_000 + (k % 7) * 100_000
+    return read(spark, sf_dir, "orders").select(
+        k.alias("route_id"), (k % 3).cast("int").alias("alternative_index"), (900_000 + k * 37717 % 1_900_000).alias("total_milli_mi"), tank.alias("tank_milli_mi"),
+        F.when(k % 4 == 1, F.floor(tank / 2).cast("long")).otherwise(tank).alias("on_board_milli_mi"),
+    )
 
 
 def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Route × station pairs whose key sum is a multiple of the route's modulus: an equality join on the residue."""
-    r = routes(spark, sf_dir).withColumn("step", F.col("m") * F.when(F.col("route_id") % 200 == 0, 10).otherwise(1))
+    """Route × station pairs whose key sum is a multiple of the route's step: an equality join on the residue."""
+    step = F.element_at(F.array(*map(F.lit, STEPS)), (F.col("route_id") % len(STEPS) + 1).cast("int"))
+    r = routes(spark, sf_dir).withColumn("step", step)
     r = r.withColumn("residue", (F.col("step") - F.col("route_id") % F.col("step")) % F.col("step"))
-    steps = r.select("step").distinct()  # at most two values, m and 10 m
-    s = stations(spark, sf_dir).crossJoin(F.broadcast(steps)).withColumn("residue", F.col("opis_id") % F.col("step"))
+    s = stations(spark, sf_dir).withColumn("step", F.explode(F.array(*[F.lit(x) for x in sorted(set(STEPS))]))).withColumn("residue", F.col("opis_id") % F.col("step"))
     pos = (F.col("opis_id").cast("long") * 15485863 + F.col("route_id") * 32452843) % 2_800_000
     return (
         r.join(s, ["step", "residue"])
         .withColumn("pos_milli_mi", pos)
         .where("pos_milli_mi <= total_milli_mi")
-        .select("route_id", "alternative_index", "total_milli_mi", "tank_milli_mi", "opis_id", "name", "state", "price_milli", "price_source", "pos_milli_mi")
+        .select("route_id", "alternative_index", "total_milli_mi", "tank_milli_mi", "on_board_milli_mi", "opis_id", "name", "state", "price_milli", "price_source", "pos_milli_mi")
     )
 
 

@@ -17,9 +17,11 @@ RELEASE = r"/release=(\d{4}-\d{2}-\d{2}\.\d+)/"
 
 
 def fresh_path(spark: SparkSession, label: str) -> str:
-    """A new path in the shared folder; a folder of this machine stands in only where the setting is absent."""
+    """A new path in the shared folder; a folder of this machine stands in only in local mode without the setting."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         app = spark.sparkContext.applicationId
         if app not in _FALLBACK:
             _FALLBACK[app] = "file://" + tempfile.mkdtemp(prefix="spark-files-", dir="/tmp")
@@ -27,6 +29,13 @@ def fresh_path(spark: SparkSession, label: str) -> str:
     return f"{named.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
+def written(df: DataFrame, label: str) -> DataFrame:
+    """``df`` as written to the shared folder and read back: its lineage ends there."""
+    path = fresh_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def export_csv(df: DataFrame, order: str, label: str) -> str:
     """Write ``df`` as CSV with a header, null as nothing, ordered by ``order`` across and within the part files."""
     path = fresh_path(df.sparkSession, label)
