@@ -15,7 +15,7 @@ v_station AS (
 ), v_price_obs AS (
   SELECT l_partkey::INT AS opis_id, l_orderkey * 10 + l_linenumber AS obs_ord,
          'STOP ' || repeat('X', ((l_orderkey + l_linenumber) % 4)::INT) || l_partkey AS name,
-         2687 + (l_orderkey * 31 + l_linenumber::BIGINT * 977 + l_partkey * 613) % 3713 AS price_milli
+         2687 + (l_orderkey * 31 + l_linenumber::BIGINT * 977 + l_partkey * 613) % 3713 AS price_milli, 'R' || (l_orderkey + l_partkey) % 41 AS rack_id
   FROM lineitem
 ), v_route AS (
   SELECT o_orderkey AS route_id, (o_orderkey % 3)::INT AS alternative_index, 900000 + o_orderkey * 37717 % 1900000 AS total_milli_mi,

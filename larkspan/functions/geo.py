@@ -33,3 +33,10 @@ def along_segment(px: Column, py: Column, ax: Column, ay: Column, bx: Column, by
     norm = dx * dx + dy * dy
     raw = ((px - ax) * dx + (py - ay) * dy) / F.when(norm > 0, norm)
     return F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(1.0), raw)), F.lit(0.0))
+
+
+def sine_line(i: Column, n: int, lng0: Column, lat0: Column, lng1: Column, lat1: Column) -> tuple[Column, Column]:
+    """(lng_u, lat_u) of step ``i`` of ``n`` on a straight line with two sines across, from degrees to whole micro-degrees."""
+    t = i / F.lit(float(n))
+    lat = lat0 + (lat1 - lat0) * i / n + F.lit(0.3) * F.sin(t * 30) + F.lit(0.05) * F.sin(t * 137)
+    return half_up((lng0 + (lng1 - lng0) * i / n) * 1_000_000, 0).cast("long").alias("lng_u"), half_up(lat * 1_000_000, 0).cast("long").alias("lat_u")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 #: Place-name tokens and what they stand for; legal designators at the end of a place name.
 PLACE_ALIAS = {"ST": "SAINT", "MT": "MOUNT", "FT": "FORT", "N": "NORTH", "S": "SOUTH", "E": "EAST", "W": "WEST"}
-LEGAL = "CITY|TOWN|VILLAGE|BOROUGH|CDP|MUNICIPALITY|GOVERNMENT|COUNTY|CORPORATION|BALANCE"
+LEGAL = ("CITY", "TOWN", "VILLAGE", "BOROUGH", "CDP", "MUNICIPALITY", "GOVERNMENT", "COUNTY", "CORPORATION", "BALANCE")
 #: Chain names by phrase.
 CHAINS = {
     "pilot": "PILOT", "pilot travel center": "PILOT", "flying j": "FLYING J", "flying j travel center": "FLYING J", "loves": "LOVES",
@@ -25,7 +25,8 @@ def place_key(name: Column) -> Column:
     words = F.regexp_replace(F.upper(F.coalesce(name, F.lit(""))), "[^\\p{L}\\p{N}_\\s]", " ")
     table = F.create_map(*[F.lit(x) for pair in PLACE_ALIAS.items() for x in pair])
     swapped = F.array_join(F.transform(F.split(F.trim(F.regexp_replace(words, "\\s+", " ")), " "), lambda t: F.coalesce(table[t], t)), " ")
-    return F.regexp_replace(swapped, f"(^| )({LEGAL})( ({LEGAL}))*$", "")
+    legal = "|".join(LEGAL)
+    return F.regexp_replace(swapped, f"(^| )({legal})( ({legal}))*$", "")
 
 
 def padded_tokens(name: Column) -> Column:
@@ -65,10 +66,29 @@ def _any(tests) -> Column:
 
 
 def duration(seconds: Column) -> Column:
-    """``2h 05m`` or ``45m``."""
+    """``2h 5m`` or ``45m``."""
     minutes = F.floor((seconds + 30) / 60).cast("long")
     hours = F.floor(minutes / 60).cast("long")
-    return F.when(hours > 0, F.format_string("%dh %02dm", hours, minutes % 60)).otherwise(F.format_string("%dm", minutes))
+    return F.when(hours > 0, F.format_string("%dh %dm", hours, minutes % 60)).otherwise(F.format_string("%dm", minutes))
+
+
+def grouped(value: Column, places: int) -> Column:
+    """A decimal with thousands separators."""
+    return F.format_number(value, places)
+
+
+def station_note(total: Column, recorded: Column, estimates: Column) -> Column:
+    """What a data set consists of; the parts are told only where they add up, and nothing of nothing."""
+    stations = F.concat(F.format_number(total, 0), F.when(total == 1, " station").otherwise(" stations"))
+    parts = F.concat(stations, F.lit(" — "), F.format_number(recorded, 0), F.lit(" recorded, "), F.format_number(estimates, 0), F.when(estimates == 1, " regional estimate.").otherwise(" regional estimates."))
+    whole = F.concat(stations, F.lit(" — all with recorded prices."))
+    return F.when(total == 0, "").when(recorded == total, whole).when(recorded + estimates == total, parts).otherwise(F.concat(stations, F.lit(".")))
+
+
+def freshness_note(state: Column, week: Column) -> Column:
+    """What week prices are indexed to; null for a frozen table or an unknown week."""
+    note = F.concat(F.lit("Station prices indexed to the EIA week of "), F.date_format(week, "MMM d, yyyy"))
+    return F.when(week.isNotNull() & (state == "stale"), F.concat(note, F.lit(" (latest available)."))).when(week.isNotNull() & (state == "current"), F.concat(note, F.lit(".")))
 
 
 def csv_field(s: Column) -> Column:

@@ -13,21 +13,15 @@ ID_BASE = 1_000_000_000
 TIER1_MI = 0.25
 
 
-def scan_prices(lines: DataFrame) -> DataFrame:
-    """Parse ``id,name,price`` lines; ``ok`` is false where the id or the price does not parse."""
-    parts = F.split("line", ",")
-    rows = lines.select(F.get(parts, 0).try_cast("int").alias("opis_id"), F.get(parts, 1).alias("name"), F.get(parts, 2).try_cast("decimal(11,8)").alias("retail_price"))
-    return rows.withColumn("ok", F.col("opis_id").isNotNull() & F.col("retail_price").isNotNull())
-
-
-def collapse(observations: DataFrame) -> DataFrame:
-    """One row per station: lower median, least and greatest price, count, and the longest name (first on ties)."""
+def collapse(observations: DataFrame, *first: str) -> DataFrame:
+    """One row per station: lower median, least and greatest price, count, the longest name (first on ties), and the first values of further columns."""
     return observations.groupBy("opis_id").agg(
         F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY price_milli)").cast("long").alias("median_low_milli"),
         F.min("price_milli").alias("min_milli"),
         F.max("price_milli").alias("max_milli"),
         F.count(F.lit(1)).alias("observation_count"),
         F.max_by("name", F.struct(F.char_length("name"), -F.col("obs_ord"))).alias("name"),
+        *[F.min_by(c, F.struct("obs_ord", c)).alias(c) for c in first],
     )
 
 
@@ -66,14 +60,22 @@ def nearest_rooftop(incoming: DataFrame, existing: DataFrame) -> DataFrame:
 
 
 def entity_match(incoming: DataFrame, existing: DataFrame) -> DataFrame:
-    """(in_id, tier, match_id, decision): tier 1 a rooftop within 0.25 miles, tier 2 the chain's first city-precision row."""
-    close = nearest_rooftop(incoming, existing).where(F.col("dist_mi") <= TIER1_MI).select("in_id", F.col("match_id").alias("m1"))
+    """(in_id, tier, match_id, dist_mi, decision, reason): tier 1 a rooftop within 0.25 miles, tier 2 the chain's first city-precision row; ``dist_mi`` is the nearest rooftop's, whatever the decision."""
+    close = nearest_rooftop(incoming, existing).select("in_id", F.col("match_id").alias("near_id"), "dist_mi")
     city = existing.where("geocode_precision = 'city'").withColumn("chain", text.chain_of(F.col("name"))).where("chain IS NOT NULL")
     city = city.groupBy("chain", F.lower("city").alias("city"), F.upper("state").alias("state")).agg(F.min("opis_id").alias("m2"))
     mine = incoming.withColumn("chain", text.chain_of(F.col("name"))).withColumn("city", F.lower("city")).withColumn("state", F.upper("state"))
     out = mine.join(close, "in_id", "left").join(city, ["chain", "city", "state"], "left")
-    tier = F.when(F.col("m1").isNotNull(), 1).when(F.col("m2").isNotNull(), 2)
-    return out.select("in_id", tier.alias("tier"), F.coalesce("m1", "m2").alias("match_id"), F.when(tier.isNull(), "keep").otherwise("drop").alias("decision"))
+    tier = F.when(F.col("dist_mi") <= TIER1_MI, 1).when(F.col("m2").isNotNull(), 2)
+    reason = F.when(tier == 1, "rooftop_within_threshold").when(tier == 2, "same_chain_city_state").when(F.col("chain").isNull(), "no_chain").otherwise("no_match")
+    return out.select("in_id", tier.alias("tier"), F.when(tier == 1, F.col("near_id")).otherwise(F.col("m2")).alias("match_id"), "dist_mi", F.when(tier.isNull(), "keep").otherwise("drop").alias("decision"), reason.alias("reason"))
+
+
+def spot_clusters(places: DataFrame, size: int, most: int, low: float, high: float) -> DataFrame:
+    """(cy, cx, places, why): the ``most`` densest grid cells, and every other cell with a place whose ``dist_mi`` lies between ``low`` and ``high``."""
+    cells = places.groupBy(geo.cell(F.col("lat_u"), size).alias("cy"), geo.cell(F.col("lng_u"), size).alias("cx")).agg(F.count(F.lit(1)).alias("places"), F.max(F.coalesce(F.col("dist_mi").between(low, high), F.lit(False))).alias("edge"))
+    dense = cells.orderBy(F.col("places").desc(), "cy", "cx").limit(most).select("cy", "cx", F.lit("dense").alias("why"))  # a top-k report
+    return cells.join(F.broadcast(dense), ["cy", "cx"], "left").where("why IS NOT NULL OR edge").select("cy", "cx", "places", F.coalesce("why", F.lit("boundary")).alias("why"))
 
 
 def minted(key: Column) -> Column:

@@ -19,10 +19,6 @@ def world_diff(a: DataFrame, b: DataFrame, key: list[str], fields: list[str], ce
     return out.where("kind IS NOT NULL").select(*key, "kind", "fields")
 
 
-def money(milli: Column) -> Column:
-    return F.round(milli.cast("decimal(20,0)") / F.lit(1000).cast("decimal(5,0)"), 2).cast("decimal(18,2)")
-
-
 def quantile_edges(df: DataFrame, value: str, bins: int) -> DataFrame:
     """Inner bin edges: the sorted value at floor(n × i / bins)."""
     listed = df.where(F.col(value).isNotNull()).groupBy("route_id").agg(F.sort_array(F.collect_list(value)).alias("v"))
@@ -63,7 +59,42 @@ def filled_linear(df: DataFrame, key: str, order: list[str], value: str) -> Data
 
 
 def content_digest(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Twelve hex digits that name a table's rows, in whatever order: row digests are summed, so no row set meets in one task."""
-    row = F.sha2(F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns]), 256)
+    """Twelve hex digits that name a table's rows, in whatever order: row digests are summed, so no row set meets in one task.  Fields go with their lengths, and null is none."""
+    text = lambda c: F.col(c).cast("string")
+    row = F.sha2(F.concat(*[F.coalesce(F.concat(F.char_length(text(c)).cast("string"), F.lit(":"), text(c)), F.lit("-")) for c in columns]), 256)
     parts = [F.sum(F.conv(F.substring(row, 1 + 12 * i, 12), 16, 10).cast("decimal(20,0)")) for i in range(2)]
     return df.agg(F.count(F.lit(1)).alias("n_rows"), F.substring(F.sha2(F.concat_ws("|", *[p.cast("decimal(38,0)").cast("string") for p in parts]), 256), 1, 12).alias("digest"))
+
+
+def discordant_pairs(df: DataFrame, group: str, a: str, b: str) -> DataFrame:
+    """(group, discordant): pairs that ``a`` and ``b`` order oppositely, ties in either left out.
+
+    Of two different ranks in ``a`` the highest bit in which they differ is unique, so each pair is met once: among rows
+    that share the bits above one, those with the bit that stand before one without it.  Every row appears once a bit,
+    and no pairs are formed.
+    """
+    ranked = df.select(group, b, F.dense_rank().over(Window.partitionBy(group).orderBy(a)).alias("r"))
+    bits = F.greatest(F.floor(F.log2(F.max("r").over(Window.partitionBy(group)))).cast("int"), F.lit(0))
+    rows = ranked.withColumn("bits", bits).withColumn("bit", F.explode(F.sequence(F.lit(0), F.col("bits"))))
+    rows = rows.select(group, b, "bit", F.expr("shiftright(r, bit + 1)").alias("above"), F.expr("shiftright(r, bit) & 1").alias("one"))
+    before = Window.partitionBy(group, "bit", "above").orderBy(b).rangeBetween(Window.unboundedPreceding, -1)
+    counted = rows.withColumn("n", F.when(F.col("one") == 0, F.coalesce(F.sum("one").over(before), F.lit(0))).otherwise(0))
+    return counted.groupBy(group).agg(F.sum("n").alias("discordant")).where("discordant > 0")
+
+
+def ladder_walk(rungs: DataFrame, rung: str, good: Column) -> DataFrame:
+    """Add ``adopted``: whether this rung and all before it pass; a rung never counts after one that fails."""
+    return rungs.withColumn("adopted", F.every(F.coalesce(good, F.lit(False))).over(Window.partitionBy(F.lit(1)).orderBy(rung)))
+
+
+def band(estimate: Column, budget: int, ceiling: int) -> Column:
+    """How a cell is dispatched between a budget and a hard ceiling."""
+    if ceiling < budget:
+        raise ValueError("the ceiling lies below the budget")
+    return F.when(estimate <= budget, "exact_direct").when(estimate <= ceiling, "exact_attempt").otherwise("heuristic")
+
+
+def deadline_seconds(upstream: Column, bar: float = 15.0, overshoot: float = 0.5, allowance: float = 0.5, fanout: int = 3) -> Column:
+    """What a response bar leaves for each of ``fanout`` searches, down to a tenth of a second; null where nothing is left."""
+    left = F.floor((F.lit(bar - overshoot - allowance).cast("decimal(10,3)") - upstream) * 10 / F.lit(fanout))
+    return F.when(left > 0, (left / F.lit(10)).cast("decimal(6,1)"))

@@ -67,8 +67,9 @@ def tank_levels(rows: DataFrame, key: str, order: list[str], used: str, bought:
 def throttled(events: DataFrame, burst: int = 20, burst_seconds: int = 60, sustained: int = 200, sustained_seconds: int = 86_400) -> DataFrame:
     """Every event with ``admitted``: fewer than ``burst`` admitted ones of its user in the seconds before, likewise ``sustained``.
 
-    Refused calls do not count, so a user's events are read in order; a limit of 0 admits none.  A task holds one user's
-    last admitted times, at most as many as the limits, however many events the user has.
+    Refused calls do not count, so a user's events are read in order; a limit of 0 admits none.  A task holds the last
+    admitted times, at most as many as the limits.  Where no event falls for as long as the longest window both logs are
+    empty, so a user's events are dealt in pieces that such gaps part.
     """
     limits = ((burst, burst_seconds * 1_000_000), (sustained, sustained_seconds * 1_000_000))
 
@@ -76,8 +77,8 @@ def throttled(events: DataFrame, burst: int = 20, burst_seconds: int = 60, susta
         user, logs = object(), ()
         for pdf in batches:
             flags = []
-            for who, at in zip(pdf["user_id"].astype(object), pdf["at"].tolist()):
-                who = None if pd.isna(who) else who
+            for who, piece, at in zip(pdf["user_id"].astype(object), pdf["piece"].tolist(), pdf["at"].tolist()):
+                who = (None if pd.isna(who) else who, piece)
                 if who != user:
                     user, logs = who, tuple(deque() for _ in limits)
                 for log, (_, span) in zip(logs, limits):
@@ -91,4 +92,7 @@ def throttled(events: DataFrame, burst: int = 20, burst_seconds: int = 60, susta
             yield pdf[["event_id", "user_id"]].assign(admitted=flags)
 
     rows = events.where("ts IS NOT NULL").select("event_id", "user_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"))
-    return rows.repartition("user_id").sortWithinPartitions("user_id", "at", "event_id").mapInPandas(run, "event_id long, user_id long, admitted boolean")
+    line = Window.partitionBy("user_id").orderBy("at", "event_id")
+    gap = F.col("at") - F.lag("at").over(line) >= max(span for _, span in limits)
+    rows = rows.withColumn("gap", gap).withColumn("piece", F.count_if("gap").over(line)).drop("gap")
+    return rows.repartition("user_id", "piece").sortWithinPartitions("user_id", "piece", "at", "event_id").mapInPandas(run, "event_id long, user_id long, admitted boolean")

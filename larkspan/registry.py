@@ -34,17 +34,6 @@ def query(body: str | None = None, recursive: bool = False):
 # --- sources and cleaning
 
 
-@query("""x AS (SELECT CASE WHEN obs_ord % 50 = 7 THEN 'bad' ELSE opis_id::VARCHAR END AS a, CASE WHEN obs_ord % 70 = 3 THEN 'n/a' ELSE (price_milli / 1000.0)::VARCHAR END AS p FROM v_price_obs)
-SELECT count(*) FILTER (ok) AS parsed, count(*) FILTER (NOT ok) AS skipped, sum(CASE WHEN ok THEN try_cast(p AS DECIMAL(11,3)) END)::DECIMAL(18,3) AS total
-FROM (SELECT *, try_cast(a AS INT) IS NOT NULL AND try_cast(p AS DECIMAL(11,3)) IS NOT NULL AS ok FROM x)""")
-def src1_price_scan(spark, d):
-    obs = src.price_observations(spark, d)
-    ident = F.when(F.col("obs_ord") % 50 == 7, "bad").otherwise(F.col("opis_id").cast("string"))
-    price = F.when(F.col("obs_ord") % 70 == 3, "n/a").otherwise((F.col("price_milli") / 1000).cast("string"))
-    rows = cleaning.scan_prices(obs.select(F.concat_ws(",", ident, "name", price).alias("line")))
-    return rows.agg(F.count_if("ok").alias("parsed"), F.count_if(~F.col("ok")).alias("skipped"), F.sum(F.when(F.col("ok"), F.col("retail_price"))).cast("decimal(18,3)").alias("total"))
-
-
 @query("""SELECT geocode_precision, count(*) AS stations, min(opis_id) AS least_id FROM v_station WHERE geocode_status = 'ok' AND lat_u BETWEEN 24400000 AND 49400000 AND lng_u BETWEEN -125000000 AND -66900000 GROUP BY ALL""")
 def fil1_routable_in_bounds(spark, d):
     rows = src.stations(spark, d).where((F.col("geocode_status") == "ok") & F.col("lat_u").between(24_400_000, 49_400_000) & F.col("lng_u").between(-125_000_000, -66_900_000))
@@ -96,12 +85,12 @@ def join7_geocode_fallback(spark, d):
     return j.select("opis_id", F.when(roof, "rooftop").when(F.col("g_lat").isNotNull(), "city").otherwise("failed").alias("result"), F.when(roof, F.col("lat_u")).otherwise(F.col("g_lat")).alias("lat_u"))
 
 
-_COLLAPSED = """c AS (SELECT opis_id, quantile_disc(price_milli, 0.5)::BIGINT AS median_low_milli, min(price_milli) AS min_milli, max(price_milli) AS max_milli, count(*) AS observation_count, arg_max(name, {'l': length(name), 'o': -obs_ord}) AS name FROM v_price_obs GROUP BY opis_id)"""
+_COLLAPSED = """c AS (SELECT opis_id, quantile_disc(price_milli, 0.5)::BIGINT AS median_low_milli, min(price_milli) AS min_milli, max(price_milli) AS max_milli, count(*) AS observation_count, arg_max(name, {'l': length(name), 'o': -obs_ord}) AS name, arg_min(rack_id, {'o': obs_ord, 'r': rack_id}) AS rack_id FROM v_price_obs GROUP BY opis_id)"""
 
 
 @query(_COLLAPSED + " SELECT * FROM c")
 def agg1_duplicate_collapse(spark, d):
-    return cleaning.collapse(src.price_observations(spark, d))
+    return cleaning.collapse(src.price_observations(spark, d), "rack_id")
 
 
 @query(_COLLAPSED + """ SELECT count(*) AS groups, count(*) FILTER (observation_count > 1) AS duplicated, count(*) FILTER (observation_count > 1 AND max_milli = min_milli) AS equal_price, count(*) FILTER (observation_count > 1 AND max_milli > min_milli) AS conflicting,
@@ -135,7 +124,8 @@ def join4_nearest_rooftop(spark, d):
 
 
 @query(_INCOMING + """, c AS (SELECT lower(city) AS city, state, min(opis_id) AS m2 FROM v_station WHERE geocode_precision = 'city' AND opis_id % 2 = 0 GROUP BY ALL)
-SELECT i.in_id, CASE WHEN dist_mi <= 0.25 THEN 1 WHEN m2 IS NOT NULL THEN 2 END AS tier, CASE WHEN dist_mi <= 0.25 THEN match_id ELSE m2 END AS match_id, CASE WHEN dist_mi <= 0.25 OR m2 IS NOT NULL THEN 'drop' ELSE 'keep' END AS decision
+SELECT i.in_id, CASE WHEN dist_mi <= 0.25 THEN 1 WHEN m2 IS NOT NULL THEN 2 END AS tier, CASE WHEN dist_mi <= 0.25 THEN match_id ELSE m2 END AS match_id, dist_mi, CASE WHEN dist_mi <= 0.25 OR m2 IS NOT NULL THEN 'drop' ELSE 'keep' END AS decision,
+  CASE WHEN dist_mi <= 0.25 THEN 'rooftop_within_threshold' WHEN m2 IS NOT NULL THEN 'same_chain_city_state' WHEN i.in_id % 3 <> 0 THEN 'no_chain' ELSE 'no_match' END AS reason
 FROM i LEFT JOIN n USING (in_id) LEFT JOIN c ON i.in_id % 3 = 0 AND lower(i.city) = c.city AND i.state = c.state""")
 def join5_entity_match(spark, d):
     return cleaning.entity_match(_incoming(spark, d), _existing(spark, d))
@@ -171,10 +161,14 @@ def snk4_upsert_plan(spark, d):
     return cleaning.upsert_plan(s, files, "price_milli").groupBy("change").agg(F.count(F.lit(1)).alias("n"), F.sum("price_milli").alias("total_milli"))
 
 
-@query("""SELECT state, count(*) AS stations, count(*) FILTER (geocode_status = 'ok') AS routable, round(count(*) FILTER (geocode_status = 'ok') / count(*)::DOUBLE, 6) AS coverage FROM v_station GROUP BY state""")
+@query("""x AS (SELECT state, CASE WHEN opis_id % 13 = 0 THEN 'out_of_scope' ELSE geocode_status END AS status FROM v_station)
+SELECT state, count(*) AS stations, count(*) FILTER (status <> 'out_of_scope') AS in_scope, count(*) FILTER (status = 'ok') AS routable, coalesce(round(count(*) FILTER (status = 'ok') / nullif(count(*) FILTER (status <> 'out_of_scope'), 0)::DOUBLE, 6), 0) AS coverage FROM x GROUP BY state""")
 def agg8_coverage(spark, d):
-    good = F.count_if(F.col("geocode_status") == "ok")
-    return src.stations(spark, d).groupBy("state").agg(F.count(F.lit(1)).alias("stations"), good.alias("routable"), F.round(good / F.count(F.lit(1)), 6).alias("coverage"))
+    """Routable stations as a share of those in scope; 0 where none is."""
+    status = F.when(F.col("opis_id") % 13 == 0, "out_of_scope").otherwise(F.col("geocode_status"))
+    good, scope = F.count_if(F.col("status") == "ok"), F.count_if(F.col("status") != "out_of_scope")
+    rows = src.stations(spark, d).withColumn("status", status)
+    return rows.groupBy("state").agg(F.count(F.lit(1)).alias("stations"), scope.alias("in_scope"), good.alias("routable"), F.coalesce(F.round(good / F.nullif(scope, F.lit(0)), 6), F.lit(0.0)).alias("coverage"))
 
 
 @query("""SELECT count(*) FILTER (price_source NOT IN ('opis_indexed', 'eia_regional_estimate')) AS unknown_source, count(*) FILTER (opis_id BETWEEN 1000000000 AND 1999999999) AS in_reserved_span, max(opis_id) AS max_id, count(*) FILTER (price_source = 'eia_regional_estimate' AND s.price_milli <> r.baseline_milli) AS estimate_off_baseline FROM v_station s LEFT JOIN v_state r USING (state)""")
@@ -341,15 +335,6 @@ def agg18_elevation(spark, d):
     return e.groupBy("route_id").agg(F.min("l_quantity").alias("low"), F.max("l_quantity").alias("high"), up.alias("ascent"), down.alias("descent"), (up < 50).alias("flat"))
 
 
-@query("""x AS (SELECT route_id, price_milli AS a, pos_milli_mi AS b, opis_id FROM v_candidate) SELECT p.route_id, count(*) AS discordant FROM x p JOIN x q ON p.route_id = q.route_id AND p.opis_id < q.opis_id AND sign(p.a - q.a) * sign(p.b - q.b) < 0 GROUP BY p.route_id""")
-def agg22_discordant_pairs(spark, d):
-    c = src.candidates(spark, d)
-    p = c.select("route_id", F.col("opis_id").alias("i"), F.col("price_milli").alias("a"), F.col("pos_milli_mi").alias("b"))
-    q = c.select("route_id", F.col("opis_id").alias("j"), F.col("price_milli").alias("a2"), F.col("pos_milli_mi").alias("b2"))
-    pairs = p.join(q, "route_id").where("i < j AND sign(a - a2) * sign(b - b2) < 0")
-    return pairs.groupBy("route_id").agg(F.count(F.lit(1)).alias("discordant"))
-
-
 @query("""a AS (SELECT route_id, tank_milli_mi, total_milli_mi AS cost, route_id % 13 = 0 AS cens FROM v_route WHERE route_id % 3 <> 0), b AS (SELECT route_id, tank_milli_mi, total_milli_mi + CASE WHEN route_id % 4 = 0 THEN 1 ELSE 0 END AS cost, route_id % 26 = 0 AS cens FROM v_route WHERE route_id % 7 <> 0)
 SELECT route_id, kind, CASE WHEN kind = 'changed' THEN 'cost' END AS fields FROM (SELECT coalesce(a.route_id, b.route_id) AS route_id, CASE WHEN a.route_id IS NULL THEN 'appeared' WHEN b.route_id IS NULL THEN 'vanished' WHEN a.cens AND b.cens THEN NULL WHEN a.cens <> b.cens THEN 'censor_flip' WHEN a.cost <> b.cost THEN 'changed' END AS kind FROM a FULL JOIN b ON a.route_id = b.route_id) WHERE kind IS NOT NULL""")
 def join9_world_diff(spark, d):
@@ -379,13 +364,6 @@ def top7_recent_distinct(spark, d):
     return per.withColumn("r", F.row_number().over(order)).where("r <= 5").select("user_id", "event_id")
 
 
-@query("""SELECT route_id, CASE WHEN s >= 3600 THEN (s + 30) // 60 // 60 || 'h ' || lpad(((s + 30) // 60 % 60)::VARCHAR, 2, '0') || 'm' WHEN (s + 30) // 60 >= 60 THEN '1h 00m' ELSE (s + 30) // 60 || 'm' END AS duration, strftime(DATE '2024-01-05' + (route_id % 300)::INT, '%b %-d, %Y') AS shown FROM (SELECT route_id, total_milli_mi // 17 AS s FROM v_route)""")
-def str15_display_formats(spark, d):
-    day = F.date_add(F.lit("2024-01-05").cast("date"), (F.col("route_id") % 300).cast("int"))
-    seconds = F.floor(F.col("total_milli_mi") / 17).cast("long")
-    return src.routes(spark, d).select("route_id", text.duration(seconds).alias("duration"), F.date_format(day, "MMM d, yyyy").alias("shown"))
-
-
 @query("""SELECT route_id, '[' || string_agg('{"opis_id":' || opis_id || ',"price":' || price_milli || '}', ',' ORDER BY pos_milli_mi, price_milli, opis_id) || ']' AS payload FROM v_candidate GROUP BY route_id""")
 def jsn3_candidate_payload(spark, d):
     sortable = F.struct("pos_milli_mi", "price_milli", "opis_id", F.struct("opis_id", F.col("price_milli").alias("price")).alias("j"))
@@ -399,11 +377,6 @@ def jsn3_candidate_payload(spark, d):
 # --- time-keyed counters
 
 
-@query("""SELECT strftime(ts, '%Y-%m-%d') AS day, count(*) AS calls, count(*) FILTER (n <= 3) AS admitted FROM (SELECT ts, row_number() OVER (PARTITION BY user_id, ts::DATE ORDER BY ts, event_id) AS n FROM events) GROUP BY ALL""")
-def stm1_capped_calls(spark, d):
-    return counters.capped_calls(src.read(spark, d, "events"), 3)
-
-
 @query("""SELECT event_id, user_id FROM (SELECT *, lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS nx FROM events) WHERE nx IS NULL OR epoch_us(nx) - epoch_us(ts) > 3600000000""")
 def stm6_debounced(spark, d):
     return counters.debounced(src.read(spark, d, "events"), 3600).select("event_id", "user_id")
@@ -463,13 +436,6 @@ def win2_leg_starts(spark, d):
     return src.read(spark, d, "lineitem").select(F.col("l_orderkey").alias("route_id"), F.col("l_linenumber").alias("seg"), (F.sum("l_quantity").over(w) - F.col("l_quantity")).alias("starts"))
 
 
-@query("SELECT route_id, opis_id, chr((64 + n)::INT) AS letter, round(pos_milli_mi / 1000.0::DOUBLE, 0) AS at_mi FROM (SELECT *, row_number() OVER (PARTITION BY route_id ORDER BY pos_milli_mi, price_milli, opis_id) AS n FROM v_candidate) WHERE n <= 8")
-def win6_waypoint_markers(spark, d):
-    n = F.row_number().over(Window.partitionBy("route_id").orderBy("pos_milli_mi", "price_milli", "opis_id"))
-    marked = src.candidates(spark, d).withColumn("n", n).where("n <= 8")  # a trip takes eight waypoints
-    return marked.select("route_id", "opis_id", F.char((64 + F.col("n")).cast("long")).alias("letter"), F.round(F.col("pos_milli_mi") / 1000, 0).alias("at_mi"))
-
-
 @query("""x AS (SELECT l_orderkey AS route_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_quantity, l_extendedprice) AS i, CASE WHEN l_partkey % 3 <> 0 THEN l_quantity END AS v FROM lineitem),
 y AS (SELECT *, (SELECT max(i) FROM x a WHERE a.route_id = x.route_id AND a.i <= x.i AND a.v IS NOT NULL) AS p, (SELECT min(i) FROM x a WHERE a.route_id = x.route_id AND a.i >= x.i AND a.v IS NOT NULL) AS q FROM x)
 SELECT y.route_id, y.i, round(coalesce(a.v + (y.i - p) * (b.v - a.v)::DOUBLE / nullif(q - p, 0), a.v, b.v), 6) AS filled FROM y LEFT JOIN x a ON a.route_id = y.route_id AND a.i = p LEFT JOIN x b ON b.route_id = y.route_id AND b.i = q""")
@@ -509,16 +475,6 @@ def agg23_induced_threshold(spark, d):
     return measure.induced_threshold(cells, "tank_milli_mi", "nodes", "cens")
 
 
-@query(_EFFORT + f", {_RUNGS}, s AS (SELECT rung, coalesce((SELECT max(nodes) FROM ef WHERE estimate <= rung), 0) AS largest FROM ld) SELECT rung, largest, bool_and(largest <= 14) OVER (ORDER BY rung) AS adopted FROM s")
-def agg30_adopted_rung(spark, d):
-    return measure.adopted_rung(_effort(spark, d), LADDER, 14)
-
-
-@query("""h AS (SELECT sha256(concat_ws('|', opis_id, name, state, price_milli, coalesce(geocode_precision, ''))) AS x FROM v_station) SELECT count(*) AS n_rows, substr(sha256(sum(('0x' || substr(x, 1, 12))::BIGINT)::VARCHAR || '|' || sum(('0x' || substr(x, 13, 12))::BIGINT)::VARCHAR), 1, 12) AS digest FROM h""")
-def agg26_content_digest(spark, d):
-    return measure.content_digest(src.stations(spark, d), ["opis_id", "name", "state", "price_milli", "geocode_precision"])
-
-
 @query(_EFFORT + " SELECT route_id, nodes, total_milli_mi * 1000000 // tank_milli_mi AS tanks_micro, estimate * total_milli_mi // tank_milli_mi AS scaled FROM ef JOIN v_route USING (route_id)")
 def pln18_effort_predictors(spark, d):
     cells = _effort(spark, d).join(src.routes(spark, d), "route_id")
@@ -547,14 +503,6 @@ def top5_unmatched_sample(spark, d):
     return src.stations(spark, d).where("geocode_status = 'failed'").groupBy("city", "state").agg(F.min("opis_id").alias("first_id")).orderBy("first_id").limit(20)
 
 
-@query("SELECT floor(lat_u / 500000.0::DOUBLE)::BIGINT AS cy, floor(lng_u / 500000.0::DOUBLE)::BIGINT AS cx, count(*) AS stations FROM v_station GROUP BY ALL ORDER BY stations DESC, cy, cx LIMIT 8")
-def top3_densest_cells(spark, d):
-    from .functions import geo
-
-    cells = src.stations(spark, d).groupBy(geo.cell(F.col("lat_u"), 500_000).alias("cy"), geo.cell(F.col("lng_u"), 500_000).alias("cx"))
-    return cells.agg(F.count(F.lit(1)).alias("stations")).orderBy(F.col("stations").desc(), "cy", "cx").limit(8)
-
-
 @query("SELECT opis_id FROM v_station WHERE (lat_u + 2000 >= 32000000 AND lat_u - 2000 <= 36000000 AND lng_u + 2000 >= -110000000 AND lng_u - 2000 <= -100000000) OR (lat_u + 2000 >= 40000000 AND lat_u - 2000 <= 43000000 AND lng_u + 2000 >= -90000000 AND lng_u - 2000 <= -80000000)")
 def fil5_box_overlap(spark, d):
     box = F.struct((F.col("lng_u") - 2000).alias("xmin"), (F.col("lng_u") + 2000).alias("xmax"), (F.col("lat_u") - 2000).alias("ymin"), (F.col("lat_u") + 2000).alias("ymax"))
@@ -603,16 +551,4 @@ def snk7_stop_lines(spark, d):
     return src.candidates(spark, d).select("route_id", "opis_id", F.concat_ws(",", text.csv_field(n), "pos_milli_mi", "price_milli").alias("line"))
 
 
-@query("""SELECT route_id, '{"type":"LineString","coordinates":[' || string_agg('[' || (lng_u * 0.000001::DECIMAL(7,6))::DECIMAL(10,6) || ',' || (lat_u * 0.000001::DECIMAL(7,6))::DECIMAL(10,6) || ']', ',' ORDER BY seq) || ']}' AS geometry FROM v_point GROUP BY route_id""")
-def snk8_route_geojson(spark, d):
-    degrees = lambda c: (F.col(c).cast("decimal(12,0)") * F.lit(0.000001).cast("decimal(7,6)")).cast("decimal(10,6)")
-    listed = src.route_points(spark, d).groupBy("route_id").agg(F.sort_array(F.collect_list(F.struct("seq", F.array(degrees("lng_u"), degrees("lat_u")).alias("p")))).alias("v"))
-    return listed.select("route_id", F.to_json(F.struct(F.lit("LineString").alias("type"), F.col("v.p").alias("coordinates"))).alias("geometry"))
-
-
-@query("""w AS (SELECT event_id, user_id, event_type, ts, max(CASE WHEN event_type = 'purchase' THEN ts END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS ok FROM events) SELECT event_id, CASE WHEN ok IS NULL THEN 'missing' WHEN epoch_us(ts) - epoch_us(ok) <= 86400000000 THEN 'current' WHEN epoch_us(ts) - epoch_us(ok) <= 604800000000 THEN 'stale' ELSE 'frozen' END AS state FROM w WHERE event_type = 'view'""")
-def stm3_table_state(spark, d):
-    return counters.as_of_state(src.read(spark, d, "events"), "purchase", "view", 86_400, 604_800).select("event_id", "state")
-
-
-from . import registry_more, registry_plans  # noqa: E402, F401  they register their queries, which use the tables above
+from . import registry_more, registry_plans, registry_reports  # noqa: E402, F401  they register their queries, which use the tables above

@@ -33,15 +33,6 @@ def src2_derived_csv(spark, d):
     return rows.select(F.col("opis_id").try_cast("int").alias("opis_id"), "name", "geocode_precision", F.col("price").try_cast("decimal(11,3)").alias("price"))
 
 
-@query("""SELECT CASE WHEN opis_id % 17 <> 5 AND opis_id % 23 <> 3 THEN state END AS state, count(*) AS n, count(*) FILTER (opis_id % 17 = 5 OR opis_id % 23 = 3) AS malformed FROM v_station GROUP BY 1""")
-def src3_extract_rows(spark, d):
-    k = F.col("opis_id")
-    lat = F.when(k % 17 == 5, "north").otherwise((F.col("lat_u") / 1_000_000).cast("string"))
-    ident = F.when(k % 23 == 3, "").otherwise(k.cast("string"))
-    lines = src.stations(spark, d).select(F.concat_ws("|", ident, F.concat(F.lit(" "), F.lower("state")), lat, (F.col("lng_u") / 1_000_000).cast("string")).alias("line"))
-    return files.extract_rows(lines).groupBy(F.when(F.col("ok"), F.col("state")).alias("state")).agg(F.count(F.lit(1)).alias("n"), F.count_if(~F.col("ok")).alias("malformed"))
-
-
 def _extract(spark, d):
     k = F.col("opis_id")
     release = F.when(k % 2 == 0, "2025-01-15.0").otherwise("2025-02-19.0")
@@ -78,21 +69,6 @@ def src6_release_listing(spark, d):
     return found.select("release", (F.col("release") == newest).alias("is_newest"), (F.col("release") > "2025-01-15.0").alias("after_pinned"))
 
 
-@query("SELECT opis_id, CASE WHEN opis_id % 9 <> 0 THEN lat_u END AS lat_u, CASE WHEN opis_id % 9 <> 0 THEN lng_u END AS lng_u FROM v_station")
-def src8_geocode_json(spark, d):
-    feature = F.array(F.struct(F.array("lng_u", "lat_u").alias("center")), F.struct(F.array(F.lit(0).cast("long"), F.lit(0).cast("long")).alias("center")))
-    body = F.when(F.col("opis_id") % 9 == 0, F.lit('{"features":[]}')).otherwise(F.to_json(F.struct(feature.alias("features"))))
-    return src.stations(spark, d).select("opis_id", files.first_feature(body).alias("p")).select("opis_id", "p.lat_u", "p.lng_u")
-
-
-@query("SELECT opis_id, opis_id % 5 > 1 AS matched, CASE WHEN opis_id % 5 > 1 THEN lat_u END AS lat_u, CASE WHEN opis_id % 5 > 1 THEN lng_u END AS lng_u FROM v_station WHERE opis_id % 5 <> 0")
-def src10_batch_geocodes(spark, d):
-    k = F.col("opis_id")
-    full = F.concat_ws(",", k, "city", F.lit("Match"), F.lit("Exact"), "city", F.concat_ws(";", "lng_u", "lat_u"), F.lit("7"), F.lit("L"))
-    line = F.when(k % 5 == 0, F.concat_ws(",", k, "city")).when(k % 5 == 1, F.concat_ws(",", k, "city", F.lit("No_Match"))).otherwise(full)
-    return files.batch_answers(src.stations(spark, d).select(line.alias("line")))
-
-
 _GAZETTEER = "g AS (SELECT upper(city) AS place, state, max_by(lat_u, opis_id) AS lat_u, max_by(lng_u, opis_id) AS lng_u FROM v_station WHERE opis_id % 7 <> 0 GROUP BY ALL)"
 
 
@@ -119,12 +95,6 @@ def join6_gazetteer(spark, d):
     return s.join(_gazetteer(spark, d), ["place", "state"], "left").select("opis_id", "lat_u", "lng_u")
 
 
-@query("SELECT opis_id, (lat_u / 1000000.0)::DECIMAL(12,8)::VARCHAR AS lat, (lng_u / 1000000.0)::DECIMAL(12,8)::VARCHAR AS lng, CASE WHEN opis_id % 2 = 0 THEN 'keep' ELSE 'drop' END AS decision FROM v_station")
-def snk2_decision_rows(spark, d):
-    degrees = lambda c: (F.col(c).cast("decimal(20,0)") / F.lit(1_000_000).cast("decimal(8,0)")).cast("decimal(12,8)").cast("string").alias(c[:3])
-    return src.stations(spark, d).select("opis_id", degrees("lat_u"), degrees("lng_u"), F.when(F.col("opis_id") % 2 == 0, "keep").otherwise("drop").alias("decision"))
-
-
 @query("""n AS (SELECT opis_id + CASE WHEN opis_id % 10 = 4 THEN 5000000 ELSE 0 END AS opis_id, CASE WHEN opis_id % 6 = 2 THEN 'Moved' ELSE city END AS city, CASE WHEN opis_id % 14 = 0 THEN 'HI' ELSE state END AS state FROM v_station WHERE opis_id % 2 = 0),
 j AS (SELECT coalesce(s.opis_id, n.opis_id) AS opis_id, CASE WHEN n.opis_id IS NULL THEN s.city ELSE n.city END AS city, CASE WHEN n.opis_id IS NULL THEN s.state ELSE n.state END AS state, lat_u, lng_u, geocode_status, n.opis_id IS NOT NULL AND (s.city IS DISTINCT FROM n.city OR s.state IS DISTINCT FROM n.state) AS moved FROM v_station s FULL JOIN n ON s.opis_id = n.opis_id)
 SELECT opis_id, city, state, CASE WHEN NOT moved THEN lat_u END AS lat_u, CASE WHEN NOT moved THEN lng_u END AS lng_u, CASE WHEN NOT moved THEN geocode_status WHEN state = 'HI' THEN 'out_of_scope' ELSE 'pending' END AS geocode_status FROM j""")
@@ -141,13 +111,6 @@ def snk6_purge_counts(spark, d):
     return rules.purge_counts(src.stations(spark, d), "eia_regional_estimate")
 
 
-@query("""SELECT route_id, opis_id, '{"type":"Point","price":' || price_milli || ',"coordinates":[' || lng_u || ',' || lat_u || ']}' AS feature FROM v_candidate JOIN (SELECT opis_id, lat_u, lng_u FROM v_station) USING (opis_id)""")
-def snk9_candidate_features(spark, d):
-    at = src.stations(spark, d).select("opis_id", F.array("lng_u", "lat_u").alias("coordinates"))
-    point = F.struct(F.lit("Point").alias("type"), F.col("price_milli").alias("price"), "coordinates")
-    return src.candidates(spark, d).join(at, "opis_id").select("route_id", "opis_id", F.to_json(point).alias("feature"))
-
-
 # --- filters and keys
 
 
@@ -316,12 +279,6 @@ def arr2_flattened_annotations(spark, d):
 # --- trips and throttles
 
 
-@query()
-def stm2_throttled(spark, d):
-    """Three calls an hour and eight a day: refused calls do not count, which no window frame can say; tests hold it against a loop."""
-    return rules.throttled(src.read(spark, d, "events"), 3, 3600, 8, 86_400)
-
-
 @query("SELECT user_id, event_type, min(event_id) AS computed_by, count(*) - 1 AS served_again FROM events GROUP BY ALL")
 def stm4_response_cache(spark, d):
     return counters.cached(src.read(spark, d, "events"), ["user_id", "event_type"]).select("user_id", "event_type", "computed_by", "served_again")

@@ -59,6 +59,7 @@ def price_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
         (o * 10 + n).alias("obs_ord"),
         F.concat(F.lit("STOP "), F.repeat(F.lit("X"), ((o + n) % 4).cast("int")), p.cast("string")).alias("name"),
         (2687 + (o * 31 + n * 977 + p * 613) % 3713).alias("price_milli"),
+        F.concat(F.lit("R"), ((o + p) % 41).cast("string")).alias("rack_id"),
     )
 
 

@@ -39,27 +39,39 @@ def written(df: DataFrame, label: str) -> DataFrame:
 def export_csv(df: DataFrame, order: str, label: str) -> str:
     """Write ``df`` as CSV with a header, null as nothing, ordered by ``order`` across and within the part files."""
     path = fresh_path(df.sparkSession, label)
-    df.repartitionByRange(order).sortWithinPartitions(order).write.csv(path, header=True, nullValue="", emptyValue="")
+    df.repartitionByRange(order).sortWithinPartitions(order).write.csv(path, header=True, nullValue="", emptyValue="", escape='"')
     return path
 
 
 def scan_csv(spark: SparkSession, path: str, required: list[str]) -> DataFrame:
     """The required columns as strings, blanks as null; a column that the header lacks stops the scan by its name."""
-    rows = spark.read.csv(path, header=True)
+    rows = spark.read.csv(path, header=True, escape='"')
     missing = [c for c in required if c not in rows.columns]
     if missing:
         raise ValueError(f"columns missing from {path}: {', '.join(missing)}")
     return rows.select(*[F.nullif(F.trim(c), F.lit("")).alias(c) for c in required])
 
 
-def extract_rows(lines: DataFrame) -> DataFrame:
-    """``id|state|lat|lng`` lines: state trimmed and upper-cased; ``ok`` is false where a number does not parse."""
-    parts = F.split("line", r"\|")
-    rows = lines.select(
-        F.get(parts, 0).try_cast("int").alias("opis_id"), F.upper(F.trim(F.get(parts, 1))).alias("state"),
-        F.get(parts, 2).try_cast("decimal(10,6)").alias("lat"), F.get(parts, 3).try_cast("decimal(10,6)").alias("lng"),
-    )
-    return rows.withColumn("ok", F.col("opis_id").isNotNull() & F.col("lat").isNotNull() & F.col("lng").isNotNull())
+#: The columns of a price list, and of a raw extract of places.
+PRICE_COLUMNS = ("OPIS Truckstop ID", "Truckstop Name", "Address", "City", "State", "Rack ID", "Retail Price")
+EXTRACT_COLUMNS = (
+    "gers_id", "name", "brand_name", "address_freeform", "address_locality", "address_region", "address_postcode", "category", "confidence", "operating_status", "longitude", "latitude",
+)
+
+
+def price_rows(spark: SparkSession, path: str) -> DataFrame:
+    """A price list's rows; ``ok`` is false where the id or the price does not parse.  Quoted fields may hold commas and quotes."""
+    rows = scan_csv(spark, path, list(PRICE_COLUMNS)).toDF("id", "name", "address", "city", "state", "rack_id", "price")
+    rows = rows.select(F.col("id").try_cast("int").alias("opis_id"), "name", "address", "city", "state", "rack_id", F.col("price").try_cast("decimal(11,8)").alias("retail_price"))
+    return rows.withColumn("ok", F.col("opis_id").isNotNull() & F.col("retail_price").isNotNull())
+
+
+def extract_rows(spark: SparkSession, path: str) -> DataFrame:
+    """A raw extract's rows, state trimmed and upper-cased; ``ok`` is false where a number does not parse or the id is blank.  A header that lacks a column stops the scan."""
+    rows = scan_csv(spark, path, list(EXTRACT_COLUMNS)).withColumn("address_region", F.upper("address_region"))
+    for c, kind in (("confidence", "double"), ("longitude", "decimal(11,8)"), ("latitude", "decimal(11,8)")):
+        rows = rows.withColumn(c, F.col(c).try_cast(kind))
+    return rows.withColumn("ok", F.col("gers_id").isNotNull() & F.col("confidence").isNotNull() & F.col("longitude").isNotNull() & F.col("latitude").isNotNull())
 
 
 def write_extract(places: DataFrame) -> str:
@@ -75,23 +87,63 @@ def wanted_places(spark: SparkSession, path: str, release: str, categories: list
 
 
 def releases(spark: SparkSession, path: str) -> DataFrame:
-    """(release,) folders below ``path``, each once."""
-    found = spark.read.parquet(path).select(F.regexp_extract(F.col("_metadata.file_path"), RELEASE, 1).alias("release"))
-    return found.where("release <> ''").distinct()
+    """(release,) folders below ``path``, each once, from the file listing alone; none at all is an error."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select(F.regexp_extract("path", RELEASE, 1).alias("release"))
+    found = files.where("release <> ''").distinct()
+    if found.isEmpty():
+        raise ValueError(f"no release below {path}")
+    return found
 
 
 def first_feature(body: Column) -> Column:
-    """(lat, lng) of a geocoder answer's first feature, whose centre is given as (lng, lat); null without features."""
-    centre = F.get(F.from_json(body, "features array<struct<center:array<long>>>")["features"], 0)["center"]
-    return F.when(F.size(centre) >= 2, F.struct(F.get(centre, 1).alias("lat_u"), F.get(centre, 0).alias("lng_u")))
+    """(lat, lng) of a geocoder answer's first feature, whose point is given as [lng, lat]; null without features."""
+    shape = "features array<struct<geometry:struct<type:string,coordinates:array<double>>>>"
+    point = F.get(F.from_json(body, shape)["features"], 0)["geometry"]["coordinates"]
+    return F.when(F.size(point) >= 2, F.struct(F.get(point, 1).alias("lat"), F.get(point, 0).alias("lng")))
 
 
 def batch_answers(lines: DataFrame) -> DataFrame:
-    """Geocoder batch answers: under three fields a line is dropped; eight or more with ``Match`` carry ``lng;lat`` in the sixth."""
-    parts = F.split("line", ",")
-    matched = (F.size(parts) >= 8) & (F.get(parts, 2) == "Match")
-    pair = F.split(F.get(parts, 5), ";")
-    return lines.where(F.size(parts) >= 3).select(
-        F.get(parts, 0).try_cast("int").alias("opis_id"), F.coalesce(matched, F.lit(False)).alias("matched"),
-        F.when(matched, F.get(pair, 1).try_cast("long")).alias("lat_u"), F.when(matched, F.get(pair, 0).try_cast("long")).alias("lng_u"),
+    """Geocoder batch answers, CSV with quoted fields: under three fields a line is dropped; eight with ``Match`` carry "lng,lat" as the sixth."""
+    shape = ", ".join(f"f{i} string" for i in range(8))
+    f = F.from_csv("line", shape, {"escape": '"'})
+    rows = lines.select(f.alias("f")).where("f.f2 IS NOT NULL")
+    matched = F.coalesce((F.col("f.f2") == "Match") & F.col("f.f7").isNotNull(), F.lit(False))
+    pair = F.split(F.col("f.f5"), ",")
+    return rows.select(
+        F.col("f.f0").try_cast("int").alias("opis_id"), matched.alias("matched"),
+        F.when(matched, F.get(pair, 1).try_cast("double")).alias("lat"), F.when(matched, F.get(pair, 0).try_cast("double")).alias("lng"),
+    )
+
+
+METRES = 1609.344
+_LEG = "struct<distance:double,duration:double,annotation:struct<distance:array<double>,duration:array<double>>>"
+DIRECTIONS = f"code string, routes array<struct<geometry:struct<coordinates:array<array<double>>>,distance:double,duration:double,legs:array<{_LEG}>>>"
+
+
+def direction_routes(answers: DataFrame, body: str = "body") -> DataFrame:
+    """One row per alternative of each directions answer, with its line, legs and the annotations of all legs in order.
+
+    An answer without a route (or with another code than Ok) gives one row whose ``error`` names the code.  Legs,
+    annotations or parts of them that are missing count as empty.
+    """
+    told = answers.withColumn("_d", F.from_json(body, DIRECTIONS))
+    good = (F.col("_d.code") == "Ok") & (F.size("_d.routes") > 0)
+    rows = told.select(*[c for c in answers.columns if c != body], F.posexplode_outer(F.when(good, F.col("_d.routes"))).alias("alternative_index", "r"), F.when(~F.coalesce(good, F.lit(False)), F.coalesce("_d.code", F.lit("unreadable"))).alias("error"))
+    none = lambda kind: F.array().cast(f"array<{kind}>")
+    legs = F.coalesce(F.col("r.legs"), none(_LEG))
+    of = lambda leg, name: F.coalesce(leg["annotation"][name], none("double"))
+    miles = lambda x: x / F.lit(METRES)
+    return rows.withColumn("legs", legs).select(
+        *[c for c in rows.columns if c != "r"], F.col("r.geometry.coordinates").alias("coordinates"), miles(F.col("r.distance")).alias("total_mi"), F.col("r.duration").alias("duration_s"),
+        F.transform("legs", lambda x: miles(F.coalesce(x["distance"], F.lit(0.0)))).alias("leg_distances_mi"), F.transform("legs", lambda x: F.size(of(x, "distance"))).alias("leg_lengths"),
+        F.transform(F.flatten(F.transform("legs", lambda x: of(x, "distance"))), miles).alias("annotation_mi"), F.flatten(F.transform("legs", lambda x: of(x, "duration"))).alias("annotation_s"),
     )
+
+
+SERIES = "response struct<data:array<struct<period:string,duoarea:string,product:string,value:string>>>"
+
+
+def series_rows(answers: DataFrame, body: str = "body") -> DataFrame:
+    """(period, duoarea, product, value) of weekly series answers; a value that is no number is null."""
+    row = F.explode(F.from_json(body, SERIES)["response"]["data"]).alias("d")
+    return answers.select(row).select("d.period", "d.duoarea", "d.product", F.col("d.value").try_cast("decimal(10,3)").alias("value"))

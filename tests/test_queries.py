@@ -42,9 +42,23 @@ def test_runs(spark, name):
 
 
 def test_exact_is_never_dearer(spark):
-    got = {n: {r["route_id"]: r for r in registry.QUERIES[n](spark, DATA).collect()} for n in ("pln6_exact", "pln1_preflight", "pln8_heuristic")}
+    got = {n: {r["route_id"]: r for r in registry.QUERIES[n](spark, DATA).collect()} for n in ("pln6_exact", "pln8_heuristic", "pln9_greedy")}
     for route, row in got["pln6_exact"].items():
-        assert row["feasible"] == got["pln1_preflight"][route]["feasible"] == got["pln8_heuristic"][route]["feasible"]
+        for other in ("pln8_heuristic", "pln9_greedy"):
+            assert got[other][route]["feasible"] and row["objective"] <= got[other][route]["objective"]
+
+
+def test_bursts_of_a_stream_equal_batch(spark, tmp_path):
+    from larkspan.streaming import counters
+
+    events = spark.read.parquet(f"{DATA}/events.parquet")
+    events.write.parquet(str(tmp_path / "in"))
+    stream = counters.stream_bursts(spark.readStream.schema(events.schema).parquet(str(tmp_path / "in")), "1 hour", "0 seconds")
+    run = stream.writeStream.format("memory").queryName("bursts").outputMode("append").trigger(availableNow=True).start()
+    run.awaitTermination(120)
+    batch = {(r["session_window"]["start"], r["user_id"]): r["last_event_id"] for r in counters.stream_bursts(events, "1 hour").collect()}
+    told = {(r["session_window"]["start"], r["user_id"]): r["last_event_id"] for r in spark.sql("select * from bursts").collect()}
+    assert told and told.items() <= batch.items()
 
 
 def test_streaming_counts_equal_batch(spark, tmp_path):

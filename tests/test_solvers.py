@@ -35,10 +35,10 @@ def brute(p, rates):
 
 
 @settings(max_examples=60, deadline=None, derandomize=True)
-@given(st.lists(st.tuples(st.integers(1, 20), st.integers(25, 50), st.booleans()), max_size=6), st.integers(6, 20), st.integers(3, 8), st.sampled_from([0, 5, 35]), st.sampled_from([0, 5]))
-def test_exact_equals_brute_force(raw, length, tank, stop, margin):
+@given(st.lists(st.tuples(st.integers(1, 20), st.integers(25, 50), st.booleans()), max_size=6), st.integers(6, 20), st.integers(3, 8), st.sampled_from([0, 5, 35]), st.sampled_from([0, 5]), st.sampled_from([1, 2]))
+def test_exact_equals_brute_force(raw, length, tank, stop, margin, part):
     stations = [Station(pos * 100_000, price * 100, i, est) for i, (pos, price, est) in enumerate(raw) if pos <= length]
-    p, rates = Problem(length * 100_000, tank * 100_000, tank * 100_000, stations), Rates(stop * 10**7, margin * 10**7)
+    p, rates = Problem(length * 100_000, tank * 100_000, tank * 100_000 // part, stations), Rates(stop * 10**7, margin * 10**7)
     plan = solvers.exact(p, rates)
     assert (plan is None) == (solvers.first_gap(p) is not None)
     if plan is not None:
@@ -53,16 +53,44 @@ def test_price_blind_stops_at_the_farthest_in_reach():
     assert [(b.pos, b.amount) for b in solvers.price_blind(p)] == [(480_000, 400_000)]
 
 
+def test_price_blind_with_half_a_tank():
+    p = Problem(900_000, 500_000, 250_000, [Station(100_000, 3000, 1, False), Station(240_000, 1000, 2, False), Station(600_000, 4000, 3, False)])
+    assert [(b.id, b.amount) for b in solvers.price_blind(p)] == [(2, 490_000), (3, 160_000)]
+
+
+def test_a_search_over_its_labels_gives_way_to_the_heuristic(spark):
+    from larkspan.plans import search
+
+    rows = [(1, 0, 2_000_000, 700_000, 350_000, i, "s", "TX", 2500 + i * 613 % 900, "opis_indexed", i * 90_000 + 50_000) for i in range(22)]
+    c = spark.createDataFrame(rows, CANDIDATES)
+    routes = c.select("route_id", "total_milli_mi", "tank_milli_mi", "on_board_milli_mi").distinct()
+    ready = search.dispatched(routes, c)
+    (full,), (cut,) = (search.solve(ready, ("planned",), most_labels=n).collect() for n in (None, 3))
+    assert (full["method"], cut["method"]) == ("exact", "heuristic") and full["objective"] <= cut["objective"]
+
+
+def test_half_a_tank_shortens_the_first_stretch(spark):
+    from larkspan.plans import search
+
+    row = lambda r, on_board: (r, 0, 900_000, 500_000, on_board, 1, "s", "TX", 3000, "opis_indexed", 400_000)
+    c = spark.createDataFrame([row(1, 500_000), row(2, 250_000)], CANDIDATES)
+    got = {r["route_id"]: (r["feasible"], r["from_milli"], r["to_milli"], r["gap_milli"]) for r in search.preflight(c.select("route_id", "total_milli_mi", "tank_milli_mi", "on_board_milli_mi"), c).collect()}
+    assert got == {1: (True, None, None, None), 2: (False, 0, 400_000, 400_000)}
+
+
+CANDIDATES = "route_id long, alternative_index int, total_milli_mi long, tank_milli_mi long, on_board_milli_mi long, opis_id int, name string, state string, price_milli long, price_source string, pos_milli_mi long"
+
+
 def test_pruning_keeps_the_optimum(spark):
     from larkspan.plans import search
 
     rng = random.Random(11)
-    rows = [(r, 0, 2_000_000, 700_000, i, f"s{i}", "TX", rng.randint(2500, 4000), rng.choice(["opis_indexed", "eia_regional_estimate"]), rng.randint(1, 19) * 100_000) for r in range(12) for i in range(14)]
-    c = spark.createDataFrame(rows, "route_id long, alternative_index int, total_milli_mi long, tank_milli_mi long, opis_id int, name string, state string, price_milli long, price_source string, pos_milli_mi long")
-    routes = c.select("route_id", "total_milli_mi", "tank_milli_mi").distinct()
+    rows = [(r, 0, 2_000_000, 700_000, 700_000 - 50_000 * (r % 3), i, f"s{i}", "TX", rng.randint(2500, 4000), rng.choice(["opis_indexed", "eia_regional_estimate"]), rng.randint(1, 19) * 100_000) for r in range(12) for i in range(14)]
+    c = spark.createDataFrame(rows, CANDIDATES)
+    routes = c.select("route_id", "total_milli_mi", "tank_milli_mi", "on_board_milli_mi").distinct()
     rates = dict(margin_cents=0)
     full = {r["route_id"]: r["objective"] for r in search.solve(search.problems(routes, c), ("exact",), **rates).collect()}
-    cut = {r["route_id"]: r["objective"] for r in search.solve(search.problems(routes, c, search.pruned(c)), ("exact",), **rates).collect()}
+    cut = {r["route_id"]: r["objective"] for r in search.solve(search.problems(routes, search.marked(c)), ("exact",), **rates).collect()}
     assert full == cut
 
 
