@@ -64,7 +64,7 @@ def op8_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     records, payloads = warc_store.archive(table(spark, sf_dir, "pages"))
-    digests = materialise(warc_store.payload_digests(payloads), "warc-read")
+    digests = materialise(warc_store.restored_payloads(records, payloads), "warc-read")
     read = warc_store.record_fields(records).select("id", "digest", "record_type", "refers_to").join(digests, "digest")
     return read.select(F.col("id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
 

@@ -475,16 +475,46 @@ def test_encoder_equals_the_library_on_odd_texts(file):
 
 
 def test_warc(spark):
-    rows = [(5, "http://a", "same"), (3, "http://b", "same"), (9, None, "same"), (4, "u", None), (6, "u", ""), (7, "v", "alone é"), (None, "n", "same"), (8, "x", "twice"), (8, "y", "twice")]
-    pages = spark.createDataFrame([(*r, "d") for r in rows], "page_id long, url string, html string, digest string")
-    records, payloads = warc_store.archive(pages)
-    assert payloads.count() == 4
-    back = warc_store.record_fields(warc_store.restored(records, payloads)).collect()
-    html = {(i, h or "") for i, _, h in rows}
-    assert {(r["id"], bytes(r["payload"]).decode()) for r in back} == html and all(r["digest_ok"] for r in back)
-    kinds = {r["id"]: (r["record_type"], r["refers_to"]) for r in back}
-    assert kinds == {3: ("response", None), 5: ("revisit", 3), 9: ("revisit", 3), None: ("revisit", 3), 4: ("response", None), 6: ("revisit", 4), 7: ("response", None), 8: ("response", None)}
-    got = {r["payload_digest"] for r in warc_store.payload_digests(payloads).collect()}
-    assert got == {base64.b32encode(hashlib.sha1(h.encode()).digest()).decode() for _, h in html}
+    rows = [(5, "http://a", "same"), (3, "http://b\r\nX: y", "same"), (9, None, "same"), (4, "u", None), (6, "u", ""), (7, "v", "alone é"), (None, "n", "same"), (8, "x", "twice"), (8, "y", "twice"), (None, "p", "none has an id"), (None, "q", "none has an id"), (10, "z", "long " * 50_000)]
+    pages = spark.createDataFrame([(*r, "d", "h") for r in rows], "page_id long, url string, html string, digest string, header string")
+    records, payloads = warc_store.archive(pages, date="2024-05-06T07:08:09Z")
+    assert payloads.count() == 6
+    back = warc_store.restored(records, payloads).collect()
+    assert sorted((str(r["id"]), bytes(r["payload"]).decode()) for r in back) == sorted((str(i), h or "") for i, _, h in rows) and all(r["digest_ok"] for r in back)
+    kinds = sorted(((str(r["id"]), r["record_type"], r["refers_to"]) for r in back), key=str)
+    assert kinds == sorted([("3", "response", None), ("5", "revisit", 3), ("9", "revisit", 3), ("None", "revisit", 3), ("4", "response", None), ("6", "revisit", 4), ("7", "response", None), ("8", "response", None), ("8", "revisit", 8), ("None", "response", None), ("None", "revisit", None), ("10", "response", None)], key=str)
+    names, refers, responses = set(), set(), {}
+    for r in back:  # a plain reader
+        head, rest = bytes(r["record"]).split(b"\r\n\r\n", 1)
+        fields = dict(line.split(": ", 1) for line in head.decode().split("\r\n")[1:])
+        assert head.startswith(b"WARC/1.1\r\n") and fields["WARC-Date"] == "2024-05-06T07:08:09Z" and fields["WARC-Type"] == r["record_type"] and rest.endswith(b"\r\n\r\n")
+        block = rest[:-4]
+        assert len(block) == int(fields["Content-Length"])
+        http, body = block.split(b"\r\n\r\n", 1)
+        assert http.startswith(b"HTTP/1.1 200 OK\r\n") and body == (bytes(r["payload"]) if r["record_type"] == "response" else b"")
+        assert fields["WARC-Payload-Digest"] == "sha1:" + base64.b32encode(hashlib.sha1(r["payload"]).digest()).decode()
+        names.add(fields["WARC-Record-ID"])
+        if r["record_type"] == "response":
+            responses[fields["WARC-Record-ID"]] = fields["WARC-Payload-Digest"]
+        else:
+            refers.add((fields["WARC-Refers-To"], fields["WARC-Payload-Digest"]))
+    assert len(names) == len(rows) and refers <= set(responses.items())
+    got = {(r["payload_bytes"], r["payload_digest"]) for r in warc_store.restored_payloads(records, payloads).collect()}
+    assert got == {(len((h or "").encode()), base64.b32encode(hashlib.sha1((h or "").encode()).digest()).decode()) for *_, h in rows}
+    few = warc_store.record_fields(warc_store.archive(pages, least_bytes=6)[0]).collect()
+    assert sorted(str(r["id"]) for r in few if r["record_type"] == "revisit") == ["None"]
     empty = warc_store.archive(pages.limit(0))
-    assert warc_store.restored(*empty).count() == 0
+    assert warc_store.restored(*empty).count() == 0 and warc_store.restored_payloads(*empty).count() == 0
+
+
+def test_op9_equals_a_loop(spark):
+    pages = spark.read.parquet(f"{SF}/pages.parquet").collect()
+    first = {}
+    for r in sorted(pages, key=lambda r: r["page_id"]):
+        first.setdefault(r["html"] or "", r["page_id"])
+    want = set()
+    for r in pages:
+        raw = (r["html"] or "").encode()
+        own = first[r["html"] or ""] == r["page_id"]
+        want.add((r["page_id"], len(raw), base64.b32encode(hashlib.sha1(raw).digest()).decode(), "response" if own else "revisit", None if own else first[r["html"] or ""]))
+    assert {tuple(r) for r in queries.op9_warc_archive(spark, SF).collect()} == want
