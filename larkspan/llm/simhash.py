@@ -6,8 +6,8 @@ variant with one bit wiped out: equal variants meet in an equality shuffle and a
 
 Exact copies collapse to one fingerprint before any of that.  A bucket is read as a sorted stream and yields only
 links to the least member of each of its components, never its pairs.  A bucket larger than ``bucket`` fingerprints is
-not held: it is dealt again under finer keys (the bits outside the segment differ in at most ``k`` places, so of
-``k + 1`` parts one is equal), which keeps the search exact.
+not held: it is dealt again under finer keys, and again until every bucket fits (the bits that a bucket's members do not
+share yet differ in at most ``k`` places, so of ``k + 1`` parts of them one is equal), which keeps the search exact.
 """
 
 from __future__ import annotations
@@ -17,10 +17,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import fresh_name, materialise
 from .components import connected_components
 
 SEED = 42
@@ -92,25 +92,30 @@ def _stars(members: np.ndarray, k: int) -> list[tuple[np.ndarray, int]]:
     return out
 
 
-def _bucket_reader(k: int, limit: int | None, keys: int):
+def _bucket_reader(k: int, limit: int, keys: int):
     """Reads rows sorted by their first ``keys`` columns, the fingerprint last; emits (kind, a, b, c).
 
-    kind 0: a link from a to b.  kind 1 + g: fingerprint a of the overfull bucket b, whose part g is c.
+    The key is a variant's, or the mask of the bits that all members share and their value.  kind 0: a link from a to b.
+    kind 1: fingerprint a of an overfull bucket, to be dealt under mask b and value c.
     """
-    segment_of = {}
+    shared_by = {}
     for low, width in _segments(k):
         for bit in range(low, low + width):
-            segment_of[bit] = (low, width)
+            shared_by[bit] = ((1 << width) - 1 << low) & ~(1 << bit)
 
-    def finer(key: int, members: np.ndarray) -> list[np.ndarray]:
-        low, width = segment_of[key >> 32]
-        outside = [bit for bit in range(64) if not low <= bit < low + width]
-        cuts = [len(outside) * i // (k + 1) for i in range(k + 2)]
+    def shared(key: tuple[int, ...]) -> int:
+        return shared_by[key[0] >> 32] if keys == 1 else key[0] % 2**64
+
+    def finer(key: tuple[int, ...], members: np.ndarray) -> list[np.ndarray]:
+        """Under each of ``k + 1`` parts of the bits not shared yet."""
+        mask = shared(key)
+        free = [bit for bit in range(64) if not mask >> bit & 1]
+        cuts = [len(free) * i // (k + 1) for i in range(k + 2)]
         rows = []
         for g in range(k + 1):
-            mask = np.uint64(sum(1 << bit for bit in outside[cuts[g] : cuts[g + 1]]))
+            under = np.uint64(mask | sum(1 << bit for bit in free[cuts[g] : cuts[g + 1]]))
             n = len(members)
-            rows.append(np.stack((np.full(n, 1 + g), members.view(np.int64), np.full(n, key), (members & mask).view(np.int64))))
+            rows.append(np.stack((np.ones(n, np.int64), members.view(np.int64), np.full(n, under.view(np.int64)), (members & under).view(np.int64))))
         return rows
 
     def links(members: np.ndarray) -> list[np.ndarray]:
@@ -132,15 +137,15 @@ def _bucket_reader(k: int, limit: int | None, keys: int):
             ends = np.append(starts[1:], len(prints))
             rows = []
             first = 0
-            if held_key is not None and tuple(cols[:, 0]) == held_key:
+            if held_key is not None and tuple(cols[:, 0].tolist()) == held_key:
                 mine, first = prints[: ends[0]], 1
                 if spilling:
-                    rows += finer(held_key[0], mine)
+                    rows += finer(held_key, mine)
                 else:
                     held = np.concatenate((held, mine))
             if (first < len(starts)) and held_key is not None:
                 if not spilling and len(held) > 1:
-                    rows += links(np.unique(held)) if not limit or len(held) <= limit else finer(held_key[0], held)
+                    rows += links(np.unique(held)) if len(held) <= limit else finer(held_key, held)
                 held_key, held, spilling = None, np.empty(0, np.uint64), False
             sizes = (ends - starts)[first:-1]
             begin = starts[first:-1]
@@ -152,11 +157,11 @@ def _bucket_reader(k: int, limit: int | None, keys: int):
             rows.append(np.stack((np.zeros(n, np.int64), pair.max(axis=0, initial=-(2**63)), pair.min(axis=0, initial=2**63 - 1), np.zeros(n, np.int64))))
             for at, size in zip(begin[sizes > 2].tolist(), sizes[sizes > 2].tolist()):
                 members = prints[at : at + size]
-                rows += links(np.unique(members)) if not limit or size <= limit else finer(int(cols[0, at]), members)
+                rows += links(np.unique(members)) if size <= limit else finer(tuple(cols[:, at].tolist()), members)
             if first < len(starts):
-                held_key, held = tuple(cols[:, -1]), prints[starts[-1] :].copy()
-            if limit and not spilling and len(held) > limit:
-                rows += finer(held_key[0], held)
+                held_key, held = tuple(cols[:, -1].tolist()), prints[starts[-1] :].copy()
+            if not spilling and len(held) > limit:
+                rows += finer(held_key, held)
                 held, spilling = np.empty(0, np.uint64), True
             yield emit(rows)
         if held_key is not None and not spilling and len(held) > 1:
@@ -170,14 +175,22 @@ def _bucket_reader(k: int, limit: int | None, keys: int):
 
 
 def fingerprint_links(prints: DataFrame, k: int = 3, bucket: int = 8192) -> DataFrame:
-    """(a, b): links that give the components of all fingerprints ``fp`` (distinct) at ``k`` or fewer differing bits."""
+    """(a, b): links that give the components of all fingerprints ``fp`` (distinct) at ``k`` or fewer differing bits.
+
+    Each further dealing of overfull buckets leaves its members fewer bits to differ in, so a handful of them end.  A
+    bucket holds at least ``2 ** k``, as many as ``k`` bits can tell apart.
+    """
+    bucket = max(bucket, 1 << k)
     kinds = "kind long, a long, b long, c long"
     dealt = _variants(prints, k).repartition("key").sortWithinPartitions("key")
     found = materialise(dealt.mapInArrow(_bucket_reader(k, bucket, 1), kinds), "simhash-links")
     direct = found.where("kind = 0").select("a", "b")
-    finer = found.where("kind > 0").select("b", "kind", "c", F.col("a").alias("fp"))
-    again = finer.repartition("b", "kind", "c").sortWithinPartitions("b", "kind", "c").mapInArrow(_bucket_reader(k, None, 3), kinds)
-    return direct.union(again.select("a", "b")).distinct()
+    while not (over := found.where("kind = 1")).isEmpty():
+        finer = over.select(F.col("b").alias("mask"), F.col("c").alias("value"), F.col("a").alias("fp")).distinct()
+        finer = finer.repartition("mask", "value").sortWithinPartitions("mask", "value", "fp")
+        found = materialise(finer.mapInArrow(_bucket_reader(k, bucket, 2), kinds), "simhash-finer")
+        direct = direct.union(found.where("kind = 0").select("a", "b"))
+    return direct.where("a <> b").distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, k: int = 3) -> DataFrame:
@@ -203,11 +216,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, k: int = 3) -> DataFrame:
     """The rows of ``docs``, all columns, whose id names its component.
 
-    A repeated id stays once.  Rows without an id cannot name a component and stay as they are.
+    Of several rows with that id the one with the least text, then the least other columns, stays.  Rows without an id
+    cannot name a component and stay as they are.  An empty table gives an empty result; extra columns may have any names.
     """
     groups = near_duplicates(docs.where(F.col(id_col).isNotNull()), id_col, text_col, shingle, k)
     kept = materialise(groups.where("id = component_id").groupBy("id").agg(F.count(F.lit(1)).alias("n")), "simhash-kept")
-    out = docs.join(kept.select(F.col("id").alias("_kept_id")).hint("merge"), F.col(id_col) == F.col("_kept_id"), "left_semi")
+    mark = fresh_name(docs, "kept_id")
+    out = docs.join(kept.select(F.col("id").alias(mark)).hint("merge"), F.col(id_col) == F.col(mark), "left_semi")
     if kept.where("n > 1").limit(1).count():
-        out = out.dropDuplicates([id_col])
+        many = kept.where("n > 1").select(F.col("id").alias(mark)).hint("merge")
+        again = out.join(many, F.col(id_col) == F.col(mark), "left_semi")
+        others = [c for c in docs.columns if c not in (id_col, text_col)]
+        sortable = [F.to_json(F.struct(c)) for c in others]
+        nth, order = fresh_name(docs, "nth"), [F.col(text_col).asc_nulls_first(), *sortable]
+        one = again.withColumn(nth, F.row_number().over(Window.partitionBy(id_col).orderBy(*order))).where(F.col(nth) == 1).drop(nth)
+        out = out.join(many, F.col(id_col) == F.col(mark), "left_anti").unionByName(one)
     return out.unionByName(docs.where(F.col(id_col).isNull()))
