@@ -160,19 +160,30 @@ def is_held_out(id_col: str):
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE) -> Model:
-    """Learn from at most ``sample`` labelled ids that are not held out.  Null labels are skipped; of several the least counts."""
+    """Learn from at most ``sample`` labelled ids that are not held out.
+
+    Null labels and rows without an id are skipped; of several labels the least counts, of several texts of an id that
+    with the least statistics.  Without labelled rows, or of an empty table, the model scores 0.5.  Extra columns are
+    ignored.
+    """
     marked = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~is_held_out(id_col))
     marked = marked.groupBy(F.col(id_col).alias("_label_id")).agg(F.min(label_col).alias("_label"))
     chosen = marked.orderBy(F.xxhash64("_label_id", F.lit("quality")), "_label_id").limit(sample)
-    joined = docs.join(F.broadcast(chosen), F.col(id_col) == F.col("_label_id"))  # bounded by sample
-    rows = feature_table(joined, id_col, text_col, "_label").collect()
-    rows = sorted({r["id"]: (r["id"], r["label"], r["x"]) for r in rows}.values())
+    texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
+    joined = texts.join(F.broadcast(chosen), F.col("_id") == F.col("_label_id"))  # bounded by sample
+    x = F.min("x").alias("x")
+    rows = feature_table(joined, "_id", "_text", "_label").groupBy("id", "label").agg(x).collect()
+    rows = sorted((r["id"], r["label"], r["x"]) for r in rows)
     x = np.array([r[2] for r in rows], dtype=float).reshape(-1, len(FEATURES))
     return fit(x, np.array([r[1] for r in rows], dtype=float))
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """(id, score, predicted) of every row.  Null and empty texts are scored as empty; an empty table gives no rows."""
+    """(id, score, predicted) of every row.
+
+    Null and empty texts are scored as empty, rows without an id keep a null, repeated rows repeat their result, extra
+    columns are ignored, an empty table gives no rows.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -184,7 +195,11 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
 
 def keep_good(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs``, all columns, that the model does not reject; judged in one pass, without a join."""
+    """The rows of ``docs``, all columns, that the model does not reject; judged in one pass, without a join.
+
+    Rows are judged by their text alone: repeated rows stay or go together, rows without an id are judged like others,
+    columns of any names pass through, an empty table gives an empty one.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
