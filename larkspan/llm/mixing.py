@@ -6,44 +6,50 @@ routes the patterns' word capacity to the quotas; taking a pattern a further tim
 used only where a quota needs it.  Last, seeded documents realise each pattern's flow: all its documents are taken
 ``flow // capacity`` times, and those that come first in a seeded order once more.
 
-Only one row per pattern and per source reaches the driver.  The seeded order is cut into hash ranges whose sums are
-scanned first; row-level running sums are needed in the one range per pattern where the flow ends.
+A source that no other source overlaps is a flow of its own, the lesser of its quota and its repeated size, and stays a
+row of a table; only patterns of overlapping sources reach the driver.  The seeded order is cut into hash ranges whose
+sums are scanned first; row-level running sums are needed in the one range per pattern where the flow ends.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
-from fractions import Fraction
 from math import ceil, log2
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialise
+from .common import fresh_name, materialise
 
 WEIGHTS = (5, 2, 1)
 MAX_REPEATS = 3
-#: Sources and patterns that the driver's flow may hold.
+#: Patterns of overlapping sources that the driver's flow may hold; more are refused by name, never left out.
 MAX_PATTERNS = 100_000
+#: Patterns up to which the plan is broadcast (some 100 bytes each).
+BROADCAST_PATTERNS = 100_000
 RANGE_ROWS = 50_000
 
 
-def quotas(sizes: Sequence[int], weights: Sequence[int], total: int, max_repeats: int = MAX_REPEATS) -> list[float]:
-    """Weighted shares of ``total``, none above ``max_repeats`` times its size, the excess reshared by weight."""
-    out, open_, rest = [0.0] * len(sizes), set(range(len(sizes))), total
-    while open_:
-        weight = sum(weights[i] for i in open_)
-        full = [i for i in open_ if Fraction(rest * weights[i], weight) > max_repeats * sizes[i]]
-        if not full:
-            for i in open_:
-                out[i] = rest * weights[i] / weight
-            break
-        for i in full:
-            out[i] = float(max_repeats * sizes[i])
-            rest -= max_repeats * sizes[i]
-        open_ -= set(full)
-    return out
+def source_targets(sources: DataFrame, total: int, weights: Sequence[int] = WEIGHTS, max_repeats: int = MAX_REPEATS) -> DataFrame:
+    """Add ``target`` to ``sources`` (source, source_size): weighted shares of ``total``, none above ``max_repeats`` times its size, the excess reshared by weight.
+
+    In the order of size by weight the full sources come first, so running sums find where the open ones begin.  The
+    windows hold one row per source.
+    """
+    big = lambda c: c.cast("decimal(38,0)")
+    place = F.row_number().over(Window.orderBy(F.col("source").isNull(), "source"))
+    rows = sources.withColumn("weight", F.element_at(F.array(*[F.lit(int(w)) for w in weights]), ((place - 1) % len(weights) + 1).cast("int")))
+    by_ratio = Window.orderBy(F.col("source_size") / F.col("weight"), F.col("source").isNull(), "source")
+    before = F.coalesce(F.sum(big(F.col("source_size")) * max_repeats).over(by_ratio.rowsBetween(Window.unboundedPreceding, -1)), big(F.lit(0)))
+    rows = rows.withColumn("k", F.row_number().over(by_ratio)).withColumn("rest", big(F.lit(total)) - before)
+    rows = rows.withColumn("open_weight", F.sum("weight").over(by_ratio.rowsBetween(Window.currentRow, Window.unboundedFollowing)))
+    full = F.col("rest") * F.col("weight") > big(F.col("source_size")) * max_repeats * F.col("open_weight")
+    first = F.min(F.when(~full, F.struct("k", "rest", "open_weight"))).over(Window.partitionBy(F.lit(1)))
+    rows = rows.withColumn("first", first)
+    share = (F.col("first.rest") * F.col("weight")).cast("double") / F.col("first.open_weight").cast("double")
+    target = F.when(F.col("first").isNull() | (F.col("k") < F.col("first.k")), (F.col("source_size") * max_repeats).cast("double")).otherwise(share)
+    return rows.select(*sources.columns, target.alias("target"))
 
 
 def route(patterns: Sequence[tuple[tuple[int, ...], int]], quota: Sequence[int], max_repeats: int = MAX_REPEATS) -> list[int]:
@@ -106,37 +112,45 @@ def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, max_repeats: int = MA
     empty table gives an empty result.
     """
     spark = docs.sparkSession
-    docs = docs.select("id", F.array_sort(F.array_distinct("sources")).alias("sources"), F.col("size").cast("long").alias("size"))
-    grouped = docs.groupBy("sources").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n"))
-    rows = grouped.limit(MAX_PATTERNS + 1).collect()
+    docs = docs.select("id", F.array_sort(F.array_distinct("sources")).alias("sources"), F.col("size").cast("long").alias("size")).withColumn("pattern", F.to_json("sources"))
+    grouped = materialise(docs.groupBy("pattern", "sources").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n")), "mix-patterns")
+    told = grouped.agg(F.count(F.lit(1)).alias("patterns"), F.coalesce(F.sum("size"), F.lit(0)).alias("total"), F.coalesce(F.max("n"), F.lit(1)).alias("most")).first()
+    each = grouped.select("pattern", F.size("sources").alias("width"), "size", F.explode("sources").alias("source"))
+    per = each.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("patterns"), F.max("width").alias("width"))
+    targets = materialise(source_targets(per, told["total"], weights, max_repeats), "mix-targets")
+    alone = (F.col("patterns") == 1) & (F.col("width") == 1)
+
+    flow = F.floor("target").cast("long")
+    whole = F.when(F.col("source_size") > 0, F.least(F.lit(max_repeats), F.floor(flow / F.col("source_size")).cast("int"))).otherwise(0)
+    simple = targets.where(alone).withColumn("flow", flow).withColumn("whole", whole.cast("long"))
+    simple = simple.select(F.to_json(F.array("source")).alias("pattern"), "source_size", "target", "whole", F.when(F.col("whole") < max_repeats, F.col("flow") - F.col("whole") * F.col("source_size")).otherwise(0).alias("extra"))
+
+    shared = each.join(targets.where(~alone).select(F.col("source").alias("s")), F.col("source").eqNullSafe(F.col("s")), "left_semi").select("pattern").distinct()
+    rows = grouped.where(F.size("sources") == 0).unionByName(grouped.join(shared, "pattern", "left_semi")).limit(MAX_PATTERNS + 1).collect()
     if len(rows) > MAX_PATTERNS:
-        raise ValueError(f"more than {MAX_PATTERNS} membership patterns")
+        raise ValueError(f"more than {MAX_PATTERNS} patterns of overlapping sources")
     rows.sort(key=lambda r: [(s is None, s or "") for s in r["sources"]])
-    names = sorted({s for r in rows for s in r["sources"]}, key=lambda s: (s is None, s or ""))
-    place = {s: i for i, s in enumerate(names)}
-    sizes = [0] * len(names)
-    for r in rows:
-        for s in r["sources"]:
-            sizes[place[s]] += r["size"]
-    targets = quotas(sizes, [weights[i % len(weights)] for i in range(len(names))], sum(r["size"] for r in rows), max_repeats)
-    flow = route([(tuple(place[s] for s in r["sources"]), r["size"]) for r in rows], [int(t) for t in targets], max_repeats)
+    known = sorted(targets.where(~alone).collect(), key=lambda r: (r["source"] is None, r["source"] or "")) if rows else []
+    place = {r["source"]: i for i, r in enumerate(known)}
+    taken = route([(tuple(place[s] for s in r["sources"]), r["size"]) for r in rows], [int(r["target"]) for r in known], max_repeats)
     plan = []
-    for r, words in zip(rows, flow):
-        whole = min(words // r["size"], max_repeats) if r["size"] else 0
-        first = place[r["sources"][0]] if r["sources"] else None
-        plan.append((r["sources"], sizes[first] if r["sources"] else 0, targets[first] if r["sources"] else 0.0, whole, words - whole * r["size"] if whole < max_repeats else 0))
-    kinds = "sources array<string>, source_size long, target double, whole long, extra long"
-    plan = spark.createDataFrame(plan, kinds).withColumn("pattern", F.to_json("sources"))
-
-    most = max([1, *(r["n"] for r in rows)])
+    for r, words in zip(rows, taken):
+        times = min(words // r["size"], max_repeats) if r["size"] else 0
+        first = known[place[r["sources"][0]]] if r["sources"] else None
+        plan.append((r["pattern"], first["source_size"] if first else 0, first["target"] if first else 0.0, times, words - times * r["size"] if times < max_repeats else 0))
+    plan = simple.unionByName(spark.createDataFrame(plan, "pattern string, source_size long, target double, whole long, extra long"))
+    plan = materialise(plan, "mix-plan")
+    bounded = F.broadcast if told["patterns"] <= BROADCAST_PATTERNS else lambda df: df
+
+    most = told["most"]
     digits = max(2, ceil(log2(max(most / RANGE_ROWS, 1)) / 4))
-    keyed = docs.withColumn("pattern", F.to_json("sources")).withColumn("key", F.md5(F.concat_ws("/", F.lit(seed), F.col("id").cast("string"))))
+    keyed = docs.withColumn("key", F.md5(F.concat_ws("/", F.lit(seed), F.col("id").cast("string"))))
     keyed = keyed.withColumn("range", F.substring("key", 1, digits))
     sums = keyed.groupBy("pattern", "range").agg(F.sum("size").alias("words"))
     upto = F.sum("words").over(Window.partitionBy("pattern").orderBy("range")) - F.col("words")
-    ranges = sums.select("pattern", "range", upto.alias("before"), "words").join(F.broadcast(plan.drop("sources")), "pattern")
+    ranges = sums.select("pattern", "range", upto.alias("before"), "words").join(bounded(plan), "pattern")
     last = materialise(ranges.where("before < extra AND before + words >= extra").select("pattern", F.col("range").alias("last"), "before"), "mix-ranges")
-    marked = keyed.join(F.broadcast(plan.drop("sources")), "pattern").join(F.broadcast(last), "pattern", "left")
+    marked = keyed.join(bounded(plan), "pattern").join(bounded(last), "pattern", "left")
     inside = marked.where("range = last")
     running = F.sum("size").over(Window.partitionBy("pattern").orderBy("key", F.col("id").isNull(), "id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow))
     inside = inside.withColumn("once", (2 * (F.col("before") + running - F.col("size")) + F.col("size") <= 2 * F.col("extra")).cast("long"))
@@ -157,10 +171,12 @@ def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
 def mix_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
     """The rows of ``docs``, all columns, each as often as the mix takes it.
 
-    Rows without an id stay once, since no decision can be carried back to them.
+    Rows without an id stay once, since no decision can be carried back to them; repeated rows of an id are taken as
+    often as the one of them that is taken most.  Columns may have any names; an empty table gives an empty one.
     """
+    times, key, again = fresh_name(docs, "times"), fresh_name(docs, "taken_id"), fresh_name(docs, "again")
     taken = mix(measured(docs.where(F.col(id_col).isNotNull()), id_col, text_col, source_col), **options).where("times > 0")
-    taken = materialise(taken.groupBy("id").agg(F.max("times").cast("int").alias("_times")), "mix-taken").withColumnRenamed("id", "_taken_id")
-    joined = docs.join(taken.hint("merge"), F.col(id_col) == F.col("_taken_id"))
-    again = joined.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("_times"))).alias("_again")).select(*docs.columns)
-    return again.unionByName(docs.where(F.col(id_col).isNull()))
+    taken = materialise(taken.groupBy(F.col("id").alias(key)).agg(F.max("times").cast("int").alias(times)), "mix-taken")
+    joined = docs.join(taken.hint("merge"), F.col(id_col) == F.col(key))
+    out = joined.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col(times))).alias(again)).select(*docs.columns)
+    return out.unionByName(docs.where(F.col(id_col).isNull()))
