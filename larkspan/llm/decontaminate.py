@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import fresh_name, materialise
 
 #: Unit words that become a placeholder after a number.
 UNITS = "km|m|cm|mm|mi|miles|kg|g|mg|lb|lbs|oz|l|ml|s|sec|seconds|min|minutes|h|hours|days|weeks|years|usd|eur|dollars|euros|percent"
@@ -121,6 +121,10 @@ def contaminated(
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of ``docs``, all columns, in which no benchmark item is found.  Rows without an id stay."""
-    bad = materialise(contaminated(docs, benchmark, id_col, text_col, **options).select(F.col("id").alias("_bad_id")).distinct(), "contaminated-ids")
-    return docs.join(bad.hint("merge"), F.col(id_col) == F.col("_bad_id"), "left_anti")
+    """The rows of ``docs``, all columns, in which no benchmark item is found.
+
+    Rows without an id stay; of repeated rows all go or stay; columns may have any names.
+    """
+    mark = fresh_name(docs, "bad_id")
+    bad = materialise(contaminated(docs, benchmark, id_col, text_col, **options).select(F.col("id").alias(mark)).distinct(), "contaminated-ids")
+    return docs.join(bad.hint("merge"), F.col(id_col) == F.col(mark), "left_anti")

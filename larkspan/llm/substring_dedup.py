@@ -5,8 +5,9 @@ whose pair hash is the least within ``REACH`` words), since a passage pasted int
 line with its source but falls back into step after one cut.  Units are normalised (lower case, words only), digests are
 grouped over the whole corpus, the earliest occurrence by (document id, unit number) is kept and every later one is a
 repeat.  Repeats that follow one another form a run; runs of at least ``min_run_words`` words are removed and reported
-with their offsets in the original text.  With ``whole_lines`` a line that stands as a whole line earlier is removed
-whatever its length, and so is a copy of a whole document; the least length then holds only for pieces of lines.
+with their offsets in the original text.  A line that stands as a whole line earlier is removed whatever its length
+(``whole_lines``), and so is a copy of a whole document; the least length holds only for runs of pieces of lines, which
+words in common idioms would form by chance.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import fresh_name, materialise
 
 UNIT_WORDS = 12
 REACH = 4
@@ -88,7 +89,7 @@ def unit_table(docs: DataFrame, id_col: str, text_col: str, whole_lines: bool =
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, _UNITS)
 
 
-def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_run_words: int = 18, whole_lines: bool = False) -> DataFrame:
+def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_run_words: int = 18, whole_lines: bool = True) -> DataFrame:
     """(id, start, stop, words, n_units, kept_id): spans to remove, offsets in code points of the original text.
 
     ``kept_id`` is the least document id whose copy stays.  Repeats within one document count.  Documents without
@@ -119,13 +120,14 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return (out if whole_lines else out.where(F.col("words") >= min_run_words)).drop("run")
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_run_words: int = 18, whole_lines: bool = False) -> DataFrame:
-    """All rows and columns of ``docs``, the texts without their repeated spans."""
-    spans = repeated_spans(docs, id_col, text_col, min_run_words, whole_lines).groupBy("id").agg(F.sort_array(F.collect_list(F.struct("start", "stop"))).alias("_spans"))
-    spans = spans.withColumnRenamed("id", "_span_id")
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_run_words: int = 18, whole_lines: bool = True) -> DataFrame:
+    """All rows and columns of ``docs``, whatever their names, the texts without their repeated spans."""
+    cuts, key = fresh_name(docs, "spans"), fresh_name(docs, "span_id")
+    spans = repeated_spans(docs, id_col, text_col, min_run_words, whole_lines).groupBy("id").agg(F.sort_array(F.collect_list(F.struct("start", "stop"))).alias(cuts))
+    spans = spans.withColumnRenamed("id", key)
     text = F.col(text_col)
-    ends = F.concat(F.transform("_spans", lambda s: s["start"]), F.array(F.char_length(text)))
-    starts = F.concat(F.array(F.lit(0)), F.transform("_spans", lambda s: s["stop"]))
+    ends = F.concat(F.transform(cuts, lambda s: s["start"]), F.array(F.char_length(text)))
+    starts = F.concat(F.array(F.lit(0)), F.transform(cuts, lambda s: s["stop"]))
     kept = F.array_join(F.zip_with(starts, ends, lambda a, b: F.substring(text, a + 1, b - a)), "")
-    joined = docs.join(spans, F.col(id_col) == F.col("_span_id"), "left")
-    return joined.withColumn(text_col, F.when(F.col("_spans").isNull(), text).otherwise(kept)).select(*docs.columns)
+    joined = docs.join(spans, F.col(id_col) == F.col(key), "left")
+    return joined.withColumn(text_col, F.when(F.col(cuts).isNull(), text).otherwise(kept)).select(*docs.columns)

@@ -80,7 +80,7 @@ def test_simhash_rows(spark, awkward):
     assert simhash.near_duplicates(awkward.limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("bucket", [8192, 4])
+@pytest.mark.parametrize("bucket", [8192, 30, 1])
 def test_simhash_links_equal_brute_force(spark, bucket):
     rng = random.Random(4)
     base = [rng.getrandbits(64) for _ in range(40)]
@@ -118,11 +118,11 @@ def test_repeats_are_found_wherever_they_stand(spark):
     passage = prose(50, 60)
     rows = [(1, prose(10, 40) + "\n" + passage + "\n" + prose(11, 30)), (2, prose(12, 33) + " " + passage + " " + prose(13, 20)), (3, prose(14, 200)), (4, "short line\n" + prose(15, 40)), (5, "short line\n" + prose(16, 40)), (6, None), (7, "")]
     frame = docs(spark, rows)
-    spans = substring_dedup.repeated_spans(frame).collect()
+    spans = substring_dedup.repeated_spans(frame, whole_lines=False).collect()
     assert {r["id"] for r in spans} == {2} and {r["kept_id"] for r in spans} == {1}
     text = dict(rows)[2]
     assert all(text[r["start"] : r["stop"]] in passage for r in spans) and sum(r["words"] for r in spans) >= 30
-    cleaned = {r["doc_id"]: r["text"] for r in substring_dedup.remove_repeats(frame).collect()}
+    cleaned = {r["doc_id"]: r["text"] for r in substring_dedup.remove_repeats(frame, whole_lines=False).collect()}
     span = spans[0]
     assert cleaned[2] == text[: span["start"]] + text[span["stop"] :] and cleaned[1] == rows[0][1] and cleaned[6] is None
     assert substring_dedup.repeated_spans(frame.limit(0)).count() == 0
@@ -152,20 +152,49 @@ def test_repeated_whole_lines_of_any_length(spark):
     assert {r["doc_id"]: r["text"] for r in substring_dedup.remove_repeats(frame, whole_lines=True).collect()}[51] == "."
 
 
-def test_op1_reports_short_repeated_lines(spark):
-    found = {}
-    for r in queries.op1_substring_dedup(spark, SF).collect():
-        found.setdefault(r["doc_id"], []).append((r["start_char"], r["stop_char"]))
-    seen = set()
-    for r in spark.read.parquet(f"{SF}/documents.parquet").orderBy("doc_id").collect():
-        at = 0
-        for line in (r["text"] or "").split("\n"):
-            words = [(m.start(), m.end(), m.group().lower()) for m in re.finditer(r"\w+", line)]
-            if words:
-                key = " ".join(w for *_, w in words)
-                assert key not in seen or any(a <= at + words[0][0] and at + words[-1][1] <= b for a, b in found.get(r["doc_id"], []))
-                seen.add(key)
+def test_op1_equals_brute_force(spark):
+    first, first_line, table_ = {}, {}, []
+    rows = sorted(((r["doc_id"], r["text"] or "") for r in spark.read.parquet(f"{SF}/documents.parquet").collect()))
+    for key, text in rows:  # every unit, and every line with the units it is cut into
+        n, at, own = 0, 0, []
+        for line in text.split("\n"):
+            units = [(at + a, at + b, w, d) for a, b, w, d in substring_dedup.units(line)]
+            if units:
+                words = " ".join(re.findall(r"\w+", line.lower()))
+                own.append((n, units, words))
+                first_line.setdefault(words, (key, n))
+                for i, u in enumerate(units):
+                    first.setdefault(u[3], (key, n + i))
+                first.setdefault(hashlib.blake2b(words.encode(), digest_size=16).digest(), (key, n))
+                n += len(units)
             at += len(line) + 1
+        table_.append((key, own))
+    want = set()
+    for key, own in table_:
+        removed = {}
+        for n, units, words in own:
+            line_goes = first_line[words] != (key, n)
+            whole = first[hashlib.blake2b(words.encode(), digest_size=16).digest()]
+            for i, u in enumerate(units):
+                if line_goes or first[u[3]] != (key, n + i):
+                    removed[n + i] = (*u[:3], min(first[u[3]][0], whole[0]) if line_goes else first[u[3]][0], line_goes)
+        runs = []
+        for n in sorted(removed):
+            if runs and runs[-1][-1] == n - 1:
+                runs[-1].append(n)
+            else:
+                runs.append([n])
+        for run in runs:
+            long = sum(removed[n][2] for n in run) >= 18
+            stay = [n for n in run if long or removed[n][4]]
+            part = []
+            for n in [*stay, None]:
+                if part and n != part[-1] + 1 if n is not None else part:
+                    want.add((key, removed[part[0]][0], removed[part[-1]][1], sum(removed[m][2] for m in part), len(part)))
+                    part = []
+                part.append(n)
+    got = {(r["doc_id"], r["start_char"], r["stop_char"], r["n_words"], r["n_units"]) for r in queries.op1_substring_dedup(spark, SF).collect()}
+    assert got == want and len(got) > 20
 
 
 def test_units_cover_words_and_digests_ignore_case():
@@ -176,7 +205,7 @@ def test_units_cover_words_and_digests_ignore_case():
 
 
 def test_awkward_repeats(spark, awkward):
-    assert {r["id"] for r in substring_dedup.repeated_spans(awkward).collect()} == {5}
+    assert {r["id"] for r in substring_dedup.repeated_spans(awkward, whole_lines=False).collect()} == {5} == {r["id"] for r in substring_dedup.repeated_spans(awkward).collect()}
 
 
 def test_templates(spark):
@@ -241,9 +270,52 @@ def test_op2_equals_whole_passage_search(spark):
 # --- mixing
 
 
-def test_quotas():
-    assert mixing.quotas([10, 100, 1000], [5, 2, 1], 1110) == [30.0, 300.0, 780.0]
-    assert mixing.quotas([0, 0], [5, 2], 0) == [0.0, 0.0] and mixing.quotas([], [], 0) == []
+def test_targets_equal_a_loop(spark):
+    from fractions import Fraction
+
+    rng = random.Random(5)
+    for sizes in ([10, 100, 1000], [0, 0], [], [7], [rng.choice([0, 1, 5, 900, 10**13]) for _ in range(40)]):
+        names = [None if i == 3 else f"s{i:03}" for i in range(len(sizes))]
+        order = sorted(range(len(sizes)), key=lambda i: (names[i] is None, names[i] or ""))
+        weight = {i: (5, 2, 1)[k % 3] for k, i in enumerate(order)}
+        open_, rest, want = set(weight), sum(sizes), {}
+        while open_:
+            total = sum(weight[i] for i in open_)
+            full = {i for i in open_ if Fraction(rest * weight[i], total) > 3 * sizes[i]} or open_
+            done = full if full is not open_ else open_
+            for i in done:
+                want[names[i]] = float(3 * sizes[i]) if full is not open_ else rest * weight[i] / total
+            if full is open_:
+                break
+            rest -= sum(3 * sizes[i] for i in full)
+            open_ -= full
+        frame = spark.createDataFrame(list(zip(names, sizes)), "source string, source_size long")
+        got = {r["source"]: r["target"] for r in mixing.source_targets(frame, sum(sizes)).collect()}
+        assert got.keys() == want.keys() and all(abs(got[k] - want[k]) <= 1e-9 * max(1, want[k]) for k in want)
+
+
+def test_flow_equals_brute_force_on_overlapping_patterns():
+    import itertools
+
+    rng = random.Random(9)
+    for _ in range(40):
+        m = rng.randint(1, 3)
+        members = rng.sample([c for n in (1, 2, 3) for c in itertools.combinations(range(m), n)], k=min(3, 2**m - 1))
+        patterns = [(c, rng.randint(1, 4)) for c in members]
+        quota = [rng.randint(0, 6) for _ in range(m)]
+        best = None
+        splits = [[x for x in itertools.product(range(3 * size + 1), repeat=len(c)) if sum(x) <= 3 * size] for c, size in patterns]
+        for choice in itertools.product(*splits):
+            into = [0] * m
+            for (c, _), x in zip(patterns, choice):
+                for s, words in zip(c, x):
+                    into[s] += words
+            if all(a <= q for a, q in zip(into, quota)):
+                taken = [sum(x) for x in choice]
+                cost = sum(max(0, t - size) + max(0, t - 2 * size) for t, (_, size) in zip(taken, patterns))
+                best = min(best, (-sum(taken), cost)) if best else (-sum(taken), cost)
+        got = mixing.route(patterns, quota)
+        assert (-sum(got), sum(max(0, t - size) + max(0, t - 2 * size) for t, (_, size) in zip(got, patterns))) == best
 
 
 def test_flow_uses_repeats_only_where_needed():
@@ -263,6 +335,19 @@ def test_mix_is_near_targets_and_stable(spark):
     assert mixing.mix(frame.limit(0)).count() == 0
 
 
+def test_many_sources_stay_in_the_table(spark):
+    frame = spark.range(4000).select("id", F.array(F.concat(F.lit("s"), F.col("id") % 2500)).alias("sources"), (F.col("id") % 7).alias("size"))
+    before, mixing.MAX_PATTERNS = mixing.MAX_PATTERNS, 10
+    try:
+        got = mixing.mix(frame)
+        assert got.count() == 4000 and got.where("taken > 3 * size").count() == 0
+        overlapping = frame.withColumn("sources", F.array(F.lit("a"), F.concat(F.lit("s"), F.col("id") % 20)))
+        with pytest.raises(ValueError, match="overlapping"):
+            mixing.mix(overlapping)
+    finally:
+        mixing.MAX_PATTERNS = before
+
+
 def test_mix_documents_repeats_rows(spark, awkward):
     out = mixing.mix_documents(awkward)
     assert out.columns == awkward.columns and None in [r["doc_id"] for r in out.collect()]
@@ -290,6 +375,28 @@ def test_quality_edges(spark, awkward):
     assert quality_gam.score(awkward.limit(0), quality_gam.train(awkward, some)).count() == 0
 
 
+def test_scores_are_sums_of_table_entries(spark):
+    import bisect
+    import math
+
+    docs_, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
+    model = quality_gam.train(docs_, labels)
+    again = quality_gam.train(docs_.repartition(3), labels.repartition(2))
+    texts = {r["doc_id"]: (r["text"] or "").encode() for r in docs_.collect()}
+    for r in quality_gam.score(docs_, model).collect():
+        bins = [bisect.bisect_right(list(edges), x) for edges, x in zip(model.edges, quality_gam.features(texts[r["id"]]))]
+        z = model.base + sum(t[b] for t, b in zip(model.tables, bins)) + sum(t[bins[i]][bins[j]] for i, j, t in model.pairs)
+        assert abs(r["score"] - 1 / (1 + math.exp(-z))) < 1e-9 and r["predicted"] == (r["score"] >= 0.3)
+    assert all(np.array_equal(a, b) for a, b in zip(model.tables, again.tables))
+
+
+def test_repeated_ids_fit_the_same_model(spark):
+    rows = [(i, prose(i, 40)) for i in range(40)] + [(i, prose(1000 + i, 9)) for i in range(40)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int")
+    a, b = (quality_gam.train(docs(spark, r), labels) for r in (rows, rows[::-1]))
+    assert all(np.array_equal(x, y) for x, y in zip(a.tables, b.tables))
+
+
 def test_tables_add_up():
     rng = np.random.default_rng(1)
     x = rng.random((2000, len(quality_gam.FEATURES)))
@@ -408,16 +515,33 @@ def test_example_hides_only_its_own_part():
 
 def test_sliding_entropy_equals_direct():
     rng = random.Random(8)
-    run = "".join(rng.choice("abcXYZ0123456789") for _ in range(60))
-    _, alphabet, least, digits = secret_scan.CLASSES[1]
-    direct = []
-    for i in range(len(run) - 19):
-        w = run[i : i + 20]
-        h = -sum(w.count(c) / 20 * np.log2(w.count(c) / 20) for c in set(w))
-        if h >= least + 1e-9 and sum(c.isdigit() for c in w) >= digits:
-            direct.append((i, i + 20))
-    spans = secret_scan.entropy_spans(run)
-    assert all(any(a <= i and j <= b for a, b in spans) for i, j in direct)
+    alphabets = ("0123456789abcdef", "0123456789ABCDEFabc", "abcdefXYZ0123456789", "abcXYZ012345+/_=-", "aB3", "-+/=_9x")
+    for n in range(300):
+        run = "".join(rng.choice(alphabets[n % len(alphabets)]) for _ in range(rng.randint(20, 70)))
+        hot = set()
+        for _, alphabet, least, digits in secret_scan.CLASSES:
+            for i in range(len(run) - 19):
+                w = run[i : i + 20]
+                h = -sum(w.count(c) / 20 * np.log2(w.count(c) / 20) for c in set(w))
+                assert abs(h - least) > 1e-9
+                if set(w) <= alphabet and h >= least and sum(c.isdigit() for c in w) >= digits:
+                    hot.update(range(i, i + 20))
+        got = set() if secret_scan.ALLOW.fullmatch(run) else hot
+        assert {k for a, b in secret_scan.entropy_spans(run) for k in range(a, b)} == got
+
+
+def test_op7_base_spans_equal_the_stated_patterns(spark):
+    assign = re.compile(r"""([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
+    texts = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    for r in queries.op7_secret_scan(spark, SF).collect():
+        text, spans = texts[r["doc_id"]], []
+        spans += [(m.start(), 0, "assign", m.end()) for m in assign.finditer(text) if len(m[2]) >= 12]
+        spans += [(m.start(), 1, "access", m.end()) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 18]
+        spans += [(m.start(), 2, "hex", m.end()) for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 16]
+        listed = [f"{kind}:{a}:{b}" for a, _, kind, b in sorted(spans)]
+        assert [r["n_assign"], r["n_access"], r["n_hex"]] == [sum(s[1] == k for s in spans) for k in range(3)]
+        assert r["base_sha256"] == hashlib.sha256(",".join(listed).encode()).hexdigest()
+        assert [s for s in r["spans"].split(",") if s and not s.startswith("entropy")] == listed
 
 
 def test_secret_rows(spark, awkward):
