@@ -259,6 +259,15 @@ def test_short_items_and_common_windows(spark):
     assert got == {(10, 1), (12, 2), (200, 4), (201, 6)}
 
 
+def test_leaks_in_awkward_rows(spark, awkward):
+    item = prose(1, 80)
+    bench = spark.createDataFrame([(1, item, "x"), (1, item, "x"), (2, None, "x"), (None, item, "x"), (3, prose(3, 30_000)[:4000], "x")], "item_id long, text string, doc_id string")
+    got = {(r["id"], r["item_id"]) for r in decontaminate.contaminated(awkward, bench).collect()}
+    assert got == {(4, 1), (5, 1), (6, 3)}
+    left = [r["doc_id"] for r in decontaminate.drop_contaminated(awkward.withColumn("_bad_id", F.lit(4)), bench).collect()]
+    assert sorted(map(str, left)) == ["1", "2", "3", "7", "8", "None"]
+
+
 def test_op2_equals_whole_passage_search(spark):
     got = {(r["doc_id"], r["item_id"]) for r in queries.op2_benchmark_decontamination(spark, SF).collect()}
     words = lambda t: " ".join(re.findall(r"\w+", t.lower()))
@@ -488,6 +497,15 @@ def test_url_rules(spark):
     assert url_rules.judged(frame.limit(0), spark.createDataFrame(rules, "host string, path string, verdict string")).count() == 0
 
 
+def test_awkward_urls(spark):
+    long = "http://" + "a." * 30_000 + "example.net/en/" + "p" * 500_000
+    frame = spark.createDataFrame([(1, long), (1, long), (2, None), (3, ""), (None, "http://x.org/fr/1"), (4, "http://NET")], "page_id long, url string")
+    rules = spark.createDataFrame(list(queries.RULES), "host string, path string, verdict string")
+    got = sorted((str(r["id"]), r["rule"], r["verdict"], len(r["host"]), len(r["path"])) for r in url_rules.judged(frame, rules).collect())
+    assert got == sorted([*[("1", "example.net/en/", "allow", 60_011, 500_004)] * 2, ("2", None, "allow", 0, 0), ("3", None, "allow", 0, 0), ("None", "org/fr/", "allow", 5, 5), ("4", None, "allow", 3, 0)], key=str)
+    assert url_rules.judged(frame, rules.limit(0)).where("rule IS NULL AND verdict = 'allow'").count() == 6
+
+
 # --- secrets
 
 

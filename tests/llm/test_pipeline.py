@@ -48,3 +48,27 @@ def test_stages_and_result(spark):
         ids = np.array(tok.encode(whole[i]["text"], add_special_tokens=False).ids + [2], "<u4")
         assert row == (start, i, len(ids), zlib.crc32(ids.tobytes()))
         start += len(ids)
+
+
+def test_stages_on_awkward_rows(spark):
+    from pyspark.sql.types import LongType, StringType, StructField
+
+    docs = table(spark, SF, "documents")
+    extra = [*docs.schema.fields, StructField("_bad_id", StringType()), StructField("_times", LongType()), StructField("_kept_id", StringType()), StructField("id", LongType()), StructField("fp", StringType())]
+    long = "river stone meadow cloud " * 30_000
+    good = docs.where("doc_id = 5").first()["text"]
+    rows = [(1, None, "en", "a"), (2, "", "en", None), (3, long, None, "b"), (None, good, "en", "a"), (None, None, None, None), (5, good, "en", "a"), (5, good, "en", "a"), (6, good, "en", "c"), (7, "one", "en", "c")]
+    schema = type(docs.schema)(extra)
+    frame = spark.createDataFrame([(i, t, lang, source, len(t or ""), "x", 1, "y", 9, "z") for i, t, lang, source in rows], schema)
+    now = frame
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        now = materialise(stage(spark, now, SF), "awkward")
+        assert now.columns == frame.columns
+    seen = now.collect()
+    assert {tuple(r) for r in seen} <= {tuple(r) for r in frame.collect()}
+    ids = [r["doc_id"] for r in seen]
+    assert 6 not in ids and len([i for i in ids if i is None]) <= 2
+    last = corpus_pipeline.token_ids(spark, now, SF).collect()
+    assert sorted(str(r["doc_id"]) for r in last) == sorted(map(str, ids))
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, frame.limit(0), SF).count() == 0, name
