@@ -39,8 +39,17 @@ def preflight(routes: DataFrame, candidates: DataFrame) -> DataFrame:
     return first.select("route_id", F.col("bad").isNull().alias("feasible"), F.col("bad.before").alias("from_milli"), F.col("bad.pos").alias("to_milli"), F.col("bad.gap").alias("gap_milli"))
 
 
+def dealt(candidates: DataFrame) -> DataFrame:
+    """Candidates dealt by route, so that the windows, the grouping and the search after it move nothing again.
+
+    Into several times as many tasks as there are cores at least, since routes' efforts differ widely.
+    """
+    spark = candidates.sparkSession
+    return candidates.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism), "route_id")
+
+
 def marked(candidates: DataFrame) -> DataFrame:
-    """All candidates with ``removed`` and ``margin_blocked``.
+    """All candidates, dealt by route, with ``removed``, ``margin_blocked`` and ``price_only``.
 
     ``removed`` is co_located or tail where a cheaper one dominates, null for those that stay: a candidate is dominated
     by one at the same position, then within a tank of the end by one before it.  An estimated price never dominates a
@@ -50,7 +59,7 @@ def marked(candidates: DataFrame) -> DataFrame:
     estimated = F.col("price_source") == "eia_regional_estimate"
     same = Window.partitionBy("route_id", "pos_milli_mi").orderBy("price_milli", "opis_id").rowsBetween(Window.unboundedPreceding, -1)
     tail = Window.partitionBy("route_id", "_tail").orderBy(*_ORDER).rowsBetween(Window.unboundedPreceding, -1)
-    rows = candidates.withColumn("_tail", F.col("pos_milli_mi") + F.col("tank_milli_mi") >= F.col("total_milli_mi"))
+    rows = dealt(candidates).withColumn("_tail", F.col("pos_milli_mi") + F.col("tank_milli_mi") >= F.col("total_milli_mi"))
     for name, w in (("same", same), ("before", tail)):
         rows = rows.withColumn(f"_any_{name}", F.min("price_milli").over(w)).withColumn(f"_real_{name}", F.min(F.when(~estimated, F.col("price_milli"))).over(w))
     beats = lambda name, kind: F.coalesce(F.col("price_milli") >= F.col(f"_{kind}_{name}"), F.lit(False))
@@ -118,18 +127,19 @@ def effort(routes: DataFrame, kept: DataFrame) -> DataFrame:
 
 def problems(routes: DataFrame, stations: DataFrame) -> DataFrame:
     """One row per route with its stations as an array, each with ``kept`` (all, unless ``stations`` is marked by pruning)."""
-    kept = F.col("removed").isNull() if "removed" in stations.columns else F.lit(True)
+    is_marked = "removed" in stations.columns
+    kept = F.col("removed").isNull() if is_marked else F.lit(True)
     station = F.struct(F.col("pos_milli_mi").alias("pos"), F.col("price_milli").alias("price"), F.col("opis_id").cast("long").alias("id"), (F.col("price_source") == "eia_regional_estimate").alias("estimated"), kept.alias("kept"))
-    gathered = stations.groupBy("route_id").agg(F.collect_list(station).alias("stations"))
+    gathered = (stations if is_marked else dealt(stations)).groupBy("route_id").agg(F.collect_list(station).alias("stations"))
     return routes.select("route_id", "total_milli_mi", "tank_milli_mi", "on_board_milli_mi").join(gathered, "route_id", "left")
 
 
 PLANS = (
-    "route_id long, method string, feasible boolean, n_stops int, cost long, objective long, bought long, "
+    "route_id long, asked string, method string, feasible boolean, stations int, estimate long, n_stops int, cost long, objective long, bought long, "
     "stops array<struct<pos:long,id:long,price:long,amount:long,reason:string,target:long>>"
 )
 _STOPS = pa.list_(pa.struct([("pos", pa.int64()), ("id", pa.int64()), ("price", pa.int64()), ("amount", pa.int64()), ("reason", pa.string()), ("target", pa.int64())]))
-_PLAN_TYPES = (pa.int64(), pa.string(), pa.bool_(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), _STOPS)
+_PLAN_TYPES = (pa.int64(), pa.string(), pa.string(), pa.bool_(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), _STOPS)
 
 
 def _planned(name: str, whole: solvers.Problem, kept: list[solvers.Station], rates: solvers.Rates, most_labels: int | None) -> tuple[str, list[solvers.Buy] | None]:
@@ -144,11 +154,11 @@ def _planned(name: str, whole: solvers.Problem, kept: list[solvers.Station], rat
     return name, solvers.greedy(whole) if name == "greedy" else solvers.heuristic(whole, rates)
 
 
-def solve(problem_rows: DataFrame, methods: tuple[str, ...], mpg: int = MPG, stop_cents: int = STOP_CENTS, margin_cents: int = MARGIN_CENTS, most_labels: int | None = EXACT_LABELS) -> DataFrame:
+def solve(problem_rows: DataFrame, methods: tuple[str, ...], mpg: int = MPG, stop_cents: int = STOP_CENTS, margin_cents: int = MARGIN_CENTS, most_labels: int | None = EXACT_LABELS, budget: int = EXACT_BUDGET) -> DataFrame:
     """A plan per route and method: naive, greedy, heuristic (on all stations) and exact (on the kept ones).
 
-    ``planned`` takes the column ``method`` of each row.  Costs are in price milli-dollars × milli-miles.  Routes are
-    dealt by id over several times as many tasks as there are cores, since their efforts differ widely.
+    ``planned`` takes the column ``method`` of each row, or without one exact where the kept stations' estimated effort
+    is at most ``budget``, else heuristic; ``estimate`` tells it.  Costs are in price milli-dollars × milli-miles.
     """
     rates = solvers.Rates(stop_cents * 10_000 * mpg, margin_cents * 10_000 * mpg)
     names = [x.split()[0] for x in PLANS.split(", ")]
@@ -169,18 +179,22 @@ def solve(problem_rows: DataFrame, methods: tuple[str, ...], mpg: int = MPG, sto
                 for (route, total, tank, on_board), n, own in zip(routes, counts, chosen):
                     stations, kept = every[at : at + n], [s for s, good in zip(every[at : at + n], flags[at : at + n]) if good]
                     at += n
+                    whole = solvers.Problem(total, tank, on_board, stations)
                     for name in methods:
-                        kind, plan = _planned(own if name == "planned" else name, solvers.Problem(total, tank, on_board, stations), kept, rates, most_labels)
+                        kind, estimate = name, None
+                        if name == "planned":
+                            estimate = solvers.effort(whole._replace(stations=kept)) if own is None else None
+                            kind = own or ("exact" if estimate <= budget else "heuristic")
+                        kind, plan = _planned(kind, whole, kept, rates, most_labels)
                         done = plan is not None
                         rows.append((
-                            route, kind, done, len(plan) if done else None, solvers.plan_cost(plan) if done else None,
+                            route, name, kind, done, n, estimate, len(plan) if done else None, solvers.plan_cost(plan) if done else None,
                             solvers.objective(plan, stations, rates) if done else None, sum(b.amount for b in plan) if done else None,
                             [b._asdict() for b in plan] if done else None,
                         ))
                 yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(_PLAN_TYPES)], names=names)
 
-    tasks = 4 * problem_rows.sparkSession.sparkContext.defaultParallelism
-    return problem_rows.repartition(tasks, "route_id").mapInArrow(run, PLANS)
+    return problem_rows.mapInArrow(run, PLANS)
 
 
 def dispatched(routes: DataFrame, candidates: DataFrame, budget: int = EXACT_BUDGET) -> DataFrame:
@@ -191,7 +205,7 @@ def dispatched(routes: DataFrame, candidates: DataFrame, budget: int = EXACT_BUD
     known = written(marked(candidates), "marked-candidates")
     chosen = effort(routes, known.where("removed IS NULL")).withColumn("method", F.when(F.col("estimate") <= budget, "exact").otherwise("heuristic"))
     good = preflight(routes, known).where("feasible").select("route_id")
-    return problems(routes, known).join(chosen, "route_id").join(good, "route_id", "left_semi")
+    return problems(routes, dealt(known)).join(chosen, "route_id").join(good, "route_id", "left_semi")
 
 
 def dollars(cost: Column, mpg: int = MPG) -> Column:

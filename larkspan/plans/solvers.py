@@ -65,6 +65,19 @@ def first_gap(p: Problem) -> tuple[int, int] | None:
     return None
 
 
+def effort(p: Problem) -> int:
+    """Transitions that an exact search is estimated to make; 0 for a route beyond reach, which is not searched."""
+    if first_gap(p) is not None:
+        return 0
+    stops = sorted(p.stations)
+    places = [s.pos for s in stops]
+    total = bisect_right(places, p.on_board) + (p.length <= p.on_board)
+    for i, at in enumerate(places):
+        reach = bisect_right(places, at + p.tank) - i - 1 + (at + p.tank >= p.length)
+        total += reach * (reach + 1)
+    return total
+
+
 def price_blind(p: Problem) -> list[Buy] | None:
     """Drive on to the farthest station that the fuel aboard reaches and fill up; the last stop buys only the rest."""
     stops = sorted(p.stations, key=lambda s: (s.pos, -s.id))
@@ -185,6 +198,8 @@ def exact(p: Problem, rates: Rates, most_labels: int | None = None) -> list[Buy]
     """
     if p.length <= p.on_board:
         return []
+    if first_gap(p) is not None:
+        return None
     stops = sorted(p.stations)
     n = len(stops)
     known = heuristic(p, rates)

@@ -276,10 +276,13 @@ def _geometric(spark, d):
 
 
 @query(_END_TO_END + ", " + ", ".join((plan_sql.preflight("vc"), plan_sql.effort("vc"), plan_sql.walk("heuristic", "hw", "vc"), plan_sql.walk("naive", "nw", "vc"))) + """, n AS (SELECT route_id, count(*) AS stations FROM vc GROUP BY route_id)
-SELECT route_id, pf.feasible, CASE WHEN pf.feasible THEN coalesce(stations, 0) ELSE 0 END::INT AS stations, CASE WHEN pf.feasible THEN estimate END AS estimate, CASE WHEN pf.feasible THEN 'heuristic' END AS strategy, CASE WHEN pf.feasible THEN hw_p.n_stops END AS n_stops, CASE WHEN pf.feasible THEN hw_p.cost END AS cost,
-  CASE WHEN pf.feasible THEN hw_p.objective END AS objective, CASE WHEN pf.feasible THEN nw_p.cost END AS naive_cost FROM pf JOIN ef USING (route_id) JOIN hw_p USING (route_id) JOIN nw_p USING (route_id) LEFT JOIN n USING (route_id)""", recursive=True)
+SELECT route_id, pf.feasible AND hw_p.feasible AS feasible, CASE WHEN pf.feasible AND hw_p.feasible THEN coalesce(stations, 0) ELSE 0 END::INT AS stations, CASE WHEN pf.feasible AND hw_p.feasible THEN estimate END AS estimate, CASE WHEN pf.feasible AND hw_p.feasible THEN 'heuristic' END AS strategy, CASE WHEN pf.feasible AND hw_p.feasible THEN hw_p.n_stops END AS n_stops, CASE WHEN pf.feasible AND hw_p.feasible THEN hw_p.cost END AS cost,
+  CASE WHEN pf.feasible AND hw_p.feasible THEN hw_p.objective END AS objective, nw_p.cost AS naive_cost FROM pf JOIN ef USING (route_id) JOIN hw_p USING (route_id) JOIN nw_p USING (route_id) LEFT JOIN n USING (route_id)""", recursive=True)
 def pln14_end_to_end(spark, d):
-    """Corridor, indexed prices, reachability, pruning, effort and plan in one pipeline, every route by the heuristic (no exact search), which SQL can follow."""
+    """Corridor, indexed prices, reachability, pruning, effort and plan in one pipeline, every route by the heuristic (no exact search), which SQL can follow.
+
+    A station at mile 0 bridges the first stretch for the reachability check, but the walk only looks ahead of the start.
+    """
     routes = src.routes(spark, d)
     return trips.planned_routes(routes, _geometric(spark, d), budget=-1)
 

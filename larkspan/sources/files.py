@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _FALLBACK: dict[str, str] = {}
+_WRITTEN: dict[str, list[str]] = {}
 #: Pattern of a release folder: date and counter.
 RELEASE = r"/release=(\d{4}-\d{2}-\d{2}\.\d+)/"
 
@@ -26,7 +27,16 @@ def fresh_path(spark: SparkSession, label: str) -> str:
         if app not in _FALLBACK:
             _FALLBACK[app] = "file://" + tempfile.mkdtemp(prefix="spark-files-", dir="/tmp")
         named = _FALLBACK[app]
-    return f"{named.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    path = f"{named.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    _WRITTEN.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def drop_written(spark: SparkSession) -> None:
+    """Delete what this session wrote into the shared folder; what reads it lazily must be done."""
+    for path in _WRITTEN.pop(spark.sparkContext.applicationId, []):
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def written(df: DataFrame, label: str) -> DataFrame:
