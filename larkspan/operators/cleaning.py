@@ -92,6 +92,13 @@ def upsert_plan(snapshot: DataFrame, files: DataFrame, value: str) -> DataFrame:
     return old.join(new, "opis_id", "full").select("opis_id", F.when(F.col("_in"), F.col("_new")).otherwise(F.col("_old")).alias(value), change.alias("change"))
 
 
+def file_changes(snapshot: DataFrame, files: DataFrame, value: str) -> DataFrame:
+    """Each file row with ``change`` against the snapshot: created, unchanged or updated."""
+    old = snapshot.select("opis_id", F.col(value).alias("_old"), F.lit(True).alias("_had"))
+    change = F.when(F.col("_had").isNull(), "created").when(F.col("_old").eqNullSafe(F.col(value)), "unchanged").otherwise("updated")
+    return files.join(old, "opis_id", "left").withColumn("change", change).drop("_old", "_had")
+
+
 def overlapping(places: DataFrame, boxes: tuple[tuple[int, int, int, int], ...]) -> DataFrame:
     """Rows whose ``bbox`` struct meets one of the (south, north, west, east) boxes; plain field ranges, so scans can use them."""
     b = lambda f: F.col(f"bbox.{f}")

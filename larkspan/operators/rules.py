@@ -28,6 +28,27 @@ def purge_counts(df: DataFrame, source: str) -> DataFrame:
     return df.agg(F.count(F.lit(1)).alias("before"), F.count_if(gone).alias("deleted"), F.count_if(~gone).alias("after"))
 
 
+def invariant_violations(stations: DataFrame, base: int, span: int) -> DataFrame:
+    """One row of counts, all 0 for a sound data set (``max_other_id`` apart).
+
+    ``stations`` carry source, gers_id, price_source and baseline_milli.  Minted ids lie in the ``span`` from ``base`` on
+    and belong to rows of the place source, which have a source key; an estimate is its region's baseline.
+    """
+    placed, inside = F.col("source") == "overture", (F.col("opis_id") >= base) & (F.col("opis_id") < base + span)
+    return stations.agg(
+        F.count_if(~F.coalesce(F.col("source").isin("opis", "overture") & F.col("price_source").isin("opis_indexed", "eia_regional_estimate"), F.lit(False))).alias("unknown_source"),
+        F.count_if(placed & (F.col("gers_id").isNull() | ~inside)).alias("bad_minted"), F.count_if(~placed & inside).alias("in_reserved_span"), F.max(F.when(~placed, F.col("opis_id"))).alias("max_other_id"),
+        F.count_if((F.col("price_source") == "eia_regional_estimate") & ~F.col("price_milli").eqNullSafe(F.col("baseline_milli"))).alias("estimate_off_baseline"),
+    )
+
+
+def checked(violations: DataFrame) -> DataFrame:
+    """The counts, or an error that names the first broken invariant when they are read."""
+    names = [c for c in violations.columns if c != "max_other_id"]
+    bad = F.coalesce(*[F.when(F.col(c) > 0, F.concat(F.lit(f"{c}: "), F.col(c).cast("string"))) for c in names])
+    return violations.where(F.when(bad.isNull(), True).otherwise(F.raise_error(F.concat(F.lit("broken invariant "), bad)).cast("boolean")))
+
+
 def token_rule(tokens: Column, singles: tuple[str, ...], pairs: tuple[str, ...]) -> Column:
     """True if a token is among ``singles`` or two neighbours are among ``pairs``."""
     two = F.zip_with(tokens, F.slice(tokens, 2, F.greatest(F.size(tokens), F.lit(1))), lambda a, b: F.concat_ws(" ", a, b))

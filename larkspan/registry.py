@@ -171,15 +171,6 @@ def agg8_coverage(spark, d):
     return rows.groupBy("state").agg(F.count(F.lit(1)).alias("stations"), scope.alias("in_scope"), good.alias("routable"), F.coalesce(F.round(good / F.nullif(scope, F.lit(0)), 6), F.lit(0.0)).alias("coverage"))
 
 
-@query("""SELECT count(*) FILTER (price_source NOT IN ('opis_indexed', 'eia_regional_estimate')) AS unknown_source, count(*) FILTER (opis_id BETWEEN 1000000000 AND 1999999999) AS in_reserved_span, max(opis_id) AS max_id, count(*) FILTER (price_source = 'eia_regional_estimate' AND s.price_milli <> r.baseline_milli) AS estimate_off_baseline FROM v_station s LEFT JOIN v_state r USING (state)""")
-def agg10_invariants(spark, d):
-    s = src.stations(spark, d).join(F.broadcast(src.state_regions(spark)), "state", "left")
-    return s.agg(
-        F.count_if(~F.col("price_source").isin("opis_indexed", "eia_regional_estimate")).alias("unknown_source"), F.count_if(F.col("opis_id").between(1_000_000_000, 1_999_999_999)).alias("in_reserved_span"),
-        F.max("opis_id").alias("max_id"), F.count_if((F.col("price_source") == "eia_regional_estimate") & (F.col("price_milli") != F.col("baseline_milli"))).alias("estimate_off_baseline"),
-    )
-
-
 # --- prices
 
 _FACTORS = """w AS (SELECT *, row_number() OVER (PARTITION BY region_no ORDER BY period DESC) AS r FROM v_weekly),

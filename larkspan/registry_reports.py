@@ -6,10 +6,10 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from .functions import geo, text
-from .operators import cleaning, measure, pricing, rules
-from .plans import search
-from .registry import _EFFORT, _INCOMING, _existing, _FACTORS, _incoming, query
-from .registry_plans import _CONTEXT, _NAIVE, _TRIPS, _WALK, _context, _plans, _trips
+from .operators import cleaning, corridor, measure, pricing, rules
+from .plans import search, trips
+from .registry import _CORRIDOR, _EFFORT, _INCOMING, _existing, _FACTORS, _incoming, query
+from .registry_plans import _CONTEXT, _NAIVE, _PLAN_LEGS, _TRIPS, _WALK, _context, _plans, _stops, _trips, _usd
 from .sources import adapters as src
 from .sources import files
 from .streaming import counters
@@ -371,3 +371,70 @@ def stm5_refreshed(spark, d):
 def stm6_bursts(spark, d):
     """Bursts by session windows, as the stream counts them, over the table at once."""
     return counters.stream_bursts(src.read(spark, d, "events"), "1 hour").groupBy("user_id").agg(F.count(F.lit(1)).alias("bursts"), F.sum("events").alias("events"))
+
+
+# --- checks and details
+
+
+@query("""s AS (SELECT CASE WHEN opis_id % 4 = 1 THEN 1000000000 + CASE WHEN opis_id % 80 = 1 THEN -5 ELSE opis_id END ELSE opis_id END::BIGINT AS id, CASE WHEN opis_id % 4 = 1 THEN 'overture' WHEN opis_id % 90 = 2 THEN 'odd' ELSE 'opis' END AS source, opis_id % 4 = 1 AND opis_id % 120 <> 5 AS has_key, price_source, baseline_milli,
+  CASE WHEN opis_id % 4 = 1 AND opis_id % 100 <> 9 THEN baseline_milli ELSE price_milli END AS price_milli FROM v_station LEFT JOIN v_state USING (state))
+SELECT count(*) FILTER (source = 'odd') AS unknown_source, count(*) FILTER (source = 'overture' AND (NOT has_key OR id < 1000000000)) AS bad_minted, count(*) FILTER (source <> 'overture' AND id BETWEEN 1000000000 AND 1999999999) AS in_reserved_span, max(CASE WHEN source <> 'overture' THEN id END) AS max_other_id,
+  count(*) FILTER (price_source = 'eia_regional_estimate' AND price_milli IS DISTINCT FROM baseline_milli) AS estimate_off_baseline FROM s""")
+def agg10_invariants(spark, d):
+    """Counts of broken invariants, over stations some of which were spoilt."""
+    k, minted = F.col("opis_id").cast("long"), F.col("opis_id") % 4 == 1
+    s = src.stations(spark, d).join(F.broadcast(src.state_regions(spark)), "state", "left")
+    rows = s.select(
+        F.when(minted, cleaning.ID_BASE + F.when(k % 80 == 1, -5).otherwise(k)).otherwise(k).alias("opis_id"), F.when(minted, "overture").when(k % 90 == 2, "odd").otherwise("opis").alias("source"), F.when(minted & (k % 120 != 5), F.concat(F.lit("g-"), k)).alias("gers_id"),
+        "price_source", "baseline_milli", F.when(minted & (k % 100 != 9), F.col("baseline_milli")).otherwise(F.col("price_milli")).alias("price_milli"),
+    )
+    return rules.invariant_violations(rows, cleaning.ID_BASE, 1_000_000_000)
+
+
+@query("""f AS (SELECT opis_id, 1 AS file_no, price_milli + CASE WHEN opis_id % 3 = 0 THEN 5 ELSE 0 END AS p FROM v_station WHERE opis_id % 2 = 0 UNION ALL SELECT opis_id + 1000000, 1, price_milli FROM v_station WHERE opis_id % 11 = 0 UNION ALL SELECT opis_id, 2, price_milli FROM v_station WHERE opis_id % 9 = 0)
+SELECT file_no, CASE WHEN s.opis_id IS NULL THEN 'created' WHEN s.price_milli = p THEN 'unchanged' ELSE 'updated' END AS change, count(*) AS n FROM f LEFT JOIN v_station s USING (opis_id) GROUP BY ALL""")
+def snk4_file_counts(spark, d):
+    """What each file's own rows would change, against the one snapshot taken before."""
+    s = src.stations(spark, d).select("opis_id", "price_milli")
+    row = lambda rows, key, no, price: rows.select(key.alias("opis_id"), F.lit(no).alias("file_no"), price.alias("price_milli"))
+    k, price = F.col("opis_id"), F.col("price_milli")
+    landed = row(s.where(k % 2 == 0), k, 1, price + F.when(k % 3 == 0, 5).otherwise(0)).union(row(s.where(k % 11 == 0), k + 1_000_000, 1, price)).union(row(s.where(k % 9 == 0), k, 2, price))
+    return cleaning.file_changes(s, landed, "price_milli").groupBy("file_no", "change").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT opis_id, CASE WHEN opis_id % 5 <> 0 THEN '2025-0' || (1 + opis_id % 9) || '-15.' || opis_id % 3 END AS release, opis_id % 5 <> 0 AS valid FROM v_station")
+def str8_release_names(spark, d):
+    k = F.col("opis_id")
+    name = F.format_string("2025-0%d-15.%d", 1 + k % 9, k % 3)
+    path = F.concat(F.lit("/places/release="), F.when(k % 5 == 0, F.lit("latest")).otherwise(name), F.lit("/part-0.parquet"))
+    return src.stations(spark, d).select("opis_id", files.release_of(path).alias("release"), files.is_release(files.release_of(path)).alias("valid"))
+
+
+@query("SELECT ['id', 'name', 'city', 'state'][opis_id % 4 + 1] AS missing, count(*) AS files FROM v_station GROUP BY 1")
+def set5_missing_columns(spark, d):
+    """Headers that lack one required column each, among columns nobody asked for."""
+    required, k = ["id", "name", "city", "state"], F.col("opis_id")
+    kept = F.filter(F.array(*map(F.lit, required)), lambda c: c != F.element_at(F.array(*map(F.lit, required)), (k % 4 + 1).cast("int")))
+    header = F.concat(F.array_join(kept, ","), F.lit(",extra"))
+    return src.stations(spark, d).select(F.array_join(files.missing_columns(header, required), ",").alias("missing")).groupBy("missing").agg(F.count(F.lit(1)).alias("files"))
+
+
+@query(_CORRIDOR + " WHERE route_id % 50 = 0")
+def join3_range_corridor(spark, d):
+    """The range join of whole routes' padded boxes, for the stated query set of routes whose id is divisible by 50, with all stations."""
+    return corridor.corridor_referee(src.route_points(spark, d).where("route_id % 50 = 0"), src.stations(spark, d))
+
+
+@query(_WALK + f""" SELECT s.route_id, stop_no::INT AS stop_no, id AS opis_id, (amount * 0.0001::DECIMAL(5,4))::DECIMAL(12,4) AS gallons, {_usd('(price * amount)')} AS cost_usd, on_board_milli_mi AS starting_milli FROM hw_s s JOIN v_route USING (route_id)""", recursive=True)
+def mat9_stop_costs(spark, d):
+    """Gallons and cost of each stop, and the miles that the fuel aboard lasts at the start."""
+    stops = _stops(spark, d)
+    gallons = (F.col("amount").cast("decimal(14,0)") * F.lit(0.0001).cast("decimal(5,4)")).cast("decimal(12,4)")
+    return stops.select("route_id", "stop_no", F.col("id").alias("opis_id"), gallons.alias("gallons"), search.dollars(F.col("price") * F.col("amount")).alias("cost_usd"), F.col("on_board_milli_mi").alias("starting_milli"))
+
+
+@query(_PLAN_LEGS + """ SELECT route_id, '[' || string_agg('{"from_milli":' || from_milli || ',"to_milli":' || to_milli || ',"bought_milli":' || bought_milli || ',"cost_units":' || cost || '}', ',' ORDER BY leg) || ']' AS legs FROM lg WHERE leg >= 0 GROUP BY route_id""", recursive=True)
+def jsn3_legs(spark, d):
+    leg = F.struct("from_milli", "to_milli", "bought_milli", F.col("cost").alias("cost_units"))
+    rows = trips.plan_legs(_plans(spark, d, "heuristic"), src.routes(spark, d)).groupBy("route_id").agg(F.sort_array(F.collect_list(F.struct("leg", leg.alias("j")))).alias("v"))
+    return rows.select("route_id", F.to_json(F.transform("v", lambda x: x["j"])).alias("legs"))

@@ -17,6 +17,20 @@ _WRITTEN: dict[str, list[str]] = {}
 RELEASE = r"/release=(\d{4}-\d{2}-\d{2}\.\d+)/"
 
 
+def release_of(path: Column) -> Column:
+    """The release that a path's folder names, null without one."""
+    return F.nullif(F.regexp_extract(path, RELEASE, 1), F.lit(""))
+
+
+def is_release(name: Column) -> Column:
+    return F.coalesce(name.rlike(r"^\d{4}-\d{2}-\d{2}\.\d+$"), F.lit(False))
+
+
+def missing_columns(header: Column, required: list[str]) -> Column:
+    """Required names that a comma-separated header lacks, in their order."""
+    return F.array_except(F.array(*map(F.lit, required)), F.split(header, ","))
+
+
 def fresh_path(spark: SparkSession, label: str) -> str:
     """A new path in the shared folder; a folder of this machine stands in only in local mode without the setting."""
     named = spark.conf.get("spark.checkpoint.dir", None)

@@ -122,3 +122,13 @@ def test_frontier_equals_a_loop(spark):
     got = {(r["route_id"], r["opis_id"]) for r in rules.frontier(spark.createDataFrame(rows, "route_id long, opis_id int, pos_milli_mi long, price_milli long")).collect()}
     beats = lambda b, c: b[0] == c[0] and b[3] <= c[3] and (b[2] > c[2] or (b[2] == c[2] and (b[3], b[1]) < (c[3], c[1])))
     assert got == {c[:2] for c in rows if not any(beats(b, c) for b in rows)}
+
+
+def test_broken_invariants_stop_the_read(spark):
+    row = lambda source, ident, gers, kind, price: (ident, source, gers, kind, price, 3500)
+    names = "opis_id long, source string, gers_id string, price_source string, price_milli long, baseline_milli long"
+    good = [row("opis", 7, None, "opis_indexed", 3000), row("overture", 10**9 + 4, "g", "eia_regional_estimate", 3500)]
+    assert rules.checked(rules.invariant_violations(spark.createDataFrame(good, names), 10**9, 10**9)).first()["max_other_id"] == 7
+    for bad, name in ((row("opis", 10**9, None, "opis_indexed", 1), "in_reserved_span"), (row("overture", 10**9, None, "opis_indexed", 1), "bad_minted"), (row(None, 1, None, "opis_indexed", 1), "unknown_source"), (row("opis", 1, None, "eia_regional_estimate", 1), "estimate_off_baseline")):
+        with pytest.raises(Exception, match=name):
+            rules.checked(rules.invariant_violations(spark.createDataFrame([*good, bad], names), 10**9, 10**9)).collect()
