@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, media_sniff, mixing, quality_gam, secret_scan, simhash, substring_dedup, token_store, url_rules, warc_store
+from . import centroids, decontaminate, media_sniff, mixing, quality_gam, secret_scan, simhash, substring_dedup, token_store, url_rules, warc_store, word_runs
 from .common import materialise, table
 
 #: The rules of op6 (host, path, verdict).
@@ -74,11 +74,54 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def _with_planted_periods(docs: DataFrame) -> DataFrame:
+    """Text of one document in ten with its words from ``a`` on replaced by those of the first ``p`` of them over and over."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    g = F.floor(h / 10)
+    places = F.sequence(F.lit(0), F.size("w") - 1)
+
+    def cycled(words: Column) -> Column:
+        n = F.size(words)
+        a = F.pmod(g, n)
+        p = 1 + F.floor((n - a) / (3 + F.pmod(g, F.lit(8))))
+        picked = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.get(words, F.when(i < a, i).otherwise(a + F.pmod(i - a, p)).cast("int")))
+        return F.when(n > 0, F.array_join(picked, " "))
+
+    spelled = F.array(F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0)))
+    return docs.withColumn("text", F.when(F.pmod(h, F.lit(10)) == 0, F.get(F.transform(spelled, cycled), F.lit(0))).otherwise(F.col("text")))
+
+
+def op12_word_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = word_runs.word_runs(_with_planted_periods(table(spark, sf_dir, "documents")))
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    ranked = F.transform("runs", lambda r: F.struct((-r["length"]).alias("shorter"), r["start"].alias("start"), r["period"].alias("period")))
+    found = found.withColumn("longest", F.get(F.sort_array(ranked), F.lit(0)))
+    length, period = -F.col("longest.shorter"), F.col("longest.period")
+    return found.select(
+        F.col("id").alias("doc_id"),
+        F.size("runs").cast("long").alias("n_runs"),
+        F.col("longest.start").alias("start"),
+        length.alias("length"),
+        period.alias("period"),
+        F.floor(length * 1000 / period).alias("exponent_milli"),
+        F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+def op13_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = centroids.integer_vectors(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", 64, 64)
+    found, final = centroids.clusters(vectors, k=16, rounds=3, seed="1:")
+    told = centroids.with_inertia(found).withColumn("centroid_sha256", centroids.digests(final))
+    return told.select(F.col("id").alias("vec_id"), "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_substring_dedup, op2_benchmark_decontamination, op3_source_mixing, op4_quality_classifier, op5_media_columns,
         op6_url_filters, op7_secret_scan, op8_token_output, op9_warc_archive, op10_simhash_near_dedup,
+        op12_word_runs, op13_centroid_clustering,
     )
 }
 
@@ -118,6 +161,44 @@ WITH d AS (
 SELECT doc_id, size, source_size, target,
        (size * (whole + CASE WHEN extra > 0 AND 2 * before + size <= 2 * extra THEN 1 ELSE 0 END))::BIGINT AS taken
 FROM n
+""",
+    "op13_centroid_clustering": r"""
+WITH v AS (
+  SELECT vec_id, [floor(64 * y::DOUBLE)::BIGINT FOR y IN embedding] AS x FROM embeddings
+  WHERE len(embedding) = 64 AND len([y FOR y IN embedding IF y IS NOT NULL AND isfinite(y)]) = 64
+), c0 AS (
+  SELECT row_number() OVER (ORDER BY sha256('1:' || vec_id::VARCHAR), x) - 1 AS c, x FROM v QUALIFY c < 16
+), a0 AS (
+  SELECT vec_id, any_value(v.x) AS x, min((list_sum([(p[1] - p[2]) * (p[1] - p[2]) FOR p IN list_zip(v.x, c.x)])::BIGINT, c)) AS near
+  FROM v CROSS JOIN c0 c GROUP BY vec_id
+), c1 AS (
+  SELECT c0.c, coalesce(m.x, c0.x) AS x FROM c0 LEFT JOIN (
+    SELECT c, list(floor_mean ORDER BY i) AS x FROM (
+      SELECT c, i, ((s - ((s % n) + n) % n) // n)::BIGINT AS floor_mean FROM (
+        SELECT near[2] AS c, i, sum(x[i])::BIGINT AS s, count(*) AS n FROM a0, range(1, 65) t(i) GROUP BY ALL)) GROUP BY c) m ON m.c = c0.c
+), a1 AS (
+  SELECT vec_id, any_value(v.x) AS x, min((list_sum([(p[1] - p[2]) * (p[1] - p[2]) FOR p IN list_zip(v.x, c.x)])::BIGINT, c)) AS near
+  FROM v CROSS JOIN c1 c GROUP BY vec_id
+), c2 AS (
+  SELECT c1.c, coalesce(m.x, c1.x) AS x FROM c1 LEFT JOIN (
+    SELECT c, list(floor_mean ORDER BY i) AS x FROM (
+      SELECT c, i, ((s - ((s % n) + n) % n) // n)::BIGINT AS floor_mean FROM (
+        SELECT near[2] AS c, i, sum(x[i])::BIGINT AS s, count(*) AS n FROM a1, range(1, 65) t(i) GROUP BY ALL)) GROUP BY c) m ON m.c = c1.c
+), a2 AS (
+  SELECT vec_id, any_value(v.x) AS x, min((list_sum([(p[1] - p[2]) * (p[1] - p[2]) FOR p IN list_zip(v.x, c.x)])::BIGINT, c)) AS near
+  FROM v CROSS JOIN c2 c GROUP BY vec_id
+), c3 AS (
+  SELECT c2.c, coalesce(m.x, c2.x) AS x FROM c2 LEFT JOIN (
+    SELECT c, list(floor_mean ORDER BY i) AS x FROM (
+      SELECT c, i, ((s - ((s % n) + n) % n) // n)::BIGINT AS floor_mean FROM (
+        SELECT near[2] AS c, i, sum(x[i])::BIGINT AS s, count(*) AS n FROM a2, range(1, 65) t(i) GROUP BY ALL)) GROUP BY c) m ON m.c = c2.c
+), f AS (
+  SELECT vec_id, min((list_sum([(p[1] - p[2]) * (p[1] - p[2]) FOR p IN list_zip(v.x, c.x)])::BIGINT, c)) AS near
+  FROM v CROSS JOIN c3 c GROUP BY vec_id
+)
+SELECT vec_id, near[2]::INTEGER AS cluster, near[1] AS distance, sum(near[1]) OVER (PARTITION BY near[2])::BIGINT AS cluster_inertia,
+       sum(near[1]) OVER ()::BIGINT AS inertia, sha256(array_to_string(c3.x, ',')) AS centroid_sha256
+FROM f JOIN c3 ON c3.c = near[2]
 """,
     "op6_url_filters": r"""
 WITH p AS (
