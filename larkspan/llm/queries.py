@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import centroids, decontaminate, media_sniff, mixing, quality_gam, secret_scan, simhash, substring_dedup, token_store, url_rules, warc_store, word_runs
+from . import centroids, decontaminate, media_sniff, mixing, quality_gam, secret_scan, simhash, spot_signatures, substring_dedup, token_store, url_rules, warc_store, word_runs
 from .common import materialise, table
 
 #: The rules of op6 (host, path, verdict).
@@ -74,6 +74,19 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op11_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = spot_signatures.edited_copies(table(spark, sf_dir, "documents"))
+    return found.select(
+        F.col("id").alias("doc_id"),
+        "n_chars",
+        F.sha2("edited", 256).alias("edited_sha256"),
+        F.array_join("signatures", "").alias("fingerprint"),
+        F.array_join("edited_signatures", "").alias("edited_fingerprint"),
+        "near_edited",
+        "near_next",
+    )
+
+
 def _with_planted_periods(docs: DataFrame) -> DataFrame:
     """Text of one document in ten with its words from ``a`` on replaced by those of the first ``p`` of them over and over."""
     h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
@@ -121,7 +134,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         op1_substring_dedup, op2_benchmark_decontamination, op3_source_mixing, op4_quality_classifier, op5_media_columns,
         op6_url_filters, op7_secret_scan, op8_token_output, op9_warc_archive, op10_simhash_near_dedup,
-        op12_word_runs, op13_centroid_clustering,
+        op11_document_fingerprints, op12_word_runs, op13_centroid_clustering,
     )
 }
 
@@ -162,6 +175,36 @@ SELECT doc_id, size, source_size, target,
        (size * (whole + CASE WHEN extra > 0 AND 2 * before + size <= 2 * extra THEN 1 ELSE 0 END))::BIGINT AS taken
 FROM n
 """,
+    "op11_document_fingerprints": r"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS t FROM documents
+), n AS (
+  SELECT doc_id, t, coalesce(lead(t) OVER w, first(t) OVER w) AS next_t FROM d
+  WINDOW w AS (ORDER BY doc_id, t ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)
+), e AS (
+  SELECT *, length(t) - length(t) // 4 AS stays,
+         substr(t, 1, length(t) - length(t) // 4) || substr(next_t, 1, length(t) // 4) AS edited FROM n
+), x AS (
+  SELECT DISTINCT unnest([t, edited, next_t]) AS t FROM e
+), p AS (
+  SELECT t, string_split(rtrim(regexp_replace(array_to_string([
+      CASE WHEN w IN (ANCHORS) THEN w || '^' ELSE w || ' ' END
+      FOR w IN string_split_regex(lower(t), '[^\p{L}\p{M}\p{N}]+') IF w <> ''], ''), '[^ ]*$', '')), ' ') AS p FROM x
+), c AS (
+  SELECT t, p, [struct_pack(spot := contains(z, '^'), chain := array_to_string(list_prepend(regexp_extract(z, '([^^]*\^)?[^^]*$', 0),
+      [regexp_extract(y, '[^^]*$', 0) FOR y IN p[i + 1:i + 2]]), ' ')) FOR z, i IN p] AS c FROM p
+), s AS (
+  SELECT t, list_sort(list_distinct([substr(md5(y), 1, 16) FOR y IN
+      CASE WHEN p[1] = '' THEN ['^^' || t]
+           WHEN len([1 FOR z IN c IF z.spot]) > 0 THEN [z.chain FOR z IN c IF z.spot]
+           ELSE [z.chain FOR z IN c] END])) AS s FROM c
+)
+SELECT doc_id, length(e.t)::BIGINT AS n_chars, sha256(edited) AS edited_sha256, array_to_string(a.s, '') AS fingerprint,
+       array_to_string(b.s, '') AS edited_fingerprint,
+       len(list_intersect(a.s, b.s))::DOUBLE / (len(a.s) + len(b.s) - len(list_intersect(a.s, b.s))) AS near_edited,
+       len(list_intersect(a.s, o.s))::DOUBLE / (len(a.s) + len(o.s) - len(list_intersect(a.s, o.s))) AS near_next
+FROM e JOIN s a ON a.t = e.t JOIN s b ON b.t = e.edited JOIN s o ON o.t = e.next_t
+""".replace("ANCHORS", ", ".join(f"'{w}'" for w in dict.fromkeys(spot_signatures.ANCHORS))),
     "op13_centroid_clustering": r"""
 WITH v AS (
   SELECT vec_id, [floor(64 * y::DOUBLE)::BIGINT FOR y IN embedding] AS x FROM embeddings
