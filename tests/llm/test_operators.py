@@ -11,7 +11,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from larkspan.llm import components, decontaminate, media_sniff, mixing, quality_gam, queries, secret_scan, simhash, substring_dedup, token_store, url_rules, warc_store
+from larkspan.llm import centroids, components, decontaminate, media_sniff, mixing, quality_gam, queries, secret_scan, simhash, spot_signatures, substring_dedup, token_store, url_rules, warc_store, word_runs
 
 SF = "/root/testdata/sf0.001"
 WORDS = "river stone meadow cloud copper lantern orbit velvet harbor thicket ember quartz willow summit canyon ripple marble falcon timber breeze".split()
@@ -660,3 +660,236 @@ def test_op9_equals_a_loop(spark):
         own = first[r["html"] or ""] == r["page_id"]
         want.add((r["page_id"], len(raw), base64.b32encode(hashlib.sha1(raw).digest()).decode(), "response" if own else "revisit", None if own else first[r["html"] or ""]))
     assert {tuple(r) for r in queries.op9_warc_archive(spark, SF).collect()} == want
+
+
+# --- periodic runs, spot signatures, centroids
+
+
+def plain_runs(words, least=12):
+    found = {}
+    for q in range(1, len(words) // 2 + 1):
+        k = 0
+        while k < len(words) - q:
+            start = k
+            while k < len(words) - q and words[k] == words[k + q]:
+                k += 1
+            if k - start + q >= max(least, 2 * q):
+                found.setdefault((start, k - start + q), q)
+            k += 1
+    return sorted((s, n, q) for (s, n), q in found.items())
+
+
+def periodic(rng, n):
+    """Words with stretches that come over and over, in few or many different words."""
+    out = []
+    while len(out) < n:
+        part = [rng.randint(0, rng.choice([1, 3, 40])) for _ in range(rng.randint(1, 9))]
+        out += (part * rng.randint(1, 7))[: rng.randint(1, 50)]
+    return out[:n]
+
+
+@pytest.mark.parametrize("least", [2, 5, 12])
+def test_runs_equal_brute_force(least):
+    rng = random.Random(least)
+    for _ in range(150):
+        texts = [periodic(rng, rng.randint(0, 90)) for _ in range(rng.randint(1, 6))]
+        bounds = np.concatenate(([0], np.cumsum([len(t) for t in texts]))).astype(np.int64)
+        got = word_runs.find_runs(np.array([w for t in texts for w in t], np.int64), bounds, least)
+        assert [tuple(r) for r in got.tolist()] == [(i, *r) for i, t in enumerate(texts) for r in plain_runs(t, least)]
+
+
+def test_runs_of_very_long_texts_take_linear_time():
+    import time
+
+    rng = np.random.default_rng(1)
+    for words in (np.zeros(200_000), np.tile(rng.integers(0, 50, 1000), 200), rng.integers(0, 2, 200_000)):
+        began = time.time()
+        runs = word_runs.find_runs(words.astype(np.int64), np.array([0, len(words)]))
+        assert len(runs) and time.time() - began < 20
+    assert word_runs.find_runs(np.zeros(200_000, np.int64), np.array([0, 200_000])).tolist() == [[0, 0, 200_000, 1]]
+
+
+def test_word_runs_rows(spark, awkward, monkeypatch):
+    again = docs(spark, [(20, "a b\t" * 8 + "c"), (20, "a b\t" * 8 + "c"), (21, "x" + " 日本" * 12), (22, " ".join(f"w{i % 7}" for i in range(40)))])
+    frame = awkward.unionByName(again)
+    got = word_runs.word_runs(frame).collect()
+    assert len(got) == frame.count()
+    texts = sorted((r["doc_id"] or -1, r["text"] or "") for r in frame.collect())
+    for (i, text), r in zip(texts, sorted(got, key=lambda r: (r["id"] or -1, r["n_words"]))):
+        words = re.findall(r"[^\x20\x09-\x0D]+", text)
+        runs = plain_runs(words) if len(words) < 1000 else []
+        dropped = {k for s, n, q in runs for k in range(s + q, s + n)}
+        assert (r["id"] or -1, r["n_words"], [tuple(x) for x in r["runs"]]) == (i, len(words), runs)
+        assert r["collapsed"] == " ".join(w for k, w in enumerate(words) if k not in dropped)
+    monkeypatch.setattr(word_runs, "PORTION", 1)
+    assert sorted(map(str, word_runs.word_runs(frame).collect())) == sorted(map(str, got))
+    assert word_runs.word_runs(frame.limit(0)).count() == 0
+
+
+def test_op12_equals_brute_force(spark):
+    from math import floor
+
+    got = by_id(queries.op12_word_runs(spark, SF))
+    planted = 0
+    for d in spark.read.parquet(f"{SF}/documents.parquet").collect():
+        words = re.findall(r"[^\x20\x09-\x0D]+", d["text"] or "")
+        h, n = zlib.crc32(str(d["doc_id"]).encode()), len(words)
+        g = h // 10
+        if h % 10 == 0 and n:
+            a = g % n
+            p = 1 + (n - a) // (3 + g % 8)
+            words = words[:a] + [words[a + (i - a) % p] for i in range(a, n)]
+            planted += 1
+        if n > 1500:
+            continue
+        runs = plain_runs(words)
+        dropped = {k for s, length, q in runs for k in range(s + q, s + length)}
+        r = got[d["doc_id"]]
+        best = min(runs, key=lambda x: (-x[1], x[0], x[2])) if runs else (None, None, None)
+        assert (r["n_runs"], r["start"], r["length"], r["period"]) == (len(runs), *best)
+        assert r["exponent_milli"] == (floor(1000 * best[1] / best[2]) if runs else None)
+        assert r["runs_sha256"] == hashlib.sha256("".join(f"{s},{length},{q}\n" for s, length, q in runs).encode()).hexdigest()
+        assert r["collapsed_sha256"] == hashlib.sha256(" ".join(w for k, w in enumerate(words) if k not in dropped).encode()).hexdigest()
+    assert planted > 5
+
+
+def plain_signatures(text, chain=3, spacing=1):
+    words = [w for w in re.split(r"[\W_]+", text.lower()) if w]
+    content = [(k, w) for k, w in enumerate(words) if w not in spot_signatures.ANCHORS]
+    chains = lambda spots: {
+        " ".join([(words[k - 1] + "^" if k and words[k - 1] in spot_signatures.ANCHORS else "") + w, *(content[i + s * spacing][1] for s in range(1, chain) if i + s * spacing < len(content))])
+        for i, (k, w) in spots
+    }
+    anchored = [(i, (k, w)) for i, (k, w) in enumerate(content) if k and words[k - 1] in spot_signatures.ANCHORS]
+    found = chains(anchored or list(enumerate(content))) or {"^^" + text}
+    return sorted(hashlib.md5(s.encode()).hexdigest()[:16] for s in found)
+
+
+ODD = ["The old man of the sea is tired. And so on", "", "!!!", "the of", "foo bar baz qux", "The THE the end", "Über die Höhe der Häuser", "a\nb\tc", "of", "x", "is it? It is: the same", "日本 語 の 文"]
+
+
+@pytest.mark.parametrize(("chain", "spacing"), [(3, 1), (2, 2), (1, 1)])
+def test_signatures_equal_brute_force(spark, chain, spacing):
+    texts = ODD + [prose(5, 60), " of the ".join(prose(6, 50).split())]
+    frame = spark.createDataFrame([(t,) for t in texts], "text string")
+    got = frame.select("text", spot_signatures.signatures(F.col("text"), chain=chain, spacing=spacing).alias("s")).collect()
+    assert {r["text"]: r["s"] for r in got} == {t: plain_signatures(t, chain, spacing) for t in texts}
+
+
+@pytest.mark.parametrize("rows", [4000, 3, 1])
+def test_edited_copies_equal_brute_force(spark, awkward, monkeypatch, rows):
+    monkeypatch.setattr(spot_signatures, "STRETCH", rows)
+    monkeypatch.setattr(spot_signatures.with_next, "__defaults__", (rows, 100_000))
+    frame = awkward.unionByName(docs(spark, [(100 + i, t) for i, t in enumerate(ODD)] + [(None, None), (-5, "The first of the texts, the one before all others")]))
+    every = sorted((r["doc_id"], r["text"] or "") for r in frame.collect() if r["doc_id"] is not None)
+    got = spot_signatures.edited_copies(frame).collect()
+    assert sum(r["id"] is None for r in got) == 2 and all(r["edited"] is None and r["near_next"] is None and r["signatures"] for r in got if r["id"] is None)
+    want = []
+    for k, (i, text) in enumerate(every):
+        following = every[(k + 1) % len(every)][1]
+        cut = len(text) // 4
+        edited = text[: len(text) - cut] + following[:cut]
+        a, b, c = (set(plain_signatures(t)) for t in (text, edited, following))
+        want.append((i, len(text), edited, sorted(a), sorted(b), len(a & b) / len(a | b), len(a & c) / len(a | c)))
+    names = ("id", "n_chars", "edited", "signatures", "edited_signatures", "near_edited", "near_next")
+    assert sorted(tuple(r[c] for c in names) for r in got if r["id"] is not None) == sorted(want)
+    assert spot_signatures.edited_copies(frame.limit(0)).count() == 0
+    lone = spot_signatures.edited_copies(frame.where("doc_id = 7")).collect()
+    assert [(r["edited"], r["near_next"]) for r in lone] == [("one", 1.0)]
+
+
+def test_similar_pairs_equal_brute_force(spark):
+    rng = random.Random(9)
+    base = [[rng.choice(WORDS) + str(rng.randint(0, 9)) for _ in range(rng.choice([3, 12, 40]))] for _ in range(12)]
+    rows = []
+    for words in base:
+        for _ in range(6):
+            mine = [w if rng.random() > rng.choice([0, 0.02, 0.1]) else rng.choice(WORDS) for w in words]
+            rows.append((len(rows) + 1, " the ".join(["so", *mine])))
+    rows += [(500, rows[0][1]), (501, None), (502, ""), (None, "the lost one")]
+    member, classes = spot_signatures.representatives(docs(spark, rows))
+    sets = {i: frozenset(plain_signatures(t or "")) for i, t in rows if i is not None}
+    first = {}
+    for i in sorted(sets):
+        first.setdefault(sets[i], i)
+    assert dict(map(tuple, member.collect())) == {i: first[s] for i, s in sets.items()}
+    for least in (0.8, 0.5, 1.0):
+        want = {}
+        ids = sorted(first.values(), key=lambda i: (len(sets[i]), i))
+        for x, a in enumerate(ids):
+            for b in ids[x + 1 :]:
+                jaccard = len(sets[a] & sets[b]) / len(sets[a] | sets[b])
+                if jaccard >= least:
+                    want[a, b] = jaccard
+        got = {(r["a"], r["b"]): r["likeness"] for r in spot_signatures.similar_pairs(classes, least).collect()}
+        assert got == want and (want or least == 1.0)
+
+
+def plain_clusters(vectors, k=16, rounds=3):
+    by_hash = sorted(vectors, key=lambda v: (hashlib.sha256(f"1:{v[0]}".encode()).hexdigest(), v[1]))
+    centres = [list(x) for _, x in by_hash[:k]]
+    near = lambda x: min((sum((p - q) ** 2 for p, q in zip(x, c)), n) for n, c in enumerate(centres))
+    for _ in range(rounds):
+        mine = [near(x)[1] for _, x in vectors]
+        for c in range(len(centres)):
+            members = [x for (_, x), m in zip(vectors, mine) if m == c]
+            if members:
+                centres[c] = [sum(col) // len(members) for col in zip(*members)]
+    return [(i, *reversed(near(x))) for i, x in vectors], centres
+
+
+@pytest.mark.parametrize(("n", "spread"), [(400, 6), (300, 1), (9, 50), (1, 3), (200, 0)])
+def test_clusters_equal_brute_force(spark, n, spread):
+    rng = random.Random(n)
+    middles = [[rng.randint(-40, 40) for _ in range(5)] for _ in range(20)]
+    rows = [(i, [c + rng.randint(-spread, spread) for c in rng.choice(middles)]) for i in range(n)]
+    rows += rows[:3]
+    frame = spark.createDataFrame(rows, "id long, vector array<int>").repartition(3)
+    found, final = centroids.clusters(frame)
+    want, centres = plain_clusters(rows)
+    assert sorted((r["id"], r["cluster"], r["distance"]) for r in found.collect()) == sorted(want)
+    assert final.tolist() == centres
+
+
+def test_shallot_search_skips_and_stays_exact():
+    rng = np.random.default_rng(3)
+    middles = rng.integers(-60, 60, (16, 8))
+    points = middles[np.arange(3000) % 16] + rng.integers(-25, 26, (3000, 8))
+    old = points[:16].astype(np.int64)
+    state = centroids.Search(old, None).assign(points, None)[:4]
+    new = old + rng.integers(-2, 3, old.shape)
+    moved = np.sqrt(((new - old) ** 2).sum(axis=1).astype(np.float64))
+    search = centroids.Search(new, moved)
+    best, second, above, below, near = search.assign(points, state)
+    every = ((points[:, None, :] - new[None]) ** 2).sum(axis=2)
+    assert (best == every.argmin(axis=1)).all() and (near == every.min(axis=1)).all()
+    others = np.sort(every, axis=1)[:, 1]
+    assert (above**2 >= near).all() and (np.maximum(below, 0) ** 2 <= others).all()
+    assert search.seen < 14 * len(points) / 2
+
+
+def test_integer_vectors(spark):
+    nan, inf = float("nan"), float("inf")
+    rows = [(1, [0.5, -0.51]), (2, [0.5]), (3, None), (4, [nan, 1.0]), (5, [inf, 1.0]), (6, [1.0, None]), (None, [0.0, 0.0]), (1, [0.5, -0.51]), (8, [])]
+    frame = spark.createDataFrame([(i, v, 1, "x") for i, v in rows], "vec_id long, embedding array<float>, cluster int, vector string")
+    got = centroids.integer_vectors(frame, "vec_id", "embedding", 2, 64)
+    assert sorted(map(str, ((r[0], r[1]) for r in got.collect()))) == sorted(map(str, [(1, [32, -33]), (1, [32, -33]), (None, [0, 0])]))
+    found, final = centroids.clusters(got)
+    assert found.count() == 3 and centroids.with_inertia(found).where("inertia = 0").count() == 3
+    empty, none = centroids.clusters(got.limit(0))
+    assert centroids.with_inertia(empty).withColumn("d", centroids.digests(none)).count() == 0
+    with pytest.raises(Exception, match="beyond"):
+        centroids.integer_vectors(spark.createDataFrame([(1, [1e30, 0.0])], "vec_id long, embedding array<float>"), "vec_id", "embedding", 2, 64).collect()
+
+
+@pytest.mark.parametrize("name", ["op11_document_fingerprints", "op13_centroid_clustering"])
+def test_new_queries_match_sql(spark, name):
+    import duckdb
+
+    con = duckdb.connect()
+    for table_ in ("documents", "embeddings"):
+        con.execute(f"create view {table_} as select * from '{SF}/{table_}.parquet'")
+    mine = queries.QUERIES[name](spark, SF)
+    want = con.execute(queries.ORACLE_SQL[name]).fetchdf()[mine.columns]
+    key = mine.columns[0]
+    assert mine.toPandas().sort_values(key).astype(str).values.tolist() == want.sort_values(key).astype(str).values.tolist()
