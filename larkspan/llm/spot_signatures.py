@@ -30,7 +30,9 @@ ANCHORS = (
 #: Content words of a chain, and how far apart they are.
 CHAIN, SPACING = 3, 1
 #: Rows of one stretch of the id order, and how many stretches there are at most: their first ids are held by the driver.
-STRETCH, MOST_STRETCHES = 4_000, 100_000
+STRETCH, MOST_STRETCHES = 500, 100_000
+#: Stretches that a task takes on average. Several small ones make tasks more even than one large one each.
+STRETCHES_A_TASK = 8
 
 
 def _let(value: Column, then: Callable[[Column], Column]) -> Column:
@@ -65,12 +67,13 @@ def likeness(one: Column, other: Column, least: float = 0.0) -> Column:
     return F.when(small < least * large, F.lit(0.0)).otherwise(jaccard) if least else jaccard
 
 
-def _stretch_starts(docs: DataFrame, id_col: str, rows: int, most: int) -> list[int]:
-    """Ids that cut the id order into stretches of about ``rows`` rows, the least id first; at most ``most``."""
+def _stretch_starts(docs: DataFrame, id_col: str, rows: int, most: int) -> tuple[list[int], int]:
+    """Ids that cut the id order into stretches of about ``rows`` rows, the least id first, at most ``most``; and the rows."""
     ids = docs.select(F.col(id_col).cast("long").alias("id")).where("id IS NOT NULL")
-    n = max(1, min(most, -(-ids.count() // rows)))
+    count = ids.count()
+    n = max(1, min(most, -(-count // rows)))
     dealt = ids.repartitionByRange(n, "id").select(F.spark_partition_id().alias("part"), "id")
-    return sorted(r["first"] for r in dealt.groupBy("part").agg(F.min("id").alias("first")).collect())
+    return sorted(r["first"] for r in dealt.groupBy("part").agg(F.min("id").alias("first")).collect()), count
 
 
 def _stretch(id_: Column, starts: list[int]) -> Column:
@@ -88,13 +91,14 @@ def with_next(docs: DataFrame, id_col: str, text_col: str, extra: Callable[[Colu
     window within stretches suffice.
     """
     spark = docs.sparkSession
-    starts = _stretch_starts(docs, id_col, rows, most)
+    starts, count = _stretch_starts(docs, id_col, rows, most)
     mine = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).where("id IS NOT NULL")
     n = max(1, len(starts))
     before = spark.createDataFrame([(first, k or n) for k, first in enumerate(starts)], "id long, stretch int")
     guests = mine.join(F.broadcast(before), "id").groupBy("stretch").agg(F.min("text").alias("text"))
     own = mine.select(_stretch(F.col("id"), starts or [0]).alias("stretch"), F.lit(False).alias("guest"), "id", "text")
-    placed = own.union(guests.select("stretch", F.lit(True), F.lit(None).cast("long"), "text")).repartition(n, "stretch")
+    tasks = min(n, -(-count // (rows * STRETCHES_A_TASK)) or 1)
+    placed = own.union(guests.select("stretch", F.lit(True), F.lit(None).cast("long"), "text")).repartition(tasks, "stretch")
     order = Window.partitionBy("stretch").orderBy("guest", "id", "text")
     valued = placed.withColumn("value", extra(F.col("text")))
     following = valued.select("guest", "id", "text", "value", F.lead("text").over(order).alias("next_text"), F.lead("value").over(order).alias("next_value"))
