@@ -77,22 +77,25 @@ def walk(kind: str, name: str = "hw", c: str = "v_candidate") -> str:
   LEFT JOIN (SELECT route_id, count(*) AS n_stops, sum(price * amount) AS cost, sum({STOP} + est::INT * {MARGIN}) AS flat, sum(amount) AS bought FROM {name}_s GROUP BY route_id) USING (route_id))"""
 
 
-def exact(c: str = "v_candidate", budget: int = 50_000) -> str:
-    """Table ``xp``: objective and number of stops of the best plan of each feasible route within the budget.
+def exact(c: str = "v_candidate", budget: int = 50_000, lists: bool = True) -> str:
+    """Table ``xp``: objective, stops, their ids and what they buy (lists) of the best plan of each feasible route within the budget; without ``lists`` the first two.
 
     Labels (station, fuel on arrival) advance one purchase a round; within a round those with less fuel that are no cheaper go,
     and so do those that even the cheapest fuel ahead makes dearer than the heuristic's plan.
     """
+    begin = ", 'p': []::BIGINT[], 'i': []::BIGINT[], 'a': []::BIGINT[]" if lists else ""
+    further = ", 'p': list_append((lab.v).p, s.pos), 'i': list_append((lab.v).i, s.id), 'a': list_append((lab.v).a, CASE WHEN m = 1 THEN j.pos - s.pos ELSE s.t END - lab.fuel)" if lists else ""
+    told = ", coalesce((min(v)).p, []) AS places, coalesce((min(v)).i, []) AS ids, coalesce((min(v)).a, []) AS amounts" if lists else ""
     return f"""{preflight(c)}, {effort(c)}, {walk("heuristic", "hb", "pr")}, ad AS (SELECT r.route_id, total_milli_mi AS l, tank_milli_mi AS t, on_board_milli_mi AS f0 FROM v_route r JOIN ef USING (route_id) JOIN pf USING (route_id) WHERE feasible AND estimate <= {budget}),
-st AS MATERIALIZED (SELECT route_id, k, pos_milli_mi AS pos, price_milli AS price, l, t, f0, objective AS most, min(price_milli) OVER (PARTITION BY route_id ORDER BY k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS least, {STOP} + CASE WHEN price_source = 'eia_regional_estimate' THEN {MARGIN} ELSE 0 END AS flat FROM rk JOIN ad USING (route_id) JOIN hb_p USING (route_id)),
-goal AS MATERIALIZED (SELECT route_id, k, pos, l - pos AS need, least, most FROM st UNION ALL SELECT route_id, NULL, l, 0, 0, NULL FROM ad),
+xst AS MATERIALIZED (SELECT route_id, k, opis_id::BIGINT AS id, pos_milli_mi AS pos, price_milli AS price, l, t, f0, objective AS most, min(price_milli) OVER (PARTITION BY route_id ORDER BY k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS least, {STOP} + CASE WHEN price_source = 'eia_regional_estimate' THEN {MARGIN} ELSE 0 END AS flat FROM rk JOIN ad USING (route_id) JOIN hb_p USING (route_id)),
+goal AS MATERIALIZED (SELECT route_id, k, pos, l - pos AS need, least, most FROM xst UNION ALL SELECT route_id, NULL, l, 0, 0, NULL FROM ad),
 lab AS (
-  SELECT route_id, k, f0 - pos AS fuel, {{'o': 0::BIGINT, 'n': 0}} AS v FROM st WHERE pos <= f0 AND l > f0
+  SELECT route_id, k, f0 - pos AS fuel, {{'o': 0::BIGINT, 'n': 0{begin}}} AS v FROM xst WHERE pos <= f0 AND l > f0
   UNION ALL
   SELECT route_id, k, fuel, v FROM (SELECT *, min(v) OVER (PARTITION BY route_id, k ORDER BY fuel DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS richer FROM (SELECT route_id, k, fuel, min(v) AS v FROM (
     SELECT j.need, j.least, j.most, s.route_id, coalesce(j.k, -1) AS k, CASE WHEN j.k IS NULL OR m = 1 THEN 0 ELSE s.t - (j.pos - s.pos) END AS fuel,
-           {{'o': (lab.v).o + s.flat + s.price * (CASE WHEN m = 1 THEN j.pos - s.pos ELSE s.t END - lab.fuel), 'n': (lab.v).n + 1}} AS v
-    FROM lab JOIN st s ON lab.route_id = s.route_id AND lab.k = s.k JOIN goal j ON j.route_id = s.route_id AND j.pos <= s.pos + s.t AND (j.k > s.k OR j.k IS NULL) CROSS JOIN (VALUES (1), (2)) w(m)
+           {{'o': (lab.v).o + s.flat + s.price * (CASE WHEN m = 1 THEN j.pos - s.pos ELSE s.t END - lab.fuel), 'n': (lab.v).n + 1{further}}} AS v
+    FROM lab JOIN xst s ON lab.route_id = s.route_id AND lab.k = s.k JOIN goal j ON j.route_id = s.route_id AND j.pos <= s.pos + s.t AND (j.k > s.k OR j.k IS NULL) CROSS JOIN (VALUES (1), (2)) w(m)
     WHERE (m = 1 AND lab.fuel < j.pos - s.pos) OR (m = 2 AND j.k IS NOT NULL AND s.t > lab.fuel AND s.t > j.pos - s.pos)
   ) WHERE most IS NULL OR (v).o + CASE WHEN need > fuel THEN (need - fuel) * least + {STOP} ELSE 0 END <= most GROUP BY route_id, k, fuel)) WHERE richer IS NULL OR v < richer),
-xp AS (SELECT ad.route_id, coalesce((min(v)).o, 0) AS objective, coalesce((min(v)).n, 0) AS n_stops FROM ad LEFT JOIN (SELECT * FROM lab WHERE k = -1) x USING (route_id) GROUP BY ad.route_id)"""
+xp AS (SELECT ad.route_id, coalesce((min(v)).o, 0) AS objective, coalesce((min(v)).n, 0) AS n_stops{told} FROM ad LEFT JOIN (SELECT * FROM lab WHERE k = -1) x USING (route_id) GROUP BY ad.route_id)"""

@@ -197,6 +197,50 @@ def solve(problem_rows: DataFrame, methods: tuple[str, ...], mpg: int = MPG, sto
     return problem_rows.mapInArrow(run, PLANS)
 
 
+def brute_force(routes: DataFrame, kept: DataFrame, most: int = 6, mpg: int = MPG, stop_cents: int = STOP_CENTS, margin_cents: int = MARGIN_CENTS) -> DataFrame:
+    """(route_id, objective, n_stops, stops, bought, is_unique): the best of all plans of the routes with at most ``most`` kept stations.
+
+    A plan is a number to base three with a digit a station: pass by, buy just what reaches the next stop, or fill up.
+    Each is folded along its route; those that run dry, or buy nothing where they stop, are none.  Ties as in the search.
+    """
+    station = F.struct("pos_milli_mi", "price_milli", F.col("opis_id").cast("long").alias("id"), (F.col("price_source") == "eia_regional_estimate").alias("estimated"))
+    few = kept.groupBy("route_id").agg(F.sort_array(F.collect_list(station)).alias("v")).where(F.size("v") <= most)
+    rows = routes.join(few, "route_id").withColumn("code", F.explode(F.sequence(F.lit(0), F.pow(F.lit(3), F.size("v")).cast("int") - 1)))
+    digit = F.transform("v", lambda s, i: F.struct(s.alias("s"), F.pmod(F.floor(F.col("code") / F.pow(F.lit(3), i)).cast("int"), F.lit(3)).alias("mode")))
+    long = lambda c: c.cast("long")
+    tank, none = F.col("tank_milli_mi"), F.array().cast("array<bigint>")
+    begin = F.struct(
+        F.lit(True).alias("ok"), long(F.lit(0)).alias("pos"), long(F.col("on_board_milli_mi")).alias("fuel"), long(F.lit(0)).alias("price"), F.lit(0).alias("mode"), long(F.lit(0)).alias("objective"), long(F.lit(0)).alias("flat"),
+        none.alias("places"), none.alias("ids"), none.alias("amounts"),
+    )
+
+    def hop(a: Column, pos: Column, price: Column, mode: Column, flat: Column, places: Column, ids: Column) -> Column:
+        gap = pos - a["pos"]
+        amount = F.when(a["mode"] == 1, gap - a["fuel"]).otherwise(tank - a["fuel"])
+        fits = F.when(a["mode"] == 0, gap <= a["fuel"]).otherwise((amount > 0) & (gap <= tank))
+        fuel = F.when(a["mode"] == 0, a["fuel"] - gap).when(a["mode"] == 1, 0).otherwise(tank - gap)
+        spent = F.when(a["mode"] == 0, 0).otherwise(a["price"] * amount + a["flat"])
+        amounts = F.when(a["mode"] == 0, a["amounts"]).otherwise(F.concat(a["amounts"], F.array(long(amount))))
+        return F.struct(
+            (a["ok"] & fits).alias("ok"), long(pos).alias("pos"), long(fuel).alias("fuel"), long(price).alias("price"), mode.cast("int").alias("mode"), long(a["objective"] + spent).alias("objective"), long(flat).alias("flat"),
+            places.alias("places"), ids.alias("ids"), amounts.alias("amounts"),
+        )
+
+    def step(a: Column, x: Column) -> Column:
+        s = x["s"]
+        flat = stop_cents * 10_000 * mpg + F.when(s["estimated"], margin_cents * 10_000 * mpg).otherwise(0)
+        bought = hop(a, s["pos_milli_mi"], s["price_milli"], x["mode"], flat, F.concat(a["places"], F.array(s["pos_milli_mi"])), F.concat(a["ids"], F.array(s["id"])))
+        return F.when((x["mode"] == 0) | ~a["ok"], a).otherwise(bought)
+
+    end = lambda a: hop(a, F.col("total_milli_mi"), F.lit(0), F.lit(0), F.lit(0), a["places"], a["ids"])
+    plans = rows.select("route_id", F.aggregate(digit, begin, step, end).alias("a")).where("a.ok").select("route_id", "a.*")
+    key = F.struct("objective", F.size("ids").alias("n_stops"), "places", "ids", "amounts")
+    each = plans.groupBy("route_id", "objective").agg(F.min(key).alias("best"), F.countDistinct("ids", "amounts").alias("ties"))
+    least = each.groupBy("route_id").agg(F.min(F.struct("objective", "best", "ties")).alias("m"))
+    listed = lambda c: F.array_join(F.col(f"m.best.{c}").cast("array<string>"), ",")
+    return least.select("route_id", "m.objective", F.col("m.best.n_stops").alias("n_stops"), listed("ids").alias("stops"), listed("amounts").alias("bought"), (F.col("m.ties") == 1).alias("is_unique"))
+
+
 def dispatched(routes: DataFrame, candidates: DataFrame, budget: int = EXACT_BUDGET) -> DataFrame:
     """Problems of feasible routes with ``method``, ``estimate`` and ``nodes``: exact up to ``budget`` estimated transitions, else heuristic.
 

@@ -189,12 +189,14 @@ def heuristic(p: Problem, rates: Rates) -> list[Buy] | None:
 
 
 def exact(p: Problem, rates: Rates, most_labels: int | None = None) -> list[Buy] | None:
-    """Least fuel cost plus flat charges; ties by fewer stops, then earlier positions, then lower ids.
+    """Least fuel cost plus flat charges; ties by fewer stops, then earlier positions, lower ids, smaller purchases.
 
     Between two successive purchases an optimal plan either fills the tank or arrives empty (shifting fuel between the
     two purchases changes cost linearly), so each label (station, fuel on arrival) has two moves per station ahead.
     Labels at a station are cut to their Pareto frontier of key and fuel.  A label is dropped if even the cheapest fuel
     ahead makes it dearer than the heuristic's plan.  More than ``most_labels`` labels raise OverBudget.
+
+    Labels that stay lie in flat lists (station, label before, bought there); a path is followed back only for ties.
     """
     if p.length <= p.on_board:
         return []
@@ -207,50 +209,75 @@ def exact(p: Problem, rates: Rates, most_labels: int | None = None) -> list[Buy]
     cheapest = [s.price for s in stops]
     for i in range(n - 2, -1, -1):
         cheapest[i] = min(cheapest[i], cheapest[i + 1])
-    labels: list[list[tuple]] = [[] for _ in range(n)]
+    station: list[int] = []
+    before: list[int] = []
+    bought: list[int] = []
+    waiting: list[list[tuple[int, int, int, int, int]]] = [[] for _ in range(n + 1)]  # cost, stops, -fuel, label before, bought there
     made = 0
 
-    def add(j: int, cost: int, count: int, at: tuple, ids: tuple, fuel: int, trail: tuple) -> None:
+    def path(label: tuple[int, int, int, int, int]) -> tuple[list[int], list[int], list[int]]:
+        at, ids, amounts, parent, amount = [], [], [], label[3], label[4]
+        while parent >= 0:
+            s = stops[station[parent]]
+            at.append(s.pos)
+            ids.append(s.id)
+            amounts.append(amount)
+            parent, amount = before[parent], bought[parent]
+        return at[::-1], ids[::-1], amounts[::-1]
+
+    def in_order(labels: list[tuple[int, int, int, int, int]]) -> list[tuple[int, int, int, int, int]]:
+        labels.sort()
+        k = 0
+        while k < len(labels):
+            same = k + 1
+            while same < len(labels) and labels[same][:2] == labels[k][:2]:
+                same += 1
+            if same > k + 1:
+                labels[k:same] = sorted(labels[k:same], key=lambda x: (*path(x)[:2], x[2], path(x)[2]))
+            k = same
+        return labels
+
+    def add(j: int, cost: int, count: int, fuel: int, parent: int, amount: int) -> None:
         nonlocal made
         need = p.length - stops[j].pos - fuel
         if limit is None or cost + (cheapest[j] * need + rates.stop if need > 0 else 0) <= limit:
-            labels[j].append(((cost, count, at, ids), fuel, trail))
+            waiting[j].append((cost, count, -fuel, parent, amount))
             made += 1
             if most_labels is not None and made > most_labels:
                 raise OverBudget
 
     for j, s in enumerate(stops):
         if s.pos <= p.on_board:
-            add(j, 0, 0, (), (), p.on_board - s.pos, ())
-    best = None
+            add(j, 0, 0, p.on_board - s.pos, -1, 0)
     for i, s in enumerate(stops):
-        frontier, most = [], -1
-        for label in sorted(labels[i], key=lambda x: (x[0], -x[1])):
-            if label[1] > most:
-                frontier.append(label)
-                most = label[1]
-        flat = rates.stop + rates.estimate * s.estimated
-        for (cost, count, at, ids), fuel, trail in frontier:
-            count, at, ids = count + 1, (*at, s.pos), (*ids, s.id)
+        flat, most = rates.stop + rates.estimate * s.estimated, -1
+        labels, waiting[i] = in_order(waiting[i]), []
+        for cost, count, less, parent, amount in labels:
+            if -less <= most:
+                continue
+            fuel = most = -less
+            me = len(station)
+            station.append(i)
+            before.append(parent)
+            bought.append(amount)
             need = p.length - s.pos
             if fuel < need <= p.tank:
-                key = (cost + flat + s.price * (need - fuel), count, at, ids)
-                if best is None or key < best[0]:
-                    best = (key, (*trail, (i, need - fuel)))
+                waiting[n].append((cost + flat + s.price * (need - fuel), count + 1, 0, me, need - fuel))
             full = cost + flat + s.price * (p.tank - fuel)
             for j in range(i + 1, n):
                 gap = stops[j].pos - s.pos
                 if gap > p.tank:
                     break
                 if gap > fuel:
-                    add(j, cost + flat + s.price * (gap - fuel), count, at, ids, 0, (*trail, (i, gap - fuel)))
+                    add(j, cost + flat + s.price * (gap - fuel), count + 1, 0, me, gap - fuel)
                 if p.tank > fuel and p.tank > gap:
-                    add(j, full, count, at, ids, p.tank - gap, (*trail, (i, p.tank - fuel)))
-        labels[i] = []
-    if best is None:
+                    add(j, full, count + 1, p.tank - gap, me, p.tank - fuel)
+    if not waiting[n]:
         return None
-    plan = [Buy(stops[i].pos, stops[i].id, stops[i].price, amount, "") for i, amount in best[1]]
-    return explained(p, plan, rates)
+    least = min(x[:2] for x in waiting[n])
+    at, ids, amounts = min(path(x) for x in waiting[n] if x[:2] == least)
+    price = {(s.pos, s.id): s.price for s in stops}
+    return explained(p, [Buy(pos, key, price[pos, key], amount, "") for pos, key, amount in zip(at, ids, amounts)], rates)
 
 
 def explained(p: Problem, plan: list[Buy], rates: Rates) -> list[Buy]:

@@ -50,11 +50,66 @@ def pln8_heuristic(spark, d):
     return _plans(spark, d, "heuristic").select("route_id", "feasible", "n_stops", "cost", "objective", "bought")
 
 
-@query(plan_sql.exact() + " SELECT route_id, objective, n_stops FROM xp", recursive=True)
+@query(plan_sql.exact() + " SELECT route_id, objective, n_stops, array_to_string(ids, ',') AS stops FROM xp", recursive=True)
 def pln6_exact(spark, d):
-    """The best plans of the feasible routes whose estimated effort admits the exact search."""
+    """The best plans of the feasible routes whose estimated effort admits the exact search: objective and stops."""
+    plans = _exact_plans(spark, d)
+    return plans.select("route_id", "objective", "n_stops", F.array_join(F.col("stops.id").cast("array<string>"), ",").alias("stops"))
+
+
+def _exact_plans(spark, d, **options):
     ready = search.dispatched(src.routes(spark, d), src.candidates(spark, d)).where("method = 'exact'")
-    return search.solve(ready, ("planned",)).select("route_id", "objective", "n_stops")
+    return search.solve(ready, ("planned",), **options)
+
+
+# Reasons of exact plans, from what they buy: the twin follows fuel and prices along each plan.
+_REASONS = f""", xb AS (SELECT route_id, unnest(range(1, n_stops + 1)) AS k, unnest(places) AS pos, unnest(ids) AS id, unnest(amounts) AS amount FROM xp),
+xf AS (SELECT b.*, s.price, s.t, s.l, s.f0 + sum(amount) OVER w - b.pos AS after, lead(b.pos) OVER w AS next_pos, lead(b.id) OVER w AS next_id, lead(s.price) OVER w AS next_price FROM xb b JOIN xst s ON s.route_id = b.route_id AND s.id = b.id WINDOW w AS (PARTITION BY b.route_id ORDER BY b.k)),
+xr AS (SELECT f.route_id, f.k, any_value(f.id) AS id, any_value(f.amount) AS amount, any_value(next_id) AS target, any_value(next_pos) AS next_pos, any_value(next_price < f.price) AS falls, any_value(after < f.t) AS partly,
+  count(*) FILTER (s.pos > f.pos AND s.price < f.price) AS ahead, count(*) FILTER (s.pos > f.pos AND s.pos <= f.pos + f.t AND s.price < f.price AND s.pos < next_pos) AS passed,
+  coalesce(sum(greatest(0, s.pos - f.pos - (after - f.amount)) * (f.price - s.price)) FILTER (s.pos > f.pos AND s.pos <= f.pos + f.t AND s.price < f.price AND s.pos < next_pos), 0) AS saved
+  FROM xf f JOIN xst s USING (route_id) GROUP BY f.route_id, f.k)
+SELECT route_id, (k - 1)::INT AS stop_no, id AS opis_id, amount, target AS target_id, CASE WHEN next_pos IS NULL THEN 'reach_finish' WHEN partly OR falls THEN 'reach_cheaper_stop' WHEN passed > 0 AND {plan_sql.STOP} > saved THEN 'bypass_cheaper_not_worth_stop' WHEN ahead > 0 THEN 'fill_to_continue' ELSE 'top_up_at_cheapest' END AS reason FROM xr"""
+
+
+@query(plan_sql.exact() + _REASONS, recursive=True)
+def pln7_exact_reasons(spark, d):
+    """What each purchase of the exact plans is for, and how much it is."""
+    rows = _exact_plans(spark, d).select("route_id", F.posexplode("stops").alias("stop_no", "s"))
+    return rows.select("route_id", "stop_no", F.col("s.id").alias("opis_id"), "s.amount", F.col("s.target").alias("target_id"), "s.reason")
+
+
+@query(plan_sql.preflight() + ", " + plan_sql.effort() + ", " + _WALK + """ SELECT pf.route_id, CASE WHEN estimate > 50000 THEN 'heuristic' WHEN total_milli_mi <= on_board_milli_mi OR from_start = 0 THEN 'exact' ELSE 'fell_back' END AS arm, p.n_stops, p.objective
+FROM pf JOIN ef USING (route_id) JOIN hw_p p USING (route_id) JOIN v_route USING (route_id) LEFT JOIN (SELECT route_id, count(*) AS from_start FROM pr WHERE pos_milli_mi <= on_board_milli_mi GROUP BY route_id) s USING (route_id) WHERE pf.feasible""", recursive=True)
+def pln4_label_fallback(spark, d):
+    """Dispatch with no labels to spend: what was admitted to the exact search falls back to the heuristic on the full list, unless it needs no stop."""
+    ready = search.dispatched(src.routes(spark, d), src.candidates(spark, d))
+    plans = search.solve(ready.withColumnRenamed("method", "own").withColumn("method", F.col("own")), ("planned",), most_labels=0)
+    told = plans.join(ready.select("route_id", F.col("method").alias("admitted")), "route_id")
+    arm = F.when(F.col("admitted") == "heuristic", "heuristic").when(F.col("method") == "exact", "exact").otherwise("fell_back")
+    return told.select("route_id", arm.alias("arm"), "n_stops", "objective")
+
+
+_BRUTE = plan_sql.preflight() + ", " + plan_sql.pruned() + f""", fw6 AS (SELECT route_id FROM pr GROUP BY route_id HAVING count(*) <= 6),
+bs AS MATERIALIZED (SELECT pr.route_id, row_number() OVER (PARTITION BY pr.route_id ORDER BY pos_milli_mi, price_milli, opis_id) AS k, opis_id::BIGINT AS id, pos_milli_mi AS pos, price_milli AS price, {plan_sql.STOP} + CASE WHEN price_source = 'eia_regional_estimate' THEN {plan_sql.MARGIN} ELSE 0 END AS flat FROM pr JOIN fw6 USING (route_id) JOIN pf USING (route_id) WHERE feasible),
+bc AS (SELECT route_id, unnest(range((3 ** max(k))::BIGINT)) AS code FROM bs GROUP BY route_id),
+bn AS (SELECT route_id, code, k, id, pos, price, flat, (code // (3 ** (k - 1))::BIGINT) % 3 AS mode FROM bs JOIN bc USING (route_id) UNION ALL SELECT route_id, code, 99, NULL, total_milli_mi, 0, 0, 1 FROM bc JOIN v_route USING (route_id)),
+bh AS (SELECT n.*, t.tank_milli_mi AS t, t.on_board_milli_mi AS f0, lag(pos) OVER w AS p0, lag(mode) OVER w AS m0, lead(pos) OVER w AS p1 FROM bn n JOIN v_route t USING (route_id) WHERE mode > 0 WINDOW w AS (PARTITION BY route_id, code ORDER BY k)),
+ba AS (SELECT *, CASE WHEN p0 IS NULL THEN f0 - pos WHEN m0 = 1 THEN 0 ELSE t - (pos - p0) END AS fuel FROM bh),
+bb AS (SELECT *, CASE WHEN k = 99 THEN 0 WHEN mode = 1 THEN p1 - pos - fuel ELSE t - fuel END AS amount FROM ba),
+bp AS (SELECT route_id, code, sum(CASE WHEN k < 99 THEN price * amount + flat ELSE 0 END)::BIGINT AS o, count(*) FILTER (k < 99)::INT AS n, coalesce(list(pos ORDER BY k) FILTER (k < 99), []) AS p, coalesce(list(id ORDER BY k) FILTER (k < 99), []) AS i, coalesce(list(amount ORDER BY k) FILTER (k < 99), []) AS a
+  FROM bb GROUP BY route_id, code HAVING bool_and(fuel >= 0 AND (k = 99 OR (amount > 0 AND p1 - pos <= t)))),
+bm AS (SELECT route_id, min({{'o': o, 'n': n, 'p': p, 'i': i, 'a': a}}) AS v FROM bp GROUP BY route_id)
+SELECT bm.route_id, (v).o AS objective, (v).n AS n_stops, array_to_string((v).i, ',') AS stops, array_to_string((v).a, ',') AS bought, count(DISTINCT {{'i': i, 'a': a}}) = 1 AS is_unique FROM bm JOIN bp ON bp.route_id = bm.route_id AND bp.o = (v).o GROUP BY bm.route_id, v"""
+
+
+@query(_BRUTE, recursive=True)
+def pln17_brute_force(spark, d):
+    """Every subset of stops and every useful fill level of the feasible routes with at most six kept stations: the best plan, and whether it alone is."""
+    routes, c = src.routes(spark, d), src.candidates(spark, d)
+    known = written(search.marked(c), "marked-candidates")
+    good = search.preflight(routes, known).where("feasible").select("route_id")
+    return search.brute_force(routes.join(good, "route_id", "left_semi"), known.where("removed IS NULL"))
 
 
 _CONTEXT = _WALK + """, sx AS (SELECT s.*, on_board_milli_mi + coalesce(sum(amount) OVER (PARTITION BY s.route_id ORDER BY stop_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) - s.pos AS arrival,

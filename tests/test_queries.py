@@ -73,3 +73,14 @@ def test_streaming_counts_equal_batch(spark, tmp_path):
     run.awaitTermination(120)
     batch = {(r[0], r[1]): r[2] for r in events.groupBy(F.date_format("ts", "yyyy-MM-dd"), "event_type").count().collect()}
     assert {(str(r["window"]["start"])[:10], r["event_type"]): r["calls"] for r in spark.sql("select * from daily").collect()} == batch
+
+
+def test_brute_force_equals_the_search(spark):
+    """Every route with at most six kept stations: same objective, and where the best plan is alone the same stops."""
+    brute = {r["route_id"]: r for r in registry.QUERIES["pln17_brute_force"](spark, DATA).collect()}
+    exact = {r["route_id"]: r for r in registry.QUERIES["pln6_exact"](spark, DATA).collect()}
+    assert len(brute) > 50 and any(r["n_stops"] > 1 for r in brute.values())
+    for route, r in brute.items():
+        assert r["objective"] == exact[route]["objective"]
+        if r["is_unique"]:
+            assert r["stops"] == exact[route]["stops"]
