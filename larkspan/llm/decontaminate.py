@@ -8,6 +8,10 @@ re-parameterised question swaps values consistently, unrelated text with the sam
 the whole document or along one alignment, so an item that comes twice with different values is found too.  Along one
 alignment two values may become the same one; over the whole document the mapping must be one-to-one.
 
+Names show by their capitals, and a copy in other letter case has them elsewhere or nowhere.  So a window that holds names
+also counts in plain words, names in lower case among them, on both sides: copies in lower, upper or title case meet there,
+with their numbers and units as slots.
+
 An item of fewer than five tokens is one window of its own length, and documents get windows of the short lengths that
 the benchmark has.  Windows that many documents and many items share are not joined with each other: an item needs one
 of its rarest windows (as many as it may lack, and one more), so documents are paired with items by those alone, and
@@ -32,20 +36,24 @@ WHOLE = 1 << 30
 
 
 def template_tokens(text: Column) -> Column:
-    """Lower-cased tokens; those that stand for a slot begin with U+0001 (number), U+0002 (unit) or U+0003 (name)."""
+    """Lower-cased tokens, ß as ss, since upper case has it so; those that stand for a slot begin with U+0001 (number), U+0002 (unit) or U+0003 (name)."""
     t = F.regexp_replace(text, "[\\u0001-\\u0003]", " ")
     t = F.regexp_replace(t, "([.,])(?<=\\p{Nd}.)(?=\\p{Nd})", "")
     t = F.regexp_replace(t, f"(?i)(\\p{{Nd}})[ ]?({UNITS}|%|€|\\$)(?![\\p{{L}}\\p{{M}}\\p{{N}}])", "$1 \u0002$2")
     t = F.regexp_replace(t, "(\\p{Lu})(?<=[\\p{L}\\p{N},;:] .)(?=\\p{Ll})", "\u0003$1")
     t = F.regexp_replace(t, "(\\p{Nd}++)", "\u0001$1")
-    return F.array_remove(F.split(F.lower(F.coalesce(t, F.lit(""))), "[^\\p{L}\\p{M}\\p{N}\\u0001-\\u0003%€$]+"), "")
+    return F.array_remove(F.split(F.replace(F.lower(F.coalesce(t, F.lit(""))), F.lit("ß"), F.lit("ss")), "[^\\p{L}\\p{M}\\p{N}\\u0001-\\u0003%€$]+"), "")
 
 
 def _windows(df: DataFrame, id_name: str, at: str, lengths: tuple[int, ...], whole: bool = False) -> DataFrame:
-    """(id, position, n, h, slots, plain): the windows of each of ``lengths``; with ``whole`` a text that is shorter than the longest is one window."""
-    mark = F.lit("\u0004")
+    """(id, position, n, h, slots, plain): the windows of each of ``lengths``; with ``whole`` a text that is shorter than the longest is one window.
+
+    A window with names comes twice, the second time with the names as plain words.
+    """
+    mark, name = F.lit("\u0004"), F.lit("\u0003")
     rows = df.select(id_name, template_tokens(F.col("text")).alias("raw"))
-    rows = rows.select(id_name, "raw", F.transform("raw", lambda x: F.when(x < mark, F.substring(x, 1, 1)).otherwise(x)).alias("tok"))
+    bare = F.transform("raw", lambda x: F.when(x.startswith(name), F.substring(x, 2, 1 << 30)).when(x < mark, F.substring(x, 1, 1)).otherwise(x))
+    rows = rows.select(id_name, "raw", F.transform("raw", lambda x: F.when(x < mark, F.substring(x, 1, 1)).otherwise(x)).alias("tok"), F.when(F.exists("raw", lambda x: x.startswith(name)), bare).alias("bare"))
 
     def of(n):
         def one(i):
@@ -54,8 +62,15 @@ def _windows(df: DataFrame, id_name: str, at: str, lengths: tuple[int, ...], who
             slots = F.when(least < mark, F.filter(F.slice("raw", i + 1, n), lambda x: x < mark))
             return F.struct(i.alias("i"), F.lit(n).alias("n"), F.xxhash64(*tok).alias("h"), slots.alias("slots"), (most >= mark).alias("plain"))
 
+        def bared(i):
+            slots = F.filter(F.slice("raw", i + 1, n), lambda x: x < name)
+            return F.struct(i.alias("i"), F.lit(n).alias("n"), F.xxhash64(*[F.get(F.col("bare"), i + F.lit(j)) for j in range(n)]).alias("h"), F.when(F.size(slots) > 0, slots).alias("slots"), F.lit(True).alias("plain"))
+
         fits = F.size("raw") == n if whole and n < max(lengths) else F.size("raw") >= n
-        return F.when(fits, F.transform(F.sequence(F.lit(0), F.greatest(F.size("raw") - n, F.lit(0))), one))
+        places = F.sequence(F.lit(0), F.greatest(F.size("raw") - n, F.lit(0)))
+        typed = F.transform(places, one)
+        named = F.filter(places, lambda i: F.exists(F.slice("raw", i + 1, n), lambda x: x.startswith(name)))
+        return F.when(fits & F.col("bare").isNull(), typed).when(fits, F.concat(typed, F.transform(named, bared)))
 
     found = [rows.select(id_name, F.explode(of(n)).alias("w")) for n in lengths]
     listed = found[0]
@@ -94,8 +109,11 @@ def contaminated(
 
     # a window that no document has counts 0 and comes first: an item that lacks too many gets no pairs
     seen = hits.groupBy("h", "n").agg(F.count(F.lit(1)).alias("times"))
-    rarest = Window.partitionBy("item_id").orderBy(F.coalesce("times", F.lit(0)), "item_at", "h")
-    probes = theirs.select("item_id", "item_at", "h", "n").distinct().join(seen, ["h", "n"], "left").withColumn("rank", F.row_number().over(rarest)).join(needed, "item_id")
+    # a place counts as often as both its windows, with and without names, and both are probed
+    probes = theirs.select("item_id", "item_at", "h", "n").distinct().join(seen, ["h", "n"], "left")
+    probes = probes.withColumn("times", F.sum(F.coalesce("times", F.lit(0))).over(Window.partitionBy("item_id", "item_at")))
+    rarest = Window.partitionBy("item_id").orderBy("times", "item_at")
+    probes = probes.withColumn("rank", F.dense_rank().over(rarest)).join(needed, "item_id")
     probes = probes.where(F.col("rank") <= F.col("n_windows") - F.ceil(coverage * F.col("n_windows") - 1e-9) + 1).select("item_id", "h", "n")
     pairs = hits.select("id", "h", "n").distinct().join(bounded(probes), ["h", "n"]).select("id", "item_id").distinct()
     hits = materialise(pairs.join(bounded(theirs), "item_id").join(hits, ["id", "h", "n"]), "benchmark-pairs")
