@@ -55,6 +55,49 @@ _WEBP = (b"VP8 ", b"VP8L", b"VP8X")
 _AFTER_SCAN = re.compile(rb"\xff+[^\x00\xd0-\xd7\xff]")
 
 
+#: Bytes between two remembered CRCs.
+CRC_STEP = 2048
+_CRC_POLY = 0xEDB88320
+
+
+@cache
+def _crc_tables(k: int) -> tuple[tuple[int, ...], ...]:
+    """What 2 ** k zero bytes do to a CRC-32, for each value of each of its four bytes."""
+    if k:
+        below = _crc_tables(k - 1)
+        bits = [_apply(below, _apply(below, 1 << i)) for i in range(32)]
+    else:
+        bits = []
+        for i in range(32):
+            c = 1 << i
+            for _ in range(8):
+                c = c >> 1 ^ (_CRC_POLY if c & 1 else 0)
+            bits.append(c)
+    out = []
+    for byte in range(4):
+        row = [0] * 256
+        for v in range(1, 256):
+            low = (v & -v).bit_length() - 1
+            row[v] = row[v & v - 1] ^ bits[8 * byte + low]
+        out.append(tuple(row))
+    return tuple(out)
+
+
+def _apply(tables: tuple[tuple[int, ...], ...], c: int) -> int:
+    return tables[0][c & 255] ^ tables[1][c >> 8 & 255] ^ tables[2][c >> 16 & 255] ^ tables[3][c >> 24]
+
+
+def crc_moved(crc: int, by: int) -> int:
+    """The part of a CRC-32 that is left of ``crc`` when ``by`` more bytes follow; with the CRC of those it gives that of both."""
+    k = 0
+    while by:
+        if by & 1:
+            crc = _apply(_crc_tables(k), crc)
+        by >>= 1
+        k += 1
+    return crc
+
+
 class _Walk:
     """Validators over the bytes of one text; each takes where its format's file would start and returns its end, or 0."""
 
@@ -62,6 +105,20 @@ class _Walk:
         self.data, self.size = data, len(data)
         self.seen: dict[tuple[str, int], int] = {}
         self.found: dict[bytes, list[int]] = {}
+        self.chunks: dict[int, tuple[int, int, int]] = {}
+        self.before: list[int] = [0]
+        self.streams: dict[int, tuple[int, int, int]] = {}
+
+    def crc(self, at: int, end: int) -> int:
+        """CRC-32 of a range, for a price that does not grow with its length: from the CRCs of all data before its ends."""
+        if end - at <= 2 * CRC_STEP:
+            return zlib.crc32(self.data[at:end])
+        while len(self.before) * CRC_STEP < end:
+            done = len(self.before) * CRC_STEP
+            self.before.append(zlib.crc32(self.data[done - CRC_STEP : done], self.before[-1]))
+        one, two = (zlib.crc32(self.data[x - x % CRC_STEP : x], self.before[x // CRC_STEP]) for x in (at, end - 1))
+        two = zlib.crc32(self.data[end - 1 : end], two)
+        return two ^ crc_moved(one, end - at)
 
     def number(self, at: int, n: int, order: str = "little") -> int:
         return int.from_bytes(self.data[at : at + n], order)
@@ -96,7 +153,7 @@ class _Walk:
 
         def chunk(at: int):
             n, body = self.number(at, 4, "big"), at + 8
-            if body + n + 4 > self.size or zlib.crc32(self.data[at + 4 : body + n]) != self.number(body + n, 4, "big"):
+            if body + n + 4 > self.size or self.crc(at + 4, body + n) != self.number(body + n, 4, "big"):
                 return None, 0
             return (None, body + n + 4) if self.data[at + 4 : body] == b"IEND" else (body + n + 4, None)
 
@@ -162,11 +219,33 @@ class _Walk:
             good = {b"VP8 ": self.data[start + 23 : start + 26] == b"\x9d\x01\x2a", b"VP8L": self.data[start + 20 : start + 21] == b"/", b"VP8X": self.number(start + 16, 4) == 10}
             if not good[first]:
                 return 0
-        at = start + 12
-        while at + 8 <= end:
-            at += 8 + self.number(at + 4, 4)
-            at += (at - start) % 2
-        return end if at == end else 0
+        return end if self._reaches(start + 12, end) else 0
+
+    def _reaches(self, at: int, end: int) -> bool:
+        """Whether RIFF chunks from ``at`` on come to stand exactly at ``end``.
+
+        Chunks are padded to the parity of the first, so walks that meet go on together: a forest with its roots beyond
+        the data.  Every place is walked once and gets a jump towards its root besides the next chunk, of a span that
+        grows with its depth, so that ``end`` is found on the way in a logarithmic number of steps.
+        """
+        trail, place = [], at
+        while place not in self.chunks and place + 8 <= self.size:
+            trail.append(place)
+            place += 8 + self.number(place + 4, 4)
+            place += (place - at) % 2
+        self.chunks.setdefault(place, (place, place, 0))  # a root is its own next
+        for below in reversed(trail):
+            depth, jump = self.chunks[place][2], self.chunks[place][1]
+            again = self.chunks[jump]
+            far = again[1] if depth - again[2] == again[2] - self.chunks[again[1]][2] else place
+            self.chunks[below] = (place, far, depth + 1)
+            place = below
+        while at < end:
+            after, far, depth = self.chunks[at]
+            if not depth:
+                return False
+            at = far if far <= end else after
+        return at == end
 
     def pdf(self, start: int) -> int:
         end = self.next_of(b"%%EOF", start)
@@ -192,9 +271,38 @@ class _Walk:
                 at = self.next_of(b"\0", at) + 1
                 if not at:
                     return 0
-        return self.follow("gzip", at + (flags & 2), self._inflated)
-
-    def _inflated(self, start: int):
+        end, crc, n = self._deflated(at + (flags & 2))
+        return end + 8 if end and end + 8 <= self.size and self.number(end, 4) == crc and self.number(end + 4, 4) == n & 0xFFFFFFFF else 0
+
+    def _deflated(self, start: int) -> tuple[int, int, int]:
+        """(end, CRC-32, length) of what a deflate stream holds; end 0 where it is none.
+
+        Stored blocks that lead a stream stand at whole bytes and lead into the same blocks from many starts: each is
+        read once, and what follows it is remembered by its place.
+        """
+        trail, at, told = [], start, None
+        while told is None:
+            told = self.streams.get(at)
+            if told is None and at + 5 <= self.size and not self.data[at] & 6:
+                n = self.number(at + 1, 2)
+                if n ^ self.number(at + 3, 2) != 0xFFFF or at + 5 + n > self.size:
+                    trail.append((at, 0))
+                    told = (0, 0, 0)
+                else:
+                    trail.append((at, n))
+                    if self.data[at] & 1:
+                        told = (at + 5 + n, 0, 0)
+                    at += 5 + n
+            elif told is None:
+                told = self.streams[at] = self._inflated(at)
+        for place, n in reversed(trail):
+            end, crc, length = told
+            if end:
+                told = (end, crc_moved(self.crc(place + 5, place + 5 + n), length) ^ crc, n + length)
+            self.streams[place] = told
+        return told
+
+    def _inflated(self, start: int) -> tuple[int, int, int]:
         one, at, crc, n = zlib.decompressobj(-15), start, 0, 0
         try:
             while at < self.size and not one.eof:
@@ -204,10 +312,8 @@ class _Walk:
                     out = one.decompress(part, 1 << 20)
                     crc, n, part = zlib.crc32(out, crc), n + len(out), one.unconsumed_tail
         except zlib.error:
-            return None, 0
-        end = at - len(one.unused_data)
-        good = one.eof and end + 8 <= self.size and self.number(end, 4) == crc and self.number(end + 4, 4) == n & 0xFFFFFFFF
-        return None, end + 8 if good else 0
+            return 0, 0, 0
+        return (at - len(one.unused_data), crc, n) if one.eof else (0, 0, 0)
 
     def ogg(self, start: int) -> int:
         def page(at: int):
