@@ -893,3 +893,92 @@ def test_new_queries_match_sql(spark, name):
     want = con.execute(queries.ORACLE_SQL[name]).fetchdf()[mine.columns]
     key = mine.columns[0]
     assert mine.toPandas().sort_values(key).astype(str).values.tolist() == want.sort_values(key).astype(str).values.tolist()
+
+
+# --- letter case of leaks, crafted media
+
+
+def test_items_are_found_in_any_letter_case(spark):
+    bench = spark.read.parquet(f"{SF}/benchmark.parquet").collect()
+    items = [(r["item_id"], r["text"]) for r in bench] + [
+        (9001, "If a train leaves London at 60 mph how far does it go in 3 hours"),
+        (9002, "When did Anna meet Boris near Paris and why was Clara in Madrid for 12 days"),
+        (9003, "ask Anna about Boris"),
+    ]
+    other = {9001: "If a train leaves Glasgow at 75 mph how far does it go in 8 hours"}
+    rows, want = [], set()
+    for i, text in items:
+        for k, form in enumerate((str, str.lower, str.upper, str.title)):
+            rows.append((i * 10 + k, prose(i, 30) + " " + form(text) + " " + prose(i + 1, 30)))
+            want.add((i * 10 + k, i))
+    for i, text in other.items():
+        rows.append((i * 10 + 7, text))
+        want.add((i * 10 + 7, i))
+    rows += [(7, "if a ship leaves harbour at noon how far does it drift in a storm"), (8, prose(4, 200).title()), (9, None)]
+    frame = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r["id"], r["item_id"]) for r in decontaminate.contaminated(docs(spark, rows), frame).select("id", "item_id").collect()}
+    assert want <= got
+    texts = {i: re.findall(r"\w+", t.lower()) for i, t in items}
+    held = {i: re.findall(r"\w+", (t or "").lower()) for i, t in rows}
+    for doc, item in got - want:  # items that stand in one another
+        words, mine = texts[item], held[doc]
+        assert any(mine[k : k + len(words)] == words for k in range(len(mine)))
+
+
+def crafted(kind, n):
+    """Many heads that all lead into the same long rest."""
+    import struct
+
+    out = bytearray()
+    if kind == "riff":
+        k = n // 2 // 20
+        while len(out) < k * 20:
+            out += b"RIFF" + struct.pack("<I", n - 8 - len(out)) + b"WAVEfmt " + struct.pack("<I", k * 20 - len(out) - 20)
+        return bytes(out + b"\0" * (n - len(out)))
+    if kind == "png":
+        ihdr = b"IHDR" + b"\0" * 13
+        head = b"\x89PNG\r\n\x1a\n\0\0\0\r" + ihdr + struct.pack(">I", zlib.crc32(ihdr))
+        while len(out) < n // 2:
+            out += head + struct.pack(">I", n - len(out) - 100) + b"IDAT"
+        return bytes(out + b"x" * (n - len(out)))
+    while len(out) < n // 2:
+        gap = min(n // 2 - len(out), 60_000)
+        out += b"\x1f\x8b\x08\0\0\0\0\0\0\3\0" + struct.pack("<HH", gap, 0xFFFF ^ gap)
+    return bytes(out + b"\0\1\0\xfe\xffz" * ((n - len(out)) // 6))
+
+
+@pytest.mark.parametrize("kind", ["riff", "png", "gzip"])
+def test_heads_that_lead_into_one_rest_take_linear_time(kind):
+    import time
+
+    times = []
+    for n in (500_000, 2_000_000):
+        data = crafted(kind, n)
+        began = time.perf_counter()
+        media_sniff.carve(data)
+        times.append(time.perf_counter() - began)
+    assert times[1] < 8 and times[1] < 10 * times[0] + 0.5
+
+
+def test_crc_of_ranges_and_stored_gzip():
+    import gzip
+    import struct
+
+    rng = random.Random(1)
+    data = rng.randbytes(30_000)
+    walk = media_sniff._Walk(data)
+    for _ in range(300):
+        a, b = sorted((rng.randint(0, len(data)), rng.randint(0, len(data))))
+        assert walk.crc(a, b) == zlib.crc32(data[a:b])
+    body = rng.randbytes(150_000)
+    stored = gzip.compress(body, 0, mtime=0)
+    mixed = stored[:10]
+    for at in range(0, 90_000, 30_000):
+        mixed += b"\0" + struct.pack("<HH", 30_000, 0xFFFF ^ 30_000) + body[at : at + 30_000]
+    packed = zlib.compressobj(9, zlib.DEFLATED, -15)
+    mixed += packed.compress(b"tail" * 50) + packed.flush()
+    mixed += struct.pack("<II", zlib.crc32(body[:90_000] + b"tail" * 50), 90_200)
+    for whole in (stored, mixed, gzip.compress(body, 9, mtime=0)):
+        found = media_sniff.carve(b"junk" + whole + b"more")
+        assert ("application/gzip", 4, len(whole)) in found
+        assert ("application/gzip", 4, len(whole)) not in media_sniff.carve(b"junk" + whole[:-9] + b"\1" + whole[-8:] + b"more")
