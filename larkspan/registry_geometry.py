@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .functions import geo
-from .operators import lines
+from .operators import axes, lines
 from .registry import query
 from .sources import adapters as src
+from .sources import files
 
 #: Steps of a synthetic line.
 STEPS = 64
@@ -30,11 +31,12 @@ sp AS (
 sl AS MATERIALIZED (SELECT ln.*, CASE WHEN ln.seq IN (0, {STEPS}) THEN 'inf'::DOUBLE ELSE coalesce(s.scale, 0) END AS scale FROM ln LEFT JOIN (SELECT route_id, seq, scale FROM sp WHERE scale IS NOT NULL) s USING (route_id, seq))"""
 
 
-def _sine_points(spark, d):
+def sine_points(spark, d, steps=STEPS):
+    """(route_id, total_milli_mi, seq, lng_u, lat_u): a straight line with two sines across for every route."""
     k = F.col("route_id")
-    rows = src.routes(spark, d).select("route_id", F.explode(F.sequence(F.lit(0), F.lit(STEPS))).alias("seq"))
-    line = geo.sine_line(F.col("seq"), STEPS, (-119 + k % 20).cast("double"), (31 + k % 13).cast("double"), (-97 + k % 17).cast("double"), (31 + k % 11).cast("double"))
-    return rows.select("route_id", "seq", *line)
+    rows = src.routes(spark, d).select("route_id", "total_milli_mi", F.explode(F.sequence(F.lit(0), F.lit(steps))).alias("seq"))
+    line = geo.sine_line(F.col("seq"), steps, (-119 + k % 20).cast("double"), (31 + k % 13).cast("double"), (-97 + k % 17).cast("double"), (31 + k % 11).cast("double"))
+    return rows.select("route_id", "total_milli_mi", "seq", *line)
 
 
 _TOLERANCES = (5_000, 40_000, 160_000)
@@ -43,7 +45,7 @@ _TOLERANCES = (5_000, 40_000, 160_000)
 @query(_SCALED + f" SELECT route_id, count(*) AS points, {', '.join(f'count(*) FILTER (scale > {t}) AS kept_{t}' for t in _TOLERANCES)}, string_agg(seq::VARCHAR, ',' ORDER BY seq) FILTER (scale > {_TOLERANCES[-1]}) AS places FROM sl GROUP BY route_id", recursive=True)
 def mat4_simplified_lines(spark, d):
     """Each route's line at three tolerances in micro-degrees, from one pass: points kept, and which at the widest."""
-    line = lines.scaled(_sine_points(spark, d))
+    line = lines.scaled(sine_points(spark, d))
     kept = lambda t: lines.kept(F.col("line"), float(t))
     counts = [F.size(kept(t)).cast("long").alias(f"kept_{t}") for t in _TOLERANCES]
     return line.select("route_id", F.size("line").cast("long").alias("points"), *counts, F.array_join(kept(_TOLERANCES[-1])["seq"].cast("array<string>"), ",").alias("places"))
@@ -66,7 +68,45 @@ ad AS (SELECT route_id, rung, head || text || ')/auto/{lines.IMAGE}?access_token
 @query(_SCALED + _TEXTS + f" SELECT route_id, arg_min(address, rung) AS address, min(rung)::INT AS doublings FROM ad WHERE length(address) <= {SHORT} OR rung = 14 GROUP BY route_id", recursive=True)
 def str11_map_addresses(spark, d):
     """A static map of each route: pins, and the path at the first of the doubling tolerances at which the address is short enough."""
-    line = lines.scaled(_sine_points(spark, d))
+    line = lines.scaled(sine_points(spark, d))
     at = lambda i: (lambda p: F.format_string("%.6f,%.6f", p["x"] / 1e6, p["y"] / 1e6))(F.get(F.col("line"), F.lit(i)))
     told = lines.map_address(MAPS, TOKEN, F.col("line"), at(0), at(STEPS), F.array(at(20), at(40)), SHORT)
     return line.select("route_id", told.alias("t")).select("route_id", "t.address", "t.doublings")
+
+
+# --- times on measured axes
+
+# Every sixth route has no answer and so no axis; some axes have no length, some segments none, some answers no durations.
+_AXES = """ax AS (SELECT l_orderkey AS route_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_quantity) AS seq, CASE WHEN l_orderkey % 7 = 1 OR (l_orderkey % 5 = 2 AND l_quantity % 2 = 0) THEN 0 ELSE l_quantity * 100 END AS d, l_quantity * 3 AS s
+  FROM lineitem WHERE l_orderkey % 6 <> 0 AND l_orderkey % 11 <> 2),
+ay AS (SELECT *, sum(d) OVER w AS d1, sum(s) OVER w AS s1, sum(d) OVER w - d AS d0, sum(s) OVER w - s AS s0 FROM ax WINDOW w AS (PARTITION BY route_id ORDER BY seq)),
+az AS (SELECT route_id, max(d1) AS axis, max(s1) AS most FROM ay GROUP BY route_id),
+mk AS (SELECT route_id, opis_id, pos_milli_mi AS p, total_milli_mi AS total FROM v_candidate UNION ALL SELECT route_id, -1, 0, total_milli_mi FROM v_route UNION ALL SELECT route_id, -2, total_milli_mi + 5000, total_milli_mi FROM v_route UNION ALL SELECT route_id, -3, 7, 0 FROM v_route),
+mz AS (SELECT mk.*, axis, most, CASE WHEN axis > 0 AND total > 0 THEN p * axis / total::DOUBLE END AS z FROM mk LEFT JOIN az USING (route_id)),
+ms AS (SELECT mz.route_id, opis_id, any_value(axis) AS axis, any_value(most) AS most, any_value(total) AS total, any_value(z) AS z, arg_max({'d0': d0, 'd1': d1, 's0': s0, 's1': s1}, {'p': d0, 'q': seq}) AS g FROM mz LEFT JOIN ay ON ay.route_id = mz.route_id AND d0 <= z GROUP BY mz.route_id, opis_id)
+SELECT route_id, opis_id, round(CASE WHEN axis IS NULL THEN NULL WHEN axis = 0 OR total = 0 OR z <= 0 THEN 0 WHEN z >= axis THEN most WHEN (g).d1 > (g).d0 THEN (g).s0 + (z - (g).d0) / ((g).d1 - (g).d0) * ((g).s1 - (g).s0) ELSE (g).s0 END, 3) AS seconds FROM ms"""
+
+
+def measured_axes(spark, d):
+    """Annotation axes of directions answers in JSON: (route_id, seq, length in metres, seconds)."""
+    k = F.col("route_id")
+    items = src.read(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("route_id")).agg(F.sort_array(F.collect_list("l_quantity")).alias("v"))
+    length = F.transform("v", lambda x: F.when((k % 7 == 1) | ((k % 5 == 2) & (x % 2 == 0)), 0.0).otherwise(x * 100))
+    seconds = F.when(k % 11 != 2, F.transform("v", lambda x: x * 3))
+    leg = F.struct(F.lit(1.0).alias("distance"), F.struct(length.alias("distance"), seconds.alias("duration")).alias("annotation"))
+    good = F.to_json(F.struct(F.lit("Ok").alias("code"), F.array(F.struct(F.lit(1.0).alias("distance"), F.array(leg).alias("legs"))).alias("routes")))
+    answers = items.select("route_id", F.when(k % 6 == 0, F.lit('{"code":"NoRoute","routes":[]}')).otherwise(good).alias("body"))
+    found = files.direction_routes(answers).where("size(annotation_mi) > 0 AND size(annotation_s) > 0")
+    both = found.select("route_id", F.posexplode(F.arrays_zip("annotation_mi", "annotation_s")).alias("seq", "x"))
+    return both.select("route_id", "seq", F.round(F.col("x.annotation_mi") * files.METRES).alias("length"), F.col("x.annotation_s").alias("seconds"))
+
+
+@query(_AXES)
+def win3_measured_axes(spark, d):
+    """The time at every candidate, at the start, beyond the end and on a route without length, by the axes of directions answers."""
+    routes = src.routes(spark, d)
+    mark = lambda n, at, total: routes.select("route_id", F.lit(n).alias("opis_id"), at.cast("long").alias("at"), total.cast("long").alias("total"))
+    whole = F.col("total_milli_mi")
+    marks = src.candidates(spark, d).select("route_id", "opis_id", F.col("pos_milli_mi").alias("at"), whole.alias("total"))
+    marks = marks.union(mark(-1, F.lit(0), whole)).union(mark(-2, whole + 5000, whole)).union(mark(-3, F.lit(7), F.lit(0)))
+    return axes.times_at(marks, measured_axes(spark, d)).select("route_id", "opis_id", F.round("seconds", 3).alias("seconds"))
