@@ -542,4 +542,4 @@ def snk7_stop_lines(spark, d):
     return src.candidates(spark, d).select("route_id", "opis_id", F.concat_ws(",", text.csv_field(n), "pos_milli_mi", "price_milli").alias("line"))
 
 
-from . import registry_geometry, registry_more, registry_plans, registry_reports, registry_streams  # noqa: E402, F401  they register their queries, which use the tables above
+from . import registry_answers, registry_geometry, registry_more, registry_plans, registry_reports, registry_streams  # noqa: E402, F401  they register their queries, which use the tables above

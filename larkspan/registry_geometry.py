@@ -17,10 +17,11 @@ STEPS = 64
 _OFF = """sqrt(pow2(x - (ax + share * dx)) + pow2(y - (ay + share * dy)))""".replace("pow2(x - (ax + share * dx))", "(x - (ax + share * dx)) * (x - (ax + share * dx))").replace(
     "pow2(y - (ay + share * dy))", "(y - (ay + share * dy)) * (y - (ay + share * dy))"
 )
-_SCALED = f"""ln AS MATERIALIZED (SELECT route_id, i AS seq, floor((lng0 + (lng1 - lng0) * i / {STEPS}) * 1000000 + 0.5000001::DOUBLE) AS x,
+_SINES = f"""ln AS MATERIALIZED (SELECT route_id, i AS seq, floor((lng0 + (lng1 - lng0) * i / {STEPS}) * 1000000 + 0.5000001::DOUBLE) AS x,
   floor((lat0 + (lat1 - lat0) * i / {STEPS} + 0.3 * sin(i / {STEPS}.0::DOUBLE * 30) + 0.05 * sin(i / {STEPS}.0::DOUBLE * 137)) * 1000000 + 0.5000001::DOUBLE) AS y
-  FROM (SELECT route_id, -119 + route_id % 20 AS lng0, -97.0::DOUBLE + route_id % 17 AS lng1, 31 + route_id % 13 AS lat0, 31.0::DOUBLE + route_id % 11 AS lat1 FROM v_route) s, range({STEPS + 1}) t(i)),
-sp AS (
+  FROM (SELECT route_id, -119 + route_id % 20 AS lng0, -97.0::DOUBLE + route_id % 17 AS lng1, 31 + route_id % 13 AS lat0, 31.0::DOUBLE + route_id % 11 AS lat1 FROM v_route) s, range({STEPS + 1}) t(i))"""
+#: Tables ``sl``: every point of the lines in ``ln`` (steps 0 to STEPS) with its scale.
+SPLIT = f"""sp AS (
   SELECT route_id, seq, x, y, 0::BIGINT AS a, {STEPS}::BIGINT AS b, 'inf'::DOUBLE AS lim, NULL::DOUBLE AS scale FROM ln WHERE seq BETWEEN 1 AND {STEPS - 1}
   UNION ALL
   SELECT route_id, seq, x, y, CASE WHEN seq > m THEN m ELSE a END, CASE WHEN seq < m THEN m ELSE b END, least(lim, most), CASE WHEN seq = m THEN least(lim, most) END
@@ -29,6 +30,8 @@ sp AS (
       SELECT sp.*, p.x AS ax, p.y AS ay, q.x - p.x AS dx, q.y - p.y AS dy FROM sp JOIN ln p ON p.route_id = sp.route_id AND p.seq = sp.a JOIN ln q ON q.route_id = sp.route_id AND q.seq = sp.b WHERE scale IS NULL)))))
   WHERE most > 0 OR seq = m),
 sl AS MATERIALIZED (SELECT ln.*, CASE WHEN ln.seq IN (0, {STEPS}) THEN 'inf'::DOUBLE ELSE coalesce(s.scale, 0) END AS scale FROM ln LEFT JOIN (SELECT route_id, seq, scale FROM sp WHERE scale IS NOT NULL) s USING (route_id, seq))"""
+_SCALED = f"{_SINES}, {SPLIT}"
+
 
 
 def sine_points(spark, d, steps=STEPS):
