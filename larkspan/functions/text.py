@@ -85,10 +85,10 @@ def station_note(total: Column, recorded: Column, estimates: Column) -> Column:
     return F.when(total == 0, "").when(recorded == total, whole).when(recorded + estimates == total, parts).otherwise(F.concat(stations, F.lit(".")))
 
 
-def freshness_note(state: Column, week: Column) -> Column:
-    """What week prices are indexed to; null for a frozen table or an unknown week."""
+def freshness_note(state: Column, week: Column, snapshot: str | None = None) -> Column:
+    """What week prices are indexed to; for a frozen table or an unknown week the sentence about the dated snapshot, if there is one."""
     note = F.concat(F.lit("Station prices indexed to the EIA week of "), F.date_format(week, "MMM d, yyyy"))
-    return F.when(week.isNotNull() & (state == "stale"), F.concat(note, F.lit(" (latest available)."))).when(week.isNotNull() & (state == "current"), F.concat(note, F.lit(".")))
+    return F.when(week.isNotNull() & (state == "stale"), F.concat(note, F.lit(" (latest available)."))).when(week.isNotNull() & (state == "current"), F.concat(note, F.lit("."))).otherwise(F.lit(snapshot))
 
 
 def csv_field(s: Column) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geo, text
+from . import measure
 
 ID_BASE = 1_000_000_000
 TIER1_MI = 0.25
@@ -28,14 +29,15 @@ def collapse(observations: DataFrame, *first: str) -> DataFrame:
 def duplicate_report(groups: DataFrame) -> DataFrame:
     many = F.col("observation_count") > 1
     spread = F.when(many, F.col("max_milli") - F.col("min_milli"))
-    return groups.agg(
+    counts = groups.agg(
         F.count(F.lit(1)).alias("groups"),
         F.count_if(many).alias("duplicated"),
         F.count_if(many & (spread == 0)).alias("equal_price"),
         F.count_if(many & (spread > 0)).alias("conflicting"),
-        F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY CASE WHEN observation_count > 1 THEN max_milli - min_milli END)").cast("long").alias("median_spread_milli"),
         F.max(spread).alias("max_spread_milli"),
     )
+    middle = measure.picked(groups.withColumn("_spread", spread), "_spread", 16).select(F.col("lower").cast("long").alias("median_spread_milli"))
+    return counts.crossJoin(F.broadcast(middle))
 
 
 def hygiene(rows: DataFrame, name: str, status: str, confidence: str) -> DataFrame:

@@ -19,6 +19,28 @@ def world_diff(a: DataFrame, b: DataFrame, key: list[str], fields: list[str], ce
     return out.where("kind IS NOT NULL").select(*key, "kind", "fields")
 
 
+def picked(df: DataFrame, value: str, width: float, share: float = 0.5) -> DataFrame:
+    """(lower, upper), one row: the values at the ranks floor and ceil of ``share`` of the way through the sorted column.
+
+    Values are counted by range of ``width`` first.  Only the ranges that hold one of the two ranks are then counted value
+    by value, so nothing is sorted but the counts of ranges and of those few values.  Nulls are left out; no value gives
+    two nulls.
+    """
+    rows = df.select(F.col(value).alias("v")).where("v IS NOT NULL")
+    ranged = rows.withColumn("range", F.floor(F.col("v") / width))
+    counts = ranged.groupBy("range").agg(F.count(F.lit(1)).alias("n"))
+    upto = Window.partitionBy(F.lit(1)).orderBy("range").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    counts = counts.withColumns({"after": F.sum("n").over(upto), "total": F.sum("n").over(Window.partitionBy(F.lit(1)))})
+    first, second = F.floor((F.col("total") - 1) * share) + 1, F.ceil((F.col("total") - 1) * share) + 1
+    holding = counts.withColumns({"before": F.col("after") - F.col("n"), "low": first, "high": second})
+    holding = holding.where("(before < low AND low <= after) OR (before < high AND high <= after)").select("range", "before", "low", "high")
+    few = ranged.join(F.broadcast(holding), "range").groupBy("range", "v", "before", "low", "high").agg(F.count(F.lit(1)).alias("n"))
+    within = Window.partitionBy("range").orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    few = few.withColumn("to", F.col("before") + F.sum("n").over(within)).withColumn("from", F.col("to") - F.col("n"))
+    at = lambda rank: F.max(F.when((F.col("from") < F.col(rank)) & (F.col(rank) <= F.col("to")), F.col("v")))
+    return few.agg(at("low").alias("lower"), at("high").alias("upper"))
+
+
 def quantile_edges(df: DataFrame, value: str, bins: int) -> DataFrame:
     """Inner bin edges: the sorted value at floor(n × i / bins)."""
     listed = df.where(F.col(value).isNotNull()).groupBy("route_id").agg(F.sort_array(F.collect_list(value)).alias("v"))
@@ -32,14 +54,6 @@ def by_rung(effort: DataFrame, ladder: tuple[int, ...]) -> DataFrame:
     return effort.groupBy(rung.alias("rung")).agg(F.count(F.lit(1)).alias("newly_admitted"))
 
 
-def adopted_rung(effort: DataFrame, ladder: tuple[int, ...], most_nodes: int) -> DataFrame:
-    """The ladder's rungs with the largest admitted cell; ``adopted`` holds up to the first rung that exceeds ``most_nodes``."""
-    largest = [F.coalesce(F.max(F.when(F.col("estimate") <= r, F.col("nodes"))), F.lit(0)) for r in ladder]
-    rows = effort.agg(*[c.alias(f"r{i}") for i, c in enumerate(largest)]).select(F.explode(F.array(*[F.struct(F.lit(r).cast("long").alias("rung"), F.col(f"r{i}").alias("largest")) for i, r in enumerate(ladder)])).alias("x"))
-    walk = Window.partitionBy(F.lit(1)).orderBy("rung")  # as many rows as the ladder has rungs
-    return rows.select("x.*").select("rung", "largest", F.every(F.col("largest") <= most_nodes).over(walk).alias("adopted"))
-
-
 def induced_threshold(cells: DataFrame, group: str, value: str, censored: str) -> DataFrame:
     """Per group the largest uncensored value below the least censored one, and how many cells lie up to it."""
     least = cells.groupBy(group).agg(F.min(F.when(F.col(censored), F.col(value))).alias("least_censored"))

@@ -80,8 +80,13 @@ def penalty_pruned(candidates: DataFrame, mpg: int = MPG, stop_cents: int = STOP
 
     What goes does not lower the prices kept so far, so each route's stations are folded in order, within the JVM.
     """
+    return penalty_kept(pruned(candidates), mpg, stop_cents)
+
+
+def penalty_kept(candidates: DataFrame, mpg: int = MPG, stop_cents: int = STOP_CENTS) -> DataFrame:
+    """The stronger rule alone, over candidates that are pruned already."""
     least = stop_cents * 10_000 * mpg
-    kept = pruned(candidates).withColumn("_tail", F.col("pos_milli_mi") + F.col("tank_milli_mi") >= F.col("total_milli_mi"))
+    kept = candidates.withColumn("_tail", F.col("pos_milli_mi") + F.col("tank_milli_mi") >= F.col("total_milli_mi"))
     station = F.struct("pos_milli_mi", "price_milli", "opis_id", (F.col("price_source") == "eia_regional_estimate").alias("est"), "tank_milli_mi")
     listed = kept.where("_tail").groupBy("route_id").agg(F.sort_array(F.collect_list(station)).alias("v"))
     none = F.lit(None).cast("long")
@@ -116,13 +121,13 @@ def reach(routes: DataFrame, kept: DataFrame) -> DataFrame:
     return counted.select("route_id", "opis_id", ahead.alias("reach"))
 
 
-def effort(routes: DataFrame, kept: DataFrame) -> DataFrame:
-    """(route_id, nodes, estimate): reach of the start plus reach × (reach + 1) of each station."""
-    from_station = reach(routes, kept).groupBy("route_id").agg(F.count(F.lit(1)).alias("nodes"), F.sum(F.col("reach") * (F.col("reach") + 1)).alias("work"))
+def effort(routes: DataFrame, kept: DataFrame, levels: bool = False) -> DataFrame:
+    """(route_id, nodes, estimate): reach of the start plus reach × (reach + 1) of each station; with ``levels`` also fill_levels, plus reach + 1 of each."""
+    from_station = reach(routes, kept).groupBy("route_id").agg(F.count(F.lit(1)).alias("nodes"), F.sum(F.col("reach") * (F.col("reach") + 1)).alias("work"), F.sum(F.col("reach") + 1).alias("levels"))
     first = kept.where("pos_milli_mi <= on_board_milli_mi").groupBy("route_id").agg(F.count(F.lit(1)).alias("from_start"))
-    joined = routes.join(from_station, "route_id", "left").join(first, "route_id", "left").fillna(0, ["nodes", "work", "from_start"])
+    joined = routes.join(from_station, "route_id", "left").join(first, "route_id", "left").fillna(0, ["nodes", "work", "levels", "from_start"])
     start = F.col("from_start") + (F.col("total_milli_mi") <= F.col("on_board_milli_mi")).cast("long")
-    return joined.select("route_id", "nodes", (start + F.col("work")).alias("estimate"))
+    return joined.select("route_id", "nodes", (start + F.col("work")).alias("estimate"), *[(start + F.col("levels")).alias("fill_levels")] * levels)
 
 
 def problems(routes: DataFrame, stations: DataFrame) -> DataFrame:

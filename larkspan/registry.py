@@ -13,6 +13,7 @@ from .functions import text
 from .operators import cleaning, corridor, measure, pricing
 from .plans import search
 from .sources import adapters as src
+from .sources import files
 from .streaming import counters
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -96,7 +97,7 @@ def agg1_duplicate_collapse(spark, d):
 @query(_COLLAPSED + """ SELECT count(*) AS groups, count(*) FILTER (observation_count > 1) AS duplicated, count(*) FILTER (observation_count > 1 AND max_milli = min_milli) AS equal_price, count(*) FILTER (observation_count > 1 AND max_milli > min_milli) AS conflicting,
 quantile_disc(CASE WHEN observation_count > 1 THEN max_milli - min_milli END, 0.5)::BIGINT AS median_spread_milli, max(CASE WHEN observation_count > 1 THEN max_milli - min_milli END) AS max_spread_milli FROM c""")
 def agg2_duplicate_report(spark, d):
-    return cleaning.duplicate_report(cleaning.collapse(src.price_observations(spark, d)))
+    return cleaning.duplicate_report(files.written(cleaning.collapse(src.price_observations(spark, d)), "station-groups"))
 
 
 _INCOMING = """i AS (SELECT opis_id AS in_id, CASE opis_id % 3 WHEN 0 THEN 'Pilot ' || name ELSE name END AS name, city, state, lat_u + (opis_id % 9 - 4) * 1000 AS lat_u, lng_u + (opis_id % 7 - 3) * 1000 AS lng_u FROM v_station),
@@ -466,10 +467,14 @@ def agg23_induced_threshold(spark, d):
     return measure.induced_threshold(cells, "tank_milli_mi", "nodes", "cens")
 
 
-@query(_EFFORT + " SELECT route_id, nodes, total_milli_mi * 1000000 // tank_milli_mi AS tanks_micro, estimate * total_milli_mi // tank_milli_mi AS scaled FROM ef JOIN v_route USING (route_id)")
+@query(_EFFORT + """, rp AS (SELECT route_id, sum(reach + 1) AS levels FROM rc GROUP BY route_id) SELECT route_id, nodes, total_milli_mi * 1000000 // tank_milli_mi AS tanks_micro, estimate * total_milli_mi // tank_milli_mi AS scaled, (coalesce(from_start, 0) + (total_milli_mi <= on_board_milli_mi)::INT + coalesce(levels, 0))::BIGINT AS fill_levels, nodes * estimate AS nodes_x_estimate,
+  (coalesce(from_start, 0) + (total_milli_mi <= on_board_milli_mi)::INT + coalesce(levels, 0))::BIGINT * estimate AS levels_x_estimate FROM ef JOIN v_route USING (route_id) LEFT JOIN rp USING (route_id) LEFT JOIN fs USING (route_id)""")
 def pln18_effort_predictors(spark, d):
-    cells = _effort(spark, d).join(src.routes(spark, d), "route_id")
-    return cells.selectExpr("route_id", "nodes", "total_milli_mi * 1000000 div tank_milli_mi AS tanks_micro", "estimate * total_milli_mi div tank_milli_mi AS scaled")
+    """Predictors of a search's effort: nodes, tanks a route, the useful fill levels (reach + 1 of each node), and their products with the estimate."""
+    cells = search.effort(src.routes(spark, d), search.pruned(src.candidates(spark, d)), levels=True).join(src.routes(spark, d), "route_id")
+    return cells.selectExpr(
+        "route_id", "nodes", "total_milli_mi * 1000000 div tank_milli_mi AS tanks_micro", "estimate * total_milli_mi div tank_milli_mi AS scaled", "fill_levels", "nodes * estimate AS nodes_x_estimate", "fill_levels * estimate AS levels_x_estimate",
+    )
 
 
 @query("""g AS (SELECT region, round(avg(price_milli), 0)::BIGINT AS mean FROM v_station JOIN v_state USING (state) GROUP BY region) SELECT route_id, sum(CASE WHEN (opis_id + route_id) % 4 = 0 THEN coalesce(mean, price_milli) ELSE price_milli END)::BIGINT AS total_milli, count(*) FILTER ((opis_id + route_id) % 4 = 0) AS tagged FROM v_candidate LEFT JOIN v_state USING (state) LEFT JOIN g USING (region) GROUP BY route_id""")

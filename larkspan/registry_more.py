@@ -54,6 +54,29 @@ def src4_nested_extract(spark, d):
     return rows.select("id", F.col("names.primary").alias("name"), first["locality"].alias("city"), first["region"].alias("state"))
 
 
+_BOXES = ((32_000_000, 36_000_000, -110_000_000, -100_000_000), (40_000_000, 42_000_000, -95_000_000, -80_000_000))
+_DEG = "({}::BIGINT * 0.000001::DECIMAL(7,6))::DECIMAL(10,6)"
+
+
+@query(f"""SELECT 'g-' || opis_id AS gers_id, name, CASE WHEN opis_id % 4 <> 1 THEN 'Brand ' || opis_id % 9 END AS brand_name, opis_id || ' Main St' AS address_freeform, city AS address_locality, state AS address_region, lpad((opis_id % 100000)::VARCHAR, 5, '0') AS address_postcode,
+  CASE opis_id % 3 WHEN 0 THEN 'gas_station' ELSE 'truck_stop' END AS category, opis_id % 100 / 100 AS confidence, CASE opis_id % 5 WHEN 0 THEN NULL WHEN 1 THEN 'closed' ELSE 'open' END AS operating_status, {_DEG.format('lng_u')} AS longitude, {_DEG.format('lat_u')} AS latitude
+{_WANTED} AND ((lat_u BETWEEN 32000000 AND 36000000 AND lng_u BETWEEN -110000000 AND -100000000) OR (lat_u BETWEEN 40000000 AND 42000000 AND lng_u BETWEEN -95000000 AND -80000000))""")
+def src4_whole_extract(spark, d):
+    """Twelve columns out of a nested extract; release, category, confidence and the boxes reach the scan."""
+    k = F.col("opis_id")
+    category = F.when(k % 3 == 0, "gas_station").when(k % 3 == 1, "truck_stop").otherwise("cafe")
+    named = lambda c: F.struct(c.alias("primary"))
+    rows = src.stations(spark, d).select(
+        F.concat(F.lit("g-"), k).alias("id"), named(F.col("name")).alias("names"), F.struct(named(F.when(k % 4 != 1, F.concat(F.lit("Brand "), k % 9))).alias("names")).alias("brand"),
+        F.array(F.struct(F.concat(k, F.lit(" Main St")).alias("freeform"), F.col("city").alias("locality"), F.col("state").alias("region"), F.lpad((k % 100000).cast("string"), 5, "0").alias("postcode"))).alias("addresses"),
+        named(category).alias("categories"), F.struct(category.alias("primary"), F.array(F.lit("travel"), category).alias("hierarchy")).alias("taxonomy"), (k % 100 / 100).alias("confidence"),
+        F.when(k % 5 == 0, None).when(k % 5 == 1, "closed").otherwise("open").alias("operating_status"), F.struct(F.col("lng_u").alias("xmin"), F.col("lng_u").alias("xmax"), F.col("lat_u").alias("ymin"), F.col("lat_u").alias("ymax")).alias("bbox"),
+        F.when(k % 2 == 0, "2025-01-15.0").otherwise("2025-02-19.0").alias("release"),
+    )
+    wanted = files.wanted_places(spark, files.write_extract(rows), "2025-02-19.0", ["gas_station", "truck_stop"], 0.5)
+    return files.place_columns(cleaning.overlapping(wanted, _BOXES))
+
+
 @query(f"SELECT n, base, n BETWEEN 0.5 * base AND 2 * base AS plausible FROM (SELECT (SELECT count(*) {_WANTED}) AS n, (SELECT count(*) // 6 FROM v_station) AS base)")
 def src5_count_scan(spark, d):
     """The extract's predicate, counted before it is fetched, against a sixth of the stations."""
@@ -211,9 +234,13 @@ def win7_co_located(spark, d):
     return search.marked(src.candidates(spark, d)).where("NOT removed <=> 'co_located'").select("route_id", "opis_id")
 
 
-@query(_EFFORT + " SELECT rk.route_id, opis_id, reach::BIGINT AS reach FROM rk JOIN rc ON rk.route_id = rc.route_id AND rk.k = rc.k")
+@query(_EFFORT + " SELECT rk.route_id, count(*) AS nodes, sum(reach)::BIGINT AS total_reach, max(reach)::BIGINT AS most, sha256(string_agg(opis_id || ':' || reach, ',' ORDER BY opis_id)) AS reach_sha256 FROM rk JOIN rc ON rk.route_id = rc.route_id AND rk.k = rc.k GROUP BY rk.route_id")
 def join12_reach(spark, d):
-    return search.reach(src.routes(spark, d), search.pruned(src.candidates(spark, d)))
+    """The nodes within a tank of every station, summed and digested per route."""
+    told = F.struct("opis_id", F.concat_ws(":", "opis_id", "reach").alias("t"))
+    return search.reach(src.routes(spark, d), search.pruned(src.candidates(spark, d))).groupBy("route_id").agg(
+        F.count(F.lit(1)).alias("nodes"), F.sum("reach").alias("total_reach"), F.max("reach").alias("most"), F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(told)), lambda x: x["t"]), ","), 256).alias("reach_sha256")
+    )
 
 
 @query("""x AS (SELECT l_orderkey AS route_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_quantity, l_extendedprice) AS leg, l_quantity::BIGINT AS used, l_partkey % 60 AS bought FROM lineitem),
@@ -233,11 +260,17 @@ def _worlds(spark, d):
     return c.where("opis_id % 5 <> 0"), c.where("opis_id % 7 <> 0").withColumn("price_milli", F.col("price_milli") + F.when(F.col("opis_id") % 3 == 0, 1).otherwise(0))
 
 
-@query(_WORLDS + " SELECT route_id, opis_id, a.price_milli AS a_milli, b.price_milli AS b_milli FROM a FULL JOIN b USING (route_id, opis_id)")
+@query(_WORLDS + " SELECT route_id, count(*) AS keys, count(a.price_milli) AS in_a, count(b.price_milli) AS in_b, count(*) FILTER (a.price_milli <> b.price_milli) AS moved, sha256(string_agg(opis_id || ':' || coalesce(a.price_milli::VARCHAR, '') || ':' || coalesce(b.price_milli::VARCHAR, ''), ',' ORDER BY opis_id)) AS pairs_sha256 FROM a FULL JOIN b USING (route_id, opis_id) GROUP BY route_id")
 def join10_world_pairs(spark, d):
-    """JOIN-10 and SET-1: every key of either world with both prices."""
+    """JOIN-10 and SET-1: every key of either world with both prices, counted and digested per route."""
     a, b = _worlds(spark, d)
-    return a.withColumnRenamed("price_milli", "a_milli").join(b.withColumnRenamed("price_milli", "b_milli"), ["route_id", "opis_id"], "full")
+    pairs = a.withColumnRenamed("price_milli", "a_milli").join(b.withColumnRenamed("price_milli", "b_milli"), ["route_id", "opis_id"], "full")
+    blank = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    told = F.struct("opis_id", F.concat_ws(":", "opis_id", blank("a_milli"), blank("b_milli")).alias("t"))
+    return pairs.groupBy("route_id").agg(
+        F.count(F.lit(1)).alias("keys"), F.count("a_milli").alias("in_a"), F.count("b_milli").alias("in_b"), F.count_if(F.col("a_milli") != F.col("b_milli")).alias("moved"),
+        F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(told)), lambda x: x["t"]), ","), 256).alias("pairs_sha256"),
+    )
 
 
 @query(_WORLDS + " SELECT route_id, count(*) FILTER (b.opis_id IS NULL) AS left_out, count(*) FILTER (a.opis_id IS NULL) AS added FROM a FULL JOIN b USING (route_id, opis_id) GROUP BY route_id")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from . import plan_sql
+from .operators import measure, rules
 from .plans import search, trips
 from .registry import _CORRIDOR_AT, _FACTORS, _indexed, query
 from .sources import adapters as src
@@ -163,7 +164,9 @@ def win5_plan_legs(spark, d):
 def agg6_median_fill(spark, d):
     """Median of bought miles over all purchases of all plans."""
     stops = _plans(spark, d, "heuristic").select(F.explode("stops").alias("s"))
-    return stops.agg(F.count(F.lit(1)).alias("purchases"), F.median("s.amount").alias("median_milli_mi"))
+    stops = written(stops.select(F.col("s.amount").alias("amount")), "purchases")
+    middle = measure.picked(stops, "amount", 1000.0).select(((F.col("lower") + F.col("upper")) / 2).alias("median_milli_mi"))
+    return stops.agg(F.count(F.lit(1)).alias("purchases")).crossJoin(F.broadcast(middle))
 
 
 @query(_WALK + ", " + _NAIVE + f""" SELECT h.route_id, {_usd('n.cost - h.cost')} AS saved_usd, {_percent('(n.cost - h.cost)', 'n.cost')} AS saved_percent, {_usd('(n.cost - h.cost) * 260')} AS yearly_usd FROM hw_p h JOIN nw_p n USING (route_id) WHERE h.feasible AND n.feasible""", recursive=True)
@@ -236,6 +239,46 @@ def win9_penalty_prune(spark, d):
     return search.penalty_pruned(src.candidates(spark, d)).select("route_id", "opis_id")
 
 
+_TALLIES = _STRONGER + """, pa AS (SELECT c.route_id, count(*) AS before, count(*) FILTER (pr.opis_id IS NULL AND EXISTS (SELECT 1 FROM v_candidate b WHERE b.route_id = c.route_id AND b.pos_milli_mi = c.pos_milli_mi AND (b.price_milli, b.opis_id) < (c.price_milli, c.opis_id) AND (c.price_source = 'eia_regional_estimate' OR b.price_source <> 'eia_regional_estimate'))) AS co_located,
+  count(*) FILTER (pr.opis_id IS NULL) AS geometric FROM v_candidate c LEFT JOIN pr USING (route_id, opis_id) GROUP BY c.route_id),
+pg AS (SELECT route_id, count(*) AS penalty_dominated FROM fw WHERE goes GROUP BY route_id)
+SELECT route_id, before, co_located, geometric - co_located AS tail, coalesce(penalty_dominated, 0) AS penalty_dominated, before - geometric - coalesce(penalty_dominated, 0) AS kept, true AS closed FROM pa LEFT JOIN pg USING (route_id)"""
+
+
+@query(_TALLIES, recursive=True)
+def agg27_penalty_tallies(spark, d):
+    """Removals under the stronger rule by their first reason: at the same place, near the end, then for the stop charge alone.
+
+    ``closed``: what a price-only reading would remove, less what was removed, plus what the charge removed, is what stays for its provenance alone.
+    """
+    rows = written(search.marked(src.candidates(spark, d)), "marked-candidates")
+    kept = search.penalty_kept(rows.where("removed IS NULL").drop("removed", "margin_blocked", "price_only")).select("route_id", "opis_id", F.lit(True).alias("stays"))
+    told = rows.join(kept, ["route_id", "opis_id"], "left").withColumn("why", F.coalesce("removed", F.when(F.col("stays").isNull(), "penalty")))
+    n = lambda c, name: F.count_if(c).alias(name)
+    per = told.groupBy("route_id").agg(
+        F.count(F.lit(1)).alias("before"), n(F.col("why") == "co_located", "co_located"), n(F.col("why") == "tail", "tail"), n(F.col("why") == "penalty", "penalty_dominated"), n(F.col("why").isNull(), "kept"), n(F.col("margin_blocked"), "blocked"), n(F.col("price_only"), "price_only"), n(F.col("why").isNotNull(), "gone")
+    )
+    closed = (F.col("blocked") == F.col("price_only") - F.col("gone") + F.col("penalty_dominated")) & (F.col("before") == F.col("kept") + F.col("gone"))
+    return per.select("route_id", "before", "co_located", "tail", "penalty_dominated", "kept", closed.alias("closed"))
+
+
+_SPOILT = """fa AS (SELECT route_id, CASE WHEN route_id % 350 = 0 THEN 'total' WHEN route_id % 211 = 0 THEN 'tank' WHEN bool_or(opis_id % 97 = 0 AND route_id % 3 = 0) THEN 'price' WHEN bool_or((opis_id + route_id) % 1009 = 0) THEN 'position' END AS fault FROM v_route LEFT JOIN (SELECT route_id, opis_id FROM v_candidate) c USING (route_id) GROUP BY route_id)"""
+
+
+@query(_WALK + ", " + _SPOILT + " SELECT route_id, fault, fault IS NULL AND feasible AS planned, CASE WHEN fault IS NULL THEN cost END AS cost FROM fa JOIN hw_p USING (route_id)", recursive=True)
+def fil13_validated_plans(spark, d):
+    """Routes some of which were spoilt, or their stations: what breaks an input rule is told with the first rule and not searched, the rest is planned."""
+    k, s = F.col("route_id"), F.col("opis_id")
+    spoil = lambda rows: rows.withColumn("total_milli_mi", F.when(k % 350 == 0, -1).otherwise(F.col("total_milli_mi")).cast("long")).withColumn("tank_milli_mi", F.when(k % 211 == 0, 0).otherwise(F.col("tank_milli_mi")).cast("long"))
+    c = src.candidates(spark, d)
+    c = c.withColumn("price_milli", F.when((s % 97 == 0) & (k % 3 == 0), -1).otherwise(F.col("price_milli")).cast("long")).withColumn("pos_milli_mi", F.when((s + k) % 1009 == 0, F.col("total_milli_mi") + 1).otherwise(F.col("pos_milli_mi")).cast("long"))
+    routes, c = spoil(src.routes(spark, d)), spoil(c)
+    faults = written(rules.route_faults(routes, c), "route-faults")
+    good = faults.where("fault IS NULL").select("route_id")
+    plans = search.solve(search.problems(routes.join(good, "route_id", "left_semi"), c.join(good, "route_id", "left_semi")), ("heuristic",))
+    return faults.join(plans.select("route_id", "feasible", "cost"), "route_id", "left").select("route_id", "fault", F.coalesce("feasible", F.lit(False)).alias("planned"), "cost")
+
+
 @query(plan_sql.preflight() + ", " + plan_sql.effort() + ", tq AS" + _STRONGER.split(", tq AS", 1)[1] + """,
 ga AS (SELECT route_id, count(*) AS penalty_dominated FROM fw WHERE goes GROUP BY route_id),
 k2 AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY route_id ORDER BY pos_milli_mi, price_milli, opis_id) AS k FROM pr WHERE (route_id, opis_id) NOT IN (SELECT (route_id, opis_id) FROM fw WHERE goes)),
@@ -342,6 +385,19 @@ def pln14_end_to_end(spark, d):
     return trips.planned_routes(routes, _geometric(spark, d), budget=-1)
 
 
+#: Estimated transitions that the exact arm may take below: few, so that routes take either arm.
+_SMALL_BUDGET = 300
+
+
+@query(_END_TO_END + ", " + plan_sql.exact("vc", _SMALL_BUDGET, lists=False) + ", " + plan_sql.walk("heuristic", "hw", "vc") + f""", n AS (SELECT route_id, count(*) AS stations FROM vc GROUP BY route_id),
+arms AS (SELECT route_id, 'exact' AS strategy, n_stops::INT AS n_stops, objective FROM xp UNION ALL SELECT route_id, 'heuristic', n_stops, objective FROM hw_p JOIN pf USING (route_id) JOIN ef USING (route_id) WHERE pf.feasible AND hw_p.feasible AND estimate > {_SMALL_BUDGET})
+SELECT route_id, coalesce(stations, 0)::INT AS stations, estimate, strategy, n_stops, objective FROM arms JOIN ef USING (route_id) LEFT JOIN n USING (route_id)""", recursive=True)
+def pln14_dispatched(spark, d):
+    """The whole pipeline with both arms: what is searched exactly and what goes to the heuristic, with each plan's objective."""
+    out = trips.planned_routes(src.routes(spark, d), _geometric(spark, d), budget=_SMALL_BUDGET).where("feasible")
+    return out.select("route_id", "stations", "estimate", "strategy", "n_stops", "objective")
+
+
 @query()
 def flagship_cheapest_plan(spark, d):
     """For each route of the corridor pipeline the plan that its effort allows and its saving over a price-blind driver."""

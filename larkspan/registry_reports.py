@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .functions import geo, text
 from .operators import cleaning, corridor, measure, pricing, rules
-from .plans import search, trips
+from .plans import answers, search, trips
 from .registry import _CORRIDOR, _EFFORT, _INCOMING, _existing, _FACTORS, _incoming, query
 from .registry_plans import _CONTEXT, _NAIVE, _PLAN_LEGS, _TRIPS, _WALK, _context, _plans, _stops, _trips, _usd
 from .sources import adapters as src
@@ -160,11 +160,11 @@ def str9_station_notes(spark, d):
     return c.select("state", text.station_note(F.col("total"), F.col("recorded"), F.col("estimates")).alias("note"))
 
 
-@query("""SELECT region_no, period::VARCHAR AS period, CASE WHEN period IS NOT NULL AND r <= 10 THEN 'Station prices indexed to the EIA week of ' || strftime(period, '%b %-d, %Y') || CASE WHEN r = 1 THEN '.' ELSE ' (latest available).' END END AS note FROM (SELECT *, row_number() OVER (PARTITION BY region_no ORDER BY period DESC) AS r FROM v_weekly)""")
+@query("""SELECT region_no, period::VARCHAR AS period, CASE WHEN period IS NOT NULL AND r <= 10 THEN 'Station prices indexed to the EIA week of ' || strftime(period, '%b %-d, %Y') || CASE WHEN r = 1 THEN '.' ELSE ' (latest available).' END ELSE '""" + answers.SNAPSHOT[1] + """' END AS note FROM (SELECT *, row_number() OVER (PARTITION BY region_no ORDER BY period DESC) AS r FROM v_weekly)""")
 def str9_freshness_notes(spark, d):
     r = F.row_number().over(Window.partitionBy("region_no").orderBy(F.col("period").desc()))
     state = F.when(F.col("r") == 1, "current").when(F.col("r") <= 10, "stale").otherwise("frozen")
-    return src.weekly_prices(spark, d).withColumn("r", r).select("region_no", F.col("period").cast("string").alias("period"), text.freshness_note(state, F.col("period")).alias("note"))
+    return src.weekly_prices(spark, d).withColumn("r", r).select("region_no", F.col("period").cast("string").alias("period"), text.freshness_note(state, F.col("period"), answers.SNAPSHOT[1]).alias("note"))
 
 
 @query("""x AS (SELECT route_id, total_milli_mi AS m, (m + 30 * 17) // (60 * 17) AS dur, m // 7 AS units FROM v_route)

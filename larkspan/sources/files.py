@@ -110,6 +110,16 @@ def wanted_places(spark: SparkSession, path: str, release: str, categories: list
     return spark.read.parquet(path).where((F.col("release") == release) & F.col("categories.primary").isin(*categories) & (F.col("confidence") >= floor))
 
 
+def place_columns(places: DataFrame) -> DataFrame:
+    """The twelve columns of a raw extract, out of the structs and arrays of a nested one; a place's point is the middle of its box, given in micro-degrees."""
+    first = F.get("addresses", 0)
+    middle = lambda a: (F.floor((F.col(f"bbox.{a}min") + F.col(f"bbox.{a}max")) / 2).cast("decimal(12,0)") * F.lit(0.000001).cast("decimal(7,6)")).cast("decimal(10,6)")
+    return places.select(
+        F.col("id").alias("gers_id"), F.col("names.primary").alias("name"), F.col("brand.names.primary").alias("brand_name"), *[first[c].alias(f"address_{c}") for c in ("freeform", "locality", "region", "postcode")],
+        F.col("taxonomy.primary").alias("category"), "confidence", "operating_status", middle("x").alias("longitude"), middle("y").alias("latitude"),
+    )
+
+
 def releases(spark: SparkSession, path: str) -> DataFrame:
     """(release,) folders below ``path``, each once, from the file listing alone; none at all is an error."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select(F.regexp_extract("path", RELEASE, 1).alias("release"))
