@@ -6,12 +6,11 @@ from pyspark.sql import functions as F
 
 from .functions import text
 from .operators import lines
-from .plans import answers, search, trips
+from .plans import answers, trips
 from .registry import _FACTORS, _factors, query
 from .registry_geometry import _LETTERS, MAPS, SPLIT, STEPS, TOKEN
-from .registry_plans import _CONTEXT, _NAIVE, _percent
+from .registry_plans import _CONTEXT, _NAIVE, _percent, _plans
 from .sources import adapters as src
-from .sources.files import written
 
 
 def _money(x: str) -> str:
@@ -92,7 +91,7 @@ FROM wr w JOIN we USING (route_id) JOIN wg USING (route_id) JOIN wt USING (route
 def jsn1_whole_answer(spark, d):
     """Every trip's winning alternative as one JSON object of 26 keys: geometry, plan and reasons, legs, savings, alternatives, candidates, waypoints, freshness and trend."""
     routes, c, stations = src.routes(spark, d), src.candidates(spark, d), src.stations(spark, d)
-    plans = written(search.solve(search.problems(routes, c), ("heuristic", "naive")), "plans")
+    plans = _plans(spark, d, "heuristic", "naive")
     of = lambda m, x, name: F.max(F.when(F.col("asked") == m, F.col(x))).alias(name)
     figures = plans.groupBy("route_id").agg(
         of("heuristic", "feasible", "feasible"), of("heuristic", "method", "strategy"), *[of("heuristic", x, x) for x in ("cost", "bought")], *[of("naive", x, f"naive_{x}") for x in ("cost", "bought", "n_stops")]

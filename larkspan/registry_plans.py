@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import plan_sql
@@ -9,6 +12,7 @@ from .operators import measure, rules
 from .plans import search, trips
 from .registry import _CORRIDOR_AT, _FACTORS, _indexed, query
 from .sources import adapters as src
+from .sources import files
 from .sources.files import written
 
 _GREEDY, _WALK, _NAIVE = plan_sql.walk("greedy", "gw"), plan_sql.walk("heuristic"), plan_sql.walk("naive", "nw")
@@ -25,7 +29,9 @@ def _percent(part: str, whole: str) -> str:
 
 
 def _plans(spark, d, *methods):
-    return search.solve(search.problems(src.routes(spark, d), src.candidates(spark, d)), methods)
+    """Plans of all routes by the named walks; each walk is solved once a session and its table shared by all queries."""
+    solved = [files.shared(spark, "plans", (d, m), lambda m=m: search.solve(search.problems(src.routes(spark, d), src.candidates(spark, d)), (m,))) for m in methods]
+    return reduce(DataFrame.unionByName, solved)
 
 
 def _stops(spark, d):
@@ -58,9 +64,14 @@ def pln6_exact(spark, d):
     return plans.select("route_id", "objective", "n_stops", F.array_join(F.col("stops.id").cast("array<string>"), ",").alias("stops"))
 
 
-def _exact_plans(spark, d, **options):
-    ready = search.dispatched(src.routes(spark, d), src.candidates(spark, d)).where("method = 'exact'")
-    return search.solve(ready, ("planned",), **options)
+def _dispatched(spark, d):
+    """The feasible routes' problems with their arm, shared like the plans."""
+    return files.shared(spark, "dispatched", (d,), lambda: search.dispatched(src.routes(spark, d), src.candidates(spark, d)))
+
+
+def _exact_plans(spark, d):
+    """Plans of the routes that are searched exactly, shared like those of the walks."""
+    return files.shared(spark, "exact-plans", (d,), lambda: search.solve(_dispatched(spark, d).where("method = 'exact'"), ("planned",)))
 
 
 # Reasons of exact plans, from what they buy: the twin follows fuel and prices along each plan.
@@ -84,8 +95,8 @@ def pln7_exact_reasons(spark, d):
 FROM pf JOIN ef USING (route_id) JOIN hw_p p USING (route_id) JOIN v_route USING (route_id) LEFT JOIN (SELECT route_id, count(*) AS from_start FROM pr WHERE pos_milli_mi <= on_board_milli_mi GROUP BY route_id) s USING (route_id) WHERE pf.feasible""", recursive=True)
 def pln4_label_fallback(spark, d):
     """Dispatch with no labels to spend: what was admitted to the exact search falls back to the heuristic on the full list, unless it needs no stop."""
-    ready = search.dispatched(src.routes(spark, d), src.candidates(spark, d))
-    plans = search.solve(ready.withColumnRenamed("method", "own").withColumn("method", F.col("own")), ("planned",), most_labels=0)
+    ready = _dispatched(spark, d)
+    plans = search.solve(ready, ("planned",), most_labels=0)
     told = plans.join(ready.select("route_id", F.col("method").alias("admitted")), "route_id")
     arm = F.when(F.col("admitted") == "heuristic", "heuristic").when(F.col("method") == "exact", "exact").otherwise("fell_back")
     return told.select("route_id", arm.alias("arm"), "n_stops", "objective")
@@ -204,10 +215,9 @@ def agg24_pruned_list_verdict(spark, d):
 @query(", ".join((plan_sql.exact(), _GREEDY)) + " SELECT count(*) AS routes, round(avg((g.objective > x.objective)::INT), 6) AS rate FROM xp x JOIN gw_p g USING (route_id)", recursive=True)
 def agg25_disagreement_rate(spark, d):
     """Share of the exactly searched routes whose greedy plan has a larger objective than the exact one."""
-    ready = search.dispatched(src.routes(spark, d), src.candidates(spark, d)).where("method = 'exact'")
-    greedy = F.max(F.when(F.col("method") == "greedy", F.col("objective")))
-    own = F.max(F.when(F.col("method") != "greedy", F.col("objective")))
-    return search.solve(ready, ("planned", "greedy")).groupBy("route_id").agg((greedy > own).alias("worse")).agg(F.count(F.lit(1)).alias("routes"), F.round(F.avg(F.col("worse").cast("int")), 6).alias("rate"))
+    own = _exact_plans(spark, d).select("route_id", F.col("objective").alias("own"))
+    both = own.join(_plans(spark, d, "greedy").select("route_id", "objective"), "route_id")
+    return both.select((F.col("objective") > F.col("own")).alias("worse")).agg(F.count(F.lit(1)).alias("routes"), F.round(F.avg(F.col("worse").cast("int")), 6).alias("rate"))
 
 
 _SCALED = "c50 AS (SELECT * REPLACE (price_milli * 50 // 100 AS price_milli) FROM v_candidate), c200 AS (SELECT * REPLACE (price_milli * 2 AS price_milli) FROM v_candidate)"
@@ -287,23 +297,9 @@ e2 AS (SELECT r.route_id, (coalesce(w, 0) + coalesce(f, 0) + (total_milli_mi <=
 SELECT CASE WHEN NOT feasible THEN 'censored' WHEN (ef.estimate <= 50000) <> (e2.estimate <= 50000) THEN 'admission_differs' WHEN ef.estimate > 50000 THEN 'both_heuristic' WHEN penalty_dominated > 0 THEN 'penalty_dominated' ELSE 'identical' END AS verdict, count(*) AS routes
 FROM pf JOIN ef USING (route_id) JOIN e2 USING (route_id) LEFT JOIN ga USING (route_id) GROUP BY 1""", recursive=True)
 def pln21_plan_identity(spark, d):
-    """The same arm in both prune worlds must give the same plan; cells that cannot show it are told apart, in this order."""
-    routes, c = src.routes(spark, d), src.candidates(spark, d)
-    before = search.dispatched(routes, c)
-    kept = written(search.penalty_pruned(c), "penalty-pruned")
-    after = search.effort(routes, kept).select("route_id", (F.col("estimate") <= search.EXACT_BUDGET).alias("admitted_after"), F.col("nodes").alias("nodes_after"))
-    cells = routes.select("route_id").join(before.select("route_id", "method", F.col("nodes").alias("nodes_before")), "route_id", "left").join(after, "route_id", "left")
-    excluded = (
-        F.when(F.col("method").isNull(), "censored").when((F.col("method") == "exact") != F.col("admitted_after"), "admission_differs")
-        .when(F.col("method") == "heuristic", "both_heuristic").when(F.col("nodes_before") > F.col("nodes_after"), "penalty_dominated")
-    )
-    cells = written(cells.withColumn("excluded", excluded), "identity-cells")
-    checked = cells.where("excluded IS NULL").select("route_id")
-    plan = lambda ready, name: search.solve(ready, ("exact",)).select("route_id", F.struct("cost", F.col("stops.id").alias("ids")).alias(name))
-    one = plan(before.join(checked, "route_id", "left_semi"), "one")
-    two = plan(search.problems(routes.join(checked, "route_id", "left_semi"), kept), "two")
-    verdict = F.coalesce("excluded", F.when(F.col("one").eqNullSafe(F.col("two")), "identical").otherwise("moved"))
-    return cells.join(one, "route_id", "left").join(two, "route_id", "left").groupBy(verdict.alias("verdict")).agg(F.count(F.lit(1)).alias("routes"))
+    """The same arm in both prune worlds must give the same plan; cells that cannot show it are told apart."""
+    cells = trips.plan_identity(src.routes(spark, d), src.candidates(spark, d))
+    return cells.groupBy("verdict").agg(F.count(F.lit(1)).alias("routes"))
 
 
 # --- trips

@@ -7,12 +7,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _FALLBACK: dict[str, str] = {}
 _WRITTEN: dict[str, list[str]] = {}
+_SHARED: dict[tuple[str, ...], DataFrame] = {}
 #: Pattern of a release folder: date and counter.
 RELEASE = r"/release=(\d{4}-\d{2}-\d{2}\.\d+)/"
 
@@ -46,8 +48,18 @@ def fresh_path(spark: SparkSession, label: str) -> str:
     return path
 
 
+def shared(spark: SparkSession, label: str, of: tuple[str, ...], make: Callable[[], DataFrame]) -> DataFrame:
+    """``make()``, written once for all who ask for ``label`` of the same inputs, until ``drop_written``."""
+    key = (spark.sparkContext.applicationId, label, *of)
+    if key not in _SHARED:
+        _SHARED[key] = written(make(), label)
+    return _SHARED[key]
+
+
 def drop_written(spark: SparkSession) -> None:
     """Delete what this session wrote into the shared folder; what reads it lazily must be done."""
+    for key in [k for k in _SHARED if k[0] == spark.sparkContext.applicationId]:
+        del _SHARED[key]
     for path in _WRITTEN.pop(spark.sparkContext.applicationId, []):
         place = spark._jvm.org.apache.hadoop.fs.Path(path)
         place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)

@@ -84,3 +84,25 @@ def test_brute_force_equals_the_search(spark):
         assert r["objective"] == exact[route]["objective"]
         if r["is_unique"]:
             assert r["stops"] == exact[route]["stops"]
+
+
+def test_plan_identity_tells_searches_that_end_in_one_world_alone(spark):
+    from larkspan.plans import trips
+    from larkspan.sources import adapters
+
+    routes, c = adapters.routes(spark, DATA), adapters.candidates(spark, DATA)
+    told = {n: dict(trips.plan_identity(routes, c, most_labels=n).groupBy("verdict").count().collect()) for n in (0, 12, None)}
+    assert "strategy_differs" not in told[None] and told[None]["identical"] > 0 and "moved" not in told[None]
+    assert told[12]["strategy_differs"] > 0 and told[0].get("both_heuristic", 0) > told[None].get("both_heuristic", 0)
+
+
+def test_plans_are_solved_once_a_session_until_dropped(spark):
+    from larkspan.registry_plans import _plans
+    from larkspan.sources import files
+
+    one = _plans(spark, DATA, "greedy")
+    assert one.inputFiles() == _plans(spark, DATA, "greedy").inputFiles()
+    before = sorted(map(str, one.collect()))
+    files.drop_written(spark)
+    again = _plans(spark, DATA, "greedy")
+    assert set(again.inputFiles()) and sorted(map(str, again.collect())) == before
