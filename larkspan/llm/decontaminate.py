@@ -35,14 +35,23 @@ BROADCAST_WINDOWS = 500_000
 WHOLE = 1 << 30
 
 
-def template_tokens(text: Column) -> Column:
-    """Lower-cased tokens, ß as ss, since upper case has it so; those that stand for a slot begin with U+0001 (number), U+0002 (unit) or U+0003 (name)."""
+def _template(text: Column) -> Column:
+    """The text in lower case, ß as ss, since upper case has it so, with a mark before numbers (U+0001), units (U+0002) and names (U+0003)."""
     t = F.regexp_replace(text, "[\\u0001-\\u0003]", " ")
     t = F.regexp_replace(t, "([.,])(?<=\\p{Nd}.)(?=\\p{Nd})", "")
     t = F.regexp_replace(t, f"(?i)(\\p{{Nd}})[ ]?({UNITS}|%|€|\\$)(?![\\p{{L}}\\p{{M}}\\p{{N}}])", "$1 \u0002$2")
     t = F.regexp_replace(t, "(\\p{Lu})(?<=[\\p{L}\\p{N},;:] .)(?=\\p{Ll})", "\u0003$1")
     t = F.regexp_replace(t, "(\\p{Nd}++)", "\u0001$1")
-    return F.array_remove(F.split(F.replace(F.lower(F.coalesce(t, F.lit(""))), F.lit("ß"), F.lit("ss")), "[^\\p{L}\\p{M}\\p{N}\\u0001-\\u0003%€$]+"), "")
+    return F.replace(F.lower(F.coalesce(t, F.lit(""))), F.lit("ß"), F.lit("ss"))
+
+
+def _tokens(template: Column) -> Column:
+    return F.array_remove(F.split(template, "[^\\p{L}\\p{M}\\p{N}\\u0001-\\u0003%€$]+"), "")
+
+
+def template_tokens(text: Column) -> Column:
+    """Lower-cased tokens; those that stand for a slot begin with U+0001 (number), U+0002 (unit) or U+0003 (name)."""
+    return _tokens(_template(text))
 
 
 def _windows(df: DataFrame, id_name: str, at: str, lengths: tuple[int, ...], whole: bool = False) -> DataFrame:
@@ -51,9 +60,11 @@ def _windows(df: DataFrame, id_name: str, at: str, lengths: tuple[int, ...], who
     A window with names comes twice, the second time with the names as plain words.
     """
     mark, name = F.lit("\u0004"), F.lit("\u0003")
-    rows = df.select(id_name, template_tokens(F.col("text")).alias("raw"))
+    rows = df.select(id_name, _template(F.col("text")).alias("template"))
+    rows = rows.select(id_name, _tokens(F.col("template")).alias("raw"), F.col("template").contains("\u0003").alias("named"))
     bare = F.transform("raw", lambda x: F.when(x.startswith(name), F.substring(x, 2, 1 << 30)).when(x < mark, F.substring(x, 1, 1)).otherwise(x))
-    rows = rows.select(id_name, "raw", F.transform("raw", lambda x: F.when(x < mark, F.substring(x, 1, 1)).otherwise(x)).alias("tok"), F.when(F.exists("raw", lambda x: x.startswith(name)), bare).alias("bare"))
+    spots = F.filter(F.sequence(F.lit(0), F.size("raw") - 1), lambda i: F.get("raw", i).startswith(name))
+    rows = rows.select(id_name, "raw", F.transform("raw", lambda x: F.when(x < mark, F.substring(x, 1, 1)).otherwise(x)).alias("tok"), F.when(F.col("named"), bare).alias("bare"), F.when(F.col("named"), spots).alias("spots"))
 
     def of(n):
         def one(i):
@@ -69,7 +80,7 @@ def _windows(df: DataFrame, id_name: str, at: str, lengths: tuple[int, ...], who
         fits = F.size("raw") == n if whole and n < max(lengths) else F.size("raw") >= n
         places = F.sequence(F.lit(0), F.greatest(F.size("raw") - n, F.lit(0)))
         typed = F.transform(places, one)
-        named = F.filter(places, lambda i: F.exists(F.slice("raw", i + 1, n), lambda x: x.startswith(name)))
+        named = F.array_distinct(F.flatten(F.transform("spots", lambda p: F.sequence(F.greatest(p - (n - 1), F.lit(0)), F.least(p, F.size("raw") - n)))))
         return F.when(fits & F.col("bare").isNull(), typed).when(fits, F.concat(typed, F.transform(named, bared)))
 
     found = [rows.select(id_name, F.explode(of(n)).alias("w")) for n in lengths]
