@@ -8,8 +8,9 @@ timer clears it once nothing that it holds can matter any more.  A row later tha
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -170,18 +171,28 @@ def stream_table_state(stream: DataFrame, success: str, failure: str, ask: str,
     return _timed(stream, late).groupBy("user_id").transformWithState(rule, "user_id long, event_id long, state string, fetches boolean", "Append", "EventTime")
 
 
-def run_to_end(stream: DataFrame, sink: str, checkpoint: str) -> None:
-    """Work off what has landed so far into the Parquet folder ``sink``, from ``checkpoint`` on, and stop.
+@contextmanager
+def settings(spark: SparkSession, **more: str) -> Iterator[None]:
+    """Session settings for a stream while it starts and runs: one shuffle partition a core, unless told otherwise.
 
-    State lies in RocksDB below the checkpoint, which survives lost executors and the end of the application.
+    A stream's state keeps the number of partitions that it first had.
     """
-    spark = stream.sparkSession
-    before = {k: spark.conf.get(k, None) for k in _STORE}
-    for k, v in _STORE.items():
+    wanted = {"spark.sql.shuffle.partitions": str(spark.sparkContext.defaultParallelism), **_STORE, **more}
+    before = {k: spark.conf.get(k, None) for k in wanted}
+    for k, v in wanted.items():
         spark.conf.set(k, v)
     try:
-        run = stream.writeStream.format("parquet").option("path", sink).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
-        run.awaitTermination()
+        yield
     finally:
         for k, v in before.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def run_to_end(stream: DataFrame, sink: str, checkpoint: str) -> None:
+    """Work off what has landed so far into the Parquet folder ``sink``, from ``checkpoint`` on, and stop.
+
+    State lies in RocksDB below the checkpoint, which survives lost executors and the end of the application.
+    """
+    with settings(stream.sparkSession):
+        run = stream.writeStream.format("parquet").option("path", sink).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
+        run.awaitTermination()

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import cleaning
+from .ordered import settings
 
 SHAPE = "opis_id int, price_milli long, release string"
 STATE = "opis_id int, price_milli long, applied string"
@@ -53,8 +54,9 @@ def turn(batch: DataFrame, number: int, home: str) -> None:
 def work_off(spark: SparkSession, landing: str, home: str) -> None:
     """Take the turns for what has landed since the last call, and stop; releases are folders ``release=<name>``."""
     stream = spark.readStream.schema(SHAPE).parquet(landing)
-    run = stream.writeStream.foreachBatch(lambda batch, number: turn(batch, number, home)).option("checkpointLocation", f"{home}/checkpoint").trigger(availableNow=True).start()
-    run.awaitTermination()
+    with settings(spark):
+        run = stream.writeStream.foreachBatch(lambda batch, number: turn(batch, number, home)).option("checkpointLocation", f"{home}/checkpoint").trigger(availableNow=True).start()
+        run.awaitTermination()
 
 
 def differences(spark: SparkSession, home: str) -> DataFrame:
