@@ -61,10 +61,12 @@ def _windows(df: DataFrame, id_name: str, at: str, lengths: tuple[int, ...], who
     """
     mark, name = F.lit("\u0004"), F.lit("\u0003")
     rows = df.select(id_name, _template(F.col("text")).alias("template"))
-    rows = rows.select(id_name, _tokens(F.col("template")).alias("raw"), F.col("template").contains("\u0003").alias("named"))
+    marked = F.col("template").rlike("[\\u0001-\\u0003]")
+    rows = rows.select(id_name, _tokens(F.col("template")).alias("raw"), F.col("template").contains("\u0003").alias("named"), marked.alias("marked"))
     bare = F.transform("raw", lambda x: F.when(x.startswith(name), F.substring(x, 2, 1 << 30)).when(x < mark, F.substring(x, 1, 1)).otherwise(x))
     spots = F.filter(F.sequence(F.lit(0), F.size("raw") - 1), lambda i: F.get("raw", i).startswith(name))
-    rows = rows.select(id_name, "raw", F.transform("raw", lambda x: F.when(x < mark, F.substring(x, 1, 1)).otherwise(x)).alias("tok"), F.when(F.col("named"), bare).alias("bare"), F.when(F.col("named"), spots).alias("spots"))
+    tok = F.when(F.col("marked"), F.transform("raw", lambda x: F.when(x < mark, F.substring(x, 1, 1)).otherwise(x)))
+    rows = rows.select(id_name, "raw", tok.alias("tok"), F.when(F.col("named"), bare).alias("bare"), F.when(F.col("named"), spots).alias("spots"))
 
     def of(n):
         def one(i):
@@ -77,11 +79,14 @@ def _windows(df: DataFrame, id_name: str, at: str, lengths: tuple[int, ...], who
             slots = F.filter(F.slice("raw", i + 1, n), lambda x: x < name)
             return F.struct(i.alias("i"), F.lit(n).alias("n"), F.xxhash64(*[F.get(F.col("bare"), i + F.lit(j)) for j in range(n)]).alias("h"), F.when(F.size(slots) > 0, slots).alias("slots"), F.lit(True).alias("plain"))
 
+        def unmarked(i):  # a text without numbers, units and names has neither slots nor windows of placeholders
+            return F.struct(i.alias("i"), F.lit(n).alias("n"), F.xxhash64(*[F.get("raw", i + F.lit(j)) for j in range(n)]).alias("h"), F.lit(None).cast("array<string>").alias("slots"), F.lit(True).alias("plain"))
+
         fits = F.size("raw") == n if whole and n < max(lengths) else F.size("raw") >= n
         places = F.sequence(F.lit(0), F.greatest(F.size("raw") - n, F.lit(0)))
         typed = F.transform(places, one)
         named = F.array_distinct(F.flatten(F.transform("spots", lambda p: F.sequence(F.greatest(p - (n - 1), F.lit(0)), F.least(p, F.size("raw") - n)))))
-        return F.when(fits & F.col("bare").isNull(), typed).when(fits, F.concat(typed, F.transform(named, bared)))
+        return F.when(fits & F.col("tok").isNull(), F.transform(places, unmarked)).when(fits & F.col("bare").isNull(), typed).when(fits, F.concat(typed, F.transform(named, bared)))
 
     found = [rows.select(id_name, F.explode(of(n)).alias("w")) for n in lengths]
     listed = found[0]
