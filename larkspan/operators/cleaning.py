@@ -50,15 +50,19 @@ def hygiene(rows: DataFrame, name: str, status: str, confidence: str) -> DataFra
 
 
 def nearest_rooftop(incoming: DataFrame, existing: DataFrame) -> DataFrame:
-    """(in_id, match_id, dist_mi) of the nearest rooftop station in the 3 × 3 cells around each point, ties by id."""
+    """(in_id, match_id, dist_mi) of the nearest rooftop station in the 3 × 3 cells around each point, ties by id.
+
+    The rooftops, the fewer, are dealt to the cells around theirs.  Spark takes rows for no more than they were before an
+    explode and would broadcast them through the driver, so the join is told to sort and merge.
+    """
     lat, lng = int(1e6 / geo.MILES), int(1e6 / (geo.MILES * 0.6))
     own = existing.where("geocode_precision = 'rooftop'").select(F.col("opis_id").alias("match_id"), F.col("lat_u").alias("m_lat"), F.col("lng_u").alias("m_lng"))
-    own = own.withColumn("cy", geo.cell(F.col("m_lat"), lat)).withColumn("cx", geo.cell(F.col("m_lng"), lng))
     steps = F.array(F.lit(-1), F.lit(0), F.lit(1))
-    near = incoming.withColumn("dy", F.explode(steps)).withColumn("dx", F.explode(steps))
-    near = near.withColumn("cy", geo.cell(F.col("lat_u"), lat) + F.col("dy")).withColumn("cx", geo.cell(F.col("lng_u"), lng) + F.col("dx"))
+    own = own.withColumn("dy", F.explode(steps)).withColumn("dx", F.explode(steps))
+    own = own.withColumn("cy", geo.cell(F.col("m_lat"), lat) + F.col("dy")).withColumn("cx", geo.cell(F.col("m_lng"), lng) + F.col("dx")).drop("dy", "dx")
+    near = incoming.select("in_id", "lat_u", "lng_u", geo.cell(F.col("lat_u"), lat).alias("cy"), geo.cell(F.col("lng_u"), lng).alias("cx"))
     dist = F.round(geo.planar_miles(F.col("lat_u"), F.col("lng_u"), F.col("m_lat"), F.col("m_lng")), 4)
-    return near.join(own, ["cy", "cx"]).withColumn("dist", dist).groupBy("in_id").agg(F.min(F.struct("dist", "match_id")).alias("b")).select("in_id", "b.match_id", F.col("b.dist").alias("dist_mi"))
+    return near.join(own.hint("merge"), ["cy", "cx"]).withColumn("dist", dist).groupBy("in_id").agg(F.min(F.struct("dist", "match_id")).alias("b")).select("in_id", "b.match_id", F.col("b.dist").alias("dist_mi"))
 
 
 def entity_match(incoming: DataFrame, existing: DataFrame) -> DataFrame:
