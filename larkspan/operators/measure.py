@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -80,20 +84,46 @@ def content_digest(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.agg(F.count(F.lit(1)).alias("n_rows"), F.substring(F.sha2(F.concat_ws("|", *[p.cast("decimal(38,0)").cast("string") for p in parts]), 256), 1, 12).alias("digest"))
 
 
-def discordant_pairs(df: DataFrame, group: str, a: str, b: str) -> DataFrame:
+def inversions(ranks: np.ndarray) -> int:
+    """Pairs of a sequence of ranks of which the earlier is the larger.
+
+    Of two different ranks the highest bit in which they differ is unique: among members that share the bits above one,
+    those with the bit that stand before one without it.  The members are parted by that bit, level by level.
+    """
+    found = 0
+    for bit in range(int(ranks.max()).bit_length() - 1, -1, -1):
+        above, one = ranks >> (bit + 1), (ranks >> bit) & 1
+        before = np.cumsum(one) - one
+        first = np.flatnonzero(np.concatenate(([True], above[1:] != above[:-1])))
+        before -= np.repeat(before[first], np.diff(np.concatenate((first, [len(ranks)]))))
+        found += int(before[one == 0].sum())
+        ranks = ranks[np.argsort(ranks >> bit, kind="stable")]
+    return found
+
+
+def discordant_pairs(df: DataFrame, group: str, a: str, b: str, dealt: str | None = None) -> DataFrame:
     """(group, discordant): pairs that ``a`` and ``b`` order oppositely, ties in either left out.
 
-    Of two different ranks in ``a`` the highest bit in which they differ is unique, so each pair is met once: among rows
-    that share the bits above one, those with the bit that stand before one without it.  Every row appears once a bit,
-    and no pairs are formed.
+    A group is the unit of work: its values are gathered, ordered by ``a`` (ties by ``b``, so that they do not count), and
+    the inversions of ``b`` counted without forming pairs.  ``dealt`` names a column that keeps groups in their tasks.
+    Rows with a null take part in no pair.
     """
-    ranked = df.select(group, b, F.dense_rank().over(Window.partitionBy(group).orderBy(a)).alias("r"))
-    bits = F.greatest(F.floor(F.log2(F.max("r").over(Window.partitionBy(group)))).cast("int"), F.lit(0))
-    rows = ranked.withColumn("bits", bits).withColumn("bit", F.explode(F.sequence(F.lit(0), F.col("bits"))))
-    rows = rows.select(group, b, "bit", F.expr("shiftright(r, bit + 1)").alias("above"), F.expr("shiftright(r, bit) & 1").alias("one"))
-    before = Window.partitionBy(group, "bit", "above").orderBy(b).rangeBetween(Window.unboundedPreceding, -1)
-    counted = rows.withColumn("n", F.when(F.col("one") == 0, F.coalesce(F.sum("one").over(before), F.lit(0))).otherwise(0))
-    return counted.groupBy(group).agg(F.sum("n").alias("discordant")).where("discordant > 0")
+    kind = df.schema[group].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(1)
+            flat, bounds = lists.flatten(), np.asarray(lists.offsets) - lists.offsets[0].as_py()
+            x, y = (np.asarray(flat.field(c)) for c in ("x", "y"))
+            told = []
+            for low, high in zip(bounds[:-1], bounds[1:]):
+                ranks = np.unique(y[low:high], return_inverse=True)[1]
+                told.append(inversions(ranks[np.lexsort((ranks, x[low:high]))]) if high > low else 0)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(told, pa.int64())], names=[group, "discordant"])
+
+    rows = df.where(F.col(a).isNotNull() & F.col(b).isNotNull())
+    gathered = rows.groupBy(*[dealt] * bool(dealt), group).agg(F.collect_list(F.struct(F.col(a).alias("x"), F.col(b).alias("y"))).alias("v"))
+    return gathered.select(group, "v").mapInArrow(run, f"{group} {kind}, discordant long").where("discordant > 0")
 
 
 def ladder_walk(rungs: DataFrame, rung: str, good: Column) -> DataFrame:

@@ -12,3 +12,33 @@ def test_nearest_rooftop_broadcasts_nothing(spark):
 
     for name in ("join4_nearest_rooftop", "str10_distance_text", "agg28_match_sensitivity"):
         assert "Broadcast" not in plan_of(registry.QUERIES[name](spark, DATA)), name
+
+
+def test_dealt_candidates_are_the_candidates_and_move_no_pairs(spark, monkeypatch):
+    from larkspan.plans import search
+    from larkspan.sources import adapters
+
+    columns = ["route_id", "total_milli_mi", "tank_milli_mi", "on_board_milli_mi", "opis_id", "price_milli", "price_source", "pos_milli_mi"]
+    want = sorted(map(tuple, adapters.candidates(spark, DATA).select(columns).collect()))
+    for pairs in (1_000_000, 50):  # whole residues, and residues in parts
+        monkeypatch.setattr(adapters, "TASK_PAIRS", pairs)
+        monkeypatch.setattr(adapters, "MOST_DEALS", 7)
+        dealt = adapters.dealt_candidates(spark, DATA)
+        assert sorted(map(tuple, dealt.select(columns).collect())) == want
+        every = adapters.dealt_candidates(spark, DATA, every_route=True)
+        assert sorted(map(tuple, every.where("opis_id IS NOT NULL").select(columns).collect())) == want
+        assert every.select("route_id").distinct().count() == adapters.routes(spark, DATA).count()
+        for rows in (search.marked(dealt), search._reached(search.pruned(dealt)).groupBy("deal", "route_id").count(), search.problems(None, every)):
+            assert plan_of(rows).count("Exchange") == 2  # routes and stations, no pairs
+
+
+def test_inversions_equal_counted_pairs():
+    import numpy as np
+
+    from larkspan.operators import measure
+
+    rng = np.random.default_rng(5)
+    for n in (1, 2, 3, 17, 200):
+        for top in (1, 3, 1000):
+            r = rng.integers(0, top, n)
+            assert measure.inversions(r) == sum(int(r[i] > r[j]) for i in range(n) for j in range(i + 1, n))
