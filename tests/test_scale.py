@@ -42,3 +42,13 @@ def test_inversions_equal_counted_pairs():
         for top in (1, 3, 1000):
             r = rng.integers(0, top, n)
             assert measure.inversions(r) == sum(int(r[i] > r[j]) for i in range(n) for j in range(i + 1, n))
+
+
+def test_pairs_and_reach_come_back_whole(spark):
+    from larkspan import registry
+    from larkspan.plans import search
+    from larkspan.sources import adapters
+
+    c = adapters.candidates(spark, DATA)
+    assert registry.QUERIES["join12_reach"](spark, DATA).count() == search.pruned(c).count()
+    assert registry.QUERIES["join10_world_pairs"](spark, DATA).count() == c.where("opis_id % 35 <> 0").count()
