@@ -52,3 +52,16 @@ def test_pairs_and_reach_come_back_whole(spark):
     c = adapters.candidates(spark, DATA)
     assert registry.QUERIES["join12_reach"](spark, DATA).count() == search.pruned(c).count()
     assert registry.QUERIES["join10_world_pairs"](spark, DATA).count() == c.where("opis_id % 35 <> 0").count()
+
+
+def test_lines_are_made_in_their_routes_rows(spark):
+    from larkspan import registry
+    from larkspan.operators import corridor
+
+    for name in ("arr1_leg_slices", "mat4_simplified_lines", "mat16_even_samples"):
+        plan = plan_of(registry.QUERIES[name](spark, DATA))
+        assert plan.count("Exchange") == 1 and "Sort" not in plan, name  # the routes', before they grow into lines
+    odd = {1: [(0, 0), (0, 0), (1_000_000, 0), (1_000_000, 0), (3_000_000, 0)], 2: [(5, 5), (5, 5), (5, 5)], 3: [(7, 7)]}
+    frame = spark.createDataFrame([(k, [(a, b) for a, b in v]) for k, v in odd.items()], "route_id long, line array<struct<lat_u:long,lng_u:long>>")
+    got = sorted(map(tuple, corridor.even_samples(frame, 6).collect()))
+    assert got == [(1, i, i / 2, 0.0) for i in range(7)] + [(2, i, 0.0, 0.0) for i in range(7)]
