@@ -65,3 +65,17 @@ def test_lines_are_made_in_their_routes_rows(spark):
     frame = spark.createDataFrame([(k, [(a, b) for a, b in v]) for k, v in odd.items()], "route_id long, line array<struct<lat_u:long,lng_u:long>>")
     got = sorted(map(tuple, corridor.even_samples(frame, 6).collect()))
     assert got == [(1, i, i / 2, 0.0) for i in range(7)] + [(2, i, 0.0, 0.0) for i in range(7)]
+
+
+def test_candidates_are_counted_without_pairs(spark):
+    from pyspark.sql import functions as F
+
+    from larkspan import registry
+    from larkspan.sources import adapters
+
+    for name in ("agg11_source_counts", "fil13_input_rules", "join13_price_sweep"):
+        assert "Join" not in plan_of(registry.QUERIES[name](spark, DATA)), name
+    upto = F.floor(F.col("total_milli_mi") / 3).cast("long")
+    got = {r["route_id"]: (r["n"], r["price"]) for r in adapters.candidate_sums(spark, DATA, upto, n=F.lit(1), price=F.col("price_milli")).collect()}
+    want = adapters.candidates(spark, DATA).where(F.col("pos_milli_mi") <= upto).groupBy("route_id").agg(F.count(F.lit(1)), F.sum("price_milli")).collect()
+    assert {k: v for k, v in got.items() if v[0]} == {r[0]: (r[1], r[2]) for r in want}
