@@ -79,3 +79,10 @@ def test_candidates_are_counted_without_pairs(spark):
     got = {r["route_id"]: (r["n"], r["price"]) for r in adapters.candidate_sums(spark, DATA, upto, n=F.lit(1), price=F.col("price_milli")).collect()}
     want = adapters.candidates(spark, DATA).where(F.col("pos_milli_mi") <= upto).groupBy("route_id").agg(F.count(F.lit(1)), F.sum("price_milli")).collect()
     assert {k: v for k, v in got.items() if v[0]} == {r[0]: (r[1], r[2]) for r in want}
+
+
+def test_corridor_pairs_stay_in_the_tasks_of_their_lines(spark):
+    from larkspan import registry
+
+    told = plan_of(registry.QUERIES["join1_corridor"](spark, DATA)).split("MapInArrow")
+    assert len(told) == 2 and "Exchange" not in told[0] and "Aggregate" not in told[0]
