@@ -86,3 +86,10 @@ def test_corridor_pairs_stay_in_the_tasks_of_their_lines(spark):
 
     told = plan_of(registry.QUERIES["join1_corridor"](spark, DATA)).split("MapInArrow")
     assert len(told) == 2 and "Exchange" not in told[0] and "Aggregate" not in told[0]
+
+
+def test_range_corridor_shuffles_no_pairs(spark):
+    from larkspan import registry
+
+    told = plan_of(registry.QUERIES["join3_range_corridor"](spark, DATA)).split("MapInArrow")
+    assert len(told) == 2 and "Exchange" not in told[0] and "Aggregate" not in told[0]
