@@ -93,3 +93,16 @@ def test_range_corridor_shuffles_no_pairs(spark):
 
     told = plan_of(registry.QUERIES["join3_range_corridor"](spark, DATA)).split("MapInArrow")
     assert len(told) == 2 and "Exchange" not in told[0] and "Aggregate" not in told[0]
+
+
+def test_referee_compares_in_the_tasks_of_the_lines_and_sees_differences(spark):
+    from larkspan import registry
+    from larkspan.operators import corridor, near
+    from larkspan.sources import adapters
+
+    told = registry.QUERIES["set7_corridor_referee"](spark, DATA)
+    assert plan_of(told).split("MapInArrow")[0].count("Exchange") == 1  # the sums
+    fewer = lambda *a: ((b, e, near.Pairs(*[c[1:] for c in p])) for b, e, p in near.by_bands(*a))
+    points, stations = adapters.route_lines(spark, DATA).where("route_id % 7 = 0"), adapters.stations(spark, DATA)
+    rows = corridor.corridor_differences(points, stations, (fewer, near.by_ranges)).collect()
+    assert sum(r["differing"] for r in rows) > 0 and sum(r["pairs"] for r in rows) == corridor.corridor_referee(points, stations).count()
