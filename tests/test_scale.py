@@ -106,3 +106,26 @@ def test_referee_compares_in_the_tasks_of_the_lines_and_sees_differences(spark):
     points, stations = adapters.route_lines(spark, DATA).where("route_id % 7 = 0"), adapters.stations(spark, DATA)
     rows = corridor.corridor_differences(points, stations, (fewer, near.by_ranges)).collect()
     assert sum(r["differing"] for r in rows) > 0 and sum(r["pairs"] for r in rows) == corridor.corridor_referee(points, stations).count()
+
+
+def test_end_to_end_only_plans_leave_the_tasks_of_the_lines(spark):
+    from larkspan import registry
+
+    for name in ("pln14_end_to_end", "pln14_dispatched", "flagship_cheapest_plan"):
+        told = plan_of(registry.QUERIES[name](spark, DATA)).split("MapInArrow")
+        assert len(told) == 2 and told[0].count("Exchange") == 1  # plans, to their routes' rows
+
+
+def test_kept_flags_are_the_windows_rule(spark):
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    from larkspan.plans import search
+    from larkspan.sources import adapters
+
+    c = adapters.candidates(spark, DATA).withColumn("pos_milli_mi", F.floor(F.col("pos_milli_mi") / 40_000) * 40_000)
+    rows = search.marked(c).orderBy("route_id", "pos_milli_mi", "price_milli", "opis_id").toPandas()
+    route, pos, price = (rows[x].to_numpy() for x in ("route_id", "pos_milli_mi", "price_milli"))
+    number = np.unique(route, return_inverse=True)[1]
+    got = search.kept_flags(number, pos, price, (rows["price_source"] == "eia_regional_estimate").to_numpy(), pos + rows["tank_milli_mi"].to_numpy() >= rows["total_milli_mi"].to_numpy())
+    assert (got == rows["removed"].isna().to_numpy()).all() and 0 < got.sum() < len(got)
