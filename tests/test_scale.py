@@ -129,3 +129,17 @@ def test_kept_flags_are_the_windows_rule(spark):
     number = np.unique(route, return_inverse=True)[1]
     got = search.kept_flags(number, pos, price, (rows["price_source"] == "eia_regional_estimate").to_numpy(), pos + rows["tank_milli_mi"].to_numpy() >= rows["total_milli_mi"].to_numpy())
     assert (got == rows["removed"].isna().to_numpy()).all() and 0 < got.sum() < len(got)
+
+
+def test_exact_plans_write_no_candidates(spark, monkeypatch):
+    from larkspan import registry
+    from larkspan.plans import search
+    from larkspan.sources import files
+
+    names, write = [], files.written
+    watched = lambda df, label: (names.append(label), write(df, label))[1]
+    monkeypatch.setattr(files, "written", watched)
+    monkeypatch.setattr(search, "written", watched)
+    monkeypatch.setattr(files, "_SHARED", {})
+    told = registry.QUERIES["agg25_disagreement_rate"](spark, DATA).first()
+    assert names == ["admitted", "exact-plans"] and told["routes"] == registry.QUERIES["pln6_exact"](spark, DATA).count() > 0
