@@ -2,10 +2,11 @@
 
 import datetime as dt
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from larkspan.sources import files, tables
-from larkspan.streaming import ordered, refresh
+from larkspan.streaming import counters, ordered, refresh
 
 SHAPE = "opis_id int, price_milli long, price_source string"
 
@@ -40,6 +41,37 @@ def test_caps_of_zero_and_a_first_call_after_the_state_was_cleared(spark, tmp_pa
     assert got == {1: None, 2: "month", 3: None, 4: None}
 
 
+def test_state_has_a_row_a_bucket_of_users_and_answers_as_tables_do(spark, tmp_path):
+    shape, start = "event_id long, ts timestamp_ntz, user_id long, event_type string", dt.datetime(2024, 1, 30)
+    kinds = ("view", "error", "view", "purchase", "view", "click", "view")
+    rows = [(7 * u + n, start + dt.timedelta(days=n * (1 + u % 4), hours=u % 5), u, kind) for u in range(60) for n, kind in enumerate(kinds)]
+    rows += [(2**62 + n, t + dt.timedelta(minutes=1), None, kind) for n, (_, t, _, kind) in enumerate(rows[:7])]  # nobody's, one of them without an id
+    rows += [(None, start, None, "view"), (9001, dt.datetime(9000, 1, 1), 5, "view"), (9002, dt.datetime(9500, 1, 1), -1, "none")]
+    events = spark.createDataFrame(rows, shape)
+    rules = {
+        "state": lambda s: ordered.stream_table_state(s, "purchase", "error", "view", 86_400, 604_800, 86_400, "40 days", buckets=4),
+        "budget": lambda s: ordered.stream_budget(s, 1, 4, "40 days", buckets=4),
+    }
+    keys = {}
+    for name, rule in rules.items():
+        path, sink, checkpoint = (str(tmp_path / name / n) for n in ("in", "out", "checkpoint"))
+        for landed in (events.where("user_id % 3 = 1 OR event_type = 'error'"), events.where("NOT coalesce(user_id % 3 = 1 OR event_type = 'error', false)")):
+            landed.coalesce(1).write.mode("append").parquet(path)
+            ordered.run_to_end(rule(spark.readStream.schema(shape).parquet(path)), sink, checkpoint)
+            for kept in ("waiting", "known"):
+                state = spark.read.format("statestore").option("stateVarName", kept).load(checkpoint)
+                keys[name, kept] = max(keys.get((name, kept), 0), state.select("key").distinct().count())
+    assert all(n <= 4 for n in keys.values()) and keys["state", "waiting"] and keys["state", "known"] and keys["budget", "waiting"], keys  # not one a user
+    told = lambda name, *columns: sorted(map(repr, spark.read.parquet(str(tmp_path / name / "out")).where("event_id IS NULL OR event_id <> 9002").select("user_id", "event_id", *columns).collect()))
+    want = counters.as_of_state(events, "purchase", "error", "view", 86_400, 604_800, 86_400)
+    assert told("state", "state", "fetches") == sorted(map(repr, want.select("user_id", "event_id", "state", "fetches").collect()))
+    line = lambda *by: Window.partitionBy("user_id", *by).orderBy("ts", "event_id")
+    day = events.where("event_id IS NULL OR event_id <> 9002").withColumn("day", F.date_format("ts", "yyyy-MM-dd")).withColumn("ok", F.row_number().over(line("day")) <= 1)
+    both = day.withColumn("admitted", F.col("ok") & (F.sum(F.col("ok").cast("int")).over(line(F.date_format("ts", "yyyy-MM"))) <= 4))
+    want = both.withColumn("refused_by", F.expr("CASE WHEN NOT ok THEN 'day' WHEN NOT admitted THEN 'month' END"))
+    assert told("budget", "day", "admitted", "refused_by") == sorted(map(repr, want.select("user_id", "event_id", "day", "admitted", "refused_by").collect()))
+
+
 def releases(spark, path, name, rows):
     spark.createDataFrame([(*r, name) for r in rows], refresh.SHAPE).write.mode("append").partitionBy("release").parquet(path)
 
