@@ -61,14 +61,19 @@ def first_fault(total: Column, tank: Column, mpg: Column, fuel: Column, price: C
     return F.coalesce(*[F.when(~F.coalesce(ok, F.lit(False)), name) for name, ok in rules])
 
 
+def own_fault(mpg: int = 10) -> Column:
+    """The first input rule that a route by itself breaks."""
+    fuel = F.when(F.col("tank_milli_mi") > 0, F.col("on_board_milli_mi") / F.col("tank_milli_mi")).otherwise(0)
+    return first_fault(F.col("total_milli_mi"), F.col("tank_milli_mi"), F.lit(mpg), fuel, F.lit(0), F.lit(0))
+
+
 def route_faults(routes: DataFrame, candidates: DataFrame, mpg: int = 10) -> DataFrame:
     """(route_id, fault) of every route: the first input rule that it or one of its stations breaks, null for a good one.
 
     Rules go in order: a route's own come before those of stations, and of stations the first rule that any breaks counts.
     """
-    fuel = F.when(F.col("tank_milli_mi") > 0, F.col("on_board_milli_mi") / F.col("tank_milli_mi")).otherwise(0)
     zero = F.lit(0)
-    own = routes.select("route_id", first_fault(F.col("total_milli_mi"), F.col("tank_milli_mi"), F.lit(mpg), fuel, zero, zero).alias("own"))
+    own = routes.select("route_id", own_fault(mpg).alias("own"))
     bad = candidates.select("route_id", first_fault(F.lit(1), F.lit(1), F.lit(mpg), zero, F.col("price_milli"), F.lit(1)).alias("price"), (~F.coalesce(F.col("pos_milli_mi").between(0, F.col("total_milli_mi")), F.lit(False))).alias("off"))
     per = bad.groupBy("route_id").agg(F.max("price").alias("price"), F.max("off").alias("off"))
     return own.join(per, "route_id", "left").select("route_id", F.coalesce("own", "price", F.when(F.col("off"), "position")).alias("fault"))
