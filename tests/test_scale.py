@@ -143,3 +143,26 @@ def test_exact_plans_write_no_candidates(spark, monkeypatch):
     monkeypatch.setattr(files, "_SHARED", {})
     told = registry.QUERIES["agg25_disagreement_rate"](spark, DATA).first()
     assert names == ["admitted", "exact-plans"] and told["routes"] == registry.QUERIES["pln6_exact"](spark, DATA).count() > 0
+
+
+def test_legs_are_held_against_each_other_in_the_tasks_of_their_routes(spark):
+    from pyspark.sql import functions as F
+
+    from larkspan import registry
+    from larkspan.operators import corridor
+    from larkspan.sources import adapters
+
+    told = plan_of(registry.QUERIES["join2_multi_leg_corridor"](spark, DATA)).split("MapInArrow")
+    assert len(told) == 2 and "Exchange" not in told[0] and "Aggregate" not in told[0]
+    p = adapters.route_points(spark, DATA).where("route_id < 40")
+    cut = F.floor(F.col("total_milli_mi") * 2 / 5).cast("long")
+    one = p.where("seq <= 24").select("route_id", F.lit(0).alias("leg"), F.lit(0).alias("offset_milli_mi"), cut.alias("total_milli_mi"), "seq", "lat_u", "lng_u")
+    two = p.where("seq >= 24").select("route_id", F.lit(1).alias("leg"), cut.alias("offset_milli_mi"), (F.col("total_milli_mi") - cut).alias("total_milli_mi"), "seq", "lat_u", "lng_u")
+    want = registry.QUERIES["join2_multi_leg_corridor"](spark, DATA).where("route_id < 40")
+    got = corridor.multi_leg_join(one.unionByName(two), adapters.stations(spark, DATA))
+    assert got.count() > 100 and got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
+    # a leg without length and one of a single point give none; a station as near to two legs keeps the earlier
+    odd = [(1, 0, 0, 1000, 0, 0, 0), (1, 0, 0, 1000, 1, 0, 0), (1, 1, 1000, 2000, 1, 0, 0), (1, 1, 1000, 2000, 2, 0, 1_000_000), (1, 2, 3000, 2000, 2, 0, 1_000_000), (1, 2, 3000, 2000, 3, 0, 2_000_000), (2, 0, 0, 5, 0, 0, 0)]
+    frame = spark.createDataFrame(odd, "route_id long, leg int, offset_milli_mi long, total_milli_mi long, seq int, lat_u long, lng_u long")
+    place = spark.createDataFrame([(7, 0, 1_000_000, "city", "ok"), (8, 0, 0, "rooftop", "ok"), (9, 40_000_000, 0, "city", "ok")], "opis_id int, lat_u long, lng_u long, geocode_precision string, geocode_status string")
+    assert sorted(map(tuple, corridor.multi_leg_join(frame, place).collect())) == [(1, 7, 1, 0.0, 3.0), (1, 8, 1, 0.0, 1.0)]
